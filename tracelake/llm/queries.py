@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, decontaminate, html, pii, quality, simhash, toxicity
+from tracelake.llm import bpe, decontaminate, html, ngram, pii, quality, simhash, toxicity
 from tracelake.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram.score(docs, ngram.train(docs))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -38,5 +43,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_html, op6_toxicity, op7_quality, op8_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_html, op4_ngram, op6_toxicity, op7_quality, op8_simhash, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
