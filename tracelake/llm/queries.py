@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, decontaminate, html, ngram, pii, quality, simhash, toxicity
+from tracelake.llm import bpe, decontaminate, html, licenses, ngram, paragraphs, pii, quality, simhash, toxicity
 from tracelake.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(docs, ngram.train(docs))
 
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -39,9 +43,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_html, op4_ngram, op6_toxicity, op7_quality, op8_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_html, op4_ngram, op5_paragraphs, op6_toxicity, op7_quality, op8_simhash, op9_licenses, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
