@@ -91,21 +91,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     Items are gathered to build the automaton only up to ``max_bytes`` of windows at a time; a larger
     set is dealt into as many automata by a hash of the item, and texts are scanned once with each.
     """
-    spark = docs.sparkSession
-    given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = total * window // max_bytes + 1
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    for k in range(shards):
-        part = given.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k) if shards > 1 else given
-        held = sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator())
-        key = (hashlib.sha256(repr(held).encode()).hexdigest(), window)
-        shared = spark.sparkContext.broadcast(held)
-        if k < shards - 1:
-            rows = cut(_pass(rows, shared, key, id_type))
-        else:
-            rows = _final(rows, shared, key, id_col, id_type)
+    automata = list(_automata(items, window, item_col, item_text, max_bytes))
+    for shared, key in automata[:-1]:
+        rows = cut(_pass(rows, shared, key, id_type))
+    rows = _final(rows, *automata[-1], id_col, id_type)
     return rows
 
 
@@ -146,6 +137,34 @@ def _final(rows: DataFrame, shared, key: tuple, id_col: str, id_type: str) -> Da
     return map_arrow(rows, {c: F.col(c) for c in rows.columns}, schema, run)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The documents in which no window of an item occurs, with all their columns. Items as in ``decontaminate``."""
+    for shared, key in _automata(items, window, item_col, item_text, max_bytes):
+
+        def run(batches, shared=shared, key=key):
+            import pyarrow as pa
+
+            for batch in batches:
+                automaton = _automaton(shared, key)
+                clean = [not scan(automaton, words_of(t))[1] for t in utf8(batch, text_col)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _automata(items: DataFrame, window: int, item_col: str, item_text: str, max_bytes: int):
+    """Items as broadcasts of at most ``max_bytes`` of windows each, with a key for each."""
+    spark = items.sparkSession
+    given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = total * window // max_bytes + 1
+    for k in range(shards):
+        part = given.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k) if shards > 1 else given
+        held = sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator())
+        yield spark.sparkContext.broadcast(held), (hashlib.sha256(repr(held).encode()).hexdigest(), window)
+
+
 _built: dict = {}
 
 
