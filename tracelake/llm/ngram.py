@@ -39,6 +39,8 @@ from tracelake.llm.common import map_arrow, shared_dir, utf8
 PRIOR = 20.0
 ADD = 0.1
 SHARD_BYTES = 48_000_000
+#: Bytes of text that a task holds as arrays at a time (one longer text goes alone).
+CHUNK_BYTES = 12_000_000
 _END = b"\n"  # no word holds white space
 _CODES = 65_535
 _LOW = -16.0  # log10 of the least probability that a node can keep
@@ -65,6 +67,19 @@ def indexed(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), list(known), sizes
 
 
+def chunks(batch: pa.RecordBatch):
+    """The batch in slices of about CHUNK_BYTES of text: (slice, texts)."""
+    texts = utf8(batch, "text")
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK_BYTES:
+            yield batch.slice(start, k - start), texts[start:k]
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield batch.slice(start), texts[start:]
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
@@ -235,11 +250,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
     stats = "shard int, distinct bigint, total bigint"
 
     def words(batch):
-        index, known, _ = indexed(utf8(batch, "text"))
-        keys, counts = hashes(known), np.bincount(index, minlength=len(known))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        yield _dealt(keys, counts, _shard_of(keys, shards), shards)
+        for _, texts in chunks(batch):
+            index, known, _ = indexed(texts)
+            keys, counts = hashes(known), np.bincount(index, minlength=len(known))
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
     level1 = map_arrow(rows, {"text": F.col("text")}, _ROW, words).groupBy("shard").applyInArrow(_write_words(folder), stats).collect()
     sizes = [0] * shards
@@ -249,13 +265,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
     model = Model(folder, shards, offsets, sum(r["total"] for r in level1), sum(sizes), prior)
 
     def pairs(batch):
-        index, known, _ = indexed(utf8(batch, "text"))
-        numbers = model.words.look_up(hashes(known))[0].astype(np.uint64)[index]
         # a text's first word follows the end of the text before it, which stands for its start
         end = model.words.look_up(hashes([_END]))[0].astype(np.uint64)
-        keys = np.concatenate((end, numbers[:-1])) * np.uint64(model.v) + numbers if len(numbers) else numbers
-        keys, counts = np.unique(keys, return_counts=True)
-        yield _dealt(keys, counts, _shard_of(keys, shards), shards)
+        for _, texts in chunks(batch):
+            index, known, _ = indexed(texts)
+            numbers = model.words.look_up(hashes(known))[0].astype(np.uint64)[index]
+            keys, counts = np.unique(np.concatenate((end, numbers[:-1])) * np.uint64(model.v) + numbers, return_counts=True)
+            yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
     if model.v:
         map_arrow(rows, {"text": F.col("text")}, _ROW, pairs).groupBy("shard").applyInArrow(_write_pairs(model), stats).collect()
@@ -267,26 +283,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batch):
-        texts = utf8(batch, "text")
-        index, known, sizes = indexed(texts)
-        numbers, counts = model.words.look_up(hashes([*known, _END]))
-        numbers, counts, end, ends = numbers[:-1], counts[:-1], numbers[-1], counts[-1]
-        base = model.base(counts)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        after = numbers[index]
-        before = np.concatenate(([end], after[:-1]))
-        context = np.concatenate(([ends], counts[index][:-1]))
-        p = np.log10(model.prior / (context + model.prior)) + base[index]
-        both = np.flatnonzero((before >= 0) & (after >= 0))
-        if len(both):
-            keys, which = np.unique(before[both].astype(np.uint64) * np.uint64(model.v) + after[both].astype(np.uint64), return_inverse=True)
-            kept = model.pairs((keys // np.uint64(model.v)).astype(np.int64), (keys % np.uint64(model.v)).astype(np.int64))[which]
-            p[both] = np.where(np.isnan(kept), p[both], kept)
-        n = len(texts)
-        yield {
-            id_col: batch.column("id"), "held_out": batch.column("held_out"), "n_tokens": sizes, "n_known": np.bincount(row, counts[index] > 0, n).astype(np.int64),
-            "train_tokens": np.full(n, model.n, np.int64), "base_score": np.bincount(row, base[index], n), "score": np.bincount(row, p, n),
-        }
+        for part, texts in chunks(batch):
+            index, known, sizes = indexed(texts)
+            numbers, counts = model.words.look_up(hashes([*known, _END]))
+            numbers, counts, end, ends = numbers[:-1], counts[:-1], numbers[-1], counts[-1]
+            base = model.base(counts)
+            row = np.repeat(np.arange(len(texts)), sizes)
+            after = numbers[index]
+            before = np.concatenate(([end], after[:-1]))
+            context = np.concatenate(([ends], counts[index][:-1]))
+            p = np.log10(model.prior / (context + model.prior)) + base[index]
+            both = np.flatnonzero((before >= 0) & (after >= 0))
+            if len(both):
+                keys, which = np.unique(before[both].astype(np.uint64) * np.uint64(model.v) + after[both].astype(np.uint64), return_inverse=True)
+                kept = model.pairs((keys // np.uint64(model.v)).astype(np.int64), (keys % np.uint64(model.v)).astype(np.int64))[which]
+                p[both] = np.where(np.isnan(kept), p[both], kept)
+            n = len(texts)
+            yield {
+                id_col: part.column("id"), "held_out": part.column("held_out"), "n_tokens": sizes, "n_known": np.bincount(row, counts[index] > 0, n).astype(np.int64),
+                "train_tokens": np.full(n, model.n, np.int64), "base_score": np.bincount(row, base[index], n), "score": np.bincount(row, p, n),
+            }
 
     schema = f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return map_arrow(docs, {"id": F.col(id_col), "held_out": held_out(F.col(id_col)), "text": F.col(text_col).cast("string")}, schema, run)
