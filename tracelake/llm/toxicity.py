@@ -1,6 +1,6 @@
 """Operator 6: toxicity by a linear-chain conditional random field over words.
 
-Two states, clean and toxic. A word's features are itself and its beginnings of 4, 5 and 6 letters;
+Two states, clean and toxic. A word's features are itself and its beginnings of 4 to 8 letters;
 features of its neighbours count too, by the transitions. Labels are of documents, so the labelled
 tokens are weak ones: in a document labelled toxic, words with a feature that (over the sample) stands
 almost only in such documents are toxic, all others clean. Weights are fitted by gradient ascent on
@@ -34,15 +34,17 @@ SAMPLE_CHARS = 20_000
 THRESHOLD = 0.7
 #: A feature marks words as toxic if it stands in so many toxic documents of the sample at least, in
 #: such a share of them (rarer ones are chance and copies), and so purely.
-MIN_DOCS = 5
-MIN_SHARE = 0.02
+MIN_DOCS = 4
+MIN_SHARE = 0.01
 MIN_PURITY = 0.95
+#: Words of a line that tells copies.
+COPY_WORDS = 20
 #: Words of a training sequence.
 SEQUENCE = 48
 STEPS = 80
 
 _WORD = re.compile(r"[^\W\d_]+")
-_BEGINNINGS = (4, 5, 6)
+_BEGINNINGS = (4, 5, 6, 7, 8)
 
 
 def words_of(text: str) -> list[str]:
@@ -123,9 +125,18 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], rate: float) -> Model:
-    """The model of a sample; ``rate`` is the share of label 1 among all labelled rows. Exact copies count once."""
-    once = dict(zip(texts, labels, strict=True))
-    texts, labels = list(once), list(once.values())
+    """The model of a sample; ``rate`` is the share of label 1 among all labelled rows.
+
+    Copies count once, and so do near copies: texts of a class that share a line of ``COPY_WORDS`` words.
+    """
+    seen: set[tuple[int, str]] = set()
+    once = []
+    for t, y in zip(texts, labels, strict=True):
+        lines = {(y, x) for x in t.split("\n") if x.count(" ") >= COPY_WORDS - 1} or {(y, t)}
+        if seen.isdisjoint(lines):
+            once.append((t, y))
+        seen |= lines
+    texts, labels = [t for t, _ in once], [y for _, y in once]
     docs = [words_of(t) for t in texts]
     inside, outside = Counter(), Counter()
     for words, y in zip(docs, labels, strict=True):
