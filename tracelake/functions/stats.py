@@ -43,8 +43,8 @@ def signed_rank(deltas: str) -> Column:
     struct(w_plus, w_total, p_up, p_down): p_up is P(W+ >= w_plus) under random signs, p_down P(W+ <= w_plus).
     Ranks are doubled to stay whole. The null distribution is built by convolution over the ranks.
     """
-    ranks = f"transform({deltas}, d -> 2L * size(filter({deltas}, e -> abs(e) < abs(d))) + size(filter({deltas}, e -> abs(e) = abs(d))) + 1L)"
-    plus = f"aggregate(zip_with({deltas}, r, (d, x) -> CASE WHEN d > 0 THEN x ELSE 0L END), 0L, (a, x) -> a + x)"
+    ranks = f"transform({deltas}, one -> 2L * size(filter({deltas}, other -> abs(other) < abs(one))) + size(filter({deltas}, other -> abs(other) = abs(one))) + 1L)"
+    plus = f"aggregate(zip_with({deltas}, r, (one, x) -> CASE WHEN one > 0 THEN x ELSE 0L END), 0L, (a, x) -> a + x)"
     total = "aggregate(r, 0L, (a, x) -> a + x)"
     ways = f"aggregate(r, transform(sequence(0L, {total}), k -> CASE WHEN k = 0 THEN 1D ELSE 0D END), (dist, x) -> transform(dist, (c, k) -> (c + CASE WHEN k >= x THEN element_at(dist, int(k - x) + 1) ELSE 0D END) / 2))"
     return F.expr(

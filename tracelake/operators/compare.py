@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.stats import binomial_tail, pass_k, signed_rank, unanimous, wilson
+from tracelake.functions.stats import binomial_tail, pass_k, signed_rank, stats_of, unanimous, wilson
 from tracelake.operators.aggregate import METRICS
 from tracelake.plans.model import OUTCOME
 from tracelake.plans.thresholds import Thresholds
@@ -21,49 +21,53 @@ ROW_METRICS = ("occurrences", *METRICS)
 _SCOPES = ("total", "paired", "phase", "step")
 
 
-def _short(b_n: Column, c_n: Column, least: int) -> Column:
-    b, c = b_n.cast("string"), c_n.cast("string")
-    return (
-        F.when((b_n < least) & (c_n < least), F.concat(F.lit("baseline n="), b, F.lit(" and candidate n="), c, F.lit(f" below min support {least}")))
-        .when(b_n < least, F.concat(F.lit("baseline n="), b, F.lit(f" below min support {least}")))
-        .otherwise(F.concat(F.lit("candidate n="), c, F.lit(f" below min support {least}")))
+ASKED = "array<struct<metric:string,rate:boolean,delta:double,b_bad:bigint,b_n:bigint,c_bad:bigint,c_n:bigint,b:struct<n:bigint,median:double,p25:double,p75:double,p90:double>,c:struct<n:bigint,median:double,p25:double,p75:double,p90:double>,better:boolean,mirrored:boolean,note:string,absent:string>>"
+
+
+def _ask(metric: Column, rate: tuple | None = None, stats: tuple | None = None, better: Column | bool = False, mirrored: Column | bool = False, note: Column | str = "", absent: Column | None = None) -> Column:
+    """A comparison to make: of rates (bad and n of both sides, least delta), of statistics, or none (``absent``: why)."""
+    better, mirrored, note = (x if isinstance(x, Column) else F.lit(x) for x in (better, mirrored, note))
+    none = F.lit(None)
+    b_bad, b_n, c_bad, c_n, delta = rate or (none,) * 5
+    b, c = stats or (none, none)
+    delta = delta if isinstance(delta, Column) else F.lit(delta)
+    fields = {"metric": metric, "rate": F.lit(rate is not None), "delta": delta, "b_bad": b_bad, "b_n": b_n, "c_bad": c_bad, "c_n": c_n, "b": b, "c": c, "better": better, "mirrored": mirrored, "note": note, "absent": none if absent is None else absent}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _judged(asked: DataFrame, th: Thresholds) -> DataFrame:
+    """The findings of the comparisons in ``f``, a row each.
+
+    Rates of bad outcomes: a regression needs apart intervals and more than the delta. Medians: a regression
+    is outside a band around the baseline's; more is worse unless ``better``. One formula for all rows keeps
+    the generated code small.
+    """
+    f, k = F.col("f"), th.min_support
+    df = asked.withColumns({"bn": F.when(f["rate"], f["b_n"]).otherwise(f["b"]["n"]), "cn": F.when(f["rate"], f["c_n"]).otherwise(f["c"]["n"])})
+    (b_lo, b_hi), (c_lo, c_hi) = wilson(f["b_bad"], f["b_n"], th.z), wilson(f["c_bad"], f["c_n"], th.z)
+    share = lambda bad, n: F.coalesce(F.try_divide(bad.cast("double"), n.cast("double")), F.lit(0.0))
+    df = df.withColumns({
+        "few": (F.col("bn") < k) | (F.col("cn") < k), "at": F.when(f["rate"], share(f["b_bad"], f["b_n"])).otherwise(f["b"]["median"]), "now": F.when(f["rate"], share(f["c_bad"], f["c_n"])).otherwise(f["c"]["median"]),
+        "b_lo": b_lo, "b_hi": b_hi, "c_lo": c_lo, "c_hi": c_hi, "band": F.greatest(th.metric_rel_delta * F.abs(f["b"]["median"]), th.iqr_factor * (f["b"]["p75"] - f["b"]["p25"])),
+    })
+    df = df.withColumns({"lo": F.when(f["rate"], F.col("b_lo")).otherwise(F.col("at") - F.col("band")), "hi": F.when(f["rate"], F.col("b_hi")).otherwise(F.col("at") + F.col("band")), "moved": F.col("now") - F.col("at")})
+    of_rate = F.when((F.col("b_hi") < F.col("c_lo")) & (F.col("moved") > f["delta"]), "regression").when(F.col("moved") > f["delta"], "notable").when((F.col("c_hi") < F.col("b_lo")) & (-F.col("moved") > f["delta"]), "improvement").otherwise("ok")
+    up, down = F.when(f["better"], "improvement").otherwise("regression"), F.when(f["better"], "regression").otherwise("improvement")
+    of_metric = F.when(F.col("now") > F.col("hi"), up).when(F.col("now") < F.col("lo"), down).otherwise("ok")
+    short = F.when(
+        F.col("few"),
+        F.concat_ws(" and ", F.when(F.col("bn") < k, F.concat(F.lit("baseline n="), F.col("bn").cast("string"))), F.when(F.col("cn") < k, F.concat(F.lit("candidate n="), F.col("cn").cast("string"))), F.lit(None).cast("string")),
     )
-
-
-def rate_finding(metric: Column, b_bad: Column, b_n: Column, c_bad: Column, c_n: Column, delta: float, th: Thresholds) -> Column:
-    """Rates of bad outcomes: a regression needs apart intervals and more than ``delta``."""
-    pb, pc = (F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(0.0)) for x, n in ((b_bad, b_n), (c_bad, c_n)))
-    b_lo, b_hi = wilson(b_bad, b_n, th.z)
-    c_lo, c_hi = wilson(c_bad, c_n, th.z)
-    few = (b_n < th.min_support) | (c_n < th.min_support)
-    verdict = F.when(few, "insufficient").when((b_hi < c_lo) & (pc - pb > delta), "regression").when(pc - pb > delta, "notable").when((c_hi < b_lo) & (pb - pc > delta), "improvement").otherwise("ok")
-    return F.struct(metric.alias("metric"), verdict.alias("verdict"), pb.alias("baseline"), pc.alias("candidate"), (pc - pb).alias("delta"), F.when(few, 0.0).otherwise(b_lo).alias("band_lo"), F.when(few, 0.0).otherwise(b_hi).alias("band_hi"), F.when(few, _short(b_n, c_n, th.min_support)).otherwise("").alias("detail"))
-
-
-def metric_finding(metric: Column, b: Column, c: Column, th: Thresholds, higher_better: Column | None = None) -> Column:
-    """Medians against a band around the baseline's median. More is worse, unless ``higher_better``."""
-    bm, cm = b["median"], c["median"]
-    band = F.greatest(th.metric_rel_delta * F.abs(bm), th.iqr_factor * (b["p75"] - b["p25"]))
-    few = (b["n"] < th.min_support) | (c["n"] < th.min_support)
-    up, down = F.lit("regression"), F.lit("improvement")
-    if higher_better is not None:
-        up, down = F.when(higher_better, down).otherwise(up), F.when(higher_better, up).otherwise(down)
-    verdict = F.when(few, "insufficient").when(cm > bm + band, up).when(cm < bm - band, down).otherwise("ok")
-    return F.struct(metric.alias("metric"), verdict.alias("verdict"), bm.alias("baseline"), cm.alias("candidate"), (cm - bm).alias("delta"), F.when(few, 0.0).otherwise(bm - band).alias("band_lo"), F.when(few, 0.0).otherwise(bm + band).alias("band_hi"), F.when(few, _short(b["n"], c["n"], th.min_support)).otherwise("").alias("detail"))
-
-
-def absent_finding(metric: Column, detail: Column) -> Column:
-    none = F.lit(0.0)
-    return F.struct(metric.alias("metric"), F.lit("insufficient").alias("verdict"), *[none.alias(k) for k in ("baseline", "candidate", "delta", "band_lo", "band_hi")], detail.alias("detail"))
-
-
-def _with(f: Column, **changes: Column) -> Column:
-    """A finding with some fields changed."""
-    return F.struct(*[changes.get(k, f[k]).alias(k) for k in COLUMNS[3:]])
-
-
-def _noted(f: Column, note: Column) -> Column:
-    return _with(f, detail=F.when(f["detail"] == "", note).otherwise(F.concat(f["detail"], F.lit("; "), note)))
+    detail = F.concat_ws("; ", F.concat(short, F.lit(f" below min support {k}")), F.nullif(f["note"], F.lit("")))
+    absent, few, mirrored, zero = f["absent"].isNotNull(), F.col("few"), f["mirrored"], F.lit(0.0)
+    flip = lambda c: F.when(mirrored, 1 - c).otherwise(c)
+    known = lambda c: F.when(absent, zero).otherwise(c)
+    return df.select(
+        "scope", "key", "name", f["metric"].alias("metric"), F.when(absent | few, "insufficient").when(f["rate"], of_rate).otherwise(of_metric).alias("verdict"),
+        known(flip(F.col("at"))).alias("baseline"), known(flip(F.col("now"))).alias("candidate"), known(F.when(mirrored, -F.col("moved")).otherwise(F.col("moved"))).alias("delta"),
+        known(F.when(few, zero).when(mirrored, 1 - F.col("hi")).otherwise(F.col("lo"))).alias("band_lo"), known(F.when(few, zero).when(mirrored, 1 - F.col("lo")).otherwise(F.col("hi"))).alias("band_hi"),
+        F.when(absent, f["absent"]).otherwise(detail).alias("detail"),
+    )
 
 
 def _sides(df: DataFrame, on: list[str]) -> DataFrame:
@@ -75,35 +79,36 @@ def _sides(df: DataFrame, on: list[str]) -> DataFrame:
     return side("baseline", "b").join(side("candidate", "c"), on, "full_outer")
 
 
-def _long(df: DataFrame, scope: str, findings: Column, key: Column | None = None, name: Column | None = None) -> DataFrame:
-    return df.select(F.lit(scope).alias("scope"), (F.lit("") if key is None else key).alias("key"), (F.lit("") if name is None else name).alias("name"), F.explode(findings).alias("f")).select("scope", "key", "name", "f.*")
+def _asked(df: DataFrame, scope: str, asks: Column, key: Column | None = None, name: Column | None = None) -> DataFrame:
+    return df.select(F.lit(scope).alias("scope"), (F.lit("") if key is None else key).alias("key"), (F.lit("") if name is None else name).alias("name"), F.explode(asks.cast(ASKED)).alias("f"))
 
 
 def total_findings(totals: DataFrame, th: Thresholds) -> DataFrame:
     both = _sides(totals, [])
     b, c = F.col("b"), F.col("c")
-    found = [metric_finding(F.lit(k), b[k], c[k], th) for k in (*METRICS, "nodes")]
-    found.append(rate_finding(F.lit("error_rate"), b["error_runs"], b["runs"], c["error_runs"], c["runs"], th.error_rate_delta, th))
-    return _long(both, "total", F.array(*found))
+    asks = [_ask(F.lit(k), stats=(b[k], c[k])).cast(ASKED[6:-1]) for k in (*METRICS, "nodes")]
+    asks.append(_ask(F.lit("error_rate"), rate=(b["error_runs"], b["runs"], c["error_runs"], c["runs"], th.error_rate_delta)).cast(ASKED[6:-1]))
+    return _judged(_asked(both, "total", F.array(*asks)), th)
 
 
 def annotation_findings(annotations: DataFrame, specs: dict[str, bool], th: Thresholds) -> DataFrame:
-    """Run annotations by spec (key: higher is better). The verifier's outcome is always among them."""
+    """Run annotations by spec (key: higher is better). The verifier's outcome is always among them.
+
+    Annotations of zeros and ones on both sides are rates of bad outcomes; those that are better high are
+    shown as rates of good ones.
+    """
     specs = specs if OUTCOME in specs else {OUTCOME: True, **specs}
     both = _sides(annotations.where(F.col("key").isin(*specs)), ["key"])
     b, c = F.col("b"), F.col("c")
     better = F.create_map(*[F.lit(x) for kv in specs.items() for x in kv])[F.col("key")]
     metric = F.concat(F.lit("ann:"), "key")
     bad = lambda s: F.when(better, s["n"] - s["ones"]).otherwise(s["ones"])
-    rate = rate_finding(metric, bad(b), b["n"], bad(c), c["n"], th.annotation_rate_delta, th)
-    firm = better & (rate["verdict"] != "insufficient")
-    mirrored = _with(
-        rate, baseline=F.when(better, 1 - rate["baseline"]).otherwise(rate["baseline"]), candidate=F.when(better, 1 - rate["candidate"]).otherwise(rate["candidate"]), delta=F.when(better, -rate["delta"]).otherwise(rate["delta"]),
-        band_lo=F.when(firm, 1 - rate["band_hi"]).otherwise(rate["band_lo"]), band_hi=F.when(firm, 1 - rate["band_lo"]).otherwise(rate["band_hi"]),
-    )
     ones = F.format_string("ones %d/%d -> %d/%d", b["ones"], b["n"], c["ones"], c["n"])
-    finding = F.when(b.isNull(), absent_finding(metric, F.lit("annotation absent in baseline"))).when(c.isNull(), absent_finding(metric, F.lit("annotation absent in candidate"))).when(b["binary"] & c["binary"], _noted(mirrored, ones)).otherwise(metric_finding(metric, b["stats"], c["stats"], th, better))
-    return _long(both, "total", F.array(finding))
+    one = ASKED[6:-1]
+    rate = _ask(metric, rate=(bad(b), b["n"], bad(c), c["n"], th.annotation_rate_delta), mirrored=better, note=ones).cast(one)
+    none = F.when(b.isNull(), "annotation absent in baseline").otherwise("annotation absent in candidate")
+    ask = F.when(b.isNull() | c.isNull(), _ask(metric, absent=none).cast(one)).when(b["binary"] & c["binary"], rate).otherwise(_ask(metric, stats=(b["stats"], c["stats"]), better=better).cast(one))
+    return _judged(_asked(both, "total", F.array(ask)), th)
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -115,20 +120,23 @@ def coverage(rows: DataFrame) -> DataFrame:
 def row_findings(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, downgrade: bool) -> DataFrame:
     """Findings of step or phase rows. With ``downgrade``, regressions are notable while coverage is below the floor."""
     sizes = runs.groupBy("grp").count().agg(F.coalesce(F.sum(F.when(F.col("grp") == "baseline", F.col("count"))), F.lit(0)).alias("b_runs"), F.coalesce(F.sum(F.when(F.col("grp") == "candidate", F.col("count"))), F.lit(0)).alias("c_runs"))
-    both = _sides(rows.drop("runs"), ["key"]).crossJoin(F.broadcast(sizes.crossJoin(coverage(rows))))  # one row
+    both = _sides(rows.drop("runs"), ["key"]).crossJoin(F.broadcast(sizes))  # one row
     b, c, bn, cn = F.col("b"), F.col("c"), F.col("b_runs"), F.col("c_runs")
     bp, cp = F.coalesce(b["present"], F.lit(0)), F.coalesce(c["present"], F.lit(0))
-    presence = _noted(rate_finding(F.lit("presence"), bn - bp, bn, cn - cp, cn, th.presence_delta, th), F.format_string("present %d/%d -> %d/%d", bp, bn, cp, cn))
-    errors = rate_finding(F.lit("error_rate"), b["error_runs"], bp, c["error_runs"], cp, th.error_rate_delta, th)
-    present = [presence, errors, *[metric_finding(F.lit(k), b[k], c[k], th) for k in ROW_METRICS]]
-    gone = absent_finding(F.lit("metrics"), F.when(b.isNull(), "absent in baseline").otherwise("absent in candidate"))
-    found = F.when(b.isNotNull() & c.isNotNull(), F.array(*present)).otherwise(F.array(presence, gone))
-    if downgrade:
-        note = F.format_string(f"step alignment coverage %.2f below floor {th.coverage_floor:.2f}", F.col("coverage"))
-        down = (F.col("coverage") < th.coverage_floor) if downgrade else F.lit(False)
-        found = F.transform(found, lambda f: F.when(down & (f["verdict"] == "regression"), _with(_noted(f, note), verdict=F.lit("notable"))).otherwise(f))
+    one = ASKED[6:-1]
+    presence = _ask(F.lit("presence"), rate=(bn - bp, bn, cn - cp, cn, th.presence_delta), note=F.format_string("present %d/%d -> %d/%d", bp, bn, cp, cn)).cast(one)
+    errors = _ask(F.lit("error_rate"), rate=(b["error_runs"], bp, c["error_runs"], cp, th.error_rate_delta)).cast(one)
+    present = [presence, errors, *[_ask(F.lit(k), stats=(b[k], c[k])).cast(one) for k in ROW_METRICS]]
+    gone = _ask(F.lit("metrics"), absent=F.when(b.isNull(), "absent in baseline").otherwise("absent in candidate")).cast(one)
+    asks = F.when(b.isNotNull() & c.isNotNull(), F.array(*present)).otherwise(F.array(presence, gone))
     name = F.coalesce(F.nullif(b["name"], F.lit("")), c["name"], F.lit(""))
-    return _long(both, scope, found, F.col("key"), name)
+    found = _judged(_asked(both, scope, asks, F.col("key"), name), th)
+    if not downgrade:
+        return found
+    found = found.crossJoin(F.broadcast(coverage(rows)))  # one row
+    down = (F.col("coverage") < th.coverage_floor) & (F.col("verdict") == "regression")
+    note = F.format_string(f"step alignment coverage %.2f below floor {th.coverage_floor:.2f}", F.col("coverage"))
+    return found.withColumns({"verdict": F.when(down, "notable").otherwise(F.col("verdict")), "detail": F.when(down, F.concat_ws("; ", F.nullif(F.col("detail"), F.lit("")), note)).otherwise(F.col("detail"))}).drop("coverage")
 
 
 def task_pairs(tasks: DataFrame, th: Thresholds) -> DataFrame:
@@ -166,8 +174,6 @@ def reliability(tasks: DataFrame) -> DataFrame:
 
 def audit(per_run: DataFrame, th: Thresholds) -> DataFrame:
     """Runs whose metric is far from their group's median: outside max(rel * |median|, factor * IQR). Groups of 3 at least."""
-    from tracelake.functions.stats import stats_of
-
     metrics = (*METRICS, "turns")
     long = per_run.select("grp", "run_id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.coalesce(k, F.lit(0.0)).alias("value")) for k in metrics])).alias("x")).select("grp", "run_id", "x.*")
     group = long.groupBy("grp", "metric").agg(stats_of("value").alias("s"))

@@ -11,7 +11,7 @@ from tracelake.operators import aggregate as agg
 from tracelake.operators import compare as cmp
 from tracelake.plans.model import Model
 from tracelake.plans.thresholds import DEFAULT, Thresholds
-from tracelake.plans.views import VIEWS, gate_model
+from tracelake.plans.views import gate_model
 
 
 def findings(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None = None) -> DataFrame:
@@ -106,58 +106,3 @@ QUERIES = {
     "regress": _q(lambda m: findings(m, DEFAULT, SPECS)),
     "regress_verdict": _q(lambda m: cmp.verdict(findings(m, DEFAULT, SPECS), DEFAULT)),
 }
-
-
-def _st(x: str, name: str, group: bool = True) -> str:
-    """SQL of the statistics of x, flattened under a name."""
-    q = ", ".join(f"round(coalesce(quantile_disc({x}, {v})::DOUBLE, 0), 6) AS {name}_{k}" for k, v in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p90", 0.9)))
-    return f"count({x}) AS {name}_n, {q}"
-
-
-_SEV = "CASE status WHEN 'error' THEN 7 WHEN 'running' THEN 3 WHEN 'pending' THEN 2 WHEN 'ok' THEN 1 ELSE 0 END"
-_FOLDS = f"""
-stepf AS (SELECT run_id, step_key AS key, arg_min(name, id) AS name, arg_max(status, {_SEV}) AS worst, count(*)::DOUBLE AS occurrences, sum(duration_ms)::DOUBLE AS duration_ms, sum(coalesce(cost_usd, 0)) AS cost_usd, sum(coalesce(tokens_in, 0))::DOUBLE AS tokens_in, sum(coalesce(tokens_out, 0))::DOUBLE AS tokens_out FROM node WHERE step_key <> '' GROUP BY ALL),
-mem AS (SELECT span.run_id, m.phase_key AS key, sum(coalesce(n.cost_usd, 0)) AS cost_usd, sum(coalesce(n.tokens_in, 0))::DOUBLE AS tokens_in, sum(coalesce(n.tokens_out, 0))::DOUBLE AS tokens_out FROM span JOIN node m ON m.run_id = span.run_id AND m.id = span.src JOIN node n ON n.run_id = span.run_id AND n.id = span.dst GROUP BY ALL),
-phasef AS (SELECT o.run_id, o.key, name, worst, occurrences, duration_ms, coalesce(cost_usd, 0) AS cost_usd, coalesce(tokens_in, 0) AS tokens_in, coalesce(tokens_out, 0) AS tokens_out FROM (SELECT run_id, phase_key AS key, arg_min(name, id) AS name, arg_max(status, {_SEV}) AS worst, count(*)::DOUBLE AS occurrences, sum((t_end - t_start) // 1000)::DOUBLE AS duration_ms FROM node WHERE phase_key <> '' GROUP BY ALL) o LEFT JOIN mem USING (run_id, key))
-"""
-
-
-def _rows_sql(fold: str) -> str:
-    return f"""SELECT grp, key, arg_min(name, run_id) AS name, count(*) AS present, count(*) FILTER (WHERE worst = 'error') AS error_runs, count(*) FILTER (WHERE worst = 'ok') AS ok_runs,
-    {", ".join(_st(m, m) for m in ROW)}, any_value(runs) AS runs, round(count(*)::DOUBLE / any_value(runs), 6) AS presence_rate FROM {fold} JOIN runx USING (run_id) JOIN (SELECT grp, count(*) AS runs FROM runx GROUP BY grp) USING (grp) GROUP BY grp, key"""
-
-
-_Z = DEFAULT.z
-
-
-def _wilson_sql(s: str, n: str) -> tuple[str, str]:
-    p = f"({s}::DOUBLE / nullif({n}, 0))"
-    centre, reach, scale = f"({p} + {_Z * _Z} / (2.0 * nullif({n}, 0)))", f"({_Z} * sqrt({p} * (1 - {p}) / nullif({n}, 0) + {_Z * _Z} / (4.0 * nullif({n}, 0) * {n})))", f"(1 + {_Z * _Z} / nullif({n}, 0)::DOUBLE)"
-    return f"coalesce(greatest(({centre} - {reach}) / {scale}, 0), 0)", f"coalesce(least(({centre} + {reach}) / {scale}, 1), 1)"
-
-
-def _detail_sql(bn: str, cn: str) -> str:
-    k = DEFAULT.min_support
-    return f"CASE WHEN {bn} < {k} AND {cn} < {k} THEN 'baseline n=' || {bn} || ' and candidate n=' || {cn} || ' below min support {k}' WHEN {bn} < {k} THEN 'baseline n=' || {bn} || ' below min support {k}' WHEN {cn} < {k} THEN 'candidate n=' || {cn} || ' below min support {k}' ELSE '' END"
-
-
-def _rate_sql(metric: str, bs: str, bn: str, cs: str, cn: str, delta: float) -> str:
-    """A struct of a rate finding."""
-    pb, pc = f"coalesce({bs}::DOUBLE / nullif({bn}, 0), 0)", f"coalesce({cs}::DOUBLE / nullif({cn}, 0), 0)"
-    (bl, bh), (cl, ch) = _wilson_sql(bs, bn), _wilson_sql(cs, cn)
-    few = f"({bn} < {DEFAULT.min_support} OR {cn} < {DEFAULT.min_support})"
-    v = f"CASE WHEN {few} THEN 'insufficient' WHEN {bh} < {cl} AND {pc} - {pb} > {delta} THEN 'regression' WHEN {pc} - {pb} > {delta} THEN 'notable' WHEN {ch} < {bl} AND {pb} - {pc} > {delta} THEN 'improvement' ELSE 'ok' END"
-    return f"{{'metric': {metric}, 'verdict': {v}, 'baseline': {pb}, 'candidate': {pc}, 'delta': {pc} - {pb}, 'band_lo': CASE WHEN {few} THEN 0 ELSE {bl} END, 'band_hi': CASE WHEN {few} THEN 0 ELSE {bh} END, 'detail': {_detail_sql(bn, cn)}}}"
-
-
-def _metric_sql(metric: str, b: str, c: str, better: str = "false") -> str:
-    """A struct of a metric finding over flattened statistics with the prefixes b and c."""
-    band = f"greatest({DEFAULT.metric_rel_delta} * abs({b}_median), {DEFAULT.iqr_factor} * ({b}_p75 - {b}_p25))"
-    few = f"({b}_n < {DEFAULT.min_support} OR {c}_n < {DEFAULT.min_support})"
-    v = f"CASE WHEN {few} THEN 'insufficient' WHEN {c}_median > {b}_median + {band} THEN (CASE WHEN {better} THEN 'improvement' ELSE 'regression' END) WHEN {c}_median < {b}_median - {band} THEN (CASE WHEN {better} THEN 'regression' ELSE 'improvement' END) ELSE 'ok' END"
-    return f"{{'metric': {metric}, 'verdict': {v}, 'baseline': {b}_median, 'candidate': {c}_median, 'delta': {c}_median - {b}_median, 'band_lo': CASE WHEN {few} THEN 0 ELSE {b}_median - {band} END, 'band_hi': CASE WHEN {few} THEN 0 ELSE {b}_median + {band} END, 'detail': {_detail_sql(b + '_n', c + '_n')}}}"
-
-
-_OUT = "metric, verdict, round(f.baseline, 6) AS baseline, round(f.candidate, 6) AS candidate, round(f.delta, 6) AS delta, round(f.band_lo, 6) AS band_lo, round(f.band_hi, 6) AS band_hi, detail"
-_OUT = ", ".join(f"f.{x} AS {x}" if x in ("metric", "verdict", "detail") else x for x in _OUT.split(", ")) if False else "f.metric AS metric, f.verdict AS verdict, round(f.baseline, 6) AS baseline, round(f.candidate, 6) AS candidate, round(f.delta, 6) AS delta, round(f.band_lo, 6) AS band_lo, round(f.band_hi, 6) AS band_hi, f.detail AS detail"
-_TOTALS = f"tot AS (SELECT grp, count(*) AS runs, count(*) FILTER (WHERE has_error) AS error_runs, {', '.join(_st(m, m).replace('round(', '(').replace(', 6)', ')') for m in (*agg.METRICS, 'nodes'))} FROM cell GROUP BY grp)"
