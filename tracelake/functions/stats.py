@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
 
 
 def nearest_rank(column: str, q: float) -> Column:
