@@ -6,10 +6,13 @@ collide with probability 1 - (1 - 0.8^4)^14 = 0.9994. Distinct paragraphs that s
 candidates; their exact Jaccard similarity decides. Linked paragraphs and exact copies form components,
 of which the first paragraph (least document id, then position) stays and the others are removable.
 
-Exact copies meet in one hash before any join. Candidates are all pairs of a band key that up to
-``SMALL`` distinct paragraphs share. A key of more (a large family of edited copies) takes each
-paragraph with the key's ``LEADERS`` commonest paragraphs: the text that the others were edited from
-is among those, and rows stay in proportion to paragraphs.
+Exact copies meet in one hash before any join, and shingles are fetched for candidates only. Candidates
+are all pairs of a band key that up to ``SMALL`` distinct paragraphs share. In a key of more (a large
+family of edited copies, or paragraphs around one passage) each paragraph is held against the key's
+commonest one. Where that leaves such a key in several components, its paragraphs are joined by exact
+prefix filtering: ordered by rarity, two sets of similarity 0.8 share one of their first fifth of
+shingles. Only pairs of different components are looked at, so a family that already hangs together
+costs nothing, and no pair that could link two components is left out.
 
 Rows: null text has no paragraphs; rows of null id are left out, as nothing names them. A repeated row
 repeats its paragraphs. A very long line is one paragraph, read whole. Ties in commonness go to the
@@ -21,8 +24,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, map_arrow, strings
@@ -33,9 +37,9 @@ SIMILARITY = 0.8
 MIN_WORDS = 20
 BANDS, ROWS = 14, 4
 SMALL = 32
-LEADERS = 3
-#: Candidate paragraphs up to which their hashes (8 bytes each) are broadcast to fetch shingles; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Counters by which shingles are ordered from rare to common, and the partial sums that reach the driver.
+SKETCH = 1 << 18
+SUMS = 16
 
 _LINE = re.compile(r"[^\n]+")
 _SEEDS = np.random.default_rng(20_24).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -69,10 +73,11 @@ def band_keys(shingles: list[np.ndarray]) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every paragraph: doc_id, para (line number), start, end (code points), n_words, hash, bands, shingles."""
+    """Every paragraph: doc_id, para (line number), start, end (code points), n_words, hash, bands."""
 
     def run(batch):
-        out: dict[str, list] = {k: [] for k in ("doc_id", "para", "start", "end", "n_words", "hash", "shingles")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "para", "start", "end", "n_words", "hash")}
+        shingles = []
         for doc, text in zip(batch.column("id").to_pylist(), strings(batch, "text"), strict=True):
             line, at = 0, 0
             for m in _LINE.finditer(text):
@@ -80,43 +85,117 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 at = m.start()
                 words = m.group().encode().lower().split()
                 if len(words) >= MIN_WORDS:
-                    for k, v in (("doc_id", doc), ("para", line), ("start", m.start()), ("end", m.end()), ("n_words", len(words)), ("hash", xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)), ("shingles", shingles_of(words))):
+                    for k, v in (("doc_id", doc), ("para", line), ("start", m.start()), ("end", m.end()), ("n_words", len(words)), ("hash", _hash(words))):
                         out[k].append(v)
-        if out["doc_id"]:
-            out["bands"] = list(band_keys(out["shingles"]))
-            out["shingles"] = [s.view(np.int64) for s in out["shingles"]]
-            yield out
+                    shingles.append(shingles_of(words))
+        if shingles:
+            yield out | {"bands": list(band_keys(shingles))}
 
     rows = docs.where(F.col(id_col).isNotNull())
-    return map_arrow(rows, {"id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}, "doc_id bigint, para int, start int, end int, n_words int, hash bigint, bands array<bigint>, shingles array<bigint>", run)
+    return map_arrow(rows, {"id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}, "doc_id bigint, para int, start int, end int, n_words int, hash bigint, bands array<bigint>", run)
+
+
+def _hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def candidates(paras: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of distinct paragraphs that share a band."""
-    keyed = paras.select("hash", F.explode("bands").alias("key")).groupBy("key", "hash").agg(F.count("*").alias("copies"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+def shingles_for(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Shingles of the wanted paragraphs: (hash, shingles), read again from the text that each was first seen in."""
+    places = distinct.join(wanted, "hash").select(F.col("first.doc_id").alias("doc"), F.struct(F.col("first.para").alias("para"), "hash").alias("p"))
+    by_doc = cut(places.groupBy("doc").agg(F.collect_list("p").alias("places")))  # one text's lines at most
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(by_doc, "doc")
+
+    def run(batch):
+        found: dict[int, np.ndarray] = {}
+        for text, places in zip(strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
+            lines = text.split("\n")
+            for p in places:
+                if p["para"] < len(lines) and p["hash"] not in found:
+                    words = lines[p["para"]].encode().lower().split()
+                    if _hash(words) == p["hash"]:  # of rows that repeat an id, the one that has it
+                        found[p["hash"]] = shingles_of(words).view(np.int64)
+        if found:
+            yield {"hash": list(found), "shingles": list(found.values())}
+
+    got = map_arrow(rows, {"text": F.col("text"), "places": F.col("places")}, "hash bigint, shingles array<bigint>", run)
+    return cut(got.dropDuplicates(["hash"]))
+
+
+def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of hashes of distinct paragraphs that share a band, and the members (key, hash) of keys over SMALL."""
+    keyed = distinct.select("hash", "n", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(keyed.join(sizes, "key"))
-    small = shared.where(F.col("n") <= SMALL).select("key", "hash")
+    small = shared.where(F.col("size") <= SMALL).select("key", "hash")
     pairs = small.select("key", F.col("hash").alias("a")).join(small.select("key", F.col("hash").alias("b")), "key").where("a < b").select("a", "b")
-    large = shared.where(F.col("n") > SMALL)
-    first = Window.partitionBy("key").orderBy(F.desc("copies"), F.desc("hash"))
-    leaders = cut(large.withColumn("r", F.row_number().over(first)).where(F.col("r") <= LEADERS).select("key", F.col("hash").alias("leader")))
-    led = large.select("key", "hash").join(leaders, "key").where("hash <> leader").select(F.least("hash", "leader").alias("a"), F.greatest("hash", "leader").alias("b"))
-    return pairs.union(led).distinct()
+    large = shared.where(F.col("size") > SMALL)
+    leaders = cut(large.groupBy("key").agg(F.max_by("hash", F.struct("n", "hash")).alias("leader")))
+    led = large.join(leaders, "key").where("hash <> leader").select(F.least("hash", "leader").alias("a"), F.greatest("hash", "leader").alias("b"))
+    return cut(pairs.union(led).distinct()), large.select("key", "hash")
 
 
-def verified(pairs: DataFrame, paras: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose exact Jaccard similarity is at least as given."""
-    wanted = cut(pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct())
-    few = wanted.count() <= BROADCAST_ROWS
-    held = paras.select("hash", "shingles").join(F.broadcast(wanted) if few else wanted, "hash", "left_semi")
-    held = cut(held.groupBy("hash").agg(F.first("shingles").alias("shingles")))
-    left = pairs.join(held.select(F.col("hash").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(held.select(F.col("hash").alias("b"), F.col("shingles").alias("sb")), "b")
+    left = pairs.join(shingles.select(F.col("hash").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(shingles.select(F.col("hash").alias("b"), F.col("shingles").alias("sb")), "b")
     inside = F.size(F.array_intersect("sa", "sb"))
     return both.where(inside >= similarity * (F.size("sa") + F.size("sb") - inside)).select("a", "b")
 
 
+def _commonness(sets: DataFrame):
+    """Roughly how many sets hold each shingle: counts by hash in ``SKETCH`` slots, summed over tasks. Of fixed size, so broadcast."""
+
+    def count(batches):
+        counts = np.zeros(SKETCH, np.uint32)
+        for batch in batches:
+            flat = pa.ListArray.flatten(batch.column(0)).to_numpy().view(np.uint64)
+            np.add.at(counts, flat % np.uint64(SKETCH), 1)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([int(counts.sum()) % SUMS], pa.int32()), "counts": [counts.tobytes()]})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in group.column("counts"))
+        return pa.table({"part": group.column("part")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()])})
+
+    sums = sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # SUMS rows at most
+    return sum((np.frombuffer(r["counts"], np.uint32).astype(np.uint64) for r in sums), np.zeros(SKETCH, np.uint64))
+
+
+def across(members: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links between different components among the members of large keys that aren't one component.
+
+    Any order of all shingles makes the prefix filter exact; rare ones first make it quick. Similarity is
+    part of the join's condition, so pairs that aren't links are never written.
+    """
+    hashes = members.select("hash").distinct()
+    labels = min_labels(links, hashes.select(F.col("hash").alias("node"), F.col("hash").alias("label")).union(links.select("a", "a")).union(links.select("b", "b")).distinct())
+    labelled = cut(members.join(labels.select(F.col("node").alias("hash"), "label"), "hash", "left").withColumn("label", F.coalesce("label", "hash")))
+    torn = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = cut(labelled.join(torn, "key", "left_semi").select("hash", "label").distinct().join(shingles, "hash"))
+    if rest.isEmpty():
+        return links.where("false")
+    shared = rest.sparkSession.sparkContext.broadcast(_commonness(rest))
+
+    def prefixes(batch):
+        common = shared.value
+        out: dict[str, list] = {"hash": [], "label": [], "s": [], "shingles": []}
+        for h, label, held in zip(batch.column("hash").to_pylist(), batch.column("label").to_pylist(), batch.column("shingles"), strict=True):
+            x = held.values.to_numpy()
+            n = len(x) - int(np.ceil(len(x) * similarity - 1e-9)) + 1
+            for s in x[np.lexsort((x, common[x.view(np.uint64) % np.uint64(SKETCH)]))[:n]].tolist():
+                for k, v in (("hash", h), ("label", label), ("s", s), ("shingles", x)):
+                    out[k].append(v)
+        if out["hash"]:
+            yield out
+
+    first = cut(map_arrow(rest, {c: F.col(c) for c in ("hash", "label", "shingles")}, "hash bigint, label bigint, s bigint, shingles array<bigint>", prefixes))
+    a = first.select("s", F.col("hash").alias("a"), F.col("label").alias("la"), F.col("shingles").alias("sa"))
+    b = first.select("s", F.col("hash").alias("b"), F.col("label").alias("lb"), F.col("shingles").alias("sb"))
+    na, nb = F.size("sa"), F.size("sb")
+    inside = F.size(F.array_intersect("sa", "sb"))
+    like = (F.least(na, nb) >= similarity * F.greatest(na, nb)) & (inside >= similarity * (na + nb - inside))
+    return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like).select("a", "b").distinct()
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every paragraph that has a copy or near copy, a row each.
 
@@ -124,9 +203,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     (the paragraph that stays), ``copies`` (paragraphs of the component) and ``removed``.
     """
     paras = cut(paragraphs(docs, id_col, text_col))
-    edges = verified(cut(candidates(paras)), paras, similarity)
     place = F.struct("doc_id", "para")
-    distinct = cut(paras.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    distinct = cut(paras.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    pairs, members = candidates(distinct)
+    wanted = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
+    shingles = shingles_for(wanted, distinct, docs, id_col, text_col)
+    edges = cut(verified(pairs, shingles, similarity))
+    if not members.isEmpty():
+        edges = edges.union(across(members, edges, shingles, similarity))
     linked = min_labels(edges, distinct.select(F.col("hash").alias("node"), F.col("hash").alias("label")))
     named = distinct.join(linked, distinct["hash"] == linked["node"], "left").select("hash", F.coalesce("label", "hash").alias("component"), "first", "n")
     named = cut(named)
