@@ -66,22 +66,29 @@ def _tier(tier: tuple) -> Column:
     return F.array(*[F.lit(float(x)) for x in tier])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tier(model: Column, prices: Prices | None = None) -> Column:
     """The four prices of a model: by whole name, else by the longest family; null without one."""
     p = prices or Prices()
-    name = model_name(model)
-    found = F.when(F.lit(False), _tier((0, 0, 0, 0)))
-    for k, v in p.exact.items():
-        found = found.when(name == k, _tier(v))
-    if p.unpriced:
-        found = found.when(name.isin(*p.unpriced), F.lit(None))
-    for k in sorted(p.families, key=len, reverse=True):
-        found = found.when(name.startswith(k), _tier(p.families[k]))
-    return found
+
+    def of(name: Column) -> Column:
+        found = F.when(F.lit(False), _tier((0, 0, 0, 0)))
+        for k, v in p.exact.items():
+            found = found.when(name == k, _tier(v))
+        if p.unpriced:
+            found = found.when(name.isin(*p.unpriced), F.lit(None))
+        for k in sorted(p.families, key=len, reverse=True):
+            found = found.when(name.startswith(k), _tier(p.families[k]))
+        return found
+
+    return _let(model_name(model), of)
 
 
 def cost_usd(model: Column, tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column, prices: Prices | None = None) -> Column:
     """The cost of a turn; null if the model has no price. Null counters count as 0. The order of additions is part of the result."""
-    t = tier(model, prices)
-    part = lambda tokens, k: F.coalesce(tokens, F.lit(0)).cast("double") / 1_000_000 * t[k]
-    return part(tokens_in, 0) + part(tokens_out, 1) + part(cache_read, 2) + part(cache_write, 3)
+    part = lambda tokens, price: F.coalesce(tokens, F.lit(0)).cast("double") / 1_000_000 * price
+    return _let(tier(model, prices), lambda t: part(tokens_in, t[0]) + part(tokens_out, t[1]) + part(cache_read, t[2]) + part(cache_write, t[3]))

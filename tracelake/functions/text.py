@@ -96,7 +96,7 @@ def parse_annotation_specs(specs: list[str]) -> dict[str, bool]:
 
 def version_key(version: Column) -> Column:
     """A version's leading numbers by segment, for comparison: "1.12.3-rc" is [1, 12, 3], to 8 segments. A leading v is left out."""
-    parts = F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: F.coalesce(F.expr("0L") + F.nullif(F.regexp_extract(x, "^[0-9]+", 0), F.lit("")).try_cast("long"), F.lit(0).cast("long")))
+    parts = F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: F.coalesce(F.regexp_extract(x, "^[0-9]+", 0).try_cast("long"), F.lit(0).cast("long")))
     return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("long"), 8)), 1, 8)
 
 

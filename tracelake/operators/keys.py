@@ -9,13 +9,15 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracelake.functions.redact import redact_text
+from tracelake.sources.shared import cut
 
 SCHEME = "stepkey/v1"
 ELIGIBLE = ("tool_call", "mcp_call", "skill", "subagent")
-#: Levels of a tree that are walked at most.
-MAX_DEPTH = 64
+#: A path reaches 2^ROUNDS levels at most.
+ROUNDS = 7
 
 # The field that tells a tool's calls apart.
 SALIENT = {"edit": ("file_path",), "multiedit": ("file_path",), "write": ("file_path",), "read": ("file_path", "path"), "bash": ("command",), "exec_command": ("cmd",), "write_stdin": ("session_id",)}
@@ -27,7 +29,7 @@ def quote(s: str) -> str:
     out = json.dumps(s, ensure_ascii=False)
     for c in "<>&\u2028\u2029":
         out = out.replace(c, f"\\u{ord(c):04x}")
-    return out.replace("\\b", "\\b").replace("\x7f", "\x7f")
+    return out
 
 
 def canonical(v) -> str:
@@ -99,7 +101,7 @@ def salient(name: str, red: str) -> str:
     return canonical(v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _salient_hash(names: pd.Series, inputs: pd.Series) -> pd.Series:
     return pd.Series([hashlib.sha256(salient(n, redact_text(i or "")).encode("utf-8", "surrogatepass")).hexdigest()[:16] for n, i in zip(names, inputs, strict=True)])
 
@@ -123,18 +125,18 @@ def sibling_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def paths(levels: DataFrame) -> DataFrame:
-    """The path of every node from its root: run_id, id, path.
+    """The path of every child from its root: run_id, id, path.
 
-    Walked by doubling: each round joins a node's path to that of the ancestor it reaches, so a tree of
-    depth d takes log2(d) joins, and a cycle stops at ``MAX_DEPTH``.
+    By doubling: each round joins a node's path to that of the ancestor it reaches, so a tree of depth d
+    takes log2(d) rounds. A cycle stops after ``ROUNDS``.
     """
     reach = levels.select("run_id", "id", F.col("parent").alias("top"), F.col("level").alias("path"))
-    depth = 1
-    while depth < MAX_DEPTH:
+    for _ in range(ROUNDS):
+        reach = cut(reach)
         above = reach.select("run_id", F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
-        joined = reach.join(above, ["run_id", "top"], "left")
-        reach = joined.select("run_id", "id", F.coalesce("next", F.when(F.lit(True), F.col("top"))).alias("top"), F.when(F.col("before").isNotNull() & (F.col("next").isNotNull()), F.concat_ws("/", "before", "path")).otherwise(F.col("path")).alias("path"))
-        depth *= 2
+        if reach.join(above, ["run_id", "top"], "left_semi").isEmpty():
+            break
+        reach = reach.join(above, ["run_id", "top"], "left").select("run_id", "id", F.coalesce("next", "top").alias("top"), F.concat_ws("/", "before", "path").alias("path"))
     return reach.select("run_id", "id", "path")
 
 

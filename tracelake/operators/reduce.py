@@ -55,8 +55,8 @@ def nodes(obs: DataFrame, prices: Prices | None = None) -> DataFrame:
     df = placed(without_marker_tools(obs)).where("id IS NOT NULL")
     at = F.col("event_time").isNotNull()
     ends = at & F.col("kind").isin("assistant_turn", "tool_result", "subagent_stop")
-    display = F.when(F.col("type") == "skill", F.coalesce(skill_name(F.col("input")), F.col("name"))).otherwise(F.col("name"))
-    strong = (F.col("type") == "skill") & skill_name(F.col("input")).isNotNull()
+    df = df.withColumn("skill", F.when(F.col("type") == "skill", skill_name(F.col("input"))))
+    display, strong = F.coalesce("skill", "name"), F.col("skill").isNotNull()
     status = F.when(F.col("kind") == "subagent_stop", F.coalesce(F.col("status"), F.lit("ok"))).otherwise(F.col("status"))
     df = df.withColumns({"display": F.when(F.col("kind").isin("assistant_tool_use", "tool_result"), F.nullif(display, F.lit(""))), "strong": F.coalesce(strong, F.lit(False)), "st": status, "input": _filled("input"), "output": _filled("output"), "model": _filled("model"), "subagent_type": _filled("subagent_type")})
     lattice = F.when(F.col("st") == "error", 4).when(F.col("st") == "ok", 3).when(F.col("st") == "running", 1).otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.plans import gate, gate_sql
+from tracelake.plans import gate, gate_sql, workloads
 
-QUERIES = {**gate.QUERIES}
-ORACLE_SQL = {**gate_sql.ORACLE_SQL}
+QUERIES = {**gate.QUERIES, **workloads.QUERIES}
+ORACLE_SQL = {**gate_sql.ORACLE_SQL, **workloads.ORACLE_SQL}
