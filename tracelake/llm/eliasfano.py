@@ -1,8 +1,8 @@
 """Elias-Fano sequences: non-decreasing integers in about 2 + log2(universe / n) bits each.
 
 The high bits are a unary bitmap (a one for each value, a zero for each step of the high part), the low
-bits lie packed. Every 64th zero's place is kept, so a value's bucket is found by one sample and a few
-popcounts. All queries take numpy arrays. Parts are plain files, opened by memory map.
+bits lie packed. The places of every 64th zero and every 64th one are kept, so a value's bucket and an index's
+value are found by one sample and a few popcounts. All queries take numpy arrays. Parts are plain files, opened by memory map.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits = np.zeros(-(-(n_bits + 1) // 64) * 64, np.uint8)
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view("<u8")
+    ones = np.flatnonzero(bits)[::_SAMPLE]
     bits[n_bits:] = 1
     places = np.flatnonzero(bits == 0)[::_SAMPLE]
     low = np.zeros(n * low_bits // 8 + 16, np.uint8)
@@ -66,13 +67,13 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         shifted = part << shift
         for k in range((low_bits + 14) // 8):  # neighbours may share a byte
             np.bitwise_or.at(low, byte + k, (shifted >> np.uint64(8 * k)).astype(np.uint8))
-    return {"meta": np.array([n, low_bits, n_bits], np.int64), "words": words, "places": places.astype(np.int64), "low": low}
+    return {"meta": np.array([n, low_bits, n_bits], np.int64), "words": words, "places": places.astype(np.int64), "ones": ones.astype(np.int64), "low": low}
 
 
 class Sequence:
     def __init__(self, parts: dict[str, np.ndarray], prefix: str = ""):
         self.n, self.low_bits, self.n_bits = (int(x) for x in parts[prefix + "meta"])
-        self.words, self.places, low = parts[prefix + "words"], parts[prefix + "places"], parts[prefix + "low"]
+        self.words, self.places, self.ones, low = (np.asarray(parts[prefix + k]) for k in ("words", "places", "ones", "low"))
         self.low = np.ndarray((len(low) - 7,), "<u8", np.frombuffer(low, np.uint8), strides=(1,)) if len(low) >= 8 else None
         self.mask = np.uint64((1 << self.low_bits) - 1)
 
@@ -84,16 +85,19 @@ class Sequence:
 
     def zero(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th zero, from 0."""
-        start = self.places[k // _SAMPLE]
+        return self._select(k, self.places, ~np.uint64(0))
+
+    def _select(self, k: np.ndarray, samples: np.ndarray, flip: np.uint64) -> np.ndarray:
+        start = samples[k // _SAMPLE]
         word = start >> 6
-        left = k % _SAMPLE + 1  # zeros to go, the sampled one included
-        w = ~self.words[word] & ~((np.uint64(1) << (start & 63).astype(np.uint64)) - np.uint64(1))
+        left = k % _SAMPLE + 1  # bits to go, the sampled one included
+        w = (self.words[word] ^ flip) & ~((np.uint64(1) << (start & 63).astype(np.uint64)) - np.uint64(1))
         count = np.bitwise_count(w).astype(np.int64)
         short = np.flatnonzero(left > count)
         while len(short):
             left[short] -= count[short]
             word[short] += 1
-            w[short] = ~self.words[word[short]]
+            w[short] = self.words[word[short]] ^ flip
             count[short] = np.bitwise_count(w[short])
             short = short[left[short] > count[short]]
         at = np.zeros(len(k), np.int64)
@@ -105,8 +109,19 @@ class Sequence:
             w = np.where(over, w >> np.uint64(step), w)
         return word * 64 + at
 
+    def _zero_after(self, at: np.ndarray) -> np.ndarray:
+        """The place of the first zero at or after each place."""
+        word = at >> 6
+        w = ~self.words[word] & ~((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        full = np.flatnonzero(w == 0)
+        while len(full):
+            word[full] += 1
+            w[full] = ~self.words[word[full]]
+            full = full[w[full] == 0]
+        return word * 64 + np.bitwise_count((w & (~w + np.uint64(1))) - np.uint64(1))
+
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value (of the first, if repeated), or -1."""
+        """The index of each value (of the first, if repeated), or -1. A value's bucket is searched by halving."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
@@ -116,25 +131,21 @@ class Sequence:
         at = np.zeros(len(values), np.int64)
         later = np.flatnonzero(high > 0)
         at[later] = self.zero(high[later] - 1) + 1
-        alive = np.arange(len(values))
+        lo, hi = at - high, self._zero_after(at) - high
+        end = hi.copy()
+        alive = np.flatnonzero(lo < hi)
         while len(alive):
-            p = at[alive]
-            one = (self.words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
-            alive, p = alive[one == 1], p[one == 1]
-            i = p - high[alive]
-            here = self.low_at(i)
-            same = here == low[alive]
-            out[alive[same]] = i[same]
-            alive = alive[here < low[alive]]
-            at[alive] += 1
+            mid = (lo[alive] + hi[alive]) >> 1
+            less = self.low_at(mid) < low[alive]
+            lo[alive[less]] = mid[less] + 1
+            hi[alive[~less]] = mid[~less]
+            alive = alive[lo[alive] < hi[alive]]
+        inside = np.flatnonzero(lo < end)
+        same = inside[self.low_at(lo[inside]) == low[inside]]
+        out[same] = lo[same]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        """The values at indexes; used for pointers, where the bucket is found by binary search over zeros."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), self.n_bits - self.n - 1, np.int64)
-        while np.any(lo < hi):
-            mid = (lo + hi) // 2
-            ones = self.zero(mid) - mid  # ones before the mid-th zero
-            after = ones > i
-            hi, lo = np.where(after, mid, hi), np.where(after, lo, mid + 1)
-        return (lo.astype(np.uint64) << np.uint64(self.low_bits)) | self.low_at(i)
+        """The values at indexes."""
+        high = self._select(i, self.ones, np.uint64(0)) - i
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low_at(i)
