@@ -6,8 +6,6 @@ text cells, where only the numbers differ: a maximum matching in each group of l
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,25 +71,26 @@ def unmatched(got: DataFrame, want: DataFrame, columns: list[str], tolerance: fl
     left = both.where(finite).groupBy("texts", "numbers").agg(F.sum("side").alias("d")).where("d <> 0")
     rest = left.select("texts", "numbers", F.explode(F.array_repeat(F.signum("d").cast("int"), F.abs("d").cast("int"))).alias("side")).unionByName(both.where(~finite).select("texts", "numbers", F.col("side").cast("int").alias("side")))
 
-    def match(pdf):
+    def match(group):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        rows = [np.array([np.nan if x is None else x for x in r], float) for r in pdf["numbers"]]
-        has = np.array([x == "\x00number" for x in json.loads(pdf["texts"].iloc[0])])  # the same cells in the whole group
-        g, w = np.flatnonzero(pdf["side"] > 0).tolist(), np.flatnonzero(pdf["side"] < 0).tolist()
+        t = group.to_pydict()
+        rows = [np.array([np.nan if x is None else x for x in r], float) for r in t["numbers"]]
+        has = np.array([x is not None for x in t["numbers"][0]])  # the same cells in the whole group
+        g, w = ([i for i, s in enumerate(t["side"]) if s * k > 0] for k in (1, -1))
 
         def like(i, j):
             d = np.abs(rows[i] - rows[j])
             return bool(np.all(~has | (d <= tolerance)))  # a NaN is never within
 
-        near = [[k for k, j in enumerate(w) if like(i, j)] for i in g]
-        of = _matching(near, len(w))
+        of = _matching([[k for k, j in enumerate(w) if like(i, j)] for i in g], len(w))
         used = set(of)
         alone = [i for k, i in enumerate(g) if k not in used] + [j for k, j in enumerate(w) if of[k] < 0]
-        return pd.DataFrame({"side": ["got" if pdf["side"].iloc[i] > 0 else "want" for i in alone], "texts": [pdf["texts"].iloc[i] for i in alone], "numbers": [list(pdf["numbers"].iloc[i]) for i in alone]})
+        kinds = pa.schema([("side", pa.string()), ("texts", pa.string()), ("numbers", pa.list_(pa.float64()))])
+        return pa.Table.from_pydict({"side": ["got" if t["side"][i] > 0 else "want" for i in alone], "texts": [t["texts"][i] for i in alone], "numbers": [t["numbers"][i] for i in alone]}, schema=kinds)
 
-    return rest.groupBy("texts").applyInPandas(match, "side string, texts string, numbers array<double>")
+    return rest.groupBy("texts").applyInArrow(match, "side string, texts string, numbers array<double>")
 
 
 def compare(got: DataFrame, want: DataFrame, tolerance: float = 1e-4, strict: bool = True, normalize_headers: bool = True) -> DataFrame:
