@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, strings
+from tracelake.llm.common import hold, map_arrow, strings
 
 #: Pre-tokens whose ids a Python worker remembers; beyond it, the older half is forgotten.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are not remembered.
 CACHE_CHARS = 40
 
@@ -172,17 +172,6 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def codec(key: tuple, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec, with its remembered pre-tokens, for each Python worker."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Ids of every text, and the text decoded from them.
 
@@ -198,7 +187,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batch):
-        c = codec(key, shared.value, pattern)
+        c = hold(key, lambda: Codec(shared.value, pattern))
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
         out: dict[str, list] = {id_col: batch.column("id")} | {k: [] for k in names}
         for text in strings(batch, "text"):

@@ -17,13 +17,36 @@ from pyspark.sql import functions as F
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
-def map_arrow(df: DataFrame, columns: dict[str, Column], schema: str, fn: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
-    """``mapInArrow`` over the named columns. ``fn`` gets a batch and yields dicts of output lists by column."""
+#: Rows of a batch that a Python worker turns into Python objects at a time.
+SLICE_ROWS = 1000
+
+
+def slices(batches, rows: int | None = SLICE_ROWS):
+    """Batches in slices of so many rows, or whole; then gives unused memory back, as workers outlive their stage."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+            yield batch.slice(k, rows or batch.num_rows)
+    pa.default_memory_pool().release_unused()
+
+
+_held: dict = {}
+
+
+def hold(key: tuple, build: Callable):
+    """What a worker keeps from task to task: one object, the last stage's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def map_arrow(df: DataFrame, columns: dict[str, Column], schema: str, fn: Callable[[pa.RecordBatch], Iterator[dict]], rows: int | None = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` over the named columns. ``fn`` gets a batch of ``rows`` rows at most and yields dicts of output lists by column."""
     small = df.select(*[c.alias(k) for k, c in columns.items()])
     target = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in _fields(schema)])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, rows):
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 

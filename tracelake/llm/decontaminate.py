@@ -18,7 +18,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, map_arrow, utf8
+from tracelake.llm.common import cut, hold, map_arrow, slices, utf8
 
 #: Bytes of normalised windows that one automaton holds at most; more items make more automata and scans.
 AUTOMATON_BYTES = 64_000_000
@@ -144,7 +144,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
         def run(batches, shared=shared, key=key):
             import pyarrow as pa
 
-            for batch in batches:
+            for batch in slices(batches):
                 automaton = _automaton(shared, key)
                 clean = [not scan(automaton, words_of(t))[1] for t in utf8(batch, text_col)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
@@ -165,15 +165,9 @@ def _automata(items: DataFrame, window: int, item_col: str, item_text: str, max_
         yield spark.sparkContext.broadcast(held), (hashlib.sha256(repr(held).encode()).hexdigest(), window)
 
 
-_built: dict = {}
-
-
 def _automaton(shared, key: tuple):
     """One automaton for each Python worker and set of items."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = build(shared.value, key[1])
-    return _built[key]
+    return hold(key, lambda: build(shared.value, key[1]))
 
 
 def digest(found: DataFrame) -> DataFrame:

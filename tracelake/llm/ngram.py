@@ -257,7 +257,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             keys, counts = keys[order], counts[order]
             yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
-    level1 = map_arrow(rows, {"text": F.col("text")}, _ROW, words).groupBy("shard").applyInArrow(_write_words(folder), stats).collect()
+    level1 = map_arrow(rows, {"text": F.col("text")}, _ROW, words, None).groupBy("shard").applyInArrow(_write_words(folder), stats).collect()
     sizes = [0] * shards
     for r in level1:
         sizes[r["shard"]] = r["distinct"]
@@ -274,7 +274,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
     if model.v:
-        map_arrow(rows, {"text": F.col("text")}, _ROW, pairs).groupBy("shard").applyInArrow(_write_pairs(model), stats).collect()
+        map_arrow(rows, {"text": F.col("text")}, _ROW, pairs, None).groupBy("shard").applyInArrow(_write_pairs(model), stats).collect()
     return model
 
 
@@ -305,4 +305,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             }
 
     schema = f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return map_arrow(docs, {"id": F.col(id_col), "held_out": held_out(F.col(id_col)), "text": F.col(text_col).cast("string")}, schema, run)
+    return map_arrow(docs, {"id": F.col(id_col), "held_out": held_out(F.col(id_col)), "text": F.col(text_col).cast("string")}, schema, run, None)

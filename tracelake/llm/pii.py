@@ -20,7 +20,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, strings
+from tracelake.llm.common import map_arrow, slices, strings
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -288,7 +288,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             k = batch.schema.get_field_index(text_col)
             texts = []
             for text in batch.column(k).to_pylist():

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, strings
+from tracelake.llm.common import map_arrow, slices, strings
 
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
@@ -269,7 +269,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             clean = [m.score(m.tag(words_of(t))[1]) < threshold for t in strings(batch, "text")]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
