@@ -1,6 +1,7 @@
 """Operators over the whole corpus and the pipeline, against brute force and held-out accuracy."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from cases import awkward, documents, empty, rows
 
-from tracelake.llm import components, eliasfano, ngram, paragraphs, simhash, toxicity
+from tracelake.llm import components, eliasfano, ngram, paragraphs, passages, simhash, toxicity
 
 
 def union_find(nodes, edges):
@@ -117,6 +118,55 @@ def test_paragraphs_equal_brute_force(spark, sf_dir):
     assert paragraphs.repeated(empty(spark)).collect() == []
 
 
+def brute_passages(texts):
+    """Places of words in windows of 50 words that stand in two documents, twice apart in one, or in a repeated row."""
+    where = {}
+    for d, t in texts:
+        w = re.findall("[\u3040-\u30ff\u3400-\u9fff]|[^\\s\u3040-\u30ff\u3400-\u9fff]+", (t or "").lower())
+        for i in range(len(w) - 49):
+            where.setdefault(tuple(w[i : i + 50]), []).append((d, i))
+    out = {}
+    for places in where.values():
+        apart = max(p for _, p in places) - min(p for _, p in places)
+        if max(places)[0] > min(places)[0] or apart >= 50 or (len(places) > 1 and apart == 0):
+            for d, i in places:
+                out.setdefault(d, set()).update(range(i, i + 50))
+    return out
+
+
+def test_passages_equal_brute_force_and_no_window_is_missed(spark, sf_dir):
+    r = np.random.default_rng(4)
+    fill = lambda n: " ".join(f"f{x}" for x in r.integers(0, 1 << 40, n))
+    shared = [f"s{k}" for k in range(50)]
+    inside = [f"{fill(150)} {' '.join(shared)} {fill(int(n))}" for n in (170, 3)]
+    wrapped = fill(30) + "\n" + "\n".join(" ".join(shared[k : k + 7]) for k in range(0, 50, 7)).upper() + "\n\n" + fill(9)
+    glyphs = "".join(chr(0x4E00 + int(x)) for x in r.integers(0, 5000, 60))
+    texts = [None, "", *inside, wrapped, fill(20) + " " + " ".join(shared[:49]) + " " + fill(20), "一二" + glyphs + "三", fill(7) + glyphs + "四五", "a " * 300, fill(3) + " İx " + " ".join(shared[:50])]
+    texts += [f"{(p := fill(80))} {fill(5)} {p}"]
+    docs = documents(spark, sf_dir).select("doc_id", "text").unionByName(awkward(spark, texts).where("doc_id is not null").selectExpr("doc_id + 100000 AS doc_id", "text"))
+    given = {x["doc_id"]: x["text"] or "" for x in docs.collect()}
+    got = {}
+    for x in passages.passages(docs).collect():
+        spans = [m.span() for m in passages._WORD.finditer(given[x["doc_id"]])]
+        held = [k for k, (a, b) in enumerate(spans) if x["start"] <= a and b <= x["end"]]
+        assert len(held) == x["n_words"] and x["start"] == spans[held[0]][0] and x["end"] == spans[held[-1]][1] and x["copies"] > 1
+        assert x["para"] == given[x["doc_id"]].count("\n", 0, x["start"])
+        got.setdefault(x["doc_id"], set()).update(held)
+        assert x["cluster_doc"] <= x["doc_id"] and (x["removed"] or x["doc_id"] == x["cluster_doc"])
+    want = brute_passages([(x["doc_id"], x["text"]) for x in docs.collect()])
+    assert {100002, 100003, 100004, 100006, 100007, 100009, 100010} <= want.keys() and 100005 not in want
+    assert got == want
+    assert passages.passages(empty(spark)).collect() == []
+
+
+def test_paragraphs_of_short_lines(spark):
+    words = [f"w{k}" for k in range(60)]
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    near = ["x", *words[1:]]
+    got = {x["doc_id"]: (x["para"], x["start"], x["cluster_doc"]) for x in paragraphs.repeated(awkward(spark, ["t\n\n" + wrap(words, 8), wrap(near, 11), wrap(words[:15], 8)]), wrapped=True).collect()}
+    assert got == {0: (2, 3, 0), 1: (0, 0, 0)}
+
+
 @pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (5, 5), (1000, 2000), (20_000, 1 << 40), (3000, 1 << 64)])
 def test_elias_fano_holds_and_finds(tmp_path, n, universe):
     r = np.random.default_rng(1)

@@ -1,6 +1,7 @@
 """Operator 5: repeated paragraphs by MinHash banding, verified by exact Jaccard, removed by component.
 
-A paragraph is a line of at least ``MIN_WORDS`` words, lower-cased, by its set of 5-word shingles. Its
+A paragraph is a line of at least ``MIN_WORDS`` words and, with ``wrapped``, a run of shorter lines that has
+so many (an empty line ends it), lower-cased, by its set of 5-word shingles. Its
 MinHash signature is cut into ``BANDS`` bands of ``ROWS`` values, which makes a pair of similarity 0.8
 collide with probability 1 - (1 - 0.8^4)^14 = 0.9994. Distinct paragraphs that share a band are
 candidates; their exact Jaccard similarity decides. Linked paragraphs and exact copies form components,
@@ -56,6 +57,30 @@ def shingles_of(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def units(text: str, wrapped: bool = False):
+    """Line number, start, end and words of every paragraph, in order."""
+    line = at = 0
+    held: list = []  # the run of short lines so far: line number, start, end, words
+    for m in _LINE.finditer(text):
+        gap = text.count("\n", at, m.start())
+        line, at = line + gap, m.start()
+        words = m.group().encode().lower().split()
+        if held and (gap > 1 or not words or len(words) >= MIN_WORDS):
+            if len(held[3]) >= MIN_WORDS:
+                yield tuple(held)
+            held = []
+        if len(words) >= MIN_WORDS:
+            yield line, m.start(), m.end(), words
+        elif not wrapped:
+            continue
+        elif held:
+            held[2:] = m.end(), held[3] + words
+        elif words:
+            held = [line, m.start(), m.end(), words]
+    if held and len(held[3]) >= MIN_WORDS:
+        yield tuple(held)
+
+
 def band_keys(shingles: list[np.ndarray]) -> np.ndarray:
     """Band keys of each paragraph, as signed longs: (paragraphs, BANDS)."""
     sizes = np.array([len(s) for s in shingles])
@@ -72,22 +97,17 @@ def band_keys(shingles: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """Every paragraph: doc_id, para (line number), start, end (code points), n_words, hash, bands."""
 
     def run(batch):
         out: dict[str, list] = {k: [] for k in ("doc_id", "para", "start", "end", "n_words", "hash")}
         shingles = []
         for doc, text in zip(batch.column("id").to_pylist(), strings(batch, "text"), strict=True):
-            line, at = 0, 0
-            for m in _LINE.finditer(text):
-                line += text.count("\n", at, m.start())
-                at = m.start()
-                words = m.group().encode().lower().split()
-                if len(words) >= MIN_WORDS:
-                    for k, v in (("doc_id", doc), ("para", line), ("start", m.start()), ("end", m.end()), ("n_words", len(words)), ("hash", _hash(words))):
-                        out[k].append(v)
-                    shingles.append(shingles_of(words))
+            for line, start, end, words in units(text, wrapped):
+                for k, v in (("doc_id", doc), ("para", line), ("start", start), ("end", end), ("n_words", len(words)), ("hash", _hash(words))):
+                    out[k].append(v)
+                shingles.append(shingles_of(words))
         if shingles:
             yield out | {"bands": list(band_keys(shingles))}
 
@@ -99,7 +119,7 @@ def _hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def shingles_for(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingles_for(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """Shingles of the wanted paragraphs: (hash, shingles), read again from the text that each was first seen in."""
     places = distinct.join(wanted, "hash").select(F.col("first.doc_id").alias("doc"), F.struct(F.col("first.para").alias("para"), "hash").alias("p"))
     by_doc = cut(places.groupBy("doc").agg(F.collect_list("p").alias("places")))  # one text's lines at most
@@ -108,12 +128,11 @@ def shingles_for(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, id_col
     def run(batch):
         found: dict[int, np.ndarray] = {}
         for text, places in zip(strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
-            lines = text.split("\n")
-            for p in places:
-                if p["para"] < len(lines) and p["hash"] not in found:
-                    words = lines[p["para"]].encode().lower().split()
-                    if _hash(words) == p["hash"]:  # of rows that repeat an id, the one that has it
-                        found[p["hash"]] = shingles_of(words).view(np.int64)
+            wanted_here = {(p["para"], p["hash"]) for p in places}
+            wanted_lines = {p["para"] for p in places}
+            for line, _, _, words in units(text, wrapped):
+                if line in wanted_lines and (line, h := _hash(words)) in wanted_here and h not in found:  # of rows that repeat an id, the one that has it
+                    found[h] = shingles_of(words).view(np.int64)
         if found:
             yield {"hash": list(found), "shingles": list(found.values())}
 
@@ -196,18 +215,18 @@ def across(members: DataFrame, links: DataFrame, shingles: DataFrame, similarity
     return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like).select("a", "b").distinct()
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, wrapped: bool = False) -> DataFrame:
     """Every paragraph that has a copy or near copy, a row each.
 
     Columns: ``doc_id``, ``para``, ``start``, ``end``, ``n_words``, ``cluster_doc`` and ``cluster_para``
     (the paragraph that stays), ``copies`` (paragraphs of the component) and ``removed``.
     """
-    paras = cut(paragraphs(docs, id_col, text_col))
+    paras = cut(paragraphs(docs, id_col, text_col, wrapped))
     place = F.struct("doc_id", "para")
     distinct = cut(paras.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     pairs, members = candidates(distinct)
     wanted = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
-    shingles = shingles_for(wanted, distinct, docs, id_col, text_col)
+    shingles = shingles_for(wanted, distinct, docs, id_col, text_col, wrapped)
     edges = cut(verified(pairs, shingles, similarity))
     if not members.isEmpty():
         edges = edges.union(across(members, edges, shingles, similarity))

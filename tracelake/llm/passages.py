@@ -1,0 +1,155 @@
+"""Operator 5, below the line: passages of ``PASSAGE`` words and more that stand in several places.
+
+Words run on over line ends, so neither the wrapping nor what stands around a passage matters; a letter
+of a script without spaces is a word. Every window of ``PASSAGE`` words is named by a part of itself:
+the least hash of its first ``CHOICE`` shingles says where a shorter window of ``KEY`` words starts (its
+one-row MinHash). Equal windows choose alike, so both have the key, and one key in eleven words is
+enough for all. Only keys that occur twice let their windows through, by a bitmap of fixed size; a false
+hit there costs a row and nothing else, as windows are then counted by a digest of all their words.
+
+Windows in a row whose first places are in a row as well are one span. The first place of a window
+(least document id, then position) stays, the others are removable. A window that only overlaps its own
+repeat in one text (one word over and over) isn't repeated.
+
+Rows: null text has no words; rows of null id are left out; a repeated row repeats its passages.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracelake.llm.common import cut, map_arrow, strings
+
+PASSAGE = 50
+SHINGLE = 5
+KEY = 30
+#: Any window holds the key that starts at one of its first so many shingles.
+CHOICE = PASSAGE - KEY + 1
+#: Bits of the broadcast bitmap of repeated keys: 16 a key, within these. It is built in 16 parts.
+MIN_BITS, MAX_BITS, PARTS = 1 << 20, 1 << 28, 16
+
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def keys_of(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' words one after the other: where windows start, where each one's key starts, and the key."""
+    digest = xxhash.xxh3_64_intdigest
+    h = np.array([digest(w) for words in texts for w in words], np.uint64)
+    sizes = np.array([len(words) for words in texts], np.int64)
+    if len(h) < PASSAGE:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    # sums of hash * base^place; a run's sum over base^start names the run wherever it stands
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)))
+    back = _powers(_INVERSE, len(h))
+    run = lambda n: _mixed((sums[n:] - sums[:-n]) * back[: len(h) - n + 1])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))  # words to the end of the text
+    starts = np.flatnonzero(left >= PASSAGE)
+    at = np.lib.stride_tricks.sliding_window_view(run(SHINGLE), CHOICE)[: len(h) - PASSAGE + 1].argmin(1)
+    chosen = starts + at[starts]
+    return starts, chosen, run(KEY)[chosen].view(np.int64)
+
+
+def _repeated_keys(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The bitmap of keys that start in two places, and its bits."""
+
+    def run(batch):
+        _, chosen, keys = keys_of([_WORD.findall(t.lower()) for t in strings(batch, "text")])
+        if len(chosen):
+            yield {"key": keys[np.unique(chosen, return_index=True)[1]]}
+
+    found = cut(map_arrow(docs, {"text": F.col("text")}, "key bigint", run).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * found.count()).bit_length()))
+    part = bits // PARTS
+
+    def mark(group: pa.Table) -> pa.Table:
+        slots = group.column("key").to_numpy().view(np.uint64) % np.uint64(bits)
+        held = np.zeros(part, bool)
+        held[(slots % np.uint64(part)).astype(np.int64)] = True
+        return pa.table({"part": pa.array([int(slots[0]) // part], pa.int32()), "held": [np.packbits(held).tobytes()]})
+
+    # bits is a power of two, so the low bits of a signed key are those of the unsigned one
+    rows = found.withColumn("part", F.shiftright(F.col("key").bitwiseAND(bits - 1), part.bit_length() - 1)).groupBy("part").applyInArrow(mark, "part int, held binary").collect()  # PARTS rows at most
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["held"], np.uint8)
+    return out, bits
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """Windows whose key is repeated: doc_id, pos (word number), para (line number), start, end (code points), hash."""
+    bitmap, bits = _repeated_keys(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batch):
+        ids, texts = batch.column("id").to_pylist(), strings(batch, "text")
+        words = [_WORD.findall(t.lower()) for t in texts]
+        starts, _, keys = keys_of(words)
+        slots = keys.view(np.uint64) % np.uint64(bits)
+        hits = starts[(shared.value[(slots >> np.uint64(3)).astype(np.int64)] >> (7 - (slots & np.uint64(7)).astype(np.uint8))) & 1 > 0]
+        firsts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "para", "start", "end", "hash")}
+        digest = xxhash.xxh3_64_intdigest
+        bounds = np.searchsorted(hits, firsts)
+        for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            parts = [w.encode() for w in words[k]]
+            joined = b" ".join(parts)
+            ends = np.cumsum([len(w) + 1 for w in parts]) - 1
+            spans = [m.span() for m in _WORD.finditer(texts[k])]
+            if len(spans) != len(parts):  # letters that are more than one in lower case
+                spans = _spans(texts[k])
+            line = at = 0
+            for p in (hits[bounds[k] : bounds[k + 1]] - firsts[k]).tolist():
+                start, end = spans[p][0], spans[p + PASSAGE - 1][1]
+                line, at = line + texts[k].count("\n", at, start), start
+                h = digest(joined[ends[p - 1] + 1 if p else 0 : ends[p + PASSAGE - 1]]) - (1 << 63)
+                for c, v in (("doc_id", ids[k]), ("pos", p), ("para", line), ("start", start), ("end", end), ("hash", h)):
+                    out[c].append(v)
+        if out["hash"]:
+            yield out
+
+    return map_arrow(docs, {"id": F.col("id"), "text": F.col("text")}, "doc_id bigint, pos int, para int, start int, end int, hash bigint", run)
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Places in the text of the words of its lower case."""
+    source = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(source[m.start()], source[m.end() - 1] + 1) for m in _WORD.finditer("".join(c.lower() for c in text))]
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every span of words that stands in another place too, in the columns of ``paragraphs.repeated``."""
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = cut(windows(named))
+    totals = found.groupBy("hash").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "pos", "para")).alias("stays"), F.max("doc_id").alias("last"), F.max("pos").alias("hi"), F.min("pos").alias("lo"))
+    totals = totals.where((F.col("copies") > 1) & ((F.col("last") > F.col("stays.doc_id")) | (F.col("hi") - F.col("lo") >= PASSAGE) | (F.col("hi") == F.col("lo"))))
+    kept = found.join(cut(totals.select("hash", "copies", "stays")), "hash")
+    kept = kept.withColumn("ahead", F.col("stays.pos") - F.col("pos"))
+    run = Window.partitionBy("doc_id", "stays.doc_id", "ahead").orderBy("pos")  # one text's windows at most
+    kept = kept.withColumn("run", F.col("pos") - F.dense_rank().over(run))
+    out = kept.groupBy("doc_id", F.col("stays.doc_id").alias("cluster_doc"), "ahead", "run").agg(
+        F.min("para").alias("para"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") - F.min("pos") + PASSAGE).alias("n_words"), F.min("stays.para").alias("cluster_para"), F.max("copies").alias("copies")
+    )
+    removed = (F.col("doc_id") != F.col("cluster_doc")) | (F.col("ahead") != 0)
+    return out.select("doc_id", "para", "start", "end", "n_words", "cluster_doc", "cluster_para", "copies", removed.alias("removed"))
