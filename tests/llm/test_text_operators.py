@@ -207,6 +207,30 @@ def test_html_keeps_the_article():
     assert html.extract("plain &lt;words&gt;  only") == "plain <words> only"
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<form id=aspnetForm>{}</form>",
+        "<form><article>{}</article></form>",
+        '<div class="content no-sidebar">{}</div>',
+        '<div class="post-content has-footer">{}</div>',
+        '<div class="article-body comments-open">{}</div>',
+        '<div id="article" class="widget">{}</div>',
+        '<div class="sidebar">{}</div>',
+    ],
+)
+def test_html_keeps_articles_in_forms_and_doubtful_names(wrap):
+    paras = [f"Paragraph {k} of the article, with commas, and words enough to count, as they do." for k in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    noise = '<nav><a href=/>home</a></nav><div class="post-comments"><p>A comment, short.</p></div><form><p>Your name, please, and mail.</p></form>'
+    for page in (wrap.format(body) + noise, wrap.format(body + '<div class="entry-share">Share, now.</div>') + noise):
+        got = html.extract(f"<html><body>{page}</body></html>")
+        if "sidebar" in wrap and "no-sidebar" not in wrap:
+            assert all(p in got for p in paras)
+        else:
+            assert got == "\n".join(paras)
+
+
 def test_html_equals_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = rows(html.extract_pages(pages), "page_id")

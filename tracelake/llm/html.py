@@ -4,7 +4,10 @@ The markup is read in one pass into a tree of block elements. Each block of text
 its length and commas to the elements around it: all to the nearest container, half to the next,
 less further up. A container's points are discounted by its link density. The best container is kept
 with those of its siblings that score or read alike, less parts that are not the article: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments, and lists of links.
+headers, footers, sidebars, notices, adverts, forms, scripts, comments, and lists of links. A form, or
+a container whose names speak both for and against an article, is in doubt: it goes if it holds less
+than ``SHARE`` of the page's unlinked text. Where less than ``TINY`` characters are left, the page is
+read again and names and forms only lower the score.
 
 Rows: null html is empty and gives an empty text. Unclosed, wrongly nested and cut-off markup is read
 as far as it goes. Repeated rows are extracted alike. An empty table gives no rows. Only the id, url
@@ -28,6 +31,7 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _OFF = {"nav", "aside", "footer", "form", "button", "select", "option", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "map", "dialog", "menu", "head", "fieldset"}
+_SOFT = {"form", "fieldset"}
 _TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "pre", "figcaption", "caption", "summary", "address"}
 _BOXES = {"html", "body", "div", "section", "article", "main", "header", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "blockquote", "figure", "details", "center", "hgroup", "search"}
 _BLOCKS = _TEXT | _BOXES | (_OFF - {"option"})
@@ -42,43 +46,54 @@ _NOT_ARTICLE = frozenset(
 _ARTICLE = frozenset("article body content entry main page post text blog story hentry".split())
 _OFF_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
 
+#: Less of the page's unlinked text makes a doubtful element no article; fewer characters call for a second look.
+SHARE, TINY = 0.4, 50
+#: How an element is in doubt: by form or mixed names, or by names against it alone.
+OPEN, NAMED = 1, 2
+
 
 class _Tree:
-    __slots__ = ("parent", "tag", "points", "chars", "linked", "blocks")
+    __slots__ = ("parent", "tag", "points", "chars", "linked", "blocks", "doubts")
 
     def __init__(self):
         self.parent, self.tag, self.points, self.chars, self.linked = [-1], ["html"], [0.0], [0], [0]
         self.blocks: list[tuple[int, str]] = []  # owner, text
+        self.doubts: list[tuple[int, int]] = []  # node, place in the page
 
 
-def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, float]:
-    """Whether an element is no part of an article, and its weight."""
+def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, float]:
+    """Whether an element is no part of an article, or that is in doubt or by its names only, and its weight."""
     weight = float(_WEIGHT.get(tag, 0))
-    off = tag in _OFF or (tag == "header" and not in_article)
+    named = good = False
+    doubt = tag in _SOFT
+    off = (tag in _OFF and not doubt) or (tag == "header" and not in_article)
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTES.finditer(attributes):
             name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if name == "role":
-                off |= value.lower() in _OFF_ROLES
+                doubt |= value.lower() == "form"
+                off |= value.lower() in _OFF_ROLES and value.lower() != "form"
             elif name in ("hidden", "aria-hidden"):
                 off |= name == "hidden" or value.lower() == "true"
             elif name == "style":
                 off |= "display:none" in value.replace(" ", "").lower()
             elif name in ("class", "id") and tag not in ("html", "body"):
                 parts = {x.lower() for x in _NAME_PARTS.findall(value)}
-                good = not parts.isdisjoint(_ARTICLE)
+                article = not parts.isdisjoint(_ARTICLE)
                 if not parts.isdisjoint(_NOT_ARTICLE) and tag not in ("article", "main"):
-                    off = True
-                elif "header" in parts and not in_article and not good:
-                    off = True
-                elif good:
-                    weight += 25
+                    named = True
+                elif "header" in parts and not in_article and not article:
+                    named = True
+                good |= article
+                weight += 25 * article
             elif name == "itemprop":
                 weight += 25 * (value.lower() == "articlebody")
-    return off, weight
+                good |= value.lower() == "articlebody"
+    return off, OPEN if doubt or (named and good) else NAMED if named else 0, weight
 
 
-def _read(page: str) -> _Tree:
+def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) -> _Tree:
+    """The tree of a page, without the elements at the places in ``drop`` and, with ``vetoes``, those of names against them."""
     tree = _Tree()
     stack: list[tuple[str, int]] = [("html", 0)]  # tag, node of the nearest block element
     text: list[str] = []
@@ -173,7 +188,14 @@ def _read(page: str) -> _Tree:
                         break
             if tag == "body":
                 off = 0
-            bad, weight = _judge(tag, m.group(3), articles > 0) if not off else (False, 0.0)
+            bad, doubt, weight = _judge(tag, m.group(3), articles > 0) if not off else (False, 0, 0.0)
+            if doubt and not bad:
+                if not vetoes:
+                    weight -= 25
+                elif doubt == NAMED or m.start() in drop:
+                    bad = True
+                else:
+                    tree.doubts.append((len(tree.tag), m.start()))
             tree.parent.append(stack[-1][1])
             tree.tag.append(tag)
             tree.points.append(weight)
@@ -183,7 +205,10 @@ def _read(page: str) -> _Tree:
             if bad and not off:
                 off = len(stack) - 1
         else:
-            bad = not off and m.group(3) and _judge(tag, m.group(3), articles > 0)[0]
+            bad = False
+            if not off and m.group(3):
+                bad, doubt, _ = _judge(tag, m.group(3), articles > 0)
+                bad |= doubt > 0 and vetoes
             stack.append((tag, stack[-1][1]))
             if bad:
                 off = len(stack) - 1
@@ -212,6 +237,17 @@ def _add(tree: _Tree, owner: int, text: str, linked: int) -> None:
 
 def extract(page: str) -> str:
     tree = _read(page)
+    if tree.doubts:
+        least = SHARE * (tree.chars[0] - tree.linked[0])
+        if drop := frozenset(at for i, at in tree.doubts if tree.chars[i] - tree.linked[i] < least):
+            tree = _read(page, drop)
+    text = _main(tree)
+    if len(text) < TINY and len(second := _main(_read(page, vetoes=False))) > len(text):
+        return second
+    return text
+
+
+def _main(tree: _Tree) -> str:
     if not tree.blocks:
         return ""
     parent, tag, n = tree.parent, tree.tag, len(tree.tag)
