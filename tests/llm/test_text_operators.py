@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from cases import awkward, documents, empty, rows
 
-from tracelake.llm import bpe, decontaminate, html, licenses, pii, quality
+from tracelake.llm import bpe, decontaminate, html, license_set, licenses, pii, quality
 
 ODD = [None, "", " \t\n ", "a", "a a a a a a a", "x" * 5000, "héllo wörld ÄÖ ß", "日本語のテキスト 123", "tab\tand\x0bvt\x1cfs", "don't we'll I'M 12345 ½ ²  \n\n  end  ", "aaaa" * 3000, "word " * 3000, "😀 emoji 👩‍👩‍👧 ok"]
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -265,3 +265,25 @@ def test_licenses_found_by_window_and_containment(spark, sf_dir):
     assert {k for k in got if k[0] is not None} == {(n, "MIT"), (n + 1, "MIT"), (n + 3, "ISC"), (n + 3, "MPL-2.0")}
     assert texts[n][got[n, "MIT"]["start"] : got[n, "MIT"]["end"]] == mit.rstrip(".")
     assert licenses.scan(empty(spark)).collect() == []
+
+
+def test_licenses_by_their_right_names():
+    given = license_set.templates()
+    index = licenses.Index(given)
+    find = lambda t: {k for k, *_ in index.find(re.findall(r"[^\W_]+", t.lower()), 0.8)}
+    for text, name in (
+        ("This project is licensed under the MIT License.", "MIT-notice"),
+        ("Licensed under the Apache License 2.0.", "Apache-2.0-notice"),
+        ("It is released under the BSD 2-Clause License.", "BSD-2-Clause-notice"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-notice"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-notice"),
+        ("Available under the Eclipse Public License 2.0", "EPL-2.0-notice"),
+    ):
+        assert find("some lead words here " + text + " and a tail") == {name}, text
+    notice = licenses.TEMPLATES["GPL-3.0-or-later"]
+    assert find(notice) == {"GPL-3.0-or-later"} and find(notice.replace("version 3", "version 2")) == {"GPL-2.0-or-later"}
+    assert find(notice.replace("General Public", "Lesser General Public")) == {"LGPL-3.0-or-later"}
+    assert find(notice.replace("General Public", "Affero General Public")) == {"AGPL-3.0-or-later"}
+    for name, text in given:
+        if len(text) > 6000:
+            assert name in find("lead " * 50 + text + " tail" * 50), name

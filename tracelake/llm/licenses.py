@@ -5,7 +5,9 @@ n / 4 words (the last one ends with the text), so any passage of n words lies wh
 window and a template collide in a band if their least shingle under the band's hash is the same: one
 row a band, and ``BANDS`` bands. A window that holds a template has a similarity of 0.5 at least with
 it, so the chance to collide is 1 - 0.5^24, over 0.9999999. A collision is verified: the share of the
-template's 5-word shingles that the window holds must reach ``CONTAINMENT``.
+template's 5-word shingles that the window holds must reach ``CONTAINMENT``; a template of fewer than
+``SHORT`` words must be held whole, as one other word there can be the license's name or version. Of
+finds that overlap, the best wins: the one with most shingles held, less three for each one missed.
 
 Words are runs of letters and digits in lower case, so wrapping and punctuation don't matter. A text
 none of whose shingles is a template's is done with after hashing its shingles: no window of it can
@@ -29,6 +31,7 @@ from tracelake.llm.common import map_arrow, strings
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+SHORT = 20
 BANDS = 24
 MAX_TEMPLATE_WORDS = 1_000_000
 
@@ -77,42 +80,51 @@ def _mixed(h: np.ndarray, band: int) -> np.ndarray:
 class Index:
     """Templates by length, each length with its bands: least mixed shingle -> templates."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.shingles = {k: np.unique(shingles_of(_WORD.findall(v.lower()))) for k, v in templates.items()}
-        self.all = np.unique(np.concatenate([*self.shingles.values(), np.zeros(0, np.uint64)]))
-        self.lengths: dict[int, list[dict[int, list[str]]]] = {}
-        for k, v in templates.items():
-            n = len(_WORD.findall(v.lower()))
-            if n:
+    def __init__(self, templates: list[tuple[str, str]]):
+        words = [_WORD.findall(v.lower()) for _, v in templates]
+        self.names = [k for k, _ in templates]
+        self.short = [len(w) < SHORT for w in words]
+        self.shingles = [np.unique(shingles_of(w)) for w in words]
+        self.all = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.uint64)]))
+        self.lengths: dict[int, list[dict[int, list[int]]]] = {}
+        self.least: dict[int, int] = {}  # shingles of a length's smallest template
+        for k, w in enumerate(words):
+            if n := len(w):
                 bands = self.lengths.setdefault(n, [{} for _ in range(BANDS)])
+                self.least[n] = min(self.least.get(n, n), len(self.shingles[k]))
                 for b in range(BANDS):
                     bands[b].setdefault(int(_mixed(self.shingles[k], b).min()), []).append(k)
 
     def find(self, words: list[str], containment: float) -> list[tuple[str, int, int, float]]:
         """(template, first word, last word, containment) of every find."""
         h = shingles_of(words)
-        known = np.flatnonzero(np.isin(h, self.all))
+        if not len(self.all) or not len(h):
+            return []
+        known = np.flatnonzero(self.all[np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)] == h)
         if not len(known):
             return []
         out = []
         for n, bands in self.lengths.items():
+            # a window with fewer known shingles than a template's share can't hold one
+            need = max(1, int(np.ceil((1 if n < SHORT else containment) * self.least[n] - 1e-9)))
+            if len(known) < need:
+                continue
             size = max(1, -(-5 * n // 4) - SHINGLE + 1)  # shingles of a window
             step = max(1, n // 4)
             last = max(0, len(h) - size)
             starts = np.unique(np.append(np.arange(0, last + 1, step), last))
-            # windows without a known shingle can't collide: a template's least shingle is a known one
-            inside = np.searchsorted(known, starts + size) > np.searchsorted(known, starts)
-            met: dict[tuple[str, int], None] = {}
+            inside = np.searchsorted(known, starts + size) - np.searchsorted(known, starts) >= need
+            met: dict[tuple[int, int], None] = {}
             for s in starts[inside].tolist():
                 part = h[s : s + size]
                 for b in range(BANDS):
                     for k in bands[b].get(int(_mixed(part, b).min()), ()):
                         met[k, s] = None
-            finds: dict[str, list[list]] = {}
+            finds: dict[int, list[list]] = {}
             for k, s in met:
                 mask = np.isin(h[s : s + size], self.shingles[k])
                 share = len(np.unique(h[s : s + size][mask])) / len(self.shingles[k])
-                if share >= containment:
+                if share >= (1 if self.short[k] else containment):
                     at = np.flatnonzero(mask)
                     a, z = s + int(at[0]), s + int(at[-1]) + min(SHINGLE, len(words)) - 1
                     spans = finds.setdefault(k, [])
@@ -121,13 +133,17 @@ class Index:
                     else:
                         spans.append([a, z, share])
             out += [(k, *x) for k, spans in finds.items() for x in spans]
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+        best: list[tuple[int, int, int, float]] = []
+        for k, a, z, share in sorted(out, key=lambda x: (-len(self.shingles[x[0]]) * (4 * x[3] - 3), self.names[x[0]], x[1])):
+            if all(2 * (min(z, y) - max(a, x) + 1) < min(z - a, y - x) + 1 for _, x, y, _ in best):
+                best.append((k, a, z, share))
+        return sorted(((self.names[k], *x) for k, *x in best), key=lambda x: (x[1], x[2], x[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str]] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every license found: the id, ``license``, ``start``, ``end`` (code points) and ``containment``."""
-    given = TEMPLATES if templates is None else templates
-    if (n := sum(len(v.split()) for v in given.values())) > MAX_TEMPLATE_WORDS:
+    given = list((TEMPLATES if templates is None else dict(templates)).items()) if not isinstance(templates, list) else templates
+    if (n := sum(len(v.split()) for _, v in given)) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"{n} words of templates; {MAX_TEMPLATE_WORDS} at most are broadcast")
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Index(given))

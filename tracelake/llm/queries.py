@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, decontaminate, html, licenses, ngram, paragraphs, passages, pii, quality, simhash, toxicity
+from tracelake.llm import bpe, decontaminate, html, license_set, licenses, ngram, paragraphs, passages, pii, quality, simhash, toxicity
 from tracelake.llm.common import table
 
 
@@ -45,7 +45,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), license_set.templates())
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
