@@ -91,6 +91,13 @@ def test_decontaminate_equals_brute_force(spark, sf_dir, max_bytes):
     assert kept == {k for k, x in got.items() if not x["contaminated"]}
 
 
+@pytest.mark.parametrize("max_bytes", [64_000_000, 20])
+def test_decontaminate_by_items_without_id(spark, max_bytes):
+    items = spark.createDataFrame([(None, "secret test question"), (7, "other item")], "item_id bigint, text string")
+    got = rows(decontaminate.decontaminate(awkward(spark, ["a secret test question here", "clean", "other item"]), items, max_bytes=max_bytes))
+    assert [(got[k]["n_hit"], got[k]["items"], got[k]["contaminated"]) for k in range(3)] == [(3, [], True), (0, [], False), (2, ["7"], True)]
+
+
 def test_decontaminate_of_nothing(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.decontaminate(empty(spark), none).collect() == []

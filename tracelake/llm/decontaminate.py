@@ -60,7 +60,7 @@ def scan(automaton, words: list[bytes]) -> tuple[bytearray, set]:
         spaces += s.count(" ", at, end)  # the space at end closes word number spaces - 1
         at = end
         hit[spaces - n : spaces] = b"\x01" * n
-        items.update(who)
+        items.update(w for w in who if w is not None)  # an item without an id marks words and isn't listed
     return hit, items
 
 
@@ -156,12 +156,12 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
 def _automata(items: DataFrame, window: int, item_col: str, item_text: str, max_bytes: int):
     """Items as broadcasts of at most ``max_bytes`` of windows each, with a key for each."""
     spark = items.sparkSession
-    given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = total * window // max_bytes + 1
     for k in range(shards):
         part = given.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k) if shards > 1 else given
-        held = sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator())
+        held = sorted(((r["item"], r["text"].encode()) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
         yield spark.sparkContext.broadcast(held), (hashlib.sha256(repr(held).encode()).hexdigest(), window)
 
 
