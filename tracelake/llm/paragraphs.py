@@ -1,23 +1,32 @@
 """Operator 5: repeated paragraphs by MinHash banding, verified by exact Jaccard, removed by component.
 
-A paragraph is a line of at least ``MIN_WORDS`` words and, with ``wrapped``, a run of shorter lines that has
-so many (an empty line ends it), lower-cased, by its set of 5-word shingles. Its
-MinHash signature is cut into ``BANDS`` bands of ``ROWS`` values, which makes a pair of similarity 0.8
-collide with probability 1 - (1 - 0.8^4)^14 = 0.9994. Distinct paragraphs that share a band are
-candidates; their exact Jaccard similarity decides. Linked paragraphs and exact copies form components,
-of which the first paragraph (least document id, then position) stays and the others are removable.
-
-Exact copies meet in one hash before any join, and shingles are fetched for candidates only. Candidates
-are all pairs of a band key that up to ``SMALL`` distinct paragraphs share. In a key of more (a large
-family of edited copies, or paragraphs around one passage) each paragraph is held against the key's
+Paragraphs of a text, as runs of its words (lower case; a letter of a script without spaces is a word):
+
+- lines of at least ``MIN_WORDS`` words, and runs of shorter lines that have so many (an empty line ends one);
+- windows of ``WINDOW`` words over the whole text, whatever the lines. The least hash among any ``CHOICE``
+  shingles in a row says where one starts, so equal passages choose alike: of any ``PASSAGE`` words, wherever
+  they stand, at least one window lies inside, and one window in 16 words is enough for all.
+
+A paragraph is compared by its set of 5-word shingles. Its MinHash signature is cut into bands of ``ROWS``
+values, ``BANDS`` for a line, which makes a pair of similarity 0.8 collide with probability
+1 - (1 - 0.8^3)^7 = 0.993; windows, of which a passage holds several, take the first ``WINDOW_BANDS``.
+Distinct paragraphs that share a band are candidates; their exact Jaccard similarity decides. Linked
+paragraphs and exact copies (equal hashes of all words) form components, of which the first paragraph
+(least document id, then position) stays and the others are removable. Windows of one text that belong to
+the same survivor, equally far on, and touch each other are given as one span.
+
+Candidates are all pairs of a band key that up to ``SMALL`` distinct paragraphs share. In a key of more (a
+large family of edited copies, or paragraphs around one passage) each paragraph is held against the key's
 commonest one. Where that leaves such a key in several components, its paragraphs are joined by exact
 prefix filtering: ordered by rarity, two sets of similarity 0.8 share one of their first fifth of
 shingles. Only pairs of different components are looked at, so a family that already hangs together
-costs nothing, and no pair that could link two components is left out.
+costs nothing, and no pair that could link two components is left out. Shingles are fetched for candidates
+only, and no join carries them but the one that verifies.
 
 Rows: null text has no paragraphs; rows of null id are left out, as nothing names them. A repeated row
-repeats its paragraphs. A very long line is one paragraph, read whole. Ties in commonness go to the
-greater hash. An empty table gives no rows. Only id and text are read.
+repeats its paragraphs. A window that overlaps its own repeat in one text (one word over and over) counts
+once. A very long line is one paragraph, read whole. Ties in commonness go to the greater hash. An empty
+table gives no rows. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, map_arrow, strings
@@ -36,103 +45,176 @@ from tracelake.llm.components import min_labels
 SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 20
-BANDS, ROWS = 14, 4
+WINDOW = 20
+PASSAGE = 50
+CHOICE = PASSAGE - WINDOW + 1
+BANDS, ROWS = 7, 3
+WINDOW_BANDS = 2
 SMALL = 32
 #: Counters by which shingles are ordered from rare to common, and the partial sums that reach the driver.
 SKETCH = 1 << 18
 SUMS = 16
 
-_LINE = re.compile(r"[^\n]+")
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 _SEEDS = np.random.default_rng(20_24).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
-
-
-def shingles_of(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
-    """Distinct shingle hashes; fewer words than n make one shingle."""
-    joined = b" ".join(words)
-    digest = xxhash.xxh3_64_intdigest
-    if len(words) <= n:
-        return np.array([digest(joined)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def units(text: str, wrapped: bool = False):
-    """Line number, start, end and words of every paragraph, in order."""
-    line = at = 0
-    held: list = []  # the run of short lines so far: line number, start, end, words
-    for m in _LINE.finditer(text):
-        gap = text.count("\n", at, m.start())
-        line, at = line + gap, m.start()
-        words = m.group().encode().lower().split()
-        if held and (gap > 1 or not words or len(words) >= MIN_WORDS):
-            if len(held[3]) >= MIN_WORDS:
-                yield tuple(held)
-            held = []
-        if len(words) >= MIN_WORDS:
-            yield line, m.start(), m.end(), words
-        elif not wrapped:
-            continue
-        elif held:
-            held[2:] = m.end(), held[3] + words
-        elif words:
-            held = [line, m.start(), m.end(), words]
-    if held and len(held[3]) >= MIN_WORDS:
-        yield tuple(held)
-
-
-def band_keys(shingles: list[np.ndarray]) -> np.ndarray:
-    """Band keys of each paragraph, as signed longs: (paragraphs, BANDS)."""
-    sizes = np.array([len(s) for s in shingles])
-    flat = np.concatenate(shingles)
-    at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    keys = np.zeros((len(shingles), BANDS), np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Hashed:
+    """Words one after another, and the hash of any run of them, which is the same wherever the run stands."""
+
+    def __init__(self, words: list[str]):
+        known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.n = len(h)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)))
+        self.back = _powers(_INVERSE, len(h) + 1)
+        self.shingles = self.runs(np.arange(max(0, len(h) - SHINGLE + 1)), SHINGLE)
+
+    def runs(self, at: np.ndarray, n) -> np.ndarray:
+        return _mixed((self.sums[at + n] - self.sums[at]) * self.back[at])
+
+    def set_of(self, at: int, n: int) -> np.ndarray:
+        """The distinct shingles of a run of SHINGLE words or more."""
+        return np.unique(self.shingles[at : at + n - SHINGLE + 1]).view(np.int64)
+
+
+def lines_of(counts: list[int]) -> list[tuple[int, int]]:
+    """First word and length of every paragraph of whole lines, from the number of words in each line."""
+    out, at, first, held = [], 0, 0, 0  # held: words of the run of short lines so far
+    for n in [*counts, 0]:
+        if held and (n == 0 or n >= MIN_WORDS):
+            if held >= MIN_WORDS:
+                out.append((first, held))
+            held = 0
+        if n >= MIN_WORDS:
+            out.append((at, n))
+        elif n:
+            first = first if held else at
+            held += n
+        at += n
+    return out
+
+
+def windows_of(hashed: Hashed, left: np.ndarray) -> np.ndarray:
+    """Where windows start, given for each word how many are left to the end of its text."""
+    if hashed.n < PASSAGE:
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(left >= PASSAGE)
+    at = np.lib.stride_tricks.sliding_window_view(hashed.shingles, CHOICE)[: hashed.n - PASSAGE + 1].argmin(1)
+    return np.unique(starts + at[starts])
+
+
+def _apart(text: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which windows stay, if equal ones of one text mustn't overlap."""
+    order = np.lexsort((pos, hashes, text))
+    same = (np.diff(hashes[order].view(np.int64), prepend=0) == 0) & (np.diff(text[order], prepend=-1) == 0)
+    keep = np.ones(len(pos), bool)
+    last = before = -1
+    for j in np.flatnonzero(same[1:]).tolist():
+        if j != before:
+            last = pos[order[j]]
+        keep[order[j + 1]] = pos[order[j + 1]] - last >= WINDOW
+        last, before = (pos[order[j + 1]] if keep[order[j + 1]] else last), j + 1
+    return keep
+
+
+def band_keys(shingles: np.ndarray, at: np.ndarray, n: np.ndarray, lines: int) -> list[np.ndarray]:
+    """Band keys of paragraphs, as signed longs: the first so many are lines, the others windows of equal length."""
+    ends = at + n - SHINGLE + 1
+    bounds = np.stack([at[:lines], ends[:lines]], 1).ravel()
+    keys = np.zeros((len(at), BANDS), np.uint64)
     for k in range(BANDS * ROWS):
-        mixed = flat * _SEEDS[0, k]
+        mixed = shingles * _SEEDS[0, k]
         mixed ^= mixed >> np.uint64(29)
-        least = np.minimum.reduceat(mixed * _SEEDS[1, k], at)
+        mixed *= _SEEDS[1, k]
         band = k // ROWS
-        keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
-        keys[:, band] ^= keys[:, band] >> np.uint64(32)
-    return keys.view(np.int64)
-
-
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
-    """Every paragraph: doc_id, para (line number), start, end (code points), n_words, hash, bands."""
+        least = [np.minimum.reduceat(np.append(mixed, mixed[:1]), bounds)[::2]] if lines else []
+        if lines < len(at) and band < WINDOW_BANDS:
+            least.append(np.lib.stride_tricks.sliding_window_view(mixed, WINDOW - SHINGLE + 1)[at[lines:]].min(1))
+        least = np.concatenate(least) if least else np.zeros(0, np.uint64)
+        part = keys[: len(least), band]
+        part[:] = (part ^ least) * np.uint64(_BASE) + np.uint64(band + 1)
+        part ^= part >> np.uint64(32)
+    signed = keys.view(np.int64)
+    return [*signed[:lines], *signed[lines:, :WINDOW_BANDS]]
+
+
+def _spans(text: str, n: int) -> np.ndarray:
+    """Start and end in the text of the n words of its lower case, one after the other."""
+    spans = np.array([x for m in _WORD.finditer(text) for x in m.span()], np.int64)
+    if len(spans) != 2 * n or not text.isascii() and len(text.lower()) != len(text):  # letters that are more than one in lower case
+        source = [i for i, c in enumerate(text) for _ in c.lower()]
+        low = "".join(c.lower() for c in text)
+        spans = np.array([x for m in _WORD.finditer(low) for x in (source[m.start()], source[m.end() - 1] + 1)], np.int64)
+    return spans
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: bool = True) -> DataFrame:
+    """Every paragraph: doc_id, para (number of its first line), pos (of its first word), start, end (code points), n_words, is_window, hash, bands."""
 
     def run(batch):
-        out: dict[str, list] = {k: [] for k in ("doc_id", "para", "start", "end", "n_words", "hash")}
-        shingles = []
-        for doc, text in zip(batch.column("id").to_pylist(), strings(batch, "text"), strict=True):
-            for line, start, end, words in units(text, wrapped):
-                for k, v in (("doc_id", doc), ("para", line), ("start", start), ("end", end), ("n_words", len(words)), ("hash", _hash(words))):
-                    out[k].append(v)
-                shingles.append(shingles_of(words))
-        if shingles:
-            yield out | {"bands": list(band_keys(shingles))}
+        ids, texts = batch.column("id").to_numpy(), strings(batch, "text")
+        lines = [[_WORD.findall(x) for x in t.lower().split("\n")] for t in texts]
+        counts = [[len(x) for x in of] for of in lines]
+        hashed = Hashed([w for of in lines for x in of for w in x])
+        sizes = np.array([sum(x) for x in counts], np.int64)
+        ends = np.cumsum(sizes)
+        base = ends - sizes
+        whole = [(base[k] + a, n) for k, of in enumerate(counts) for a, n in lines_of(of)]
+        at, n = np.array(whole, np.int64).reshape(-1, 2).T
+        if windows:
+            text = np.repeat(np.arange(len(texts)), sizes)
+            more = windows_of(hashed, ends[text] - np.arange(hashed.n))
+            more = more[_apart(text[more], more, hashed.runs(more, WINDOW))]
+            at, n = np.concatenate((at, more)), np.concatenate((n, np.full(len(more), WINDOW)))
+        if not len(at):
+            return
+        of = np.searchsorted(ends, at, "right")
+        spans = np.concatenate([_spans(t, s) for t, s in zip(texts, sizes.tolist(), strict=True)])
+        line = np.concatenate([np.repeat(np.arange(len(x)), x) for x in counts])
+        yield {
+            "doc_id": ids[of], "para": line[at], "pos": at - base[of], "start": spans[2 * at], "end": spans[2 * (at + n) - 1], "n_words": n,
+            "is_window": np.arange(len(at)) >= len(whole), "hash": hashed.runs(at, n).view(np.int64), "bands": band_keys(hashed.shingles, at, n, len(whole)),
+        }
 
     rows = docs.where(F.col(id_col).isNotNull())
-    return map_arrow(rows, {"id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}, "doc_id bigint, para int, start int, end int, n_words int, hash bigint, bands array<bigint>", run)
-
+    schema = "doc_id bigint, para int, pos int, start int, end int, n_words int, is_window boolean, hash bigint, bands array<bigint>"
+    return map_arrow(rows, {"id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}, schema, run)
 
-def _hash(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
-
-def shingles_for(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
-    """Shingles of the wanted paragraphs: (hash, shingles), read again from the text that each was first seen in."""
-    places = distinct.join(wanted, "hash").select(F.col("first.doc_id").alias("doc"), F.struct(F.col("first.para").alias("para"), "hash").alias("p"))
-    by_doc = cut(places.groupBy("doc").agg(F.collect_list("p").alias("places")))  # one text's lines at most
+def shingles_for(wanted: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Shingles of the wanted paragraphs (hash, first): (hash, shingles), read again from the text that each was first seen in."""
+    places = wanted.select(F.col("first.doc_id").alias("doc"), F.struct(F.col("first.pos").alias("pos"), F.col("first.n_words").alias("n"), "hash").alias("p"))
+    by_doc = cut(places.groupBy("doc").agg(F.collect_list("p").alias("places")))  # one text's paragraphs at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(by_doc, "doc")
 
     def run(batch):
         found: dict[int, np.ndarray] = {}
         for text, places in zip(strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
-            wanted_here = {(p["para"], p["hash"]) for p in places}
-            wanted_lines = {p["para"] for p in places}
-            for line, _, _, words in units(text, wrapped):
-                if line in wanted_lines and (line, h := _hash(words)) in wanted_here and h not in found:  # of rows that repeat an id, the one that has it
-                    found[h] = shingles_of(words).view(np.int64)
+            hashed = Hashed(words_of(text))
+            for p in places:
+                at, n, h = p["pos"], p["n"], p["hash"]
+                if h not in found and at + n <= hashed.n and int(hashed.runs(np.array([at]), n).view(np.int64)[0]) == h:  # of rows that repeat an id, the one that has it
+                    found[h] = hashed.set_of(at, n)
         if found:
             yield {"hash": list(found), "shingles": list(found.values())}
 
@@ -140,16 +222,17 @@ def shingles_for(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, id_col
     return cut(got.dropDuplicates(["hash"]))
 
 
-def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(paras: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of hashes of distinct paragraphs that share a band, and the members (key, hash) of keys over SMALL."""
-    keyed = distinct.select("hash", "n", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(keyed.join(sizes, "key"))
-    small = shared.where(F.col("size") <= SMALL).select("key", "hash")
+    keyed = paras.select("hash", F.explode("bands").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo < hi").select("key")
+    shared = cut(keyed.join(several, "key"))
+    members = cut(shared.groupBy("key", "hash").agg(F.count("*").alias("n")))
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("size"), F.max_by("hash", F.struct("n", "hash")).alias("leader")))
+    small = members.join(sizes.where(F.col("size") <= SMALL), "key").select("key", "hash")
     pairs = small.select("key", F.col("hash").alias("a")).join(small.select("key", F.col("hash").alias("b")), "key").where("a < b").select("a", "b")
-    large = shared.where(F.col("size") > SMALL)
-    leaders = cut(large.groupBy("key").agg(F.max_by("hash", F.struct("n", "hash")).alias("leader")))
-    led = large.join(leaders, "key").where("hash <> leader").select(F.least("hash", "leader").alias("a"), F.greatest("hash", "leader").alias("b"))
+    large = members.join(sizes.where(F.col("size") > SMALL), "key")
+    led = large.where("hash <> leader").select(F.least("hash", "leader").alias("a"), F.greatest("hash", "leader").alias("b"))
     return cut(pairs.union(led).distinct()), large.select("key", "hash")
 
 
@@ -182,8 +265,8 @@ def _commonness(sets: DataFrame):
 def across(members: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links between different components among the members of large keys that aren't one component.
 
-    Any order of all shingles makes the prefix filter exact; rare ones first make it quick. Similarity is
-    part of the join's condition, so pairs that aren't links are never written.
+    Any order of all shingles makes the prefix filter exact; rare ones first make it quick. The join sees a
+    shingle, its place in the order and the size of its set: what follows it bounds how much two sets can share.
     """
     hashes = members.select("hash").distinct()
     labels = min_labels(links, hashes.select(F.col("hash").alias("node"), F.col("hash").alias("label")).union(links.select("a", "a")).union(links.select("b", "b")).distinct())
@@ -196,44 +279,62 @@ def across(members: DataFrame, links: DataFrame, shingles: DataFrame, similarity
 
     def prefixes(batch):
         common = shared.value
-        out: dict[str, list] = {"hash": [], "label": [], "s": [], "shingles": []}
+        out: dict[str, list] = {k: [] for k in ("hash", "label", "s", "k", "n")}
         for h, label, held in zip(batch.column("hash").to_pylist(), batch.column("label").to_pylist(), batch.column("shingles"), strict=True):
             x = held.values.to_numpy()
             n = len(x) - int(np.ceil(len(x) * similarity - 1e-9)) + 1
-            for s in x[np.lexsort((x, common[x.view(np.uint64) % np.uint64(SKETCH)]))[:n]].tolist():
-                for k, v in (("hash", h), ("label", label), ("s", s), ("shingles", x)):
-                    out[k].append(v)
+            first = x[np.lexsort((x, common[x.view(np.uint64) % np.uint64(SKETCH)]))[:n]]
+            for k, v in (("hash", [h] * n), ("label", [label] * n), ("s", first.tolist()), ("k", range(n)), ("n", [len(x)] * n)):
+                out[k] += v
         if out["hash"]:
             yield out
 
-    first = cut(map_arrow(rest, {c: F.col(c) for c in ("hash", "label", "shingles")}, "hash bigint, label bigint, s bigint, shingles array<bigint>", prefixes))
-    a = first.select("s", F.col("hash").alias("a"), F.col("label").alias("la"), F.col("shingles").alias("sa"))
-    b = first.select("s", F.col("hash").alias("b"), F.col("label").alias("lb"), F.col("shingles").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    inside = F.size(F.array_intersect("sa", "sb"))
-    like = (F.least(na, nb) >= similarity * F.greatest(na, nb)) & (inside >= similarity * (na + nb - inside))
-    return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like).select("a", "b").distinct()
+    first = cut(map_arrow(rest, {c: F.col(c) for c in ("hash", "label", "shingles")}, "hash bigint, label bigint, s bigint, k int, n int", prefixes))
+    a, b = (first.select("s", *[F.col(c).alias(f"{side}_{c}") for c in ("hash", "label", "k", "n")]) for side in "ab")
+    most = F.least(F.expr("a_n - a_k"), F.expr("b_n - b_k"))
+    like = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")) & (most * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    pairs = a.join(b, (a["s"] == b["s"]) & (F.col("a_hash") < F.col("b_hash")) & (F.col("a_label") != F.col("b_label")) & like).select(F.col("a_hash").alias("a"), F.col("b_hash").alias("b"))
+    return verified(cut(pairs.distinct()), shingles, similarity)
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """Windows of one text and one survivor, equally far on, that touch each other, as one row."""
+    place = Window.partitionBy("doc_id", "cluster_doc", "ahead").orderBy("pos")  # one text's windows at most
+    moved = found.withColumn("ahead", F.col("cluster_pos") - F.col("pos"))
+    new = (F.col("pos") > F.lag("pos").over(place) + WINDOW).cast("int")
+    run = moved.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("new").over(place))
+    out = run.groupBy("doc_id", "cluster_doc", "ahead", "run").agg(
+        F.min("para").alias("para"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") - F.min("pos") + WINDOW).cast("int").alias("n_words"), F.min("cluster_para").alias("cluster_para"), F.max("copies").alias("copies"), F.max("removed").alias("removed")
+    )
+    return out.select("doc_id", "para", "start", "end", "n_words", "cluster_doc", "cluster_para", "copies", "removed")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, wrapped: bool = False) -> DataFrame:
-    """Every paragraph that has a copy or near copy, a row each.
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, windows: bool = True) -> DataFrame:
+    """Every paragraph that has a copy or near copy, a row each; with ``windows``, those too, joined to spans.
 
-    Columns: ``doc_id``, ``para``, ``start``, ``end``, ``n_words``, ``cluster_doc`` and ``cluster_para``
+    Columns: ``doc_id``, ``para`` (line), ``start``, ``end``, ``n_words``, ``cluster_doc`` and ``cluster_para``
     (the paragraph that stays), ``copies`` (paragraphs of the component) and ``removed``.
     """
-    paras = cut(paragraphs(docs, id_col, text_col, wrapped))
-    place = F.struct("doc_id", "para")
-    distinct = cut(paras.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    pairs, members = candidates(distinct)
-    wanted = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
-    shingles = shingles_for(wanted, distinct, docs, id_col, text_col, wrapped)
+    paras = cut(paragraphs(docs, id_col, text_col, windows))
+    pairs, members = candidates(paras)
+    wanted = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct().withColumn("wanted", F.lit(True))
+    counts = paras.groupBy("hash").agg(F.min(F.struct("doc_id", "pos", "para", "n_words")).alias("first"), F.count("*").alias("n"))
+    kept = cut(counts.join(cut(wanted), "hash", "left").where("n > 1 or wanted"))  # what may be in a component
+    shingles = shingles_for(kept.where("wanted"), docs, id_col, text_col)
     edges = cut(verified(pairs, shingles, similarity))
     if not members.isEmpty():
         edges = edges.union(across(members, edges, shingles, similarity))
-    linked = min_labels(edges, distinct.select(F.col("hash").alias("node"), F.col("hash").alias("label")))
-    named = distinct.join(linked, distinct["hash"] == linked["node"], "left").select("hash", F.coalesce("label", "hash").alias("component"), "first", "n")
+    linked = min_labels(edges, kept.where("wanted").select(F.col("hash").alias("node"), F.col("hash").alias("label")))
+    named = kept.join(linked, kept["hash"] == linked["node"], "left").select("hash", F.coalesce("label", "hash").alias("component"), "first", "n")
     named = cut(named)
     totals = cut(named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("copies")).where("copies > 1"))
     final = cut(named.select("hash", "component").join(totals, "component").select("hash", "stays", "copies"))
-    found = paras.select("doc_id", "para", "start", "end", "n_words", "hash").join(final, "hash")
-    return found.select("doc_id", "para", "start", "end", "n_words", F.col("stays.doc_id").alias("cluster_doc"), F.col("stays.para").alias("cluster_para"), "copies", (place != F.col("stays")).alias("removed"))
+    place = F.struct("doc_id", "pos")
+    found = paras.drop("bands").join(final, "hash").select(
+        "doc_id", "para", "pos", "start", "end", "n_words", "is_window", F.col("stays.doc_id").alias("cluster_doc"), F.col("stays.pos").alias("cluster_pos"), F.col("stays.para").alias("cluster_para"), "copies", (place != F.struct("stays.doc_id", "stays.pos")).alias("removed")
+    )
+    whole = found.where("not is_window")
+    if not windows:
+        return whole.drop("is_window", "pos", "cluster_pos")
+    found = cut(found)
+    return found.where("not is_window").drop("is_window", "pos", "cluster_pos").unionByName(spans_of(found.where("is_window")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, decontaminate, html, license_set, licenses, ngram, paragraphs, passages, pii, quality, simhash, toxicity
+from tracelake.llm import bpe, decontaminate, html, license_set, licenses, ngram, paragraphs, pii, quality, simhash, toxicity
 from tracelake.llm.common import table
 
 
@@ -27,8 +27,7 @@ def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return paragraphs.repeated(docs, wrapped=True).unionByName(passages.passages(docs))
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
