@@ -7,9 +7,10 @@ Paragraphs of a text, as runs of its words (lower case; a letter of a script wit
   shingles in a row says where one starts, so equal passages choose alike: of any ``PASSAGE`` words, wherever
   they stand, at least one window lies inside, and one window in 16 words is enough for all.
 
-A paragraph is compared by its set of 5-word shingles. Its MinHash signature is cut into bands of ``ROWS``
-values, ``BANDS`` for a line, which makes a pair of similarity 0.8 collide with probability
-1 - (1 - 0.8^3)^7 = 0.993; windows, of which a passage holds several, take the first ``WINDOW_BANDS``.
+A paragraph is compared by its set of 5-word shingles. Its MinHash signature is cut into ``BANDS`` bands of
+``ROWS`` values, which makes a pair of similarity 0.8 collide with probability 1 - (1 - 0.8^3)^7 = 0.993.
+A window has one band of the first ``WINDOW_ROWS`` values: with 16 shingles, similarity 0.8 leaves room for one
+that differs (0.88), so two windows are either the same but for a word at an end, or no pair at all.
 Distinct paragraphs that share a band are candidates; their exact Jaccard similarity decides. Linked
 paragraphs and exact copies (equal hashes of all words) form components, of which the first paragraph
 (least document id, then position) stays and the others are removable. Windows of one text that belong to
@@ -49,7 +50,7 @@ WINDOW = 20
 PASSAGE = 50
 CHOICE = PASSAGE - WINDOW + 1
 BANDS, ROWS = 7, 3
-WINDOW_BANDS = 2
+WINDOW_ROWS = 6
 SMALL = 32
 #: Counters by which shingles are ordered from rare to common, and the partial sums that reach the driver.
 SKETCH = 1 << 18
@@ -137,25 +138,31 @@ def _apart(text: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _bands(least: list[np.ndarray], rows: int) -> np.ndarray:
+    """Keys of bands of so many minima each, as signed longs: (paragraphs, bands)."""
+    keys = []
+    for k in range(0, len(least), rows):
+        key = np.full(len(least[k]), k + rows, np.uint64)
+        for x in least[k : k + rows]:
+            key = (key ^ x) * np.uint64(_BASE)
+            key ^= key >> np.uint64(32)
+        keys.append(key)
+    return np.stack(keys, 1).view(np.int64)
+
+
 def band_keys(shingles: np.ndarray, at: np.ndarray, n: np.ndarray, lines: int) -> list[np.ndarray]:
-    """Band keys of paragraphs, as signed longs: the first so many are lines, the others windows of equal length."""
-    ends = at + n - SHINGLE + 1
-    bounds = np.stack([at[:lines], ends[:lines]], 1).ravel()
-    keys = np.zeros((len(at), BANDS), np.uint64)
-    for k in range(BANDS * ROWS):
+    """Band keys of paragraphs: the first so many are lines, the others windows."""
+    bounds = np.stack([at[:lines], at[:lines] + n[:lines] - SHINGLE + 1], 1).ravel()
+    of_lines, of_windows = [], []
+    for k in range(BANDS * ROWS if lines else WINDOW_ROWS):
         mixed = shingles * _SEEDS[0, k]
         mixed ^= mixed >> np.uint64(29)
         mixed *= _SEEDS[1, k]
-        band = k // ROWS
-        least = [np.minimum.reduceat(np.append(mixed, mixed[:1]), bounds)[::2]] if lines else []
-        if lines < len(at) and band < WINDOW_BANDS:
-            least.append(np.lib.stride_tricks.sliding_window_view(mixed, WINDOW - SHINGLE + 1)[at[lines:]].min(1))
-        least = np.concatenate(least) if least else np.zeros(0, np.uint64)
-        part = keys[: len(least), band]
-        part[:] = (part ^ least) * np.uint64(_BASE) + np.uint64(band + 1)
-        part ^= part >> np.uint64(32)
-    signed = keys.view(np.int64)
-    return [*signed[:lines], *signed[lines:, :WINDOW_BANDS]]
+        if lines:
+            of_lines.append(np.minimum.reduceat(np.append(mixed, mixed[:1]), bounds)[::2])
+        if lines < len(at) and k < WINDOW_ROWS:
+            of_windows.append(np.lib.stride_tricks.sliding_window_view(mixed, WINDOW - SHINGLE + 1)[at[lines:]].min(1))
+    return [*(_bands(of_lines, ROWS) if of_lines else ()), *(_bands(of_windows, WINDOW_ROWS) if of_windows else ())]
 
 
 def _spans(text: str, n: int) -> np.ndarray:
@@ -219,7 +226,8 @@ def shingles_for(wanted: DataFrame, docs: DataFrame, id_col: str = "doc_id", tex
             yield {"hash": list(found), "shingles": list(found.values())}
 
     got = map_arrow(rows, {"text": F.col("text"), "places": F.col("places")}, "hash bigint, shingles array<bigint>", run)
-    return cut(got.dropDuplicates(["hash"]))
+    once = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    return cut(got if once else got.dropDuplicates(["hash"]))
 
 
 def candidates(paras: DataFrame) -> tuple[DataFrame, DataFrame]:
