@@ -287,32 +287,46 @@ def test_toxicity_held_out_accuracy(scored):
 
 
 def test_toxicity_marginals_equal_plain_forward_backward(scored):
+    """Products of 2x2 matrices along each sequence, in place of messages as ratios; every word has features."""
     model = scored[2]
-    words = ["plain", "idiot", "of", "the", "moron", "scum", "and", "so", "on"]
-    at, marginals = model.tag(words)
-    alpha = np.array([0.5, 0.5])
-    psi = [np.array([1.0, np.exp(min(model.emission(w), 30.0))]) for w in words]
-    forward, back = [], [np.ones(2)]
-    for e in psi:
-        alpha = alpha @ model.step * e
-        alpha /= alpha.sum()
-        forward.append(alpha)
-    for e in psi[:0:-1]:
-        b = model.step @ (e * back[0])
-        back.insert(0, b / b.sum())
-    want = [(f * b / (f * b).sum())[1] for f, b in zip(forward, back, strict=True)]
-    assert at and marginals == pytest.approx([want[i] for i in at])
+    texts = [["plain", "idiot", "of", "the", "moron", "scum", "and", "so", "on"], [], ["a"], [f"w{k}" for k in range(100)] + ["trash"]]
+    got, sizes = model.tag(texts)
+    assert sizes.tolist() == [9, 0, 1, 101]
+    w, step, want = model.weights, np.exp(model.transitions), []
+    for text in texts:
+        for k in range(0, len(text), toxicity.SEQUENCE):
+            part = text[k : k + toxicity.SEQUENCE]
+            f = [toxicity.features_of(x) for x in part]
+            e = [model.bias + sum(float(w[x]) for x in f[i][: toxicity._OWN]) + (w[f[i - 1][toxicity._BEFORE]] if i else 0) + (w[f[i + 1][toxicity._AFTER]] if i + 1 < len(f) else 0) for i in range(len(f))]
+            psi = [np.diag([1.0, np.exp(min(x, 30.0))]) for x in e]
+            for i in range(len(part)):
+                ahead, back = np.ones(2) @ psi[0], np.ones(2)
+                for x in psi[1 : i + 1]:
+                    ahead = ahead @ step @ x
+                for x in psi[:i:-1]:
+                    back = step @ x @ back
+                want.append((ahead * back)[1] / (ahead @ back))
+    assert got == pytest.approx(np.array(want), rel=1e-5, abs=1e-9)
+    assert got[1] > 0.5 and got[4] > 0.5 and got[-1] > 0.5 and got[3] < 0.5
+    # what stands beside a word counts: the same word has another marginal elsewhere
+    assert len({round(float(model.tag([[a, "word", b]])[0][1]), 9) for a in ("the", "idiot") for b in ("so", "scum")}) == 4
 
 
 def test_toxicity_of_nothing(spark, scored):
     model = scored[2]
     got = toxicity.score(awkward(spark, [None, "", "x" * 3000]), model).collect()
     assert all(r["score"] < toxicity.THRESHOLD and r["spans"] == [] for r in got)
-    spans = toxicity.score(awkward(spark, ["you Idiot, you SCUM and idiot!"]), model).collect()[0]["spans"]
-    assert [(s["start"], s["end"]) for s in spans] == [(4, 9), (15, 19), (24, 29)]
+    spans = toxicity.score(awkward(spark, ["you Idiot, you SCUM and idiot!", "\u0130\u0130\u0130 you idiot"]), model).orderBy("doc_id").collect()
+    assert [[(s["start"], s["end"]) for s in r["spans"]] for r in spans if r["doc_id"] is not None] [:2] == [[(4, 9), (15, 19), (24, 29)], [(8, 13)]]
+    long = " ".join(f"w{k}" for k in range(300_000))
+    assert toxicity.score(awkward(spark, [long]), model).where("doc_id = 0").first()["score"] < toxicity.THRESHOLD
     assert toxicity.score(empty(spark), model).collect() == []
     none = toxicity.train(empty(spark), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert toxicity.score(awkward(spark, ["a"]), none).collect()[0]["score"] == 0.0
+    named = spark.createDataFrame([("a", None), ("b", "mild words"), ("b", "mild words"), (None, "x")], "doc_id string, text string")
+    marks = spark.createDataFrame([("a", 0), ("b", 1), ("b", 0), ("b", 0), ("c", 1), (None, 1), ("a", None)], "doc_id string, toxic int")
+    model = toxicity.train(named, marks)  # ids that aren't numbers; no word tells: the share of label 1
+    assert {r["score"] for r in toxicity.score(named, model).collect()} == {model.rate} and 0 < model.rate < 1
 
 
 def test_pipeline_stages_take_effect(spark, scored):
@@ -323,7 +337,7 @@ def test_pipeline_stages_take_effect(spark, scored):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     given = rows(docs)
     model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    left = {i: x for i, x in given.items() if model.score(model.tag(toxicity.words_of(x["text"]))[1]) < toxicity.THRESHOLD}
+    left = {i: x for i, x in given.items() if model.scores(model.tag([toxicity.words_of(x["text"])]))[0] < toxicity.THRESHOLD}
     comp = brute_components([(i, brute_fingerprint(x["text"])) for i, x in left.items()])
     left = {i: x for i, x in left.items() if comp[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
@@ -338,3 +352,20 @@ def test_pipeline_stages_take_effect(spark, scored):
     import hashlib
 
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()} == {i: x["decoded_sha256"] for i, x in out.items()}
+
+
+def test_pipeline_of_awkward_rows(spark):
+    """Nulls, empty texts, repeated rows, an empty table and extra columns pass every stage with their columns."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    texts = [None, "", "plain words of a text that nobody minds", "write to a.b@c.org now", "w " * 100_000]
+    for given in (awkward(spark, texts), empty(spark)):
+        frame = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, d)
+            assert frame.columns == given.columns, name
+        got = corpus_pipeline.STAGES[-1][1](spark, frame, d).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == (["0", "2", "3", "4", "None"] if given.count() else [])
+        kept = {r["doc_id"]: r["text"] for r in frame.collect()}
+        assert not kept or kept[3] == "write to [EMAIL] now"

@@ -75,6 +75,28 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that places stay: letters that are more than one there stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+#: Characters of text that a task holds as arrays or lists at a time (one longer text goes alone).
+CHUNK_CHARS = 2_000_000
+
+
+def portions(texts: list[str]):
+    """Begin and end of texts in a row that have about CHUNK_CHARS characters together."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK_CHARS:
+            yield start, k
+            start, size = k, 0
+        size += len(t) + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (as in
     tests on one machine) a folder under the warehouse is used and set."""

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, map_arrow, strings
+from tracelake.llm.common import cut, lowered, map_arrow, portions, strings
 from tracelake.llm.components import min_labels
 
 SHINGLE = 5
@@ -54,9 +54,6 @@ SMALL = 32
 SKETCH = 1 << 18
 SUMS = 16
 
-#: Characters of text that a task holds as arrays at a time (one longer text goes alone).
-CHUNK_CHARS = 2_000_000
-
 _SPACE, _ALONE = 1, 2
 _KINDS = np.zeros(0x110000, np.uint8)
 for _a, _b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):  # scripts without spaces
@@ -67,12 +64,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def lowered(text: str) -> str:
-    """Lower case of the same length: letters that are more than one there stay."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -139,18 +130,6 @@ class Words:
         return found[_apart(self.of[found], found, self.runs(found, WINDOW))]
 
 
-def portions(texts: list[str]):
-    """Places of texts in a row that have about CHUNK_CHARS characters together."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_CHARS:
-            yield start, k
-            start, size = k, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def lines_of(counts: list[int]) -> list[tuple[int, int]]:
     """First word and length of every paragraph of whole lines, from the number of words in each line."""
     out, at, first, held = [], 0, 0, 0  # held: words of the run of short lines so far

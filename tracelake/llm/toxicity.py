@@ -1,36 +1,41 @@
 """Operator 6: toxicity by a linear-chain conditional random field over words.
 
-Two states, clean and toxic. A word's features are itself and its beginnings of 4 to 8 letters;
-features of its neighbours count too, by the transitions. Labels are of documents, so the labelled
-tokens are weak ones: in a document labelled toxic, words with a feature that (over the sample) stands
-almost only in such documents are toxic, all others clean. Weights are fitted by gradient ascent on
-the conditional likelihood of labelled sequences. A document's score is a calibrated sum of its words'
-forward-backward marginals, and words above a half give the offending offsets.
-
-The fit is on a bounded sample: ``SAMPLE_ROWS`` labelled rows of each class, by least hash of the id,
-of at most ``SAMPLE_CHARS`` characters each. Scoring reads every text whole. A word without a known
-feature carries one and the same potential, so runs of them are taken as a power of one 2x2 matrix.
-
-Rows: null and empty texts are scored as texts without toxic words. Labels of null id or value don't
-count; a repeated label row counts again. Without labels of both classes every score is the share of
-label 1 (0 without labels). Empty documents give no rows. Of documents only id and text are read.
+Two states, clean and toxic, along sequences of ``SEQUENCE`` words. Every word has features: itself, its
+beginnings of 4 to 8 letters, its end, the word before and the word after it, hashed into ``SIZE`` weights.
+Labels are of documents, so labels of words are taken in two steps. At first, words of toxic documents with
+a feature that (over the sample) stands almost only in such documents count as toxic, all other words as
+clean. The field fitted to those tags the toxic documents again, by all features and transitions, and is
+fitted to what it found (``REFITS`` times). Weights are fitted by gradient ascent on the conditional
+likelihood. A document's score is a calibrated sum of its words' forward-backward marginals, as far as they
+are over ``FLOOR``, and words above a half give the offending offsets.
+
+The fit is on a bounded sample: ``SAMPLE_ROWS`` labelled rows of each class, by least hash of the id, whole;
+of a text of over ``SAMPLE_SEQUENCES`` sequences so many, by hash. Tasks send hashes of words, and the
+features of each distinct word once. Scoring reads every text whole.
+
+Rows: null and empty texts are scored as texts without words. Labels of null id or value don't count; a
+repeated label row counts again, and of differing ones the greatest counts. Without labels of both classes
+every score is the share of label 1 (0 without labels). Empty documents give no rows. Of documents only id
+and text are read; ``keep_clean`` carries the other columns along.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, slices, strings
+from tracelake.llm.common import cut, hold, lowered, map_arrow, portions, slices, strings
 
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_SEQUENCES = 128
 THRESHOLD = 0.7
 #: A feature marks words as toxic if it stands in so many toxic documents of the sample at least, in
 #: such a share of them (rarer ones are chance and copies), and so purely.
@@ -39,20 +44,76 @@ MIN_SHARE = 0.01
 MIN_PURITY = 0.95
 #: Words of a line that tells copies.
 COPY_WORDS = 20
-#: Words of a training sequence.
+#: Words of a sequence.
 SEQUENCE = 48
-STEPS = 80
+#: Of sequences without a word taken for toxic, one in so many is fitted.
+PLAIN = 8
+STEPS, REFIT_STEPS, REFITS = 60, 20, 1
+#: Marginals up to this are noise, which long texts would add up.
+FLOOR = 0.1
+SIZE = 1 << 20
+#: Words whose features a worker remembers.
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (4, 5, 6, 7, 8)
+#: Features of a word: it and its beginnings, its end; then what it says of the next word and of the one before.
+_OWN, _BEFORE, _AFTER = len(_BEGINNINGS) + 2, len(_BEGINNINGS) + 2, len(_BEGINNINGS) + 3
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(lowered(text))
 
 
-def features_of(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in _BEGINNINGS if len(word) > k)]
+def features_of(word: str) -> list[int]:
+    """The weights that a word asks for; SIZE, which is always 0, where it is too short."""
+    names = ["=" + word, *("^" + word[:k] if len(word) > k else "" for k in _BEGINNINGS), "$" + word[-3:] if len(word) > 3 else "", "<" + word, ">" + word]
+    return [xxhash.xxh3_64_intdigest(n) & (SIZE - 1) if n else SIZE for n in names]
+
+
+def ratios(emissions: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(emission) and, toxic to clean, the forward and backward messages: (words, sequences) each.
+
+    ``ends``: words of each sequence; behind them a backward message is 1.
+    """
+    a = np.exp(trans)
+    psi = np.exp(np.clip(emissions, -30, 30))
+    ahead, back = np.empty_like(psi), np.ones_like(psi)
+    ahead[0] = psi[0]
+    for j in range(1, len(psi)):
+        ahead[j] = psi[j] * (a[0, 1] + ahead[j - 1] * a[1, 1]) / (a[0, 0] + ahead[j - 1] * a[1, 0])
+    for j in range(len(psi) - 2, -1, -1):
+        v = psi[j + 1] * back[j + 1]
+        back[j] = np.where(ends > j + 1, (a[1, 0] + a[1, 1] * v) / (a[0, 0] + a[0, 1] * v), 1.0)
+    return psi, ahead, back
+
+
+def marginals(ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+    return ahead * back / (1 + ahead * back)
+
+
+class Sequences:
+    """Words of texts cut into sequences: where each word stands, the padded width and the length of each."""
+
+    def __init__(self, sizes: np.ndarray):
+        n = -(-sizes // SEQUENCE)
+        first = np.cumsum(n) - n
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.of = np.repeat(first, sizes) + at // SEQUENCE
+        self.at = at % SEQUENCE
+        self.n = int(n.sum())
+        self.ends = np.bincount(self.of, minlength=self.n)
+
+    def emissions(self, own: np.ndarray, before: np.ndarray, after: np.ndarray, bias: float) -> np.ndarray:
+        """(words, sequences), from what each word says of itself, of the next word and of the one before."""
+        e = own + bias
+        if len(e) > 1:
+            same = self.of[1:] == self.of[:-1]
+            e[1:] += before[:-1] * same
+            e[:-1] += after[1:] * same
+        out = np.zeros((SEQUENCE, self.n))
+        out[self.at, self.of] = e
+        return out
 
 
 @dataclass
@@ -60,155 +121,146 @@ class Model:
     """Weights of the field and of the calibration."""
 
     rate: float = 0.0
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = 0.0
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     slope: float = 0.0
     offset: float = 0.0
-
-    def __post_init__(self):
-        self.stems = {f.rstrip("*")[:4] for f in self.weights}
-        self.step = np.exp(self.transitions) * np.array([1.0, np.exp(self.bias)])
-        self.powers: dict[int, np.ndarray] = {}
-
-    def emission(self, word: str) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features_of(word))
-
-    def run(self, n: int) -> np.ndarray:
-        """The product of n steps over unknown words, scaled to a sum of 1."""
-        if n not in self.powers:
-            values, vectors = np.linalg.eig(self.step)
-            m = (vectors * (values / values.max()) ** n @ np.linalg.inv(vectors)).real
-            if len(self.powers) > 50_000:
-                self.powers.clear()
-            self.powers[n] = m / m.sum()
-        return self.powers[n]
-
-    def marginals(self, at: list[int], emissions: list[float], n: int) -> list[float]:
-        """The probability of toxic at the given positions of n words, by forward and backward passes."""
-        ahead, k = np.array([0.5, 0.5]), len(at)
-        forward = []
-        last = -1
-        for p, e in zip(at, emissions, strict=True):
-            v = ahead @ self.run(p - last - 1) if p - last > 1 else ahead
-            v = v @ self.step * np.array([1.0, np.exp(min(e, 30.0))])
-            ahead = v / v.sum()
-            forward.append(ahead)
-            last = p
-        back, out = np.ones(2), [0.0] * k
-        last = n
-        for j in range(k - 1, -1, -1):
-            v = self.run(last - at[j] - 1) @ back if last - at[j] > 1 else back
-            back = v / v.sum()
-            joint = forward[j] * back
-            out[j] = float(joint[1] / joint.sum())
-            v = self.step @ (back * np.array([1.0, np.exp(min(emissions[j], 30.0))]))
-            back = v / v.sum()
-            last = at[j]
-        return out
-
-    def tag(self, words: list[str]) -> tuple[list[int], list[float]]:
-        """Positions of words with a known feature, and their marginals."""
-        stems = self.stems
-        at, emissions = [], []
-        for i, w in enumerate(words):
-            if w[:4] in stems and (e := self.emission(w)):
-                at.append(i)
-                emissions.append(e)
-        return at, self.marginals(at, emissions, len(words)) if at else []
-
-    def score(self, marginals: list[float]) -> float:
-        if not self.weights:
-            return self.rate
-        return float(1 / (1 + np.exp(-(self.slope * np.log1p(sum(marginals)) + self.offset))))
-
-
-def fit(texts: list[str], labels: list[int], rate: float) -> Model:
-    """The model of a sample; ``rate`` is the share of label 1 among all labelled rows.
-
-    Copies count once, and so do near copies: texts of a class that share a line of ``COPY_WORDS`` words.
-    """
-    seen: set[tuple[int, str]] = set()
-    once = []
-    for t, y in zip(texts, labels, strict=True):
-        lines = {(y, x) for x in t.split("\n") if x.count(" ") >= COPY_WORDS - 1} or {(y, t)}
-        if seen.isdisjoint(lines):
-            once.append((t, y))
-        seen |= lines
-    texts, labels = [t for t, _ in once], [y for _, y in once]
-    docs = [words_of(t) for t in texts]
-    inside, outside = Counter(), Counter()
-    for words, y in zip(docs, labels, strict=True):
-        (inside if y else outside).update({f for w in set(words) for f in features_of(w)})
-    n1, n0 = sum(labels), len(labels) - sum(labels)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def said(self, words: list[str]) -> np.ndarray:
+        """For each word what it says of itself, the next and the one before: (words, 3)."""
+        ids, values = hold(("toxicity", self.key), lambda: ({}, np.zeros((REMEMBERED, 3))))
+        distinct = set(words)
+        new = [w for w in distinct if w not in ids]
+        if len(ids) + len(new) > len(values):
+            ids.clear()
+            new = list(distinct)
+            if len(new) > len(values):  # one text with very many distinct words
+                return self.of_features(np.array([features_of(w) for w in words]))
+        if new:
+            values[len(ids) : len(ids) + len(new)] = self.of_features(np.array([features_of(w) for w in new]))
+            ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+        return values[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
+
+    def of_features(self, features: np.ndarray) -> np.ndarray:
+        w = self.weights[features]
+        return np.stack([w[:, :_OWN].sum(1, dtype=float), w[:, _BEFORE], w[:, _AFTER]], 1)
+
+    def tag(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of toxic for each word of the texts, and the number of words of each text."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not len(self.weights) or not sizes.sum():
+            return np.zeros(sizes.sum()), sizes
+        said = self.said([w for t in texts for w in t])
+        seq = Sequences(sizes)
+        _, ahead, back = ratios(seq.emissions(*said.T, self.bias), seq.ends, self.transitions)
+        return marginals(ahead, back)[seq.at, seq.of], sizes
+
+    def scores(self, tagged: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        p, sizes = tagged
+        if not len(self.weights):
+            return np.full(len(sizes), self.rate)
+        return 1 / (1 + np.exp(-(self.slope * mass(p, sizes) + self.offset)))
+
+
+def mass(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log(1 + expected toxic words) of each text."""
+    over = np.maximum(0, p - FLOOR) / (1 - FLOOR)
+    return np.log1p(np.bincount(np.repeat(np.arange(len(sizes)), sizes), over, len(sizes)))
+
+
+def _once(lines: list[np.ndarray], labels: np.ndarray) -> list[int]:
+    """Copies count once, and so do near copies: texts of a class that share a line of ``COPY_WORDS`` words."""
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for k, (held, y) in enumerate(zip(lines, labels.tolist(), strict=True)):
+        own = {(y, h) for h in held.tolist()}
+        if seen.isdisjoint(own):
+            keep.append(k)
+        seen |= own
+    return keep
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, features: np.ndarray, rate: float) -> Model:
+    """The model of a sample: texts as numbers of words, features by word; ``rate``: share of label 1 among all labelled rows."""
+    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     if not n1 or not n0:
         return Model(rate)
-    pure = {f for f, k in inside.items() if k >= max(MIN_DOCS, MIN_SHARE * n1) and k / n1 >= MIN_PURITY * (k / n1 + (outside[f] + 0.5) / n0)}
-    if not pure:
+    stems = features[:, : _OWN - 1]
+    counts = np.zeros((2, SIZE + 1))
+    for words, y in zip(docs, labels.tolist(), strict=True):
+        counts[y, np.unique(stems[np.unique(words)])] += 1
+    counts[:, SIZE] = 0
+    inside, outside = counts[1] / n1, (counts[0] + 0.5) / n0
+    pure = (counts[1] >= max(MIN_DOCS, MIN_SHARE * n1)) & (inside >= MIN_PURITY * (inside + outside))
+    if not pure.any():
         return Model(rate)
-    index = {f: i for i, f in enumerate(sorted(pure))}
-    rows, targets, lengths, plain = [], [], [], 0
-    for words, y in zip(docs, labels, strict=True):
-        marks = [[index[f] for f in features_of(w) if f in index] for w in words]
-        for a in range(0, len(words), SEQUENCE):
-            part = marks[a : a + SEQUENCE]
-            if any(part) or (plain := plain + 1) % 25 == 0:  # sequences without a known feature are all alike: a few will do
-                rows.append(part)
-                targets.append([int(bool(m) and y) for m in part])
-                lengths.append(len(part))
-    return _calibrated(*_ascend(rows, targets, np.array(lengths), len(index)), index, docs, labels, rate)
-
-
-def _ascend(rows, targets, lengths, n_features: int):
-    """Weights that make the targets likely: Adam on the penalised conditional likelihood."""
-    s, t = len(rows), SEQUENCE
-    where = np.array([(i, j, f) for i, row in enumerate(rows) for j, m in enumerate(row) for f in m], np.int64).reshape(-1, 3)
-    gold = np.zeros((s, t), np.int64)
-    for i, y in enumerate(targets):
-        gold[i, : len(y)] = y
-    mask = np.arange(t) < lengths[:, None]
-    theta = np.zeros(n_features + 5)
-    theta[n_features] = -2.0
+    toxic_words = pure[stems].any(1)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    flat = np.concatenate(docs)
+    of_toxic = np.repeat(labels > 0, sizes)
+    gold = toxic_words[flat] & of_toxic
+    model = Model(rate, np.zeros(SIZE + 1), -2.0)
+    for k in range(REFITS + 1):
+        if k:  # what the field finds in toxic documents, by all that it has learned
+            gold = of_toxic & (gold | (_tagged(model, flat, sizes, features) > 0.5))
+        model = _ascend(model, flat, sizes, gold, features, REFIT_STEPS if k else STEPS)
+    return _calibrated(model, mass(_tagged(model, flat, sizes, features), sizes), labels, rate)
+
+
+def _tagged(model: Model, flat: np.ndarray, sizes: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Marginals of a sample's words, a thousand texts at a time."""
+    said, out, at = model.of_features(features), [], 0
+    for k in range(0, len(sizes), 1000):
+        n = sizes[k : k + 1000].sum()
+        seq = Sequences(sizes[k : k + 1000])
+        _, ahead, back = ratios(seq.emissions(*said[flat[at : at + n]].T, model.bias), seq.ends, model.transitions)
+        out.append(marginals(ahead, back)[seq.at, seq.of])
+        at += n
+    return np.concatenate(out)
+
+
+def _ascend(model: Model, flat: np.ndarray, sizes: np.ndarray, gold: np.ndarray, features: np.ndarray, steps: int) -> Model:
+    """Weights that make the targets likely: Adam on the penalised conditional likelihood, from those of ``model``."""
+    seq = Sequences(sizes)
+    marked = np.bincount(seq.of, gold, seq.n) > 0
+    chosen = marked | (np.arange(seq.n) * 0x9E3779B1 % PLAIN == 0)
+    keep = chosen[seq.of]
+    flat, gold = flat[keep], gold[keep].astype(float)
+    seq = Sequences(seq.ends[chosen])
+    known, flat = np.unique(flat, return_inverse=True)
+    features = features[known]
+    inner = np.arange(1, SEQUENCE)[:, None] < seq.ends
+    padded = np.zeros((SEQUENCE, seq.n))
+    padded[seq.at, seq.of] = gold
+    pairs = np.array([[np.sum((padded[:-1] == a) & (padded[1:] == b) & inner) for b in (0, 1)] for a in (0, 1)], float)
+    same = seq.of[1:] == seq.of[:-1]
+    theta = np.concatenate((model.weights, [model.bias], model.transitions.ravel()))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    both = mask[:, 1:]
-    pairs = np.array([[np.sum((gold[:, :-1] == a) & (gold[:, 1:] == b) & both) for b in (0, 1)] for a in (0, 1)], float)
-    for step in range(1, STEPS + 1):
-        w, bias, trans = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
-        e1 = np.full((s, t), bias)
-        e1 += np.bincount(where[:, 0] * t + where[:, 1], w[where[:, 2]], s * t).reshape(s, t)
-        psi = np.stack([np.ones((s, t)), np.exp(np.clip(e1, -30, 30))], -1)
-        a = np.exp(trans)
-        alpha, beta = np.zeros((s, t, 2)), np.ones((s, t, 2))
-        alpha[:, 0] = psi[:, 0] / psi[:, 0].sum(-1, keepdims=True)
-        for j in range(1, t):
-            v = alpha[:, j - 1] @ a * psi[:, j]
-            v /= v.sum(-1, keepdims=True)
-            alpha[:, j] = np.where(mask[:, j, None], v, alpha[:, j - 1])
-        expected = np.zeros((2, 2))
-        for j in range(t - 2, -1, -1):
-            v = psi[:, j + 1] * beta[:, j + 1]
-            joint = alpha[:, j, :, None] * a * v[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            expected += joint[mask[:, j + 1]].sum(0)
-            v = v @ a.T
-            v /= v.sum(-1, keepdims=True)
-            beta[:, j] = np.where(mask[:, j + 1, None], v, 1.0)
-        post = alpha * beta
-        p1 = post[..., 1] / post.sum(-1)
-        residual = (gold - p1) * mask
-        grad = np.concatenate([np.bincount(where[:, 2], residual[where[:, 0], where[:, 1]], n_features), [residual.sum()], (pairs - expected).ravel()])
-        grad = grad / s - 1e-4 * theta
+    for step in range(1, steps + 1):
+        now = Model(0.0, theta[: SIZE + 1], theta[SIZE + 1], theta[SIZE + 2 :].reshape(2, 2), key="")
+        psi, ahead, back = ratios(seq.emissions(*now.of_features(features)[flat].T, now.bias), seq.ends, now.transitions)
+        a, v, r = np.exp(now.transitions), psi[1:] * back[1:], ahead[:-1]
+        joint = np.stack([np.full_like(v, a[0, 0]), a[0, 1] * v, a[1, 0] * r, a[1, 1] * r * v])
+        expected = (joint / joint.sum(0) * inner).sum((1, 2)).reshape(2, 2)
+        residual = gold - marginals(ahead, back)[seq.at, seq.of]
+        own = np.bincount(flat, residual, len(known))
+        before = np.bincount(flat[:-1], residual[1:] * same, len(known))
+        after = np.bincount(flat[1:], residual[:-1] * same, len(known))
+        by_word = np.concatenate([np.repeat(own[:, None], _OWN, 1), before[:, None], after[:, None]], 1)
+        grad = np.concatenate([np.bincount(features.ravel(), by_word.ravel(), SIZE + 1), [residual.sum()], (pairs - expected).ravel()])
+        grad[SIZE] = 0
+        grad = grad / seq.n - 1e-4 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    return theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
+        theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        theta[SIZE] = 0
+    return Model(model.rate, theta[: SIZE + 1], float(theta[SIZE + 1]), theta[SIZE + 2 :].reshape(2, 2))
 
 
-def _calibrated(w, bias, trans, index, docs, labels, rate: float) -> Model:
+def _calibrated(model: Model, x: np.ndarray, labels: np.ndarray, rate: float) -> Model:
     """The field with a logistic curve over log(1 + expected toxic words), fitted at the true share of label 1."""
-    model = Model(rate, {f: float(w[i]) for f, i in index.items()}, float(bias), trans)
-    x = np.log1p([sum(model.tag(d)[1]) for d in docs])
-    y = np.array(labels, float)
+    y = labels.astype(float)
     n1 = y.sum()
     weight = np.where(y > 0, rate / n1, (1 - rate) / (len(y) - n1)) * len(y)
     design = np.stack([x, np.ones_like(x)], 1)
@@ -218,7 +270,7 @@ def _calibrated(w, bias, trans, index, docs, labels, rate: float) -> Model:
         grad = design.T @ (weight * (y - p)) - 0.05 * theta
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
         theta = theta + np.linalg.solve(hess, grad)
-    return Model(rate, model.weights, model.bias, trans, float(theta[0]), float(theta[1]))
+    return Model(rate, model.weights.astype(np.float32), model.bias, model.transitions, float(theta[0]), float(theta[1]))
 
 
 def held_out(id_col: Column) -> Column:
@@ -226,20 +278,49 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def _hashed(words) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits the field on the driver, on a bounded sample of labelled documents that aren't held out."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
+    known = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     counts = {r["y"]: r["count"] for r in known.groupBy(F.col("y").isin(1).cast("int").alias("y")).count().collect()}
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    order = [F.xxhash64("id"), F.col("id")]
-    chosen = [(r["id"], int(y)) for y in (0, 1) for r in known.where((F.col("y") == 1) if y else (F.col("y") != 1)).orderBy(*order).limit(sample_rows).collect()]
-    spark = docs.sparkSession
+    once = known.groupBy("id").agg(F.max((F.col("y") == 1).cast("int")).alias("y"))
+    chosen = [(r["id"], y) for y in (0, 1) for r in once.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
     if not chosen:
         return Model(rate)
-    picked = F.broadcast(spark.createDataFrame(chosen, "__id long, __y int").dropDuplicates(["__id"]))  # 2 * sample_rows ids at most
-    got = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("t")).where(F.char_length("t") <= sample_chars).join(picked, "__id").select("__id", "t", "__y").collect()
-    got.sort(key=lambda r: (r["__id"], r["t"]))
-    return fit([r["t"] for r in got], [r["__y"] for r in got], rate)
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "__id string, __y int"))  # 2 * sample_rows ids at most
+    texts = docs.select(F.col("doc_id").cast("string").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "__id")
+    texts = cut(texts.select(F.col("__id").alias("id"), F.col("__y").alias("y"), "text"))
+
+    def sequences(words: list[str]) -> list[str]:
+        n = -(-len(words) // SEQUENCE)
+        if n <= SAMPLE_SEQUENCES:
+            return words
+        some = sorted(sorted(range(n), key=lambda k: zlib.crc32(b"%d" % k))[:SAMPLE_SEQUENCES])
+        return [w for k in some for w in words[k * SEQUENCE : (k + 1) * SEQUENCE]]
+
+    def read(batch):
+        found = [sequences(words_of(t)) for t in strings(batch, "text")]
+        lines = [[x for x in t.split("\n") if x.count(" ") >= COPY_WORDS - 1] or [t] for t in strings(batch, "text")]
+        yield {"id": batch.column("id"), "y": batch.column("y"), "words": [_hashed(w) for w in found], "lines": [_hashed(x) for x in lines]}
+
+    def vocabulary(batch):
+        words = list({w for t in strings(batch, "text") for w in words_of(t)})
+        yield {"word": _hashed(words), "features": [features_of(w) for w in words]}
+
+    seen = map_arrow(texts, {c: F.col(c) for c in ("id", "y", "text")}, "id string, y int, words array<bigint>, lines array<bigint>", read).toArrow().sort_by([("id", "ascending")])
+    if not seen.num_rows:
+        return Model(rate)
+    table = map_arrow(texts, {"text": F.col("text")}, "word bigint, features array<int>", vocabulary).dropDuplicates(["word"]).toArrow()
+    arrays = lambda name: [x.values.to_numpy(zero_copy_only=False) if len(x.values) else np.zeros(0, np.int64) for x in seen.column(name)]
+    labels_of, words, order = seen.column("y").to_numpy(), arrays("words"), np.argsort(table.column("word").to_numpy())
+    keep = _once(arrays("lines"), labels_of)
+    names = table.column("word").to_numpy()[order]
+    features = pa.chunked_array(table.column("features")).combine_chunks().flatten().to_numpy().reshape(-1, _AFTER + 1)[order]
+    return fit([np.searchsorted(names, words[k]) for k in keep], labels_of[keep].astype(np.int64), features, rate)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,14 +330,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batch):
         m = shared.value
-        scores, spans = [], []
-        for text in strings(batch, "text"):
-            at, marginals = m.tag(words_of(text))
-            scores.append(m.score(marginals))
-            toxic = {i for i, p in zip(at, marginals, strict=True) if p > 0.5}
-            found = [x.span() for i, x in enumerate(_WORD.finditer(text.lower())) if i in toxic] if toxic else []
-            spans.append([{"start": a, "end": b} for a, b in found])
-        yield {id_col: batch.column("id"), "score": scores, "spans": spans}
+        for a, b in portions(texts := strings(batch, "text")):
+            p, sizes = tagged = m.tag([words_of(t) for t in texts[a:b]])
+            spans = [[] for _ in sizes]
+            ends = np.cumsum(sizes)
+            toxic = np.flatnonzero(p > 0.5)
+            of = np.searchsorted(ends, toxic, "right")
+            for k in np.unique(of).tolist():
+                here = {*(toxic[of == k] - (ends[k] - sizes[k])).tolist()}
+                spans[k] = [dict(zip(("start", "end"), x.span(), strict=True)) for i, x in enumerate(_WORD.finditer(lowered(texts[a + k]))) if i in here]
+            yield {id_col: batch.column("id").slice(a, b - a), "score": m.scores(tagged), "spans": spans}
 
     return map_arrow(docs, {"id": F.col(id_col), "text": F.col(text_col).cast("string")}, f"`{id_col}` {id_type}, score double, spans array<struct<start:int,end:int>>", run)
 
@@ -266,12 +349,11 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
-
         m = shared.value
         for batch in slices(batches):
-            clean = [m.score(m.tag(words_of(t))[1]) < threshold for t in strings(batch, "text")]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for a, b in portions(texts := strings(batch, "text")):
+                scores = m.scores(m.tag([words_of(t) for t in texts[a:b]]))
+                yield batch.slice(a, b - a).filter(pa.array(scores < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
