@@ -9,9 +9,10 @@ fitted to what it found (``REFITS`` times). Weights are fitted by gradient ascen
 likelihood. A document's score is a calibrated sum of its words' forward-backward marginals, as far as they
 are over ``FLOOR``, and words above a half give the offending offsets.
 
-The fit is on a bounded sample: ``SAMPLE_ROWS`` labelled rows of each class, by least hash of the id, whole;
-of a text of over ``SAMPLE_SEQUENCES`` sequences so many, by hash. Tasks send hashes of words, and the
-features of each distinct word once. Scoring reads every text whole.
+The fit is on a bounded sample: ``SAMPLE_ROWS`` labelled rows of each class, by least hash of the id. Tasks
+read them whole, count their features, tag their words, and send the driver the sequences to fit: those with
+a toxic word and one in ``PLAIN`` of the others, at most ``SAMPLE_SEQUENCES`` of a text, by hash. Scoring
+reads every text whole.
 
 Rows: null and empty texts are scored as texts without words. Labels of null id or value don't count; a
 repeated label row counts again, and of differing ones the greatest counts. Without labels of both classes
@@ -170,73 +171,21 @@ def mass(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.log1p(np.bincount(np.repeat(np.arange(len(sizes)), sizes), over, len(sizes)))
 
 
-def _once(lines: list[np.ndarray], labels: np.ndarray) -> list[int]:
-    """Copies count once, and so do near copies: texts of a class that share a line of ``COPY_WORDS`` words."""
-    seen: set[tuple[int, int]] = set()
-    keep = []
-    for k, (held, y) in enumerate(zip(lines, labels.tolist(), strict=True)):
-        own = {(y, h) for h in held.tolist()}
-        if seen.isdisjoint(own):
-            keep.append(k)
-        seen |= own
-    return keep
-
+def _ascend(model: Model, words: pa.Array, ends: np.ndarray, gold: np.ndarray, steps: int) -> Model:
+    """Weights that make the targets likely: Adam on the penalised conditional likelihood, from those of ``model``.
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, features: np.ndarray, rate: float) -> Model:
-    """The model of a sample: texts as numbers of words, features by word; ``rate``: share of label 1 among all labelled rows."""
-    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-    if not n1 or not n0:
-        return Model(rate)
-    stems = features[:, : _OWN - 1]
-    counts = np.zeros((2, SIZE + 1))
-    for words, y in zip(docs, labels.tolist(), strict=True):
-        counts[y, np.unique(stems[np.unique(words)])] += 1
-    counts[:, SIZE] = 0
-    inside, outside = counts[1] / n1, (counts[0] + 0.5) / n0
-    pure = (counts[1] >= max(MIN_DOCS, MIN_SHARE * n1)) & (inside >= MIN_PURITY * (inside + outside))
-    if not pure.any():
-        return Model(rate)
-    toxic_words = pure[stems].any(1)
-    sizes = np.array([len(d) for d in docs], np.int64)
-    flat = np.concatenate(docs)
-    of_toxic = np.repeat(labels > 0, sizes)
-    gold = toxic_words[flat] & of_toxic
-    model = Model(rate, np.zeros(SIZE + 1), -2.0)
-    for k in range(REFITS + 1):
-        if k:  # what the field finds in toxic documents, by all that it has learned
-            gold = of_toxic & (gold | (_tagged(model, flat, sizes, features) > 0.5))
-        model = _ascend(model, flat, sizes, gold, features, REFIT_STEPS if k else STEPS)
-    return _calibrated(model, mass(_tagged(model, flat, sizes, features), sizes), labels, rate)
-
-
-def _tagged(model: Model, flat: np.ndarray, sizes: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Marginals of a sample's words, a thousand texts at a time."""
-    said, out, at = model.of_features(features), [], 0
-    for k in range(0, len(sizes), 1000):
-        n = sizes[k : k + 1000].sum()
-        seq = Sequences(sizes[k : k + 1000])
-        _, ahead, back = ratios(seq.emissions(*said[flat[at : at + n]].T, model.bias), seq.ends, model.transitions)
-        out.append(marginals(ahead, back)[seq.at, seq.of])
-        at += n
-    return np.concatenate(out)
-
-
-def _ascend(model: Model, flat: np.ndarray, sizes: np.ndarray, gold: np.ndarray, features: np.ndarray, steps: int) -> Model:
-    """Weights that make the targets likely: Adam on the penalised conditional likelihood, from those of ``model``."""
-    seq = Sequences(sizes)
-    marked = np.bincount(seq.of, gold, seq.n) > 0
-    chosen = marked | (np.arange(seq.n) * 0x9E3779B1 % PLAIN == 0)
-    keep = chosen[seq.of]
-    flat, gold = flat[keep], gold[keep].astype(float)
-    seq = Sequences(seq.ends[chosen])
-    known, flat = np.unique(flat, return_inverse=True)
-    features = features[known]
+    ``words`` and ``gold``: all sequences one after the other; ``ends``: the length of each.
+    """
+    coded = words.dictionary_encode()
+    flat = coded.indices.to_numpy()
+    features = np.array([features_of(w) for w in coded.dictionary.to_pylist()], np.int32)
+    seq, known = Sequences(ends), len(features)
     inner = np.arange(1, SEQUENCE)[:, None] < seq.ends
     padded = np.zeros((SEQUENCE, seq.n))
     padded[seq.at, seq.of] = gold
     pairs = np.array([[np.sum((padded[:-1] == a) & (padded[1:] == b) & inner) for b in (0, 1)] for a in (0, 1)], float)
     same = seq.of[1:] == seq.of[:-1]
-    theta = np.concatenate((model.weights, [model.bias], model.transitions.ravel()))
+    theta = np.concatenate((model.weights.astype(float), [model.bias], model.transitions.ravel()))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         now = Model(0.0, theta[: SIZE + 1], theta[SIZE + 1], theta[SIZE + 2 :].reshape(2, 2), key="")
@@ -245,17 +194,14 @@ def _ascend(model: Model, flat: np.ndarray, sizes: np.ndarray, gold: np.ndarray,
         joint = np.stack([np.full_like(v, a[0, 0]), a[0, 1] * v, a[1, 0] * r, a[1, 1] * r * v])
         expected = (joint / joint.sum(0) * inner).sum((1, 2)).reshape(2, 2)
         residual = gold - marginals(ahead, back)[seq.at, seq.of]
-        own = np.bincount(flat, residual, len(known))
-        before = np.bincount(flat[:-1], residual[1:] * same, len(known))
-        after = np.bincount(flat[1:], residual[:-1] * same, len(known))
-        by_word = np.concatenate([np.repeat(own[:, None], _OWN, 1), before[:, None], after[:, None]], 1)
-        grad = np.concatenate([np.bincount(features.ravel(), by_word.ravel(), SIZE + 1), [residual.sum()], (pairs - expected).ravel()])
+        by_word = [np.bincount(flat, residual, known)] * _OWN + [np.bincount(flat[:-1], residual[1:] * same, known), np.bincount(flat[1:], residual[:-1] * same, known)]
+        grad = np.concatenate([sum(np.bincount(features[:, k], x, SIZE + 1) for k, x in enumerate(by_word)), [residual.sum()], (pairs - expected).ravel()])
         grad[SIZE] = 0
         grad = grad / seq.n - 1e-4 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
         theta[SIZE] = 0
-    return Model(model.rate, theta[: SIZE + 1], float(theta[SIZE + 1]), theta[SIZE + 2 :].reshape(2, 2))
+    return Model(model.rate, theta[: SIZE + 1].astype(np.float32), float(theta[SIZE + 1]), theta[SIZE + 2 :].reshape(2, 2))
 
 
 def _calibrated(model: Model, x: np.ndarray, labels: np.ndarray, rate: float) -> Model:
@@ -270,7 +216,7 @@ def _calibrated(model: Model, x: np.ndarray, labels: np.ndarray, rate: float) ->
         grad = design.T @ (weight * (y - p)) - 0.05 * theta
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
         theta = theta + np.linalg.solve(hess, grad)
-    return Model(rate, model.weights.astype(np.float32), model.bias, model.transitions, float(theta[0]), float(theta[1]))
+    return Model(rate, model.weights, model.bias, model.transitions, float(theta[0]), float(theta[1]))
 
 
 def held_out(id_col: Column) -> Column:
@@ -278,12 +224,9 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _hashed(words) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
-
-
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the field on the driver, on a bounded sample of labelled documents that aren't held out."""
+    """Fits the field on a bounded sample of labelled documents that aren't held out: tasks read and tag texts, the driver gets sequences."""
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     counts = {r["y"]: r["count"] for r in known.groupBy(F.col("y").isin(1).cast("int").alias("y")).count().collect()}
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -291,36 +234,94 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = [(r["id"], y) for y in (0, 1) for r in once.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
     if not chosen:
         return Model(rate)
-    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "__id string, __y int"))  # 2 * sample_rows ids at most
+    picked = F.broadcast(spark.createDataFrame(chosen, "__id string, __y int"))  # 2 * sample_rows ids at most
     texts = docs.select(F.col("doc_id").cast("string").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "__id")
-    texts = cut(texts.select(F.col("__id").alias("id"), F.col("__y").alias("y"), "text"))
-
-    def sequences(words: list[str]) -> list[str]:
-        n = -(-len(words) // SEQUENCE)
-        if n <= SAMPLE_SEQUENCES:
-            return words
-        some = sorted(sorted(range(n), key=lambda k: zlib.crc32(b"%d" % k))[:SAMPLE_SEQUENCES])
-        return [w for k in some for w in words[k * SEQUENCE : (k + 1) * SEQUENCE]]
-
-    def read(batch):
-        found = [sequences(words_of(t)) for t in strings(batch, "text")]
-        lines = [[x for x in t.split("\n") if x.count(" ") >= COPY_WORDS - 1] or [t] for t in strings(batch, "text")]
-        yield {"id": batch.column("id"), "y": batch.column("y"), "words": [_hashed(w) for w in found], "lines": [_hashed(x) for x in lines]}
-
-    def vocabulary(batch):
-        words = list({w for t in strings(batch, "text") for w in words_of(t)})
-        yield {"word": _hashed(words), "features": [features_of(w) for w in words]}
-
-    seen = map_arrow(texts, {c: F.col(c) for c in ("id", "y", "text")}, "id string, y int, words array<bigint>, lines array<bigint>", read).toArrow().sort_by([("id", "ascending")])
-    if not seen.num_rows:
+    texts = cut(texts.select(F.col("__id").alias("id"), F.col("__y").alias("y"), "text", F.monotonically_increasing_id().alias("row")))
+    texts, n1, n0 = _without_copies(texts)
+    if not n1 or not n0:
         return Model(rate)
-    table = map_arrow(texts, {"text": F.col("text")}, "word bigint, features array<int>", vocabulary).dropDuplicates(["word"]).toArrow()
-    arrays = lambda name: [x.values.to_numpy(zero_copy_only=False) if len(x.values) else np.zeros(0, np.int64) for x in seen.column(name)]
-    labels_of, words, order = seen.column("y").to_numpy(), arrays("words"), np.argsort(table.column("word").to_numpy())
-    keep = _once(arrays("lines"), labels_of)
-    names = table.column("word").to_numpy()[order]
-    features = pa.chunked_array(table.column("features")).combine_chunks().flatten().to_numpy().reshape(-1, _AFTER + 1)[order]
-    return fit([np.searchsorted(names, words[k]) for k in keep], labels_of[keep].astype(np.int64), features, rate)
+    pure = _pure_features(texts, n1, n0)
+    if not pure:
+        return Model(rate)
+    model = Model(rate, np.zeros(SIZE + 1, np.float32), -2.0)
+    for k in range(REFITS + 1):
+        model = _ascend(model, *_sequences(texts, pure, model if k else None), REFIT_STEPS if k else STEPS)
+    shared = spark.sparkContext.broadcast(model)
+
+    def masses(batch):
+        yield {"id": batch.column("id"), "y": batch.column("y"), "x": mass(*shared.value.tag([words_of(t) for t in strings(batch, "text")]))}
+
+    found = sorted(tuple(r) for r in map_arrow(texts, {c: F.col(c) for c in ("id", "y", "text")}, "id string, y int, x double", masses).collect())
+    return _calibrated(model, np.array([x for _, _, x in found]), np.array([y for _, y, _ in found]), rate)
+
+
+def _without_copies(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """Copies count once, and so do near copies: texts of a class that share a line of ``COPY_WORDS`` words. And the rows of each class."""
+
+    def lines(batch):
+        held = [[x for x in t.split("\n") if x.count(" ") >= COPY_WORDS - 1] or [t] for t in strings(batch, "text")]
+        yield {c: batch.column(c) for c in ("id", "y", "row")} | {"lines": [np.array([xxhash.xxh3_64_intdigest(x) for x in of], np.uint64).view(np.int64) for of in held]}
+
+    rows = map_arrow(texts, {c: F.col(c) for c in ("id", "y", "row", "text")}, "id string, y int, row bigint, lines array<bigint>", lines).collect()
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for r in sorted(rows, key=lambda r: (r["id"], r["lines"])):
+        own = {(r["y"], h) for h in r["lines"]}
+        if seen.isdisjoint(own):
+            keep.append((r["row"], r["y"]))
+        seen |= own
+    kept = texts.join(F.broadcast(texts.sparkSession.createDataFrame([(k,) for k, _ in keep], "row bigint")), "row") if keep else texts.where("false")
+    n1 = sum(y for _, y in keep)
+    return cut(kept), n1, len(keep) - n1
+
+
+def _pure_features(texts: DataFrame, n1: int, n0: int) -> frozenset[int]:
+    """Features that stand almost only in toxic documents; their number is bounded by MIN_SHARE."""
+
+    def count(batch):
+        y = np.array(batch.column("y").to_pylist())
+        counts = np.zeros((2, SIZE + 1), np.int32)
+        for label, text in zip(y, strings(batch, "text"), strict=True):
+            stems = {f for w in set(words_of(text)) for f in features_of(w)[: _OWN - 1]}
+            counts[label, list(stems)] += 1
+        counts[:, SIZE] = 0
+        used = np.flatnonzero(counts.any(0))
+        yield {"feature": used, "n0": counts[0, used], "n1": counts[1, used]}
+
+    counted = map_arrow(texts, {"y": F.col("y"), "text": F.col("text")}, "feature int, n0 bigint, n1 bigint", count).groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    inside, outside = F.col("n1") / n1, (F.col("n0") + 0.5) / n0
+    found = counted.where((F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n1)) & (inside >= MIN_PURITY * (inside + outside)))
+    return frozenset(r["feature"] for r in found.select("feature").collect())
+
+
+def _sequences(texts: DataFrame, pure: frozenset[int], model: Model | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The sequences to fit: their words, lengths and targets. Words of toxic documents are toxic by a pure feature, or as ``model`` tags them."""
+    shared = texts.sparkSession.sparkContext.broadcast((pure, model))
+
+    def run(batch):
+        pure, model = shared.value
+        toxic_words: dict[str, bool] = {}
+        out: dict[str, list] = {k: [] for k in ("id", "k", "words", "gold")}
+        for doc, y, text in zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), strings(batch, "text"), strict=True):
+            words = words_of(text)
+            gold = np.zeros(len(words), bool)
+            if y:
+                toxic_words |= {w: not pure.isdisjoint(features_of(w)[: _OWN - 1]) for w in set(words) - toxic_words.keys()}
+                gold[:] = [toxic_words[w] for w in words]
+                if model is not None:
+                    gold |= model.tag([words])[0] > 0.5
+            order = [(xxhash.xxh3_64_intdigest(f"{doc} {k}"), k) for k in range(-(-len(words) // SEQUENCE))]
+            fits = [(h, k) for h, k in order if gold[k * SEQUENCE : (k + 1) * SEQUENCE].any() or h % PLAIN == 0]
+            for _, k in sorted(fits)[:SAMPLE_SEQUENCES]:
+                for c, v in (("id", doc), ("k", k), ("words", words[k * SEQUENCE : (k + 1) * SEQUENCE]), ("gold", gold[k * SEQUENCE : (k + 1) * SEQUENCE])):
+                    out[c].append(v)
+        yield out
+
+    found = map_arrow(texts, {c: F.col(c) for c in ("id", "y", "text")}, "id string, k int, words array<string>, gold array<boolean>", run).toArrow().sort_by([("id", "ascending"), ("k", "ascending")])
+    words, gold = (found.column(c).combine_chunks() for c in ("words", "gold"))
+    if isinstance(words, pa.ChunkedArray):
+        words, gold = (pa.concat_arrays(x.chunks) for x in (words, gold))
+    return words.flatten(), np.diff(words.offsets.to_numpy()).astype(np.int64), gold.flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
