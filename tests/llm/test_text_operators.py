@@ -4,7 +4,9 @@ import base64
 import hashlib
 import random
 import re
-
+import time
+from collections import Counter
+import time
 import public_tokenizers
 import pytest
 import tiktoken
@@ -140,6 +142,10 @@ def test_pii_base_equals_patterns(spark, sf_dir):
         ("at 192 dot 168 dot 1 dot 10 there", "ip", "192 dot 168 dot 1 dot 10"),
         ("１９２．１６８．１．１", "ip", "１９２．１６８．１．１"),
         ("ja​ne@mail.example.org", "email", "ja​ne@mail.example.org"),
+        ("host 192.168.one.one up", "ip", "192.168.one.one"),
+        ("see bob_at_site_dot_org there", "email", "bob_at_site_dot_org"),
+        ("write to bob at site.org today", "email", "bob at site.org"),
+        ("or jane.doe at example.com", "email", "jane.doe at example.com"),
         ("no: 4１11 1111 1111 1111 yes", "card", "4１11 1111 1111 1111"),
         ("Ümläute é vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins", "card", "vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins"),
     ],
@@ -154,6 +160,47 @@ def test_pii_plain_text_gains_nothing(spark, sf_dir):
         assert pii.disguised_spans(text, pii.base_spans(text)) == []
 
 
+def disguised(r):
+    """A kind, and a disguise of it made by a rule."""
+    kind = r.choice(pii.KINDS)
+    if kind == "email":
+        name = "".join(r.choices("abcdefgh", k=5)) + "." + "".join(r.choices("klmno", k=4))
+        site = "".join(r.choices("pqrstu", k=6))
+        at, dot = r.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("{@}", "."), (" @ ", " . "), ("_at_", "_dot_"), (" at ", ".")])
+        return kind, f"{name}{at}{site}{dot}{r.choice(['com', 'org', 'net'])}"
+    digits = "zero one two three four five six seven eight nine".split()
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() and r.random() < 0.5 else c for c in s) + "\u200b"
+    if kind == "ip":
+        parts = [str(r.randrange(256)) for _ in range(4)]
+        return kind, r.choice([" dot ".join(parts), "[.]".join(parts), " (dot) ".join(parts), ".".join([*parts[:2], digits[r.randrange(10)], digits[r.randrange(10)]])])
+    if kind == "card":
+        d = [r.randrange(10) for _ in range(15)]
+        d += [c for c in range(10) if pii.luhn("".join(map(str, [*d, c])))]
+        return kind, r.choice([" ".join(digits[c] for c in d), wide("".join(map(str, d))).strip("\u200b").replace("0", "\uff10", 1)]) if 0 in d else " ".join(digits[c] for c in d)
+    d = [r.randrange(10) for _ in range(11)]
+    return kind, "+" + str(1 + d[0] % 9) + " " + " ".join(digits[c] for c in d)
+
+
+def test_pii_recall_of_made_disguises():
+    r = random.Random(11)
+    found, made = Counter(), Counter()
+    for _ in range(2000):
+        kind, text = disguised(r)
+        text = f"Some words, {text}, and more words."
+        base = pii.base_spans(text)
+        spans = [*base, *pii.disguised_spans(text, base)]
+        made[kind] += 1
+        found[kind] += any(pii.KINDS[k] == kind and a <= 14 and b >= len(text) - 20 - 3 for a, b, k in spans)
+    assert all(found[k] >= 0.9 * made[k] > 0 for k in pii.KINDS), (found, made)
+
+
+@pytest.mark.parametrize("text", ["x @ y at dot " + " " * 1_000_000, " " * 1_000_000, "@" * 1_000_000, "x @" * 300_000, "a at b dot " * 100_000, "1 " * 500_000, "one " * 250_000, "a_at_" * 200_000, "x" + " (" * 500_000, "1.one." * 150_000])
+def test_pii_of_very_long_texts(text):
+    began = time.time()
+    pii.disguised_spans(text, pii.base_spans(text))
+    assert time.time() - began < 20
+
+
 def test_pii_query_and_redaction(spark):
     docs = awkward(spark, [*ODD, "a@b.co and 10.0.0.1", "x at y dot com"])
     got = rows(pii.digest(pii.find(docs)))
@@ -214,6 +261,13 @@ def test_html_keeps_the_article():
     assert html.extract("plain &lt;words&gt;  only") == "plain <words> only"
 
 
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "<p>a b</p>" * 60_000, "<b>" * 60_000 + "<p>a</p>" * 60_000, "<i>" * 60_000 + "</x>" * 60_000, "<table>" + "<b>" * 50_000 + "<tr>x" * 50_000, "<ul>" + "<li>x<div>" * 50_000, "<" * 500_000, "<a href='" * 50_000, "<p " * 200_000])
+def test_html_of_very_long_pages(page):
+    began = time.time()
+    html.extract(page)
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize(
     "wrap",
     [

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
     """The tree of a page, without the elements at the places in ``drop`` and, with ``vetoes``, those of names against them."""
     tree = _Tree()
     stack: list[tuple[str, int]] = [("html", 0)]  # tag, node of the nearest block element
+    opened: Counter[str] = Counter()  # elements on the stack by tag: what isn't open is never looked for
     text: list[str] = []
     linked = 0  # characters of text so far that are in links
     links = off = articles = 0
@@ -128,6 +130,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
         if any(t in _BLOCKS for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
+            opened[t] -= 1
             links -= t == "a"
             articles -= t in ("article", "main")
         del stack[k:]
@@ -148,7 +151,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
             continue
         tag = tag.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -171,7 +174,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
             continue
         if tag in _BLOCKS:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():  # a block ends an open paragraph
                 if stack[k][0] == "p":
                     close(k)
                     break
@@ -179,10 +182,11 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
                     break
             if tag in _CLOSES:
                 ends, stops = _CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
                     if stack[k][0] in ends:
+                        last = stack[k][0]
                         close(k)
-                        if tag != "tr":
+                        if last != "td" and last != "th" or not opened["tr"] or tag != "tr":
                             break
                     elif stack[k][0] in stops:
                         break
@@ -212,9 +216,13 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
             stack.append((tag, stack[-1][1]))
             if bad:
                 off = len(stack) - 1
+        opened[tag] += 1
         links += tag == "a"
         articles += tag in ("article", "main")
     flush()
+    for i in range(len(tree.tag) - 1, 0, -1):  # children come after their parents
+        tree.chars[tree.parent[i]] += tree.chars[i]
+        tree.linked[tree.parent[i]] += tree.linked[i]
     return tree
 
 
@@ -222,11 +230,8 @@ def _add(tree: _Tree, owner: int, text: str, linked: int) -> None:
     """A block of text: its points go to the containers around it."""
     tree.blocks.append((owner, text))
     n = len(text)
-    node = owner
-    while node >= 0:
-        tree.chars[node] += n
-        tree.linked[node] += linked
-        node = tree.parent[node]
+    tree.chars[owner] += n  # what lies around it gets its sums at the end
+    tree.linked[owner] += linked
     points = (1 if n >= 25 else n / 25) + text.count(",") + text.count("，") + text.count("、") + min(n / 100, 3)
     node = tree.parent[owner] if tree.tag[owner] in _TEXT else owner
     level = 0

@@ -67,13 +67,20 @@ _WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _GAP = r"[ \t,;-]{1,3}"
 _RUN = re.compile(rf"(?<![^\W_])(?:plus{_GAP})?{_WORD}(?:{_GAP}(?:(?:{_DOT_WORDS}){_GAP})?{_WORD})+(?![^\W_])", re.I)
 _RUN_PART = re.compile(rf"(plus)|({_DOT_WORDS})|({_WORD})", re.I)
-_OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_AT = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}|[ \t]+(?:{_AT_WORDS})[ \t]+|[ \t]+@[ \t]*|[ \t]*@[ \t]+", re.I)
-_DOT = rf"(?:{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}|[ \t]+(?:{_DOT_WORDS})[ \t]+|[ \t]?\.[ \t]?(?=[A-Za-z0-9]))"
-_DOMAIN_IN_WORDS = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+# Runs of white space are possessive and follow a character that isn't white space, so each is read a few times at most.
+_OPEN, _CLOSE = r"[ \t]*+[\[({<][ \t]*+", r"[ \t]*+[\])}>][ \t]*+"
+_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}|[ \t]++(?:{_AT_WORDS})[ \t]++|[ \t]++@[ \t]*+|@[ \t]++)|(?<=[A-Za-z0-9.%+-])_{{1,2}}(?:{_AT_WORDS})_{{1,2}}", re.I)
+_DOT_SIGN = rf"{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}|[ \t]++(?:{_DOT_WORDS})[ \t]++|_{{1,2}}(?:{_DOT_WORDS})_{{1,2}}"
+_DOT = rf"(?:{_DOT_SIGN}|[ \t]?\.[ \t]?(?=[A-Za-z0-9]))"
+_DOMAIN_IN_WORDS = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I)
 _DOT_IN_WORDS = re.compile(_DOT, re.I)
-_DISGUISED_DOT = re.compile(rf"{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}|[ \t]+(?:{_DOT_WORDS})[ \t]+", re.I)
+_DISGUISED_DOT = re.compile(_DOT_SIGN, re.I)
 _IP_IN_WORDS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_QUAD_IN_WORDS = re.compile(rf"(?<![\w.])(?:(?:[0-9]{{1,3}}|{_WORD})\.){{3}}(?:[0-9]{{1,3}}|{_WORD})(?!\w)", re.I)
+_ONE_WORD = re.compile(_WORD, re.I)
+# Words that say that an address follows.
+_ANNOUNCE = re.compile(r"\b(?:e-?mails?|mail|contact|write(?: to)?|reach (?:me|us)|address|schreiben?|kontakt|correo|contacto|courriel|écrire)\b[\s:,]{0,3}\Z", re.I)
+_PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])")
 # What a text must hold for the slower patterns above to match: asked of its words, which is quick.
 _SPACES = bytes(i if i >= 0x80 or chr(i).isalnum() else 0x20 for i in range(256))
 _ODD_MARKS = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u303f]")
@@ -91,10 +98,10 @@ def _hints(text: str) -> tuple[bool, bool, bool]:
         low = _ODD_MARKS.sub(" ", low)
     words = low.encode().translate(_SPACES).split()
     at = [i for i, w in enumerate(words) if w in _SPELLED_BYTES]
-    run = any(b - a <= 2 for a, b in zip(at, at[1:], strict=False))
+    run = any(b - a <= 2 for a, b in zip(at, at[1:], strict=False)) or any(w.isdigit() for i in at for w in (*words[max(0, i - 1) : i], *words[i + 1 : i + 2]))
     bracket = _BRACKET.search(text) is not None
     dot = bracket or not _DOT_BYTES.isdisjoint(words)
-    sign = ("@" in text and (bracket or _LOOSE_AT.search(text) is not None)) or (dot and not _AT_BYTES.isdisjoint(words))
+    sign = ("@" in text and (bracket or _LOOSE_AT.search(text) is not None)) or not _AT_BYTES.isdisjoint(words)
     return run, sign, dot
 
 
@@ -200,7 +207,11 @@ def _dot_before(text: str, end: int, floor: int) -> int | None:
 
 
 def _signs(text: str) -> list[tuple[int, int, str]]:
-    """Edits for at and dot disguises of whole addresses. An ``at`` in plain words counts only beside a dot in disguise."""
+    """Edits for at and dot disguises of whole addresses.
+
+    An ``at`` in plain words counts beside a dot in disguise; beside plain dots only, where the local part
+    isn't a plain word (letters with a digit, dot or underscore) or the words before announce an address.
+    """
     edits: list[tuple[int, int, str]] = []
     done = 0
     for m in _AT.finditer(text):
@@ -210,9 +221,17 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
         if not domain:
             continue
         in_words = not re.search(r"[\[({<@]", m.group())
+        start = m.start()
         if in_words and not _DISGUISED_DOT.search(domain.group()):
+            domain = _PLAIN_DOMAIN.match(text, m.end())
+            while start > done and _LOCAL.match(text[start - 1]):
+                start -= 1
+            local = text[start : m.start()].strip(".")
+            if not domain or not (any(c.isalpha() for c in local) and any(c in "._" or c.isdigit() for c in local)) and not _ANNOUNCE.search(text, max(0, start - 24), start):
+                continue
+            edits.append((*m.span(), "@"))
+            done = domain.end()
             continue
-        start = m.start()
         dots = []
         while start > done:
             while start > done and _LOCAL.match(text[start - 1]):
@@ -236,8 +255,11 @@ def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     can_run, can_sign, can_dot = _hints(mapped.text)
     runs = signs = dots = []
     if can_run:
+        quads = [(*w.span(), str(_SPELLED[w.group().lower()])) for m in _QUAD_IN_WORDS.finditer(mapped.text) for w in _ONE_WORD.finditer(mapped.text, *m.span())]
+        mapped.rewrite(quads)
         runs = [(*m.span(), _digits(m)) for m in _RUN.finditer(mapped.text)]
         mapped.rewrite(runs)
+        runs += quads
     if can_sign:
         signs = _signs(mapped.text)
         mapped.rewrite(signs)
