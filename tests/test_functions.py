@@ -76,10 +76,14 @@ def test_step_keys(spark):
 
 
 def test_paths_of_deep_trees_and_cycles(spark):
-    chain = [("r", f"n{i}", f"n{i - 1}", f"t#{i}") for i in range(1, 21)]
-    loop = [("c", "x", "y", "t#0"), ("c", "y", "x", "t#0")]
+    chain = [("r", f"n{i}", f"n{i - 1}", f"t#{i}") for i in range(1, 301)]
+    loop = [("c", "x", "y", "t#0"), ("c", "y", "x", "t#1"), ("c", "own", "own", "t#2"), ("c", "below", "x", "t#3"), ("c", "child", "own", "t#4"), ("c", "a", "b", "t#5"), ("c", "b", "d", "t#6"), ("c", "d", "a", "t#7")]
     got = {(r["run_id"], r["id"]): r["path"] for r in keys.paths(spark.createDataFrame(chain + loop, "run_id string, id string, parent string, level string")).collect()}
-    assert got["r", "n20"] == "/".join(f"t#{i}" for i in range(1, 21)) and got["r", "n1"] == "t#1" and len(got) == 22
+    want = {("r", f"n{i}"): "/".join(f"t#{k}" for k in range(1, i + 1)) for i in range(1, 301)}
+    # a walk up stops before the parent that it has seen: that node has no level of its own
+    want |= {("c", "x"): "t#0", ("c", "y"): "t#1", ("c", "below"): "t#0/t#3", ("c", "child"): "t#4", ("c", "a"): "t#6/t#5", ("c", "b"): "t#7/t#6", ("c", "d"): "t#5/t#7"}
+    assert got == want
+    assert keys.paths(spark.createDataFrame([], "run_id string, id string, parent string, level string")).collect() == []
 
 
 def test_canonical_json():

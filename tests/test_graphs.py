@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import text
 from tracelake.operators import diff, history, judge, markers, reduce, tables
 from tracelake.sources import evidence, rollout, transcript
 from tracelake.streaming import live
@@ -24,8 +25,8 @@ SESSION = [
     line("assistant", 1, {"id": "m1", "model": "claude-haiku-4-5", "usage": {"input_tokens": 10, "output_tokens": 5}, "content": [{"type": "text", "text": "one "}, {"type": "text", "text": "two"}, tool_use("Bash", "t1", command="ls")]}),
     line("assistant", 2, {"id": "m1", "model": "claude-haiku-4-5", "usage": {"input_tokens": 20, "output_tokens": 7}, "content": [tool_use("mcp__fs__read", "t2", path="a")]}),
     line("user", 3, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "x"}, {"type": "tool_result", "tool_use_id": "t2", "content": "no", "is_error": True}, {"type": "odd"}]}),
-    line("assistant", 4, {"id": "m2", "model": "claude-haiku-4-5", "content": [tool_use("mcp__marker__mark", "k1", name="plan", boundary="start")]}),
-    line("assistant", 7, {"id": "m3", "model": "claude-haiku-4-5", "content": [tool_use("mcp__marker__mark", "k2", name="plan", boundary="end")]}),
+    line("assistant", 4, {"id": "m2", "model": "claude-haiku-4-5", "content": [tool_use("mcp__tracelake__mark", "k1", name="plan", boundary="start")]}),
+    line("assistant", 7, {"id": "m3", "model": "claude-haiku-4-5", "content": [tool_use("mcp__tracelake__mark", "k2", name="plan", boundary="end")]}),
     line("novel", 8),
 ]
 
@@ -136,6 +137,41 @@ def test_common_subsequence_is_longest():
         assert len(got) == best
 
 
+def test_common_subsequence_keeps_its_tie_rule():
+    """With items left out, the same pairs as without: where both ways are as long, a advances."""
+    assert diff.common_subsequence(["a", "b"], ["b", "a"]) == [(1, 0)]
+    assert diff.common_subsequence(["p", "p"], ["p"], [True]) == [(1, 0)]
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice(s) for _ in range(rng.randrange(9))] for s in ("abcx", "abcyz"))
+        keep_a, keep_b = [i for i, x in enumerate(a) if x in b], [j for j, x in enumerate(b) if x in a]
+        gaps = [j - (keep_b[k - 1] if k else -1) > 1 for k, j in enumerate(keep_b)]
+        got = [(keep_a[i], keep_b[j]) for i, j in diff.common_subsequence([a[i] for i in keep_a], [b[j] for j in keep_b], gaps)]
+        assert got == _walked(a, b), (a, b)
+
+
+def _walked(a, b):
+    """The definition: of what is left of both, skip a's item if that loses nothing, else b's."""
+    size = lambda x, y: 0 if not x or not y else 1 + size(x[1:], y[1:]) if x[0] == y[0] else max(size(x[1:], y), size(x, y[1:]))
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif size(a[i + 1 :], b[j:]) >= size(a[i:], b[j + 1 :]):
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_sequence_pairs_of_a_residue(spark):
+    item = "pair int, id string, t_start int, step_key string, content string"
+    a = spark.createDataFrame([(1, "a0", 0, "k", "p"), (1, "a1", 1, "k", "p")], item)
+    b = spark.createDataFrame([(1, "b0", 0, "l", "z"), (1, "b1", 1, "l", "p")], item)
+    assert [(r["a"], r["b"]) for r in diff.match_sequence(a, b, "content").collect()] == [("a1", "b1")]
+
+
 def _within(a, b):
     it = iter(b)
     return all(x in it for x in a)
@@ -149,6 +185,13 @@ def test_tables_within_tolerance(spark):
     assert not got["equal"] and len(got["mismatches"]) == 2
     assert tables.compare(t(("a", "nan")), t(("a", "nan"))).first()["equal"] is False
     assert tables.compare(t(("a", "1"), ("z", "2")), t(("a", "1")), strict=False).first()["equal"] and not tables.compare(t(("a", "1"), ("z", "2")), t(("a", "1"))).first()["equal"]
+    # an equal row may be the only partner of another
+    for x, y in ((("0", "0.00009"), ("0", "-0.00009")), (("100.0", "99.99992"), ("100.0", "100.00009")), (("9.99995", "15.0"), ("10.0", "15.00003"))):
+        assert tables.compare(t(*(("", v) for v in x)), t(*(("", v) for v in y))).first()["equal"]
+    mismatch = tables.compare(t(("", "1.0"), ("", "2.0")), t(("", "1.0"), ("", "9.0"))).first()
+    assert not mismatch["equal"] and len(mismatch["mismatches"]) == 2
+    flag, word = spark.createDataFrame([(True,)], "x boolean"), spark.createDataFrame([("true",)], "x string")
+    assert not tables.compare(flag, word).first()["equal"] and tables.compare(flag, flag).first()["equal"]
     with pytest.raises(ValueError):
         tables.normalised(spark.createDataFrame([(1, 2)], "`a b` int, `a-b` int"))
 
@@ -208,3 +251,50 @@ def test_live_totals(spark, tmp_path):
         q.awaitTermination(120)
     assert {(r["run_id"], r["tokens_in"], r["calls"], r["errors"]) for r in spark.table("totals").collect()} == {("r", 5, 0, 1), ("q", None, 1, 0)}
     assert {(r["run_id"], r["last_seq"], r["status"]) for r in spark.table("status").collect()} == {("r", 2, "error"), ("q", 1, "running")}
+
+
+def test_tables_equal_all_matchings(spark):
+    """The number of unmatched rows against the best of all assignments."""
+    from itertools import permutations
+
+    rng = random.Random(8)
+    for _ in range(6):
+        got, want = ([(rng.choice("ab"), rng.randrange(12) / 10) for _ in range(5)] for _ in range(2))
+        best = max(sum(g[0] == w[0] and abs(g[1] - w[1]) <= 0.15 for g, w in zip(got, p, strict=True)) for p in permutations(want))
+        frames = [spark.createDataFrame(x, "k string, v double") for x in (got, want)]
+        assert tables.unmatched(*frames, ["k", "v"], 0.15).count() == 2 * (5 - best), (got, want)
+
+
+def test_phases_by_properties():
+    """Numbers are distinct, explicit ones go to their first namer; every end closes one start at most, the innermost where nothing is named."""
+    rng = random.Random(6)
+    for _ in range(300):
+        wanted = [rng.choice([-1, -1, 0, 1, 2, 5]) for _ in range(rng.randrange(7))]
+        got = reduce.occurrences(wanted)
+        assert len(set(got)) == len(got) and all(got[wanted.index(w)] == w for w in wanted if w >= 0)
+        taken = set()
+        for i, x in enumerate(got):
+            if not (wanted[i] >= 0 and wanted.index(wanted[i]) == i):
+                assert all(y in taken or y in wanted for y in range(i, x))
+            taken.add(x)
+        bounds = [("start", -1)] * len(wanted) + [("end", rng.choice([-1, -1, 0, 1, 7])) for _ in range(rng.randrange(8))]
+        rng.shuffle(bounds)
+        pairs = reduce.pair_ends(bounds, got)
+        assert len(set(pairs.values())) == len(pairs) == min(len(wanted), sum(b == "end" for b, _ in bounds))
+        assert all(bounds[k][0] == "end" for k in pairs.values())
+    assert reduce.pair_ends([("start", -1), ("start", -1), ("end", -1), ("end", -1)], [0, 1]) == {1: 2, 0: 3}
+    assert reduce.pair_ends([("start", -1), ("start", -1), ("end", 0), ("end", -1)], [0, 1]) == {0: 2, 1: 3}
+    assert reduce.pair_ends([("end", -1), ("start", -1)], [0]) == {0: 0} and reduce.pair_ends([("end", 0), ("start", -1), ("end", -1)], [0]) == {0: 0}
+
+
+def test_prompts_that_begin_with_a_bracket_and_other_servers_tools(spark, tmp_path):
+    lines = [
+        {"type": "user", "uuid": "u1", "sessionId": "s", "timestamp": "2025-01-01T10:00:00Z", "message": {"role": "user", "content": "[Request interrupted by user]"}},
+        {"type": "user", "uuid": "u2", "sessionId": "s", "timestamp": "2025-01-01T10:00:01Z", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": "x"}]}},
+    ]
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    got = transcript.parts(transcript.decoded(transcript.lines(spark, str(tmp_path / "s.jsonl")))).select("p.kind", "p.input").collect()
+    assert [tuple(r) for r in got] == [("user_prompt", '"[Request interrupted by user]"'), ("tool_result", None)]
+    names = spark.createDataFrame([("mcp__tracelake__mark",), ("tracelake__mark",), ("mcp__bookmarks__mark",), ("mcp__my_srv__mark",), (None,)], "n string")
+    assert [r[0] for r in names.select(text.is_marker_tool(F.col("n"))).collect()] == [True, True, False, False, False]
+    assert [r[0] for r in names.select(text.is_marker_tool(F.col("n"), "my_srv")).collect()] == [False, False, False, True, False]

@@ -29,9 +29,13 @@ def prompt_kind(text: Column) -> Column:
     return F.when(found, "system").otherwise("human")
 
 
-def is_marker_tool(name: Column) -> Column:
-    """Tools named ``mark`` of a marker server, under its own name or the runtime's."""
-    return F.coalesce(name.rlike(r"^(mcp__)?[a-z]+__mark$"), F.lit(False))
+#: The server whose tool ``mark`` bounds phases.
+MARK_SERVER = "tracelake"
+
+
+def is_marker_tool(name: Column, server: str = MARK_SERVER) -> Column:
+    """Whether a tool is ``mark`` of the given server, under its own name or the runtime's; other servers' ``mark`` is a tool like any."""
+    return F.coalesce(name.isin(f"mcp__{server}__mark", f"{server}__mark"), F.lit(False))
 
 
 def tool_type(name: Column) -> Column:

@@ -25,7 +25,7 @@ def _order() -> list[Column]:
 
 
 def position_key() -> Column:
-    return F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("path", "type", "name", "subagent_type")])
+    return F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in ("path", "type", "name", "subagent_type")])
 
 
 def _ranked(items: DataFrame, key: Column) -> DataFrame:
@@ -44,22 +44,27 @@ def match_unique(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return one(a, "a").join(one(b, "b"), ["pair", key]).select("pair", "a", "b")
 
 
-def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; where both ways are as long, a advances."""
+def common_subsequence(a: list[str], b: list[str], gaps: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence; where both ways are as long, a advances.
+
+    ``gaps``: whether items that ``a`` lacks, left out of ``b``, stood before each of its items. Such an item
+    can't match, but the walk stops at it: ``a`` advances there as far as that costs nothing.
+    """
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
+    out, i = [], 0
+    for j in range(m):
+        if gaps and gaps[j]:
+            while i < n and best[i + 1][j] == best[i][j]:
+                i += 1
+        while i < n and a[i] != b[j] and best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        if i < n and a[i] == b[j]:
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
-        else:
-            j += 1
     return out
 
 
@@ -71,11 +76,14 @@ def match_sequence(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
         sort = lambda d: d.sort_values(["t_start", "step_key", "content", "id"], na_position="last")
         left, right = sort(left), sort(right)
-        hits = common_subsequence(left[key].tolist(), right[key].tolist())
+        gaps = (right["place"].diff().fillna(right["place"]) > 1).tolist()
+        hits = common_subsequence(left[key].tolist(), right[key].tolist(), gaps)
         pair = (left if len(left) else right)["pair"].iloc[0]
         return pd.DataFrame({"pair": [pair] * len(hits), "a": [left["id"].iloc[i] for i, _ in hits], "b": [right["id"].iloc[j] for _, j in hits]})
 
-    need = ["pair", "id", "t_start", "step_key", "content"]
+    need = ["pair", "id", "t_start", "step_key", "content", "place"]
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(*_order()))  # one graph's residue
+    a, b = a.withColumn("place", place), b.withColumn("place", place)
     # contents that one side lacks can't match: left out before the quadratic part
     keys = a.select("pair", key).distinct().join(b.select("pair", key).distinct(), ["pair", key])
     a, b = (d.join(keys, ["pair", key], "left_semi").select(*need) for d in (a, b))

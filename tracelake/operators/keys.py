@@ -16,8 +16,6 @@ from tracelake.sources.shared import cut
 
 SCHEME = "stepkey/v1"
 ELIGIBLE = ("tool_call", "mcp_call", "skill", "subagent")
-#: A path reaches 2^ROUNDS levels at most.
-ROUNDS = 7
 
 # The field that tells a tool's calls apart.
 SALIENT = {"edit": ("file_path",), "multiedit": ("file_path",), "write": ("file_path",), "read": ("file_path", "path"), "bash": ("command",), "exec_command": ("cmd",), "write_stdin": ("session_id",)}
@@ -128,16 +126,38 @@ def paths(levels: DataFrame) -> DataFrame:
     """The path of every child from its root: run_id, id, path.
 
     By doubling: each round joins a node's path to that of the ancestor it reaches, so a tree of depth d
-    takes log2(d) rounds. A cycle stops after ``ROUNDS``.
+    takes log2(d) rounds. What still moves after as many rounds as a run's nodes allow has a cycle above it:
+    its path is walked up to, and without the level of, the node whose parent was there before. A node that
+    is its own parent has no path.
     """
+    levels = levels.where("parent <> id")
+    most = levels.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
     reach = levels.select("run_id", "id", F.col("parent").alias("top"), F.col("level").alias("path"))
-    for _ in range(ROUNDS):
+    for k in range(most.bit_length() + 1):
         reach = cut(reach)
         above = reach.select("run_id", F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
-        if reach.join(above, ["run_id", "top"], "left_semi").isEmpty():
-            break
-        reach = reach.join(above, ["run_id", "top"], "left").select("run_id", "id", F.coalesce("next", "top").alias("top"), F.concat_ws("/", "before", "path").alias("path"))
-    return reach.select("run_id", "id", "path")
+        moving = reach.join(above, ["run_id", "top"], "left_semi")
+        if moving.isEmpty():
+            return reach.select("run_id", "id", "path")
+        if k < most.bit_length():
+            reach = reach.join(above, ["run_id", "top"], "left").select("run_id", "id", F.coalesce("next", "top").alias("top"), F.concat_ws("/", "before", "path").alias("path"))
+    loops = cut(moving.select("run_id", "id"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        up = {i: (p, x) for i, p, x in zip(pdf["id"], pdf["parent"], pdf["level"], strict=True)}
+        found = []
+        for i in up:
+            seen, at, names = {i}, i, []
+            while at in up and up[at][0] not in seen:
+                names.append(up[at][1])
+                at = up[at][0]
+                seen.add(at)
+            found.append("/".join(reversed(names)))
+        return pd.DataFrame({"run_id": pdf["run_id"], "id": pdf["id"], "path": found})
+
+    walked = levels.join(loops.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id").applyInPandas(walk, "run_id string, id string, path string")  # one run with a cycle
+    plain = reach.select("run_id", "id", "path").join(loops, ["run_id", "id"], "left_anti")
+    return plain.unionByName(walked.join(loops, ["run_id", "id"], "left_semi"))
 
 
 def step_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:

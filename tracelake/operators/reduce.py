@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.pricing import Prices, cost_usd
-from tracelake.functions.text import is_marker_tool, phase_key, skill_name, tool_type
+from tracelake.functions.text import MARK_SERVER, is_marker_tool, phase_key, skill_name, tool_type
 
 
 def _rank(source: str = "source") -> Column:
@@ -32,11 +32,11 @@ def _first(value: str, when: Column | None = None) -> Column:
     return F.min_by(value, F.when(ok, F.col("seq")))
 
 
-def without_marker_tools(obs: DataFrame) -> DataFrame:
-    """Observations without the calls of marker tools and their results."""
-    calls = obs.where(is_marker_tool(F.col("name")) & F.col("tool_use_id").isNotNull()).select("run_id", "tool_use_id").distinct()
+def without_marker_tools(obs: DataFrame, server: str = MARK_SERVER) -> DataFrame:
+    """Observations without the calls of the server's marker tool and their results."""
+    calls = obs.where(is_marker_tool(F.col("name"), server) & F.col("tool_use_id").isNotNull()).select("run_id", "tool_use_id").distinct()
     kept = obs.join(calls, ["run_id", "tool_use_id"], "left_anti")
-    return kept.where(~(is_marker_tool(F.col("name")) & F.col("kind").isin("assistant_tool_use", "tool_result")))
+    return kept.where(~(is_marker_tool(F.col("name"), server) & F.col("kind").isin("assistant_tool_use", "tool_result")))
 
 
 def placed(obs: DataFrame) -> DataFrame:
@@ -106,9 +106,9 @@ def runs(obs: DataFrame) -> DataFrame:
     return folded.join(sessions, "run_id", "left").withColumn("status", F.lit("running"))
 
 
-def marker_bounds(obs: DataFrame) -> DataFrame:
+def marker_bounds(obs: DataFrame, server: str = MARK_SERVER) -> DataFrame:
     """Bounds of phases, one for each marker call or marker observation: run_id, name, boundary, occurrence (-1: none), state_ref, agent_id, ts, seq."""
-    calls = obs.where(is_marker_tool(F.col("name")) & F.col("input").isNotNull())
+    calls = obs.where(is_marker_tool(F.col("name"), server) & F.col("input").isNotNull())
     given = F.from_json("input", "name string, boundary string, state_ref string, occurrence int")
     tool = calls.select("run_id", F.coalesce("tool_use_id", F.concat(F.lit("obs:"), F.col("seq").cast("string"))).alias("k"), given.alias("g"), "agent_id", F.col("event_time").alias("ts"), "seq").select("run_id", "k", "g.*", "agent_id", "ts", "seq")
     found = tool.where("name <> '' AND boundary <> ''")
@@ -121,50 +121,49 @@ def marker_bounds(obs: DataFrame) -> DataFrame:
 
 
 def occurrences(wanted: list[int]) -> list[int]:
-    """Occurrence numbers of starts in order: explicit ones (>= 0) to whoever names them first, the others the next free from their index."""
-    taken: set[int] = set()
-    out = []
-    for w in wanted:
-        first = w >= 0 and w not in taken
-        out.append(w if first else -1)
-        if first:
-            taken.add(w)
-    for i, w in enumerate(out):
-        if w < 0:
-            n = i
-            while n in taken:
-                n += 1
-            taken.add(n)
-            out[i] = n
+    """Occurrence numbers of starts in order: explicit ones (>= 0) to whoever names them first, the others the next free from their index.
+
+    Below the last number given out there is none free, so one pointer that only moves on is enough.
+    """
+    owner: dict[int, int] = {}
+    for i, w in enumerate(wanted):
+        if w >= 0:
+            owner.setdefault(w, i)
+    named, free, out = {i: w for w, i in owner.items()}, 0, []
+    for i in range(len(wanted)):
+        if i not in named:
+            free = max(free, i)
+            while free in owner:
+                free += 1
+        out.append(named.get(i, free))
+        free += i not in named
     return out
 
 
 def pair_ends(bounds: list[tuple[str, int]], occs: list[int]) -> dict[int, int]:
-    """Which bound ends each start: its named occurrence, else the last start still open; stray ends take what is left open."""
-    by_occ = {o: i for i, o in enumerate(occs)}
-    pairs: dict[int, int] = {}
-    open_, stray, started = [], [], 0
+    """Which bound ends each start: its named occurrence, else the last start still open; stray ends take what is left open.
+
+    Starts stay in the order they opened; whatever ends one takes it out, so the last one is always the innermost.
+    """
+    start_of = {o: i for i, o in enumerate(occs)}
+    ends: dict[int, int] = {}
+    running: dict[int, None] = {}
+    numbers = iter(range(len(occs)))
+    later = []
     for k, (boundary, occ) in enumerate(bounds):
         if boundary == "start":
-            open_.append(started)
-            started += 1
+            if (i := next(numbers)) not in ends:  # else an end named it ahead
+                running[i] = None
         elif boundary == "end":
-            i = by_occ.get(occ) if occ >= 0 else None
-            if i in pairs:
-                i = None
-            while i is None and open_:
-                top = open_.pop()
-                i = None if top in pairs else top
-            if i is None:
-                stray.append(k)
-            else:
-                pairs[i] = k
-    for k in stray:
-        while open_ and open_[-1] in pairs:
-            open_.pop()
-        if open_:
-            pairs[open_.pop()] = k
-    return pairs
+            i = start_of.get(occ, -1) if occ >= 0 else -1
+            if i < 0 or i in ends:
+                i = next(reversed(running), -1)
+            if i < 0:
+                later.append(k)
+                continue
+            ends[i] = k
+            running.pop(i, None)
+    return ends | dict(zip(reversed(running), later, strict=False))
 
 
 def phases(bounds: DataFrame) -> DataFrame:

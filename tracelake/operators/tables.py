@@ -1,12 +1,13 @@
 """Comparison of two tables: numbers within a tolerance, header and row order aside.
 
-Rows that are equal as text cancel out first, by counts. What is left is matched within groups of equal
-text cells, where only the numbers differ: a maximum matching in each group of leftovers.
+Only rows with equal text cells can be partners, and of those only rows whose first numbers hang together by
+steps within the tolerance: a band. A band of rows that are all equal is settled by counts. In any other, a
+maximum matching is found among all its rows, as an equal row may be the only partner of another one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_MISMATCHES = 10
@@ -24,20 +25,15 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def cell(c: Column) -> Column:
-    """A cell as struct(number, text): a number if it reads as one, else its stripped text; null is neither."""
+def cell(c: Column, boolean: bool = False) -> Column:
+    """A cell as struct(number, text): a number if it reads as one, else its stripped text; null is neither. A boolean equals no text."""
+    if boolean:
+        return F.struct(F.lit(None).cast("double").alias("number"), F.concat(F.lit("\x00"), c.cast("string")).alias("text"))
     s = F.trim(c.cast("string"))
     n = s.try_cast("double")
     return F.struct(n.alias("number"), F.when(n.isNull(), s).alias("text"))
 
 
-def cell_equal(a: Column, b: Column, tolerance: float) -> Column:
-    """Whether two cells are equal: numbers within the tolerance (NaN and infinities never), text exactly, null with null."""
-    x, y = a["number"], b["number"]
-    finite = ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
-    return F.when(x.isNotNull() & y.isNotNull(), finite & (F.abs(x - y) <= tolerance)).otherwise(x.isNull() & y.isNull() & a["text"].eqNullSafe(b["text"]))
-
-
 def _matching(near: list[list[int]], m: int) -> list[int]:
     """For each right item its left one or -1, as many as possible (augmenting paths)."""
     of = [-1] * m
@@ -61,15 +57,22 @@ def _matching(near: list[list[int]], m: int) -> list[int]:
 
 def unmatched(got: DataFrame, want: DataFrame, columns: list[str], tolerance: float = 1e-4) -> DataFrame:
     """Rows without a partner: side ("got", "want") and the row's cells as text."""
-    cells = [cell(F.col(c)).alias(c) for c in columns]
     texts = F.to_json(F.array(*[F.coalesce(F.col(f"{c}.text"), F.when(F.col(f"{c}.number").isNotNull(), F.lit("\x00number")), F.lit("\x00null")) for c in columns]))
     numbers = F.array(*[F.col(f"{c}.number") for c in columns])
-    shape = lambda df, n: df.select(*cells).select(texts.alias("texts"), numbers.alias("numbers")).withColumn("side", F.lit(n))
-    both = shape(got, 1).unionByName(shape(want, -1))
+    cells = lambda df: df.select(*[cell(F.col(c), df.schema[c].dataType.simpleString() == "boolean").alias(c) for c in columns])
+    shape = lambda df, n: cells(df).select(texts.alias("texts"), numbers.alias("numbers"), F.lit(n).alias("got"), F.lit(1 - n).alias("want"))
+    both = shape(got, 1).unionByName(shape(want, 0))
     finite = F.forall("numbers", lambda x: x.isNull() | (~F.isnan(x) & (F.abs(x) < float("inf"))))
-    # equal rows cancel; NaN and infinities equal nothing
-    left = both.where(finite).groupBy("texts", "numbers").agg(F.sum("side").alias("d")).where("d <> 0")
-    rest = left.select("texts", "numbers", F.explode(F.array_repeat(F.signum("d").cast("int"), F.abs("d").cast("int"))).alias("side")).unionByName(both.where(~finite).select("texts", "numbers", F.col("side").cast("int").alias("side")))
+    distinct = both.where(finite).groupBy("texts", "numbers").agg(F.sum("got").alias("got"), F.sum("want").alias("want"))
+    first = F.coalesce(F.try_element_at(F.filter("numbers", lambda x: x.isNotNull()), F.lit(1)), F.lit(0.0))
+    steps = Window.partitionBy("texts").orderBy("first")
+    banded = distinct.withColumn("first", first).withColumn("step", (F.col("first") - F.lag("first").over(steps) > tolerance).cast("int")).withColumn("band", F.coalesce(F.sum("step").over(steps), F.lit(0)))
+    sized = banded.withColumn("rows", F.count("*").over(Window.partitionBy("texts", "band")))
+    each = lambda df, side, n: df.select("texts", "numbers", "band", F.explode(F.array_repeat(F.lit(side), n.cast("int"))).alias("side"))
+    alike, mixed = sized.where("rows = 1"), sized.where("rows > 1")
+    settled = each(alike, "got", F.greatest(F.col("got") - F.col("want"), F.lit(0))).unionByName(each(alike, "want", F.greatest(F.col("want") - F.col("got"), F.lit(0))))
+    odd = both.where(~finite).select("texts", "numbers", F.when(F.col("got") == 1, "got").otherwise("want").alias("side"))  # NaN and infinities equal nothing
+    rest = each(mixed, "got", F.col("got")).unionByName(each(mixed, "want", F.col("want")))
 
     def match(group):
         import numpy as np
@@ -78,7 +81,7 @@ def unmatched(got: DataFrame, want: DataFrame, columns: list[str], tolerance: fl
         t = group.to_pydict()
         rows = [np.array([np.nan if x is None else x for x in r], float) for r in t["numbers"]]
         has = np.array([x is not None for x in t["numbers"][0]])  # the same cells in the whole group
-        g, w = ([i for i, s in enumerate(t["side"]) if s * k > 0] for k in (1, -1))
+        g, w = ([i for i, s in enumerate(t["side"]) if s == k] for k in ("got", "want"))
 
         def like(i, j):
             d = np.abs(rows[i] - rows[j])
@@ -88,9 +91,10 @@ def unmatched(got: DataFrame, want: DataFrame, columns: list[str], tolerance: fl
         used = set(of)
         alone = [i for k, i in enumerate(g) if k not in used] + [j for k, j in enumerate(w) if of[k] < 0]
         kinds = pa.schema([("side", pa.string()), ("texts", pa.string()), ("numbers", pa.list_(pa.float64()))])
-        return pa.Table.from_pydict({"side": ["got" if t["side"][i] > 0 else "want" for i in alone], "texts": [t["texts"][i] for i in alone], "numbers": [t["numbers"][i] for i in alone]}, schema=kinds)
+        return pa.Table.from_pydict({"side": [t["side"][i] for i in alone], "texts": [t["texts"][i] for i in alone], "numbers": [t["numbers"][i] for i in alone]}, schema=kinds)
 
-    return rest.groupBy("texts").applyInArrow(match, "side string, texts string, numbers array<double>")
+    found = rest.groupBy("texts", "band").applyInArrow(match, "side string, texts string, numbers array<double>")
+    return found.unionByName(settled.select("side", "texts", "numbers")).unionByName(odd)
 
 
 def compare(got: DataFrame, want: DataFrame, tolerance: float = 1e-4, strict: bool = True, normalize_headers: bool = True) -> DataFrame:

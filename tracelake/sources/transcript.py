@@ -44,7 +44,7 @@ def decoded(raw: DataFrame) -> DataFrame:
     good = F.from_json("value", LINE, {"mode": "FAILFAST"})
     df = raw.withColumn("l", good).withColumn("m", F.from_json(F.col("l.message"), MESSAGE))
     content = F.col("m.content")
-    is_list = content.startswith("[")
+    is_list = F.coalesce(F.schema_of_variant(F.from_json("l.message", "content variant")["content"]).startswith("ARRAY"), F.lit(False))  # a string may begin with a bracket
     return df.withColumns({"text": F.when(~is_list, content), "blocks": F.when(is_list, F.from_json(content, BLOCKS))})
 
 
