@@ -233,6 +233,10 @@ def test_elias_fano_holds_and_finds(tmp_path, n, universe):
     place = {int(v): i for i, v in enumerate(values)}
     assert s.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
     assert (s.get(np.arange(len(values))) == values).all()
+    begin = r.integers(0, n + 1, len(asked))
+    stop = np.minimum(len(values), begin + r.integers(0, n + 1, len(asked)))
+    found = [place.get(int(v), -1) for v in asked]
+    assert s.find(asked, begin, stop).tolist() == [i if a <= i < b else -1 for i, a, b in zip(found, begin.tolist(), stop.tolist(), strict=True)]
 
 
 def test_ngram_scores_equal_brute_force_and_beat_the_base(spark, sf_dir):

@@ -120,8 +120,11 @@ class Sequence:
             full = full[w[full] == 0]
         return word * 64 + np.bitwise_count((w & (~w + np.uint64(1))) - np.uint64(1))
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value (of the first, if repeated), or -1. A value's bucket is searched by halving."""
+    def find(self, values: np.ndarray, begin: np.ndarray | int = 0, stop: np.ndarray | None = None) -> np.ndarray:
+        """The index of each value (of the first, if repeated) among those from ``begin`` to before ``stop``, or -1.
+
+        What a value's bucket and its range have in common is searched by halving.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
@@ -131,7 +134,9 @@ class Sequence:
         at = np.zeros(len(values), np.int64)
         later = np.flatnonzero(high > 0)
         at[later] = self.zero(high[later] - 1) + 1
-        lo, hi = at - high, self._zero_after(at) - high
+        lo, hi = np.maximum(at - high, begin), self._zero_after(at) - high
+        if stop is not None:
+            hi = np.minimum(hi, stop)
         end = hi.copy()
         alive = np.flatnonzero(lo < hi)
         while len(alive):
@@ -140,7 +145,7 @@ class Sequence:
             lo[alive[less]] = mid[less] + 1
             hi[alive[~less]] = mid[~less]
             alive = alive[lo[alive] < hi[alive]]
-        inside = np.flatnonzero(lo < end)
+        inside = np.flatnonzero(lo < np.maximum(end, 0))
         same = inside[self.low_at(lo[inside]) == low[inside]]
         out[same] = lo[same]
         return out

@@ -4,8 +4,8 @@ Level 1 of the trie holds the words (by 64-bit hash) with their counts, level 2
 word. Both are dealt into shards by hash and written, as Elias-Fano sequences, to the shared folder,
 where scoring tasks map them into memory. In a shard of level 2 the contexts present are one monotone
 sequence, where each one's successors begin is a second (the pointers), and the successors, made
-monotone by adding (rank of the context) * (number of words), are a third; a search for a word looks in
-the range of its context only. A node keeps its smoothed log10 probability in 16 bits.
+monotone by adding (rank of the context) * (number of words), are a third; a word is searched in the range
+between its context's pointers only. A node keeps its smoothed log10 probability in 16 bits.
 
 Smoothing is by a Dirichlet prior: P(w | h) = (c(hw) + K * P(w)) / (c(h) + K), which sums to 1, with
 P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). Unseen successors take the c(hw) = 0 form.
@@ -197,8 +197,8 @@ class Model:
             end = np.where(rank >= 0, pointers.get(np.maximum(rank, 0) + 1).astype(np.int64), 0)
             has = rank[which] >= 0
             at, which = at[has], which[has]
-            i = successors.find(rank[which].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64))
-            good = (i >= begin[which]) & (i < end[which])
+            i = successors.find(rank[which].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64), begin[which], end[which])
+            good = i >= 0
             out[at[good]] = codes[i[good]] * (-_LOW / _CODES) + _LOW
         return out
 
@@ -207,12 +207,17 @@ def _write_words(folder: str):
     def run(group: pa.Table) -> pa.Table:
         k = group.column("shard")[0].as_py()
         keys, counts = _merged(group)
-        eliasfano.save(f"{folder}/words-{k}", **eliasfano.encode(keys, 1 << 64), counts=counts)
+        eliasfano.save(f"{folder}/words-{k}", **eliasfano.encode(keys, 1 << 64), counts=_narrow(counts))
         return pa.table({"shard": pa.array([k], pa.int32()), "distinct": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     return run
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """In as few bytes as the greatest one needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def _write_pairs(model: Model):
     def run(group: pa.Table) -> pa.Table:
         k = group.column("shard")[0].as_py()
