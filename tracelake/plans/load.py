@@ -1,0 +1,82 @@
+"""From evidence folders to the gate: transcripts, boundaries and scores of runs become a model, two groups of runs a verdict.
+
+A run's folder holds ``meta.json``, ``session.jsonl``, ``subagents/agent-*.jsonl`` and ``scores.jsonl``; all but
+the first may be missing. Folders without a readable ``meta.json`` are left out, as are runs of neither group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions.pricing import Prices
+from tracelake.functions.text import MARK_SERVER, match_labels, parse_selector
+from tracelake.operators import keys, markers, reduce
+from tracelake.plans import gate
+from tracelake.plans.model import NODE_COLUMNS, Model
+from tracelake.plans.thresholds import DEFAULT, Thresholds
+from tracelake.sources import evidence, transcript
+from tracelake.sources.shared import cut
+
+_FOLDER = r"([^/]+)/(?:session|subagents/agent-[^/]+)\.jsonl$"
+#: A boundary comes after whatever a transcript says at the same time.
+_AFTER_ALL = 1 << 60
+
+
+def selected(selector: str) -> Column:
+    """Whether a run's labels are those of ``label:k=v,...``."""
+    kind, wanted = parse_selector(selector)
+    if kind != "label":
+        raise ValueError(f"{selector!r} names no labels of runs")
+    return match_labels(F.coalesce("labels", F.create_map().cast("map<string,string>")), wanted)
+
+
+def grouped(runs: DataFrame, baseline: str, candidate: str) -> DataFrame:
+    """The runs of either group with ``grp`` and ``folder``; a run that both selectors name counts for each."""
+    each = [runs.where(selected(s)).withColumn("grp", F.lit(g)) for g, s in (("baseline", baseline), ("candidate", candidate))]
+    return each[0].unionByName(each[1]).withColumn("folder", F.element_at(F.split("dir", "/"), -1))
+
+
+def observed(spark: SparkSession, root: str, meta: DataFrame) -> DataFrame:
+    """Observations of the runs in ``meta`` (run_id, folder, marker_name, marker_start, marker_end), by run id."""
+    raw = transcript.lines(spark, root, recursiveFileLookup="true", pathGlobFilter="*.jsonl").where(F.regexp_extract("path", _FOLDER, 1) != "")
+    names = meta.select("folder", F.col("run_id").alias("named"))
+    obs = transcript.observations(raw.join(names, F.regexp_extract("path", _FOLDER, 1) == names["folder"], "left_semi"), F.regexp_extract("path", _FOLDER, 1))
+    obs = obs.join(names, obs["run_id"] == names["folder"]).drop("folder", "run_id").withColumnRenamed("named", "run_id")
+    windows = meta.where("marker_name <> '' AND marker_start IS NOT NULL AND marker_end IS NOT NULL").select("run_id", F.col("marker_name").alias("name"), F.col("marker_start").alias("start"), F.col("marker_end").alias("end"))
+    bounds = transcript.boundary(windows).withColumn("seq", F.when(F.col("boundary") == "start", _AFTER_ALL).otherwise(_AFTER_ALL + 1))
+    return obs.unionByName(bounds, allowMissingColumns=True)
+
+
+def graph(obs: DataFrame, prices: Prices | None = None, server: str = MARK_SERVER) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their keys, markers included, and edges: parents and the members of phases."""
+    plain, parents = cut(reduce.nodes(obs, prices)), cut(reduce.parents(obs))
+    keyed = cut(keys.step_keys(plain, parents).select("run_id", "id", "type", "agent_id", "step_key"))
+    steps = keyed.where("type = 'subagent' AND agent_id IS NOT NULL").select("run_id", "agent_id", "step_key")
+    marks = reduce.marker_nodes(reduce.phases(reduce.marker_bounds(obs, server)), steps)
+    nodes = plain.join(keyed.select("run_id", "id", "step_key"), ["run_id", "id"], "left").unionByName(marks, allowMissingColumns=True)
+    nodes = cut(nodes.drop("sources"))
+    return nodes, parents.drop("rev").unionByName(markers.spans(nodes))
+
+
+def load(spark: SparkSession, root: str, baseline: str, candidate: str, prices: Prices | None = None, server: str = MARK_SERVER) -> Model:
+    """The model of two groups of runs under ``root``.
+
+    A run lasts from its marker's start to its end (unknown without); it is an error if its exit code isn't 0.
+    """
+    runs = cut(grouped(evidence.scan_runs(spark, root), baseline, candidate))
+    meta = runs.dropDuplicates(["run_id"])
+    obs = cut(observed(spark, root, meta))
+    nodes, _ = graph(obs, prices, server)
+    status = F.when(F.col("exit_code") != 0, "error").otherwise("running")
+    rows = runs.select("run_id", "grp", "task", F.col("marker_start").alias("started_at"), F.col("marker_end").alias("ended_at"), status.alias("status"))
+    files = evidence.scores(spark, root, recursiveFileLookup="true", pathGlobFilter="scores.jsonl").withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    found = files.withColumnRenamed("run_id", "given").join(meta.select("folder", "run_id"), "folder")
+    own = found.where("coalesce(given, '') IN ('', run_id)").drop("given", "folder")
+    model_nodes = nodes.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in NODE_COLUMNS.split(", ")])
+    return Model(rows, model_nodes, cut(evidence.run_scores(own)), cut(markers.spans(nodes)))
+
+
+def regress(spark: SparkSession, root: str, baseline: str, candidate: str, th: Thresholds = DEFAULT, specs: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings and verdict of the candidate runs against the baseline runs of one evidence folder."""
+    return gate.regress(load(spark, root, baseline, candidate), th, specs)

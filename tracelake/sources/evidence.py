@@ -19,9 +19,9 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     return found.where("run_id <> ''").withColumn("dir", F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1))
 
 
-def scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scores(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
     """Score lines with their file and line number; fails on a line without a valid key or value."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.options(**options).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
     s = lines.withColumn("s", F.from_json("line", SCORE))
     good = F.col("s.key").rlike(KEY) & F.col("s.value").isNotNull()

@@ -23,9 +23,9 @@ PART = "struct<kind:string,uuid:string,tool_use_id:string,message_id:string,name
 _FIELDS = tuple(x.split(":")[0] for x in PART[7:-1].split(","))
 
 
-def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
     """Lines of transcript files with their place: path, line_no, value. Files are sessions of some MB, read whole so that lines keep their number."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.options(**options).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     each = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return each.withColumn("value", F.trim("value")).where("value <> ''")
 
