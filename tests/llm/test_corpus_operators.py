@@ -86,6 +86,8 @@ def test_simhash_keeps_one(spark):
     kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
     assert sorted(x for x in kept if x is not None) == [0, 2, 3] and kept.count(None) == 1
     assert simhash.keep_one(docs).columns == docs.columns
+    ties = spark.createDataFrame([(7, "b words of this row", "x"), (7, "a words of that one", "y"), (7, "a words of that one", "y"), (8, None, "z")], "doc_id bigint, text string, `__id` string")
+    assert sorted(tuple(r) for r in simhash.keep_one(ties).collect()) == [(7, "a words of that one", "y"), (8, None, "z")]
     assert simhash.near_duplicates(empty(spark)).collect() == []
     assert simhash.keep_one(empty(spark)).collect() == []
 

@@ -348,3 +348,10 @@ def test_licenses_by_their_right_names():
     for name, text in given:
         if len(text) > 6000:
             assert name in find("lead " * 50 + text + " tail" * 50), name
+
+
+def test_license_places_are_of_the_source(spark):
+    notice = "This program is licensed under the terms of the Demo License as it stands here"
+    docs = spark.createDataFrame([(1, "\u0130\u0130\u0130\u0130 " + notice), (2, "x " * 100_000 + notice), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in licenses.scan(docs, {"demo": notice}).collect()}
+    assert got == {1: (5, 5 + len(notice)), 2: (200_000, 200_000 + len(notice))}

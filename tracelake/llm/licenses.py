@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, strings
+from tracelake.llm.common import lowered, map_arrow, strings
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -152,7 +152,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str]] | No
         index = shared.value
         out: dict[str, list] = {k: [] for k in (id_col, "license", "start", "end", "containment")}
         for doc, text in zip(batch.column("id").to_pylist(), strings(batch, "text"), strict=True):
-            low = text.lower()
+            low = lowered(text)
             words = _WORD.findall(low)
             if found := index.find(words, containment):
                 spans = [m.span() for m in _WORD.finditer(low)]

@@ -105,11 +105,14 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the row with the least id stays.
 
-    Of rows that repeat one id, one stays. Rows without an id are kept: nothing names them.
+    Of rows that repeat one id, the one with the least text stays (null counts as empty). Rows without an id are kept: nothing names them.
     """
     found = cut(near_duplicates(docs, id_col, text_col))
     dropped = found.where(F.col(id_col) > F.col("component")).select(F.col(id_col).alias("__drop")).distinct()
     kept = docs.join(dropped, docs[id_col] == dropped["__drop"], "left_anti")
     if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
-    return kept.where(kept[id_col].isNull()).unionByName(kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]))
+    rows = kept.where(kept[id_col].isNotNull())
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    once = rows.groupBy(F.col(id_col).alias("__id")).agg(least.alias("__row")).select("__row.*")
+    return kept.where(kept[id_col].isNull()).unionByName(once)
