@@ -246,25 +246,35 @@ def test_ngram_scores_equal_brute_force_and_beat_the_base(spark, sf_dir):
     given = [(r["doc_id"], [*(r["text"] or "").encode().lower().split(), b"\n"]) for r in docs.collect()]
     train = [t for d, t in given if zlib.crc32(str(d).encode()) % 10]
     one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b"\n", *t], t, strict=False))
-    n, v, k = sum(one.values()), len(one), ngram.PRIOR
+    three = Counter(p for t in train for p in zip([b"\n", *t], t, t[1:], strict=False))
+    n, v, (k, k3) = sum(one.values()), len(one), ngram.PRIORS
     p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
     got = {}
     for r in ngram.score(docs, ngram.train(docs)).collect():
         got.setdefault(r["doc_id"], r)
-    base_sum = score_sum = 0
+    two_levels = {r["doc_id"]: r["score"] for r in ngram.score(docs, ngram.train(docs, priors=ngram.PRIORS[:1])).collect()}
+    p2 = lambda h, w: (two[h, w] + k * p1(w)) / (one[h] + k)
+    p3 = lambda g, h, w: (three[g, h, w] + k3 * p2(h, w)) / (two[g, h] + k3)
+    base_sum = pair_sum = score_sum = tokens = 0
     for d, t in given:
         base = sum(math.log10(p1(w)) for w in t)
-        score = sum(math.log10((two[h, w] + k * p1(w)) / (one[h] + k)) for h, w in zip([b"\n", *t], t, strict=False))
+        pair = sum(math.log10(p2(h, w)) for h, w in zip([b"\n", *t], t, strict=False))
+        score = math.log10(p2(b"\n", t[0])) + sum(math.log10(p3(g, h, w)) for g, h, w in zip([b"\n", *t], t, t[1:], strict=False))
         x = got[d]
         assert x["held_out"] == (zlib.crc32(str(d).encode()) % 10 == 0)
         assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(t), sum(one[w] > 0 for w in t), n)
         assert x["base_score"] == pytest.approx(base, rel=1e-9)
         assert x["score"] == pytest.approx(score, abs=3e-4 * len(t))
+        assert two_levels[d] == pytest.approx(pair, abs=3e-4 * len(t))
         if x["held_out"]:
-            base_sum, score_sum = base_sum + base, score_sum + score
-    assert score_sum > base_sum
-    total = sum((two[b"\n", w] + k * p1(w)) / (one[b"\n"] + k) for w in one) + k * 0.1 / (n + 0.1 * (v + 1)) / (one[b"\n"] + k)
+            base_sum, pair_sum, score_sum, tokens = base_sum + base, pair_sum + pair, score_sum + score, tokens + len(t)
+    perplexity = [10 ** (-x / tokens) for x in (base_sum, pair_sum, score_sum)]
+    assert perplexity[2] < 0.95 * perplexity[1] < 0.95 * perplexity[0]
+    unseen = 0.1 / (n + 0.1 * (v + 1))
+    total = sum(p2(b"\n", w) for w in one) + k * unseen / (one[b"\n"] + k)
     assert total == pytest.approx(1)
+    g, h = max(((g, h) for g, h, _ in three), key=lambda x: two[x])
+    assert sum(p3(g, h, w) for w in one) + k3 * k * unseen / (one[h] + k) / (two[g, h] + k3) == pytest.approx(1)
 
 
 def test_ngram_of_nothing(spark):

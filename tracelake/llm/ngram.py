@@ -1,17 +1,20 @@
 """Operator 4: language-model scores from an Elias-Fano n-gram trie.
 
 Level 1 of the trie holds the words (by 64-bit hash) with their counts, level 2 the successors of each
-word. Both are dealt into shards by hash and written, as Elias-Fano sequences, to the shared folder,
-where scoring tasks map them into memory. In a shard of level 2 the contexts present are one monotone
-sequence, where each one's successors begin is a second (the pointers), and the successors, made
-monotone by adding (rank of the context) * (number of words), are a third; a word is searched in the range
-between its context's pointers only. A node keeps its smoothed log10 probability in 16 bits.
-
-Smoothing is by a Dirichlet prior: P(w | h) = (c(hw) + K * P(w)) / (c(h) + K), which sums to 1, with
-P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). Unseen successors take the c(hw) = 0 form.
-
-Counting: each task counts words and pairs of its documents and sends packed arrays to the shards,
-one row a batch and shard, so a word or pair that stands in every document is one entry a batch. No
+word, level n the successors of each node of level n - 1, up to ``order``. All are dealt into shards by hash
+and written, as Elias-Fano sequences, to the shared folder, where scoring tasks map them into memory. Where the
+successors of each context begin is a monotone sequence (the pointers), and the successors, made
+monotone by adding (rank of the context) * (number of words), are another; a word is searched in the range
+between its context's pointers only. In level 2 the contexts present in a shard are a sequence of their own. From
+level 3 a node's successors lie in the node's own shard, so its place there is the rank and no context is kept.
+A node keeps its smoothed log10 probability in 16 bits, and from level 2 each context its weight in 16 bits.
+
+Smoothing is by Dirichlet priors, one a level: P(w | h) = (c(hw) + K * P(w | h')) / (c(h) + K), h' being h without
+its first word, which sums to 1, with P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). Unseen successors take the c(hw) = 0
+form, unseen contexts leave P(w | h'). A text's first word follows an end; no context reaches back beyond that end.
+
+Counting: each task counts the n-grams of its documents, a level a pass, and sends packed arrays to the shards,
+one row a chunk of text and shard, so an n-gram that stands in every document is one entry a chunk. No
 n-gram is dropped. Shards hold about ``SHARD_BYTES`` of text each, however large the corpus.
 
 Rows: null text is empty: its one token is the end. Rows of null id are trained on. Repeated rows
@@ -36,11 +39,12 @@ from pyspark.sql import functions as F
 from tracelake.llm import eliasfano
 from tracelake.llm.common import map_arrow, shared_dir, utf8
 
-PRIOR = 20.0
+#: K of level 2, of level 3 and so on: there is one level more than priors.
+PRIORS = (20.0, 5.0)
 ADD = 0.1
-SHARD_BYTES = 48_000_000
+SHARD_BYTES = 32_000_000
 #: Bytes of text that a task holds as arrays at a time (one longer text goes alone).
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 _END = b"\n"  # no word holds white space
 _CODES = 65_535
 _LOW = -16.0  # log10 of the least probability that a node can keep
@@ -98,26 +102,49 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (((keys * _MIX) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, where: np.ndarray, shards: int) -> dict:
-    """Sorted keys and counts, packed for each shard that has some."""
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    x = values.astype(kind)
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _values(column, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(size, -1).T).view(kind).ravel() for x in column])
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, where: np.ndarray, shards: int, lower: np.ndarray | None = None) -> dict:
+    """Keys and counts, packed for each shard that has some. ``lower``: the kept probability after the shorter context."""
     order = np.argsort(where, kind="stable")
     ends = np.searchsorted(where[order], np.arange(shards + 1))
     used = np.flatnonzero(np.diff(ends))
     parts = [order[ends[k] : ends[k + 1]] for k in used]
-    return {"shard": used, "keys": [_pack(keys[p]) for p in parts], "counts": [counts[p].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts]}
+    return {
+        "shard": used, "keys": [_pack(keys[p]) for p in parts], "counts": [_planes(counts[p], "<u4") for p in parts],
+        "lower": [None if lower is None else _planes(lower[p], "<u2") for p in parts],
+    }
 
 
-def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and summed counts of a shard's rows."""
+def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct keys, summed counts and ``lower`` of a shard's rows."""
     keys = np.concatenate([_unpack(x.as_py()) for x in group.column("keys")])
-    counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in group.column("counts")])
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
+    keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-    return keys[first], np.add.reduceat(counts, first)
+    counts = np.add.reduceat(_values(group.column("counts"), "<u4")[order].astype(np.int64), first)
+    lower = None if group.column("lower").null_count else _values(group.column("lower"), "<u2")[order[first]]
+    return keys[first], counts, lower
+
+
+def _code(p: np.ndarray) -> np.ndarray:
+    """log10 probabilities in 16 bits."""
+    return np.clip(np.rint((p - _LOW) * (_CODES / -_LOW)), 0, _CODES).astype("<u2")
+
 
+def _log10(codes: np.ndarray) -> np.ndarray:
+    return codes * (-_LOW / _CODES) + _LOW
 
-_ROW = "shard int, keys binary, counts binary"
+
+_ROW = "shard int, keys binary, counts binary, lower binary"
 
 
 class Level1:
@@ -167,30 +194,91 @@ def _level2_file(folder: str, k: int):
     return tuple(eliasfano.Sequence(parts, p) for p in ("contexts_", "pointers_", "successors_")) + (parts["codes"],)
 
 
+@lru_cache(4096)
+def _deep_file(folder: str, level: int, k: int):
+    path = f"{folder}/level{level}-{k}"
+    if not os.path.exists(path):
+        return None
+    parts = eliasfano.load(path)
+    return tuple(eliasfano.Sequence(parts, p) for p in ("pointers_", "successors_")) + (parts["codes"], parts["weights"])
+
+
+class Walk:
+    """A chunk of texts down the trie: of each token its text, word and log10 probability, and its deepest n-gram's node."""
+
+    def __init__(self, model: Model, texts: list[bytes], order: int):
+        self.index, known, self.sizes = indexed(texts)
+        numbers, counts = model.words.look_up(hashes([*known, _END]))
+        self.after, self.counts = numbers[:-1][self.index], counts[:-1][self.index]
+        self.base = model.base(self.counts)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.p = self.base
+        if order > 1:
+            self._pairs(model, numbers[-1], counts[-1])
+        for level in range(3, order + 1):
+            self._deeper(model, level, starts)
+
+    def _pairs(self, model: Model, end: int, ends: int) -> None:
+        prior = model.priors[0]
+        before, context = np.concatenate(([end], self.after[:-1])), np.concatenate(([ends], self.counts[:-1]))
+        self.p = np.log10(prior / (context + prior)) + self.base
+        self.shard, self.node = np.zeros(len(before), np.int32), np.full(len(before), -1, np.int64)
+        both = np.flatnonzero((before >= 0) & (self.after >= 0))
+        if len(both):
+            v = np.uint64(model.v)
+            keys, which = np.unique(before[both].astype(np.uint64) * v + self.after[both].astype(np.uint64), return_inverse=True)
+            shard, node, kept = model.pairs((keys // v).astype(np.int64), (keys % v).astype(np.int64))
+            self.shard[both], self.node[both] = shard[which], node[which]
+            kept = kept[which]
+            self.p[both] = np.where(np.isnan(kept), self.p[both], kept)
+
+    def parents(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose context has a node (a text's first one has none), and that node's shard and place."""
+        node = np.concatenate(([-1], self.node[:-1]))
+        node[starts] = -1
+        at = np.flatnonzero(node >= 0)
+        return at, self.shard[at - 1], node[at]
+
+    def _deeper(self, model: Model, level: int, starts: np.ndarray) -> None:
+        at, shard, parent = self.parents(starts)
+        node, kept, weight = model.successors(level, shard, parent, self.after[at])
+        self.p = self.p.copy()
+        self.p[at] = np.where(node >= 0, kept, self.p[at] + weight)
+        self.shard, self.node = self.shard.copy(), np.full(len(self.node), -1, np.int64)
+        self.shard[at], self.node[at] = shard, node
+
+
 class Model:
     """What a task needs to open the trie: its folder and sizes."""
 
-    def __init__(self, folder: str, shards: int, offsets: list[int], n: int, v: int, prior: float):
-        self.folder, self.shards, self.offsets, self.n, self.v, self.prior = folder, shards, offsets, n, v, prior
+    def __init__(self, folder: str, shards: int, offsets: list[int], n: int, v: int, priors: tuple[float, ...]):
+        self.folder, self.shards, self.offsets, self.n, self.v, self.priors = folder, shards, offsets, n, v, priors
 
     @property
     def words(self) -> Level1:
         return Level1(self.folder, self.shards, self.offsets)
 
+    @property
+    def order(self) -> int:
+        return 1 + len(self.priors)
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + ADD) - np.log10(self.n + ADD * (self.v + 1))
 
-    def pairs(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """The kept log10 probability of known pairs of known words; nan where the trie has none."""
-        out = np.full(len(before), np.nan)
-        where = _shard_of(before.astype(np.uint64) * np.uint64(self.v) + after.astype(np.uint64), self.shards)
+    def _by_shard(self, where: np.ndarray):
         order = np.argsort(where, kind="stable")
         ends = np.searchsorted(where[order], np.arange(self.shards + 1))
         for k in np.flatnonzero(np.diff(ends)).tolist():
+            yield k, order[ends[k] : ends[k + 1]]
+
+    def pairs(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of known words: shard, place in it (-1: the trie has none) and kept log10 probability (nan)."""
+        where = _shard_of(before.astype(np.uint64) * np.uint64(self.v) + after.astype(np.uint64), self.shards)
+        node, out = np.full(len(before), -1, np.int64), np.full(len(before), np.nan)
+        for k, at in self._by_shard(where):
             if (found := _level2_file(self.folder, k)) is None:
                 continue
             contexts, pointers, successors, codes = found
-            at = order[ends[k] : ends[k + 1]]
             distinct, which = np.unique(before[at], return_inverse=True)
             rank = contexts.find(distinct.astype(np.uint64))
             begin = np.where(rank >= 0, pointers.get(np.maximum(rank, 0)).astype(np.int64), 0)
@@ -199,14 +287,30 @@ class Model:
             at, which = at[has], which[has]
             i = successors.find(rank[which].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64), begin[which], end[which])
             good = i >= 0
-            out[at[good]] = codes[i[good]] * (-_LOW / _CODES) + _LOW
-        return out
+            node[at[good]], out[at[good]] = i[good], _log10(codes[i[good]])
+        return where, node, out
+
+    def successors(self, level: int, shard: np.ndarray, parent: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words (-1: unknown) after nodes of the level above: place (-1: the trie has none), kept log10 probability and the context's log10 weight."""
+        node, out, weight = np.full(len(parent), -1, np.int64), np.full(len(parent), np.nan), np.zeros(len(parent))
+        for k, at in self._by_shard(shard):
+            if (found := _deep_file(self.folder, level, k)) is None:
+                continue
+            pointers, words, codes, weights = found
+            weight[at] = _log10(weights[parent[at]])
+            at = at[after[at] >= 0]
+            distinct, which = np.unique(parent[at], return_inverse=True)
+            begin, end = pointers.get(distinct).astype(np.int64), pointers.get(distinct + 1).astype(np.int64)
+            i = words.find(parent[at].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64), begin[which], end[which])
+            good = i >= 0
+            node[at[good]], out[at[good]] = i[good], _log10(codes[i[good]])
+        return node, out, weight
 
 
 def _write_words(folder: str):
     def run(group: pa.Table) -> pa.Table:
         k = group.column("shard")[0].as_py()
-        keys, counts = _merged(group)
+        keys, counts, _ = _merged(group)
         eliasfano.save(f"{folder}/words-{k}", **eliasfano.encode(keys, 1 << 64), counts=_narrow(counts))
         return pa.table({"shard": pa.array([k], pa.int32()), "distinct": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
@@ -221,28 +325,50 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 def _write_pairs(model: Model):
     def run(group: pa.Table) -> pa.Table:
         k = group.column("shard")[0].as_py()
-        keys, counts = _merged(group)
+        keys, counts, _ = _merged(group)
         v = np.uint64(model.v)
         before, after = (keys // v).astype(np.int64), (keys % v).astype(np.int64)
         contexts, first, rank = np.unique(before, return_index=True, return_inverse=True)
         words = model.words
         distinct, which = np.unique(after, return_inverse=True)
-        prior = model.prior * 10 ** model.base(words.count_of(distinct))[which]
-        p = np.log10((counts + prior) / (words.count_of(contexts)[rank] + model.prior))
+        k2 = model.priors[0]
+        prior = k2 * 10 ** model.base(words.count_of(distinct))[which]
+        p = np.log10((counts + prior) / (words.count_of(contexts)[rank] + k2))
         eliasfano.save(
             f"{model.folder}/pairs-{k}",
             **{f"contexts_{n}": x for n, x in eliasfano.encode(contexts, model.v).items()},
             **{f"pointers_{n}": x for n, x in eliasfano.encode(np.append(first, len(keys)), len(keys) + 1).items()},
             **{f"successors_{n}": x for n, x in eliasfano.encode(rank.astype(np.uint64) * v + after.astype(np.uint64), len(contexts) * model.v).items()},
-            codes=np.clip(np.rint((p - _LOW) * (_CODES / -_LOW)), 0, _CODES).astype("<u2"),
+            codes=_code(p),
+        )
+        return pa.table({"shard": pa.array([k], pa.int32()), "distinct": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+
+    return run
+
+
+def _write_deep(model: Model, level: int, parents: list[int]):
+    def run(group: pa.Table) -> pa.Table:
+        k = group.column("shard")[0].as_py()
+        keys, counts, lower = _merged(group)
+        v, prior = np.uint64(model.v), model.priors[level - 2]
+        parent = (keys // v).astype(np.int64)
+        pointers = np.searchsorted(parent, np.arange(parents[k] + 1))
+        total = np.diff(np.concatenate(([0], np.cumsum(counts)))[pointers])  # of each parent's successors
+        p = np.log10((counts + prior * 10 ** _log10(lower)) / (total[parent] + prior))
+        eliasfano.save(
+            f"{model.folder}/level{level}-{k}",
+            **{f"pointers_{n}": x for n, x in eliasfano.encode(pointers, len(keys) + 1).items()},
+            **{f"successors_{n}": x for n, x in eliasfano.encode(keys, parents[k] * model.v).items()},
+            codes=_code(p),
+            weights=_code(np.log10(prior / (total + prior))),
         )
         return pa.table({"shard": pa.array([k], pa.int32()), "distinct": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> Model:
-    """Counts the rows that aren't held out and writes the trie."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", priors: tuple[float, ...] = PRIORS) -> Model:
+    """Counts the rows that aren't held out and writes the trie, of one level more than ``priors``."""
     spark = docs.sparkSession
     url = urlparse(shared_dir(spark))
     if url.scheme not in ("", "file"):
@@ -263,11 +389,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
     level1 = map_arrow(rows, {"text": F.col("text")}, _ROW, words, None).groupBy("shard").applyInArrow(_write_words(folder), stats).collect()
-    sizes = [0] * shards
-    for r in level1:
-        sizes[r["shard"]] = r["distinct"]
+    sizes = _sizes(level1, shards)
     offsets = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
-    model = Model(folder, shards, offsets, sum(r["total"] for r in level1), sum(sizes), prior)
+    model = Model(folder, shards, offsets, sum(r["total"] for r in level1), sum(sizes), priors)
 
     def pairs(batch):
         # a text's first word follows the end of the text before it, which stands for its start
@@ -278,35 +402,45 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             keys, counts = np.unique(np.concatenate((end, numbers[:-1])) * np.uint64(model.v) + numbers, return_counts=True)
             yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
-    if model.v:
-        map_arrow(rows, {"text": F.col("text")}, _ROW, pairs, None).groupBy("shard").applyInArrow(_write_pairs(model), stats).collect()
+    def deeper(level):
+        def run(batch):
+            for _, texts in chunks(batch):
+                walk = Walk(model, texts, level - 1)
+                at, shard, parent = walk.parents(np.cumsum(walk.sizes) - walk.sizes)
+                # by shard, then key: a shard's keys are in order
+                key = parent.astype(np.uint64) * np.uint64(model.v) + walk.after[at].astype(np.uint64)
+                order = np.lexsort((key, shard))
+                key, shard = key[order], shard[order]
+                first = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(shard, prepend=-1) != 0))
+                yield _dealt(key[first], np.diff(np.append(first, len(key))), shard[first], shards, _code(walk.p[at[order[first]]]))
+
+        return run
+
+    level = pairs
+    write = _write_pairs(model)
+    for n in range(2, model.order + 1 if model.v else 0):
+        done = map_arrow(rows, {"text": F.col("text")}, _ROW, level, None).groupBy("shard").applyInArrow(write, stats).collect()
+        level, write = deeper(n + 1), _write_deep(model, n + 1, _sizes(done, shards)) if n < model.order else None
     return model
 
 
+def _sizes(stats: list, shards: int) -> list[int]:
+    found = {r["shard"]: r["distinct"] for r in stats}
+    return [found.get(k, 0) for k in range(shards)]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batch):
         for part, texts in chunks(batch):
-            index, known, sizes = indexed(texts)
-            numbers, counts = model.words.look_up(hashes([*known, _END]))
-            numbers, counts, end, ends = numbers[:-1], counts[:-1], numbers[-1], counts[-1]
-            base = model.base(counts)
-            row = np.repeat(np.arange(len(texts)), sizes)
-            after = numbers[index]
-            before = np.concatenate(([end], after[:-1]))
-            context = np.concatenate(([ends], counts[index][:-1]))
-            p = np.log10(model.prior / (context + model.prior)) + base[index]
-            both = np.flatnonzero((before >= 0) & (after >= 0))
-            if len(both):
-                keys, which = np.unique(before[both].astype(np.uint64) * np.uint64(model.v) + after[both].astype(np.uint64), return_inverse=True)
-                kept = model.pairs((keys // np.uint64(model.v)).astype(np.int64), (keys % np.uint64(model.v)).astype(np.int64))[which]
-                p[both] = np.where(np.isnan(kept), p[both], kept)
+            walk = Walk(model, texts, model.order)
+            row = np.repeat(np.arange(len(texts)), walk.sizes)
             n = len(texts)
             yield {
-                id_col: part.column("id"), "held_out": part.column("held_out"), "n_tokens": sizes, "n_known": np.bincount(row, counts[index] > 0, n).astype(np.int64),
-                "train_tokens": np.full(n, model.n, np.int64), "base_score": np.bincount(row, base[index], n), "score": np.bincount(row, p, n),
+                id_col: part.column("id"), "held_out": part.column("held_out"), "n_tokens": walk.sizes, "n_known": np.bincount(row, walk.counts > 0, n).astype(np.int64),
+                "train_tokens": np.full(n, model.n, np.int64), "base_score": np.bincount(row, walk.base, n), "score": np.bincount(row, walk.p, n),
             }
 
     schema = f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
