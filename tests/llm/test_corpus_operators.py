@@ -235,6 +235,8 @@ def test_elias_fano_holds_and_finds(tmp_path, n, universe):
     place = {int(v): i for i, v in enumerate(values)}
     assert s.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
     assert (s.get(np.arange(len(values))) == values).all()
+    here, behind = s.get_pair(np.arange(max(0, len(values) - 1)))
+    assert (here == values[:-1].astype(np.int64)).all() and (behind == values[1:].astype(np.int64)).all()
     begin = r.integers(0, n + 1, len(asked))
     stop = np.minimum(len(values), begin + r.integers(0, n + 1, len(asked)))
     found = [place.get(int(v), -1) for v in asked]

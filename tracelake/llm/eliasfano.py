@@ -12,6 +12,7 @@ import os
 import numpy as np
 
 _SAMPLE = 64
+_BLOCK = 1 << 18
 
 
 def save(path: str, **arrays: np.ndarray) -> None:
@@ -56,13 +57,13 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits = np.zeros(-(-(n_bits + 1) // 64) * 64, np.uint8)
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view("<u8")
-    ones = np.flatnonzero(bits)[::_SAMPLE]
-    bits[n_bits:] = 1
-    places = np.flatnonzero(bits == 0)[::_SAMPLE]
+    ones = high[::_SAMPLE] + np.arange(0, n, _SAMPLE)
+    bucket = np.arange(0, zeros, _SAMPLE)
+    places = bucket + np.searchsorted(high, bucket, "right")  # a bucket's zero stands behind its values
     low = np.zeros(n * low_bits // 8 + 16, np.uint8)
-    if low_bits and n:
-        part = values & np.uint64((1 << low_bits) - 1)
-        at = np.arange(n, dtype=np.int64) * low_bits
+    for start in range(0, n if low_bits else 0, _BLOCK):
+        part = values[start : start + _BLOCK] & np.uint64((1 << low_bits) - 1)
+        at = np.arange(start, start + len(part), dtype=np.int64) * low_bits
         byte, shift = at >> 3, (at & 7).astype(np.uint64)
         shifted = part << shift
         for k in range((low_bits + 14) // 8):  # neighbours may share a byte
@@ -109,15 +110,15 @@ class Sequence:
             w = np.where(over, w >> np.uint64(step), w)
         return word * 64 + at
 
-    def _zero_after(self, at: np.ndarray) -> np.ndarray:
-        """The place of the first zero at or after each place."""
+    def _next(self, at: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """The place of the first one (of the first zero, where all bits are flipped) at or after each place."""
         word = at >> 6
-        w = ~self.words[word] & ~((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        full = np.flatnonzero(w == 0)
-        while len(full):
-            word[full] += 1
-            w[full] = ~self.words[word[full]]
-            full = full[w[full] == 0]
+        w = (self.words[word] ^ flip) & ~((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        none = np.flatnonzero(w == 0)
+        while len(none):
+            word[none] += 1
+            w[none] = self.words[word[none]] ^ flip
+            none = none[w[none] == 0]
         return word * 64 + np.bitwise_count((w & (~w + np.uint64(1))) - np.uint64(1))
 
     def find(self, values: np.ndarray, begin: np.ndarray | int = 0, stop: np.ndarray | None = None) -> np.ndarray:
@@ -134,7 +135,7 @@ class Sequence:
         at = np.zeros(len(values), np.int64)
         later = np.flatnonzero(high > 0)
         at[later] = self.zero(high[later] - 1) + 1
-        lo, hi = np.maximum(at - high, begin), self._zero_after(at) - high
+        lo, hi = np.maximum(at - high, begin), self._next(at, ~np.uint64(0)) - high
         if stop is not None:
             hi = np.minimum(hi, stop)
         end = hi.copy()
@@ -152,5 +153,12 @@ class Sequence:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at indexes."""
-        high = self._select(i, self.ones, np.uint64(0)) - i
-        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low_at(i)
+        return self._value(i, self._select(i, self.ones, np.uint64(0)))
+
+    def get_pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at indexes and those behind them, as signed integers."""
+        place = self._select(i, self.ones, np.uint64(0))
+        return self._value(i, place).astype(np.int64), self._value(i + 1, self._next(place + 1, np.uint64(0))).astype(np.int64)
+
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_at(i)

@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,9 +44,9 @@ from tracelake.llm.common import map_arrow, shared_dir, utf8
 #: K of level 2, of level 3 and so on: there is one level more than priors.
 PRIORS = (20.0, 5.0)
 ADD = 0.1
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 #: Bytes of text that a task holds as arrays at a time (one longer text goes alone).
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 6_000_000
 _END = b"\n"  # no word holds white space
 _CODES = 65_535
 _LOW = -16.0  # log10 of the least probability that a node can keep
@@ -61,13 +63,12 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 def indexed(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Tokens of all texts as indexes of distinct tokens, those tokens, and the number of tokens of each text."""
-    known: dict[bytes, int] = {}
-    number = known.setdefault
+    known: dict[bytes, int] = defaultdict(count().__next__)
     parts, sizes = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         tokens = tokens_of(text)
         sizes[k] = len(tokens)
-        parts.append(np.array([number(t, len(known)) for t in tokens], np.int64))
+        parts.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), list(known), sizes
 
 
@@ -207,9 +208,9 @@ class Walk:
     """A chunk of texts down the trie: of each token its text, word and log10 probability, and its deepest n-gram's node."""
 
     def __init__(self, model: Model, texts: list[bytes], order: int):
-        self.index, known, self.sizes = indexed(texts)
+        index, known, self.sizes = indexed(texts)
         numbers, counts = model.words.look_up(hashes([*known, _END]))
-        self.after, self.counts = numbers[:-1][self.index], counts[:-1][self.index]
+        self.after, self.counts = numbers[:-1][index], counts[:-1][index]
         self.base = model.base(self.counts)
         starts = np.cumsum(self.sizes) - self.sizes
         self.p = self.base
@@ -281,8 +282,7 @@ class Model:
             contexts, pointers, successors, codes = found
             distinct, which = np.unique(before[at], return_inverse=True)
             rank = contexts.find(distinct.astype(np.uint64))
-            begin = np.where(rank >= 0, pointers.get(np.maximum(rank, 0)).astype(np.int64), 0)
-            end = np.where(rank >= 0, pointers.get(np.maximum(rank, 0) + 1).astype(np.int64), 0)
+            begin, end = pointers.get_pair(np.maximum(rank, 0))
             has = rank[which] >= 0
             at, which = at[has], which[has]
             i = successors.find(rank[which].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64), begin[which], end[which])
@@ -300,7 +300,7 @@ class Model:
             weight[at] = _log10(weights[parent[at]])
             at = at[after[at] >= 0]
             distinct, which = np.unique(parent[at], return_inverse=True)
-            begin, end = pointers.get(distinct).astype(np.int64), pointers.get(distinct + 1).astype(np.int64)
+            begin, end = pointers.get_pair(distinct)
             i = words.find(parent[at].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64), begin[which], end[which])
             good = i >= 0
             node[at[good]], out[at[good]] = i[good], _log10(codes[i[good]])
@@ -407,10 +407,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             for _, texts in chunks(batch):
                 walk = Walk(model, texts, level - 1)
                 at, shard, parent = walk.parents(np.cumsum(walk.sizes) - walk.sizes)
-                # by shard, then key: a shard's keys are in order
                 key = parent.astype(np.uint64) * np.uint64(model.v) + walk.after[at].astype(np.uint64)
-                order = np.lexsort((key, shard))
+                order = np.argsort(key)
                 key, shard = key[order], shard[order]
+                # where shards take turns within a key, their entries are more than one, which adds up in the shard
                 first = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(shard, prepend=-1) != 0))
                 yield _dealt(key[first], np.diff(np.append(first, len(key))), shard[first], shards, _code(walk.p[at[order[first]]]))
 
