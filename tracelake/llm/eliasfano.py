@@ -13,6 +13,8 @@ import numpy as np
 
 _SAMPLE = 64
 _BLOCK = 1 << 18
+#: By byte * 8 + k: the place of the byte's k-th set bit.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.int64)
 
 
 def save(path: str, **arrays: np.ndarray) -> None:
@@ -102,13 +104,13 @@ class Sequence:
             count[short] = np.bitwise_count(w[short])
             short = short[left[short] > count[short]]
         at = np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):  # the left-th set bit of w
+        for step in (32, 16, 8):  # the byte with the left-th set bit of w
             part = np.bitwise_count(w & np.uint64((1 << step) - 1)).astype(np.int64)
             over = left > part
-            at += np.where(over, step, 0)
-            left -= np.where(over, part, 0)
-            w = np.where(over, w >> np.uint64(step), w)
-        return word * 64 + at
+            at += over * step
+            left -= over * part
+            w >>= (over * step).astype(np.uint64)
+        return word * 64 + at + _IN_BYTE[(w & np.uint64(255)).astype(np.int64) * 8 + left - 1]
 
     def _next(self, at: np.ndarray, flip: np.uint64) -> np.ndarray:
         """The place of the first one (of the first zero, where all bits are flipped) at or after each place."""

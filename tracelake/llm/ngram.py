@@ -35,6 +35,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +92,12 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as byte planes of their differences, which compress well."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys by their differences, which compress well."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)), "<u8")
 
 
 def _unpack(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_of_planes(planes, "<u8"), dtype=np.uint64)
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -104,13 +105,18 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
+    """The values byte by byte, compressed."""
     x = values.astype(kind)
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def _of_planes(planes: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(planes), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _values(column, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(size, -1).T).view(kind).ravel() for x in column])
+    return np.concatenate([_of_planes(x.as_py(), kind) for x in column])
 
 
 def _dealt(keys: np.ndarray, counts: np.ndarray, where: np.ndarray, shards: int, lower: np.ndarray | None = None) -> dict:
@@ -267,6 +273,7 @@ class Model:
         return np.log10(counts + ADD) - np.log10(self.n + ADD * (self.v + 1))
 
     def _by_shard(self, where: np.ndarray):
+        where = where.astype(np.min_scalar_type(self.shards))  # two bytes and less are sorted by radix
         order = np.argsort(where, kind="stable")
         ends = np.searchsorted(where[order], np.arange(self.shards + 1))
         for k in np.flatnonzero(np.diff(ends)).tolist():
@@ -297,10 +304,12 @@ class Model:
             if (found := _deep_file(self.folder, level, k)) is None:
                 continue
             pointers, words, codes, weights = found
+            at = at[np.argsort(parent[at])]  # neighbours in the files come one after the other
             weight[at] = _log10(weights[parent[at]])
             at = at[after[at] >= 0]
-            distinct, which = np.unique(parent[at], return_inverse=True)
-            begin, end = pointers.get_pair(distinct)
+            first = np.diff(parent[at], prepend=-1) != 0
+            which = np.cumsum(first) - 1
+            begin, end = pointers.get_pair(parent[at[first]])
             i = words.find(parent[at].astype(np.uint64) * np.uint64(self.v) + after[at].astype(np.uint64), begin[which], end[which])
             good = i >= 0
             node[at[good]], out[at[good]] = i[good], _log10(codes[i[good]])
