@@ -279,6 +279,35 @@ def test_ngram_scores_equal_brute_force_and_beat_the_base(spark, sf_dir):
     assert sum(p3(g, h, w) for w in one) + k3 * k * unseen / (one[h] + k) / (two[g, h] + k3) == pytest.approx(1)
 
 
+def test_ngram_of_order_four_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    given = {d: [*(b"%c" % c for c in r.integers(97, 101, d % 13)), b"\n"] for d in range(400)}
+    docs = spark.createDataFrame([(d, b" ".join(t[:-1]).decode()) for d, t in given.items()], "doc_id long, text string")
+    priors = (20.0, 5.0, 3.0)
+    counts, contexts = Counter(), Counter()
+    for d, t in given.items():
+        if zlib.crc32(str(d).encode()) % 10:
+            t = (b"\n", *t)
+            counts.update(t[1:])
+            for i in range(1, len(t)):
+                for size in range(1, min(i, 3) + 1):
+                    counts[t[i - size : i + 1]] += 1
+                    contexts[t[i - size : i]] += 1
+    words = [w for w in counts if isinstance(w, bytes)]
+    n = sum(counts[w] for w in words)
+
+    def p(h, w):
+        if not h:
+            return (counts[w] + 0.1) / (n + 0.1 * (len(words) + 1))
+        k = priors[len(h) - 1]
+        return (counts[(*h, w)] + k * p(h[1:], w)) / (contexts[h] + k)
+
+    for x in ngram.score(docs, ngram.train(docs, priors=priors)).collect():
+        t = (b"\n", *given[x["doc_id"]])
+        want = sum(math.log10(p(t[max(0, i - 3) : i], t[i])) for i in range(1, len(t)))
+        assert x["score"] == pytest.approx(want, abs=5e-4 * len(t))
+
+
 def test_ngram_of_nothing(spark):
     assert ngram.score(empty(spark), ngram.train(empty(spark))).collect() == []
     docs = awkward(spark, [None, "a b"]).where("doc_id = 0")
