@@ -243,6 +243,18 @@ def test_elias_fano_holds_and_finds(tmp_path, n, universe):
     assert s.find(asked, begin, stop).tolist() == [i if a <= i < b else -1 for i, a, b in zip(found, begin.tolist(), stop.tolist(), strict=True)]
 
 
+def test_ngram_tokens_are_those_of_split():
+    r = np.random.default_rng(7)
+    pieces = ["a", "A", "ab", "abcdefgh", "abcdefghi", "Ünï", "\x00", "a\x00", "\x1f", "\x85", "\u2003", "x" * 63, "x" * 64, "x" * 65, "X" * 65 + "y", "y" * 500, " ", "\t", "\n", "\r\n", "\x0b", "\x0c"]
+    texts = [b"", b"\n", b" a", *("".join(r.choice(pieces, size)).encode() for size in r.integers(0, 60, 300)), b""]
+    index, known, sizes = ngram.indexed(texts)
+    want = [[*t.lower().split(), b"\n"] for t in texts]
+    assert sizes.tolist() == [len(t) for t in want]
+    flat = [w for t in want for w in t]
+    of = dict(zip(flat, known[index].tolist(), strict=True))
+    assert len(set(of.values())) == len(of) == len(known) and [of[w] for w in flat] == known[index].tolist()
+
+
 def test_ngram_scores_equal_brute_force_and_beat_the_base(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text").unionByName(awkward(spark, [None, "", "word", "unseenword another"]).where("doc_id is not null").selectExpr("doc_id + 100000 AS doc_id", "text"))
     given = [(r["doc_id"], [*(r["text"] or "").encode().lower().split(), b"\n"]) for r in docs.collect()]

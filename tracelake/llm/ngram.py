@@ -27,9 +27,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import defaultdict
 from functools import lru_cache
-from itertools import count
 from urllib.parse import urlparse
 
 import numpy as np
@@ -52,25 +50,51 @@ _END = b"\n"  # no word holds white space
 _CODES = 65_535
 _LOW = -16.0  # log10 of the least probability that a node can keep
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 64
+_IN_WORD = np.array([not bytes([b]).isspace() for b in range(256)], np.int8)
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), _END]
-
-
-def indexed(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Tokens of all texts as indexes of distinct tokens, those tokens, and the number of tokens of each text."""
-    known: dict[bytes, int] = defaultdict(count().__next__)
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        tokens = tokens_of(text)
-        sizes[k] = len(tokens)
-        parts.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), list(known), sizes
+def indexed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts as indexes of distinct tokens, the sorted hashes of those, and the number of tokens of each text."""
+    raw = _END.join([*texts, b""]).lower() + bytes(8)
+    buffer = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(buffer) + 1, np.int8)
+    word[1:-8] = _IN_WORD[buffer[:-8]]
+    edge = np.diff(word[:-7])
+    starts, ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    of_text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts], dtype=np.int64), starts, "right")
+    sizes = np.bincount(of_text, minlength=len(texts)).astype(np.int64) + 1
+    keys = np.full(len(starts) + len(texts), _END_HASH, np.uint64)
+    keys[np.arange(len(starts)) + of_text] = _hashed(raw, starts, ends - starts)
+    known, index = np.unique(keys, return_inverse=True)
+    return index, known, sizes
+
+
+def _hashed(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at a time; words of over ``_LONG`` bytes by XXH3. Eight bytes follow the last word."""
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = sizes.astype(np.uint64) * _MIX
+    left, at, which = sizes, starts, np.arange(len(sizes))
+    for _ in range(0, _LONG, 8):
+        spare = np.maximum(64 - 8 * left, 0).astype(np.uint64)
+        x = (out[which] ^ (eight[at] << spare)) * _MIX
+        out[which] = x ^ (x >> np.uint64(29))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        left, at, which = left[more] - 8, at[more] + 8, which[more]
+    out *= _MIX
+    out ^= out >> np.uint64(32)
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + sizes[k]])
+    return out
+
+
+_END_HASH = _hashed(_END + bytes(8), np.array([0]), np.array([1]))[0]
 
 
 def chunks(batch: pa.RecordBatch):
@@ -86,11 +110,6 @@ def chunks(batch: pa.RecordBatch):
         yield batch.slice(start), texts[start:]
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
-
-
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted keys by their differences, which compress well."""
     return _planes(np.diff(keys, prepend=np.uint64(0)), "<u8")
@@ -104,6 +123,15 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (((keys * _MIX) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
+def _by_shard(where: np.ndarray, shards: int):
+    """(shard, its places in order) of each shard that has some."""
+    where = where.astype(np.min_scalar_type(shards))  # two bytes and less are sorted by radix
+    order = np.argsort(where, kind="stable")
+    ends = np.searchsorted(where[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, order[ends[k] : ends[k + 1]]
+
+
 def _planes(values: np.ndarray, kind: str) -> bytes:
     """The values byte by byte, compressed."""
     x = values.astype(kind)
@@ -121,12 +149,9 @@ def _values(column, kind: str) -> np.ndarray:
 
 def _dealt(keys: np.ndarray, counts: np.ndarray, where: np.ndarray, shards: int, lower: np.ndarray | None = None) -> dict:
     """Keys and counts, packed for each shard that has some. ``lower``: the kept probability after the shorter context."""
-    order = np.argsort(where, kind="stable")
-    ends = np.searchsorted(where[order], np.arange(shards + 1))
-    used = np.flatnonzero(np.diff(ends))
-    parts = [order[ends[k] : ends[k + 1]] for k in used]
+    used, parts = zip(*_by_shard(where, shards)) if len(where) else ((), ())
     return {
-        "shard": used, "keys": [_pack(keys[p]) for p in parts], "counts": [_planes(counts[p], "<u4") for p in parts],
+        "shard": np.array(used, np.int64), "keys": [_pack(keys[p]) for p in parts], "counts": [_planes(counts[p], "<u4") for p in parts],
         "lower": [None if lower is None else _planes(lower[p], "<u2") for p in parts],
     }
 
@@ -163,11 +188,7 @@ class Level1:
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts."""
         numbers, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        where = _shard_of(keys, self.shards)
-        order = np.argsort(where, kind="stable")
-        ends = np.searchsorted(where[order], np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            at = order[ends[k] : ends[k + 1]]
+        for k, at in _by_shard(_shard_of(keys, self.shards), self.shards):
             if (found := _level1_file(self.folder, k)) is not None:
                 i = found[0].find(keys[at])
                 at, i = at[i >= 0], i[i >= 0]
@@ -215,7 +236,7 @@ class Walk:
 
     def __init__(self, model: Model, texts: list[bytes], order: int):
         index, known, self.sizes = indexed(texts)
-        numbers, counts = model.words.look_up(hashes([*known, _END]))
+        numbers, counts = model.words.look_up(np.append(known, _END_HASH))
         self.after, self.counts = numbers[:-1][index], counts[:-1][index]
         self.base = model.base(self.counts)
         starts = np.cumsum(self.sizes) - self.sizes
@@ -272,18 +293,11 @@ class Model:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + ADD) - np.log10(self.n + ADD * (self.v + 1))
 
-    def _by_shard(self, where: np.ndarray):
-        where = where.astype(np.min_scalar_type(self.shards))  # two bytes and less are sorted by radix
-        order = np.argsort(where, kind="stable")
-        ends = np.searchsorted(where[order], np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            yield k, order[ends[k] : ends[k + 1]]
-
     def pairs(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of pairs of known words: shard, place in it (-1: the trie has none) and kept log10 probability (nan)."""
         where = _shard_of(before.astype(np.uint64) * np.uint64(self.v) + after.astype(np.uint64), self.shards)
         node, out = np.full(len(before), -1, np.int64), np.full(len(before), np.nan)
-        for k, at in self._by_shard(where):
+        for k, at in _by_shard(where, self.shards):
             if (found := _level2_file(self.folder, k)) is None:
                 continue
             contexts, pointers, successors, codes = found
@@ -300,7 +314,7 @@ class Model:
     def successors(self, level: int, shard: np.ndarray, parent: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of words (-1: unknown) after nodes of the level above: place (-1: the trie has none), kept log10 probability and the context's log10 weight."""
         node, out, weight = np.full(len(parent), -1, np.int64), np.full(len(parent), np.nan), np.zeros(len(parent))
-        for k, at in self._by_shard(shard):
+        for k, at in _by_shard(shard, self.shards):
             if (found := _deep_file(self.folder, level, k)) is None:
                 continue
             pointers, words, codes, weights = found
@@ -391,10 +405,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
 
     def words(batch):
         for _, texts in chunks(batch):
-            index, known, _ = indexed(texts)
-            keys, counts = hashes(known), np.bincount(index, minlength=len(known))
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
+            index, keys, _ = indexed(texts)
+            counts = np.bincount(index, minlength=len(keys))
             yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
     level1 = map_arrow(rows, {"text": F.col("text")}, _ROW, words, None).groupBy("shard").applyInArrow(_write_words(folder), stats).collect()
@@ -404,10 +416,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
 
     def pairs(batch):
         # a text's first word follows the end of the text before it, which stands for its start
-        end = model.words.look_up(hashes([_END]))[0].astype(np.uint64)
+        end = model.words.look_up(np.array([_END_HASH]))[0].astype(np.uint64)
         for _, texts in chunks(batch):
             index, known, _ = indexed(texts)
-            numbers = model.words.look_up(hashes(known))[0].astype(np.uint64)[index]
+            numbers = model.words.look_up(known)[0].astype(np.uint64)[index]
             keys, counts = np.unique(np.concatenate((end, numbers[:-1])) * np.uint64(model.v) + numbers, return_counts=True)
             yield _dealt(keys, counts, _shard_of(keys, shards), shards)
 
