@@ -47,6 +47,8 @@ MIN_PURITY = 0.95
 COPY_WORDS = 20
 #: Words of a sequence.
 SEQUENCE = 48
+#: Sequences that are summed over at a time.
+BLOCK = 4096
 #: Of sequences without a word taken for toxic, one in so many is fitted.
 PLAIN = 8
 STEPS, REFIT_STEPS, REFITS = 60, 20, 1
@@ -171,33 +173,56 @@ def mass(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.log1p(np.bincount(np.repeat(np.arange(len(sizes)), sizes), over, len(sizes)))
 
 
+class Block:
+    """Some of the sequences to fit: their words as indexes of distinct ones, and their targets."""
+
+    def __init__(self, ends: np.ndarray, flat: np.ndarray, gold: np.ndarray):
+        self.seq, self.flat, self.gold = Sequences(ends), flat, gold
+        self.inner = np.arange(1, SEQUENCE)[:, None] < self.seq.ends
+        self.same = self.seq.of[1:] == self.seq.of[:-1]
+
+    def pairs(self) -> np.ndarray:
+        """How often each target follows each in a sequence."""
+        padded = np.zeros((SEQUENCE, self.seq.n))
+        padded[self.seq.at, self.seq.of] = self.gold
+        return np.array([[np.sum((padded[:-1] == a) & (padded[1:] == b) & self.inner) for b in (0, 1)] for a in (0, 1)], float)
+
+    def expected(self, now: Model, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The expected ``pairs``, and by distinct word what targets exceed marginals by: of the word, the one behind and the one before."""
+        psi, ahead, back = ratios(self.seq.emissions(*said[self.flat].T, now.bias), self.seq.ends, now.transitions)
+        a, v, r = np.exp(now.transitions), psi[1:] * back[1:], ahead[:-1]
+        joint = np.stack([np.full_like(v, a[0, 0]), a[0, 1] * v, a[1, 0] * r, a[1, 1] * r * v])
+        residual = self.gold - marginals(ahead, back)[self.seq.at, self.seq.of]
+        known = len(said)
+        by_word = [np.bincount(self.flat, residual, known), np.bincount(self.flat[:-1], residual[1:] * self.same, known), np.bincount(self.flat[1:], residual[:-1] * self.same, known)]
+        return (joint / joint.sum(0) * self.inner).sum((1, 2)).reshape(2, 2), np.stack(by_word)
+
+
 def _ascend(model: Model, words: pa.Array, ends: np.ndarray, gold: np.ndarray, steps: int) -> Model:
     """Weights that make the targets likely: Adam on the penalised conditional likelihood, from those of ``model``.
 
-    ``words`` and ``gold``: all sequences one after the other; ``ends``: the length of each.
+    ``words`` and ``gold``: all sequences one after the other; ``ends``: the length of each. Each step sums over
+    blocks of sequences, so that memory is that of one block and of the words.
     """
     coded = words.dictionary_encode()
     flat = coded.indices.to_numpy()
     features = np.array([features_of(w) for w in coded.dictionary.to_pylist()], np.int32)
-    seq, known = Sequences(ends), len(features)
-    inner = np.arange(1, SEQUENCE)[:, None] < seq.ends
-    padded = np.zeros((SEQUENCE, seq.n))
-    padded[seq.at, seq.of] = gold
-    pairs = np.array([[np.sum((padded[:-1] == a) & (padded[1:] == b) & inner) for b in (0, 1)] for a in (0, 1)], float)
-    same = seq.of[1:] == seq.of[:-1]
+    at = np.concatenate(([0], np.cumsum(ends)))
+    blocks = [Block(ends[k : k + BLOCK], *(x[at[k] : at[min(k + BLOCK, len(ends))]] for x in (flat, gold))) for k in range(0, len(ends), BLOCK)]
+    pairs = sum(b.pairs() for b in blocks)
     theta = np.concatenate((model.weights.astype(float), [model.bias], model.transitions.ravel()))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         now = Model(0.0, theta[: SIZE + 1], theta[SIZE + 1], theta[SIZE + 2 :].reshape(2, 2), key="")
-        psi, ahead, back = ratios(seq.emissions(*now.of_features(features)[flat].T, now.bias), seq.ends, now.transitions)
-        a, v, r = np.exp(now.transitions), psi[1:] * back[1:], ahead[:-1]
-        joint = np.stack([np.full_like(v, a[0, 0]), a[0, 1] * v, a[1, 0] * r, a[1, 1] * r * v])
-        expected = (joint / joint.sum(0) * inner).sum((1, 2)).reshape(2, 2)
-        residual = gold - marginals(ahead, back)[seq.at, seq.of]
-        by_word = [np.bincount(flat, residual, known)] * _OWN + [np.bincount(flat[:-1], residual[1:] * same, known), np.bincount(flat[1:], residual[:-1] * same, known)]
-        grad = np.concatenate([sum(np.bincount(features[:, k], x, SIZE + 1) for k, x in enumerate(by_word)), [residual.sum()], (pairs - expected).ravel()])
+        said = now.of_features(features)
+        expected, by_word = np.zeros((2, 2)), np.zeros((3, len(features)))
+        for b in blocks:
+            for total, part in zip((expected, by_word), b.expected(now, said), strict=True):
+                total += part
+        of_feature = sum(np.bincount(features[:, k], x, SIZE + 1) for k, x in enumerate([by_word[0]] * _OWN + [by_word[1], by_word[2]]))
+        grad = np.concatenate([of_feature, [by_word[0].sum()], (pairs - expected).ravel()])
         grad[SIZE] = 0
-        grad = grad / seq.n - 1e-4 * theta
+        grad = grad / len(ends) - 1e-4 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
         theta[SIZE] = 0
