@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, decontaminate, html, license_set, licenses, ngram, paragraphs, pii, quality, simhash, toxicity
+from tracelake.llm import bpe, decontaminate, filter_audit, html, license_set, licenses, ngram, paragraphs, pii, quality, secrets, simhash, toxicity, vector_codes
 from tracelake.llm.common import table
 
 
@@ -51,5 +51,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_html, op4_ngram, op5_paragraphs, op6_toxicity, op7_quality, op8_simhash, op9_licenses, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_html, op4_ngram, op5_paragraphs, op6_toxicity, op7_quality, op8_simhash, op9_licenses, op10_bpe, op11_filter_audit, op12_vector_codes, op13_secrets)}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.AUDIT_SQL, "op12_vector_codes": vector_codes.CODES_SQL}
