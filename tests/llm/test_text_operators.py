@@ -98,6 +98,8 @@ def test_decontaminate_by_items_without_id(spark, max_bytes):
     items = spark.createDataFrame([(None, "secret test question"), (7, "other item")], "item_id bigint, text string")
     got = rows(decontaminate.decontaminate(awkward(spark, ["a secret test question here", "clean", "other item"]), items, max_bytes=max_bytes))
     assert [(got[k]["n_hit"], got[k]["items"], got[k]["contaminated"]) for k in range(3)] == [(3, [], True), (0, [], False), (2, ["7"], True)]
+    kept = decontaminate.keep_clean(awkward(spark, ["a secret test question here", "clean", "other item"]), items, max_bytes=max_bytes)
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, x in got.items() if not x["contaminated"]}
 
 
 def test_decontaminate_of_nothing(spark):

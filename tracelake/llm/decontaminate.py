@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, hold, map_arrow, slices, utf8
 
-#: Bytes of normalised windows that one automaton holds at most; more items make more automata and scans.
-AUTOMATON_BYTES = 64_000_000
+#: Bytes of normalised windows that one automaton holds at most (some 50 bytes of memory each); more items make more automata and scans.
+AUTOMATON_BYTES = 8_000_000
 
 _KEEP = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 
@@ -146,7 +146,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
 
             for batch in slices(batches):
                 automaton = _automaton(shared, key)
-                clean = [not scan(automaton, words_of(t))[1] for t in utf8(batch, text_col)]
+                clean = [not any(scan(automaton, words_of(t))[0]) for t in utf8(batch, text_col)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
