@@ -74,14 +74,18 @@ def _fold() -> list[Column]:
     return [F.min_by("name", "id").alias("name"), F.max_by("status", severity(F.col("status"))).alias("worst"), F.count("*").cast("double").alias("occurrences")]
 
 
+def step_folds(m: Model) -> DataFrame:
+    """A row for each run and step key: name, worst status, occurrences and sums; the duration is null if none is known."""
+    return m.nodes.where("step_key <> ''").groupBy("run_id", F.col("step_key").alias("key")).agg(*_fold(), F.sum(F.col("duration_ms").cast("double")).alias("duration_ms"), *[F.sum(zero(k)).alias(k) for k in METRICS[1:]])
+
+
 def step_rows(m: Model) -> DataFrame:
     """A row for each group and step key: presence, errors and statistics across the runs that have it."""
-    folded = m.nodes.where("step_key <> ''").groupBy("run_id", F.col("step_key").alias("key")).agg(*_fold(), F.sum(F.col("duration_ms").cast("double")).alias("duration_ms"), *[F.sum(zero(k)).alias(k) for k in METRICS[1:]])
-    return _rows(folded, m.runs)
+    return _rows(step_folds(m), m.runs)
 
 
-def phase_rows(m: Model) -> DataFrame:
-    """A row for each group and phase key; a phase's cost and tokens are those of its span's members.
+def phase_folds(m: Model) -> DataFrame:
+    """As ``step_folds`` for phase keys; a phase's cost and tokens are those of its span's members.
 
     A node in two occurrences of a phase counts twice; spans to unknown nodes are ignored.
     """
@@ -89,5 +93,9 @@ def phase_rows(m: Model) -> DataFrame:
     own = markers.groupBy("run_id", F.col("phase_key").alias("key")).agg(*_fold(), F.sum("duration_ms").alias("duration_ms"))
     members = m.spans.join(markers.select("run_id", F.col("id").alias("src"), F.col("phase_key").alias("key")), ["run_id", "src"]).join(m.nodes.select("run_id", F.col("id").alias("dst"), *METRICS[1:]), ["run_id", "dst"])
     sums = members.groupBy("run_id", "key").agg(*[F.sum(zero(k)).alias(k) for k in METRICS[1:]])
-    folded = own.join(sums, ["run_id", "key"], "left").withColumns({k: zero(k) for k in METRICS[1:]})
-    return _rows(folded, m.runs)
+    return own.join(sums, ["run_id", "key"], "left").withColumns({k: zero(k) for k in METRICS[1:]})
+
+
+def phase_rows(m: Model) -> DataFrame:
+    """A row for each group and phase key, as ``step_rows``."""
+    return _rows(phase_folds(m), m.runs)

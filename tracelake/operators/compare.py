@@ -35,8 +35,8 @@ def _ask(metric: Column, rate: tuple | None = None, stats: tuple | None = None,
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
-def _judged(asked: DataFrame, th: Thresholds) -> DataFrame:
-    """The findings of the comparisons in ``f``, a row each.
+def _judged(asked: DataFrame, th: Thresholds, also: tuple[str, ...] = ()) -> DataFrame:
+    """The findings of the comparisons in ``f``, a row each, with the columns ``also``.
 
     Rates of bad outcomes: a regression needs apart intervals and more than the delta. Medians: a regression
     is outside a band around the baseline's; more is worse unless ``better``. One formula for all rows keeps
@@ -63,7 +63,7 @@ def _judged(asked: DataFrame, th: Thresholds) -> DataFrame:
     flip = lambda c: F.when(mirrored, 1 - c).otherwise(c)
     known = lambda c: F.when(absent, zero).otherwise(c)
     return df.select(
-        "scope", "key", "name", f["metric"].alias("metric"), F.when(absent | few, "insufficient").when(f["rate"], of_rate).otherwise(of_metric).alias("verdict"),
+        *also, "scope", "key", "name", f["metric"].alias("metric"), F.when(absent | few, "insufficient").when(f["rate"], of_rate).otherwise(of_metric).alias("verdict"),
         known(flip(F.col("at"))).alias("baseline"), known(flip(F.col("now"))).alias("candidate"), known(F.when(mirrored, -F.col("moved")).otherwise(F.col("moved"))).alias("delta"),
         known(F.when(few, zero).when(mirrored, 1 - F.col("hi")).otherwise(F.col("lo"))).alias("band_lo"), known(F.when(few, zero).when(mirrored, 1 - F.col("lo")).otherwise(F.col("hi"))).alias("band_hi"),
         F.when(absent, f["absent"]).otherwise(detail).alias("detail"),
@@ -164,6 +164,15 @@ def paired_findings(tasks: DataFrame, th: Thresholds) -> DataFrame:
     return found.select(F.lit("paired").alias("scope"), F.lit("").alias("key"), F.lit("").alias("name"), "metric", verdict.alias("verdict"), "matched", "nonzero", "positive", F.col("t.w_plus").alias("w_plus"), F.col("t.w_total").alias("w_total"), F.col("t.p_up").alias("p_up"), F.col("t.p_down").alias("p_down"))
 
 
+def plain_paired(paired: DataFrame, th: Thresholds, also: tuple[str, ...] = ()) -> DataFrame:
+    """Paired findings in the columns of all findings: the test is told in the detail."""
+    word = F.when(F.col("matched") == 1, "task").otherwise("tasks")
+    few = F.format_string(f"matched %d %s below paired min {th.paired_min_tasks}", "matched", word)
+    detail = F.when(F.col("verdict") == "insufficient", few).otherwise(F.format_string("+%d/%d tasks, p=%.4f", "positive", "nonzero", "p_up"))
+    zeros = [F.lit(0.0).alias(k) for k in ("baseline", "candidate", "delta", "band_lo", "band_hi")]
+    return paired.select(*also, "scope", "key", "name", "metric", "verdict", *zeros, detail.alias("detail"))
+
+
 def reliability(tasks: DataFrame) -> DataFrame:
     """pass^k for each group: the mean over tasks with outcomes, for k up to the least number of outcomes."""
     known = tasks.where("out_n > 0")

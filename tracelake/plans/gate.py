@@ -21,7 +21,7 @@ def findings(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None =
     parts = [
         cmp.total_findings(agg.totals(per_run), th),
         cmp.annotation_findings(agg.annotation_totals(m), specs or {}, th),
-        _plain(cmp.paired_findings(agg.task_stats(m, per_run), th)),
+        cmp.plain_paired(cmp.paired_findings(agg.task_stats(m, per_run), th), th),
         cmp.row_findings("step", steps, m.runs, th, True),
     ]
     if m.spans is not None:
@@ -32,12 +32,6 @@ def findings(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None =
     return cmp.kept(out)
 
 
-def _plain(paired: DataFrame) -> DataFrame:
-    detail = F.when(F.col("verdict") == "insufficient", F.format_string("matched %d tasks", "matched")).otherwise(F.format_string("+%d/%d tasks, p=%.4f", "positive", "nonzero", "p_up"))
-    zeros = [F.lit(0.0).alias(k) for k in ("baseline", "candidate", "delta", "band_lo", "band_hi")]
-    return paired.select("scope", "key", "name", "metric", "verdict", *zeros, detail.alias("detail"))
-
-
 def regress(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings in report order and the one-row verdict."""
     found = findings(m, th, specs)

@@ -170,7 +170,7 @@ def _with(select: str, *extra: str) -> str:
 
 
 _TOT, _ANN, _TASK, _STEP, _PHASE = f"tot AS ({_totals()})", f"annt AS ({_annotations()})", f"taskt AS ({_tasks()})", f"steps AS ({_rows('stepf')})", f"phases AS ({_rows('phasef')})"
-_PLAIN = f"SELECT scope, key, name, metric, verdict, 0.0::DOUBLE AS baseline, 0.0::DOUBLE AS candidate, 0.0::DOUBLE AS delta, 0.0::DOUBLE AS band_lo, 0.0::DOUBLE AS band_hi, CASE WHEN verdict = 'insufficient' THEN 'matched ' || matched || ' tasks' ELSE '+' || positive || '/' || nonzero || ' tasks, p=' || printf('%.4f', p_up) END AS detail FROM ({_paired(_SIGN)})"
+_PLAIN = f"SELECT scope, key, name, metric, verdict, 0.0::DOUBLE AS baseline, 0.0::DOUBLE AS candidate, 0.0::DOUBLE AS delta, 0.0::DOUBLE AS band_lo, 0.0::DOUBLE AS band_hi, CASE WHEN verdict = 'insufficient' THEN 'matched ' || matched || CASE WHEN matched = 1 THEN ' task' ELSE ' tasks' END || ' below paired min {TH.paired_min_tasks}' ELSE '+' || positive || '/' || nonzero || ' tasks, p=' || printf('%.4f', p_up) END AS detail FROM ({_paired(_SIGN)})"
 _ALL = " UNION ALL BY NAME ".join(f"({x})" for x in (_total_findings(), _annotation_findings(), _PLAIN, _row_findings("step", "steps", True), _row_findings("phase", "phases", False)))
 _REPORT = f"SELECT * FROM ({_ALL}) WHERE scope = 'total' OR verdict <> 'ok'"
 _BASE = (_TOT, _ANN, _TASK, _STEP, _PHASE, _DELTAS)

@@ -10,6 +10,7 @@ from tracelake.functions.pricing import FAMILIES, cost_usd
 from tracelake.functions.redact import capped, redacted
 from tracelake.operators import aggregate as agg
 from tracelake.operators import calibrate, diff, history, judge, keys, markers, reduce, tables
+from tracelake.plans import gate_sql
 from tracelake.plans.gate_sql import stats, wilson
 from tracelake.plans.thresholds import DEFAULT as TH
 from tracelake.plans.views import VIEWS, events, gate_model, table
@@ -27,6 +28,14 @@ def calibration_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibrate.split_findings(gate_model(spark, sf_dir), TH))
 
 
+def calibration_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(calibrate.drift(gate_model(spark, sf_dir), TH).drop("at"))
+
+
+def calibration_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.check(gate_model(spark, sf_dir), TH).verdicts.select("grp", F.col("split").alias("dropped"), F.round("coverage", 6).alias("coverage"), "verdict")
+
+
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.calibrate(gate_model(spark, sf_dir), TH)
 
@@ -36,35 +45,73 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.sensitivity(runs.agg(F.count_if(F.col("grp") == "baseline").alias("b_runs"), F.count_if(F.col("grp") == "candidate").alias("c_runs")), TH)
 
 
-_SPLITS = f"""
+_SPLITS = """
 placed AS (SELECT run_id, grp, row_number() OVER (PARTITION BY grp ORDER BY start_us, end_us, run_id) AS position, count(*) OVER (PARTITION BY grp) AS k FROM runx),
-halves AS (SELECT run_id, grp AS own, dropped, CASE WHEN position - (dropped BETWEEN 1 AND position - 1)::INT <= (k - (dropped > 0)::INT) // 2 THEN 'baseline' ELSE 'candidate' END AS half FROM (SELECT *, unnest(range(0, k + 1)) AS dropped FROM placed) WHERE dropped <> position),
-hstats AS (SELECT own, dropped, half, count(*) AS runs, count(*) FILTER (WHERE has_error) AS error_runs, {', '.join(stats(m, m) for m in (*agg.METRICS, 'nodes'))} FROM cell JOIN halves USING (run_id) GROUP BY own, dropped, half),
-both_ AS (SELECT b.own, b.dropped, b AS b, c AS c FROM hstats b JOIN hstats c ON b.own = c.own AND b.dropped = c.dropped AND b.half = 'baseline' AND c.half = 'candidate')
+halves AS (SELECT run_id, grp AS own, dropped, CASE WHEN position - (dropped BETWEEN 1 AND position - 1)::INT <= (k - (dropped > 0)::INT) // 2 THEN 'baseline' ELSE 'candidate' END AS half FROM (SELECT *, unnest(range(0, k + 1)) AS dropped FROM placed) WHERE dropped <> position)
 """
 
 
 def _split_sql() -> str:
-    k = TH.min_support
-    parts = []
-    for m in (*agg.METRICS, "nodes"):
-        band = f"greatest({TH.metric_rel_delta} * abs(b.{m}_median), {TH.iqr_factor} * (b.{m}_p75 - b.{m}_p25))"
-        parts.append(f"SELECT own AS grp, dropped::INT AS dropped, '{m}' AS metric, CASE WHEN b.{m}_n < {k} OR c.{m}_n < {k} THEN 'insufficient' WHEN c.{m}_median > b.{m}_median + {band} THEN 'regression' WHEN c.{m}_median < b.{m}_median - {band} THEN 'improvement' ELSE 'ok' END AS verdict, b.{m}_median AS baseline, c.{m}_median AS candidate FROM both_")
-    (bl, bh), (cl, ch) = wilson("b.error_runs", "b.runs"), wilson("c.error_runs", "c.runs")
-    d = "(c.error_runs::DOUBLE / c.runs - b.error_runs::DOUBLE / b.runs)"
-    parts.append(f"SELECT own, dropped::INT, 'error_rate', CASE WHEN b.runs < {k} OR c.runs < {k} THEN 'insufficient' WHEN {bh} < {cl} AND {d} > {TH.error_rate_delta} THEN 'regression' WHEN {d} > {TH.error_rate_delta} THEN 'notable' WHEN {ch} < {bl} AND -{d} > {TH.error_rate_delta} THEN 'improvement' ELSE 'ok' END, b.error_runs::DOUBLE / b.runs, c.error_runs::DOUBLE / c.runs FROM both_")
-    return " UNION ALL ".join(parts)
+    """The findings of every split of every group, each compared anew: sf (own, dropped, scope, key, metric, verdict, baseline, candidate, detail)."""
+    at, of = "own, dropped", "GROUP BY own, dropped, half"
+    row = ("occurrences", *agg.METRICS)
+    cols = lambda names: [f"{m}_{k}" for m in names for k in ("n", "median", "p25", "p75", "p90")]
+    out = f"unnest({{}}) AS f"
+    shown = "f.metric AS metric, f.verdict AS verdict, f.baseline AS baseline, f.candidate AS candidate, f.detail AS detail"
+    ctes = [
+        "hsizes AS (SELECT own, dropped, count(*) FILTER (WHERE half = 'baseline') AS b_runs, count(*) FILTER (WHERE half = 'candidate') AS c_runs FROM halves GROUP BY own, dropped)",
+        f"htot AS (SELECT own, dropped, half AS grp, count(*) AS runs, count(*) FILTER (WHERE has_error) AS error_runs, {', '.join(stats(m, m) for m in (*agg.METRICS, 'nodes'))} FROM cell JOIN halves USING (run_id) {of})",
+        f"hann AS (SELECT own, dropped, half AS grp, count(value) AS n, count(*) FILTER (WHERE value = 1) AS ones, bool_and(value IN (0, 1)) AS allbits, {stats('value', 'stats')} FROM ann JOIN halves USING (run_id) WHERE key = 'verifier.pass' {of})",
+        f"htask AS (SELECT own, dropped, half AS grp, task, count(*) AS runs, {', '.join(stats(m, m) for m in agg.METRICS)} FROM cell JOIN halves USING (run_id) WHERE task <> '' {of}, task)",
+        *[f"h{fold} AS (SELECT own, dropped, half AS grp, key, count(*) AS present, count(*) FILTER (WHERE worst = 'error') AS error_runs, {', '.join(stats(m, m) for m in row)} FROM {fold} JOIN halves USING (run_id) {of}, key)" for fold in ("stepf", "phasef")],
+        f"hcov AS (SELECT own, dropped, coalesce(sum(b * c)::DOUBLE / nullif(sum(b), 0), 1) AS coverage FROM (SELECT {at}, key, max((grp = 'baseline')::INT) AS b, max((grp = 'candidate')::INT) AS c FROM hstepf GROUP BY {at}, key) GROUP BY {at})",
+    ]
+    totals = [gate_sql._metric(f"'{m}'", f"b_{m}", f"c_{m}") for m in (*agg.METRICS, "nodes")] + [gate_sql._rate("'error_rate'", "b_error_runs", "b_runs", "c_error_runs", "c_runs", TH.error_rate_delta)]
+    tot = ["runs", "error_runs", *cols((*agg.METRICS, "nodes"))]
+    parts = [f"SELECT {at}, 'total' AS scope, '' AS key, {shown} FROM (SELECT {at}, {out.format('[' + ', '.join(totals) + ']')} FROM {gate_sql._side('htot', tot, 'b', at)} JOIN {gate_sql._side('htot', tot, 'c', at)} USING ({at}))"]
+    ann = ["n", "ones", "allbits", *cols(("stats",))]
+    name = "'ann:verifier.pass'"
+    ones = "'ones ' || b_ones || '/' || b_n || ' -> ' || c_ones || '/' || c_n"
+    f = f"CASE WHEN b_here IS NULL THEN {gate_sql._absent(name, chr(39) + 'annotation absent in baseline' + chr(39))} WHEN c_here IS NULL THEN {gate_sql._absent(name, chr(39) + 'annotation absent in candidate' + chr(39))} WHEN b_allbits AND c_allbits THEN {gate_sql._rate(name, '(b_n - b_ones)', 'b_n', '(c_n - c_ones)', 'c_n', TH.annotation_rate_delta, ones, True)} ELSE {gate_sql._metric(name, 'b_stats', 'c_stats', True)} END"
+    parts.append(f"SELECT {at}, 'total', '', {shown} FROM (SELECT {at}, {f} AS f FROM {gate_sql._side('hann', ann, 'b', at)} FULL JOIN {gate_sql._side('hann', ann, 'c', at)} USING ({at}))")
+    bp, cp = "coalesce(b_present, 0)", "coalesce(c_present, 0)"
+    note = f"'present ' || {bp} || '/' || b_runs || ' -> ' || {cp} || '/' || c_runs"
+    presence = gate_sql._rate("'presence'", f"(b_runs - {bp})", "b_runs", f"(c_runs - {cp})", "c_runs", TH.presence_delta, note)
+    errors = gate_sql._rate("'error_rate'", "b_error_runs", bp, "c_error_runs", cp, TH.error_rate_delta)
+    gone = gate_sql._absent("'metrics'", "CASE WHEN b_here IS NULL THEN 'absent in baseline' ELSE 'absent in candidate' END")
+    each = f"CASE WHEN b_here AND c_here THEN [{', '.join([presence, errors, *[gate_sql._metric(chr(39) + m + chr(39), f'b_{m}', f'c_{m}') for m in row]])}] ELSE [{presence}, {gone}] END"
+    keyed = f"{at}, key"
+    rows = ["present", "error_runs", *cols(row)]
+    for scope, fold in (("step", "hstepf"), ("phase", "hphasef")):
+        down = f"'{scope}' = 'step' AND coverage < {TH.coverage_floor} AND f.verdict = 'regression'"
+        low = f"printf('step alignment coverage %.2f below floor {TH.coverage_floor:.2f}', coverage)"
+        fixed = shown.replace("f.verdict AS verdict", f"CASE WHEN {down} THEN 'notable' ELSE f.verdict END AS verdict").replace("f.detail AS detail", f"CASE WHEN {down} THEN CASE WHEN f.detail = '' THEN {low} ELSE f.detail || '; ' || {low} END ELSE f.detail END AS detail")
+        parts.append(f"SELECT {at}, '{scope}', key, {fixed} FROM (SELECT {at}, key, coverage, {out.format(each)} FROM {gate_sql._side(fold, rows, 'b', keyed)} FULL JOIN {gate_sql._side(fold, rows, 'c', keyed)} USING ({keyed}) JOIN hsizes USING ({at}) JOIN hcov USING ({at}))")
+    tasks, k = ["runs", *cols(agg.METRICS)], TH.min_support
+    ctes += [
+        f"hpairs AS (SELECT * FROM {gate_sql._side('htask', tasks, 'b', at + ', task')} JOIN {gate_sql._side('htask', tasks, 'c', at + ', task')} USING ({at}, task) WHERE b_runs >= {k} AND c_runs >= {k})",
+        "hdeltas AS (" + " UNION ALL ".join(f"SELECT {at}, '{m}' AS metric, c_{m}_median - b_{m}_median AS d FROM hpairs WHERE b_{m}_n >= {k} AND c_{m}_n >= {k} AND c_{m}_median <> b_{m}_median" for m in agg.METRICS) + ")",
+        f"hsigns AS (SELECT own, dropped, metric, coalesce(matched, 0) AS matched, coalesce(nonzero, 0) AS nonzero, coalesce(positive, 0) AS positive FROM (SELECT {at}, unnest({list(agg.METRICS)}) AS metric FROM htask GROUP BY {at} HAVING count(DISTINCT grp) = 2) LEFT JOIN (SELECT {at}, count(*) AS matched FROM hpairs GROUP BY {at}) USING ({at}) LEFT JOIN (SELECT {at}, metric, count(*) AS nonzero, count(*) FILTER (WHERE d > 0) AS positive FROM hdeltas GROUP BY {at}, metric) USING ({at}, metric))",
+        f"htests AS (SELECT *, {gate_sql._tail('positive')} AS p_up, {gate_sql._tail('(nonzero - positive)')} AS p_down FROM hsigns)",
+    ]
+    few = f"matched < {TH.paired_min_tasks}"
+    parts.append(f"SELECT {at}, 'paired', '', metric, CASE WHEN {few} THEN 'insufficient' WHEN round(p_up, 12) <= {TH.paired_alpha} THEN 'regression' WHEN round(p_down, 12) <= {TH.paired_alpha} THEN 'improvement' ELSE 'ok' END, 0::DOUBLE, 0::DOUBLE, CASE WHEN {few} THEN 'matched ' || matched || CASE WHEN matched = 1 THEN ' task' ELSE ' tasks' END || ' below paired min {TH.paired_min_tasks}' ELSE '+' || positive || '/' || nonzero || ' tasks, p=' || printf('%.4f', p_up) END FROM htests")
+    ctes.append(f"sf AS ({' UNION ALL '.join(f'({x})' for x in parts)})")
+    return f"WITH {VIEWS.strip()}, {gate_sql._FOLDS.strip()}, {_SPLITS.strip()}, " + ", ".join(ctes)
 
 
 _NEED = 2 * TH.min_support
-_CALIBRATE = f"""
-WITH {VIEWS.strip()}, {_SPLITS.strip()}, sf AS ({_split_sql()}),
-sv AS (SELECT grp, dropped, CASE WHEN bool_or(verdict = 'regression') THEN 'regression' WHEN bool_or(verdict = 'insufficient') AND NOT bool_or(verdict = 'notable') AND NOT bool_or(verdict = 'improvement') THEN 'insufficient' ELSE 'ok' END AS verdict FROM sf GROUP BY grp, dropped)
-SELECT grp, runs, runs >= {_NEED} AS sufficient, CASE WHEN runs >= {_NEED} THEN verdict ELSE '' END AS verdict, CASE WHEN runs >= {_NEED} THEN coalesce(drift, '') ELSE '' END AS drift, runs - 1 >= {_NEED} AS evaluated, CASE WHEN runs - 1 >= {_NEED} THEN coalesce(flips, '') ELSE '' END AS flipping_runs,
+_SF = _split_sql()
+_DRIFT = f"""{_SF}, sv AS (SELECT own AS grp, dropped, CASE WHEN bool_or(verdict = 'regression') THEN 'regression' WHEN bool_or(verdict = 'insufficient') AND NOT bool_or(verdict = 'notable') AND NOT bool_or(verdict = 'improvement') THEN 'insufficient' ELSE 'ok' END AS verdict FROM sf GROUP BY own, dropped),
+drift AS (SELECT own AS grp, 'drift' AS kind, scope, key, metric, verdict, baseline, candidate, detail, CASE scope WHEN 'total' THEN 0 WHEN 'paired' THEN 1 WHEN 'phase' THEN 2 ELSE 3 END AS rank FROM sf WHERE dropped = 0 AND verdict IN ('regression', 'notable') AND own IN (SELECT grp FROM placed WHERE k >= {_NEED})
+  UNION ALL SELECT own, 'note', '', '', '', 'insufficient', 0, 0, detail, min(CASE scope WHEN 'total' THEN 0 WHEN 'paired' THEN 1 WHEN 'phase' THEN 2 ELSE 3 END) FROM sf WHERE dropped = 0 AND verdict = 'insufficient' AND detail <> '' AND own IN (SELECT grp FROM placed WHERE k >= {_NEED}) AND own IN (SELECT grp FROM sv WHERE dropped = 0 AND verdict = 'insufficient') GROUP BY own, detail)"""
+_CALIBRATE = f"""{_DRIFT}
+SELECT grp, runs, runs >= {_NEED} AS sufficient, CASE WHEN runs >= {_NEED} THEN verdict ELSE '' END AS verdict, coalesce(drifts, 0) AS drifts, coalesce(shown, '') AS drift, coalesce(notes, '') AS notes, runs - 1 >= {_NEED} AS evaluated, CASE WHEN runs - 1 >= {_NEED} THEN coalesce(flips, '') ELSE '' END AS flipping_runs,
   CASE WHEN runs < {_NEED} THEN 'self-check needs k>={_NEED} runs (have ' || runs || ')' WHEN runs - 1 < {_NEED} THEN 'leave-one-out needs k>={_NEED + 1} runs (have ' || runs || ')' ELSE '' END AS detail
 FROM (SELECT grp, count(*) AS runs FROM runx GROUP BY grp) LEFT JOIN (SELECT grp, verdict FROM sv WHERE dropped = 0) USING (grp)
-LEFT JOIN (SELECT grp, string_agg(metric || ':' || verdict, ',' ORDER BY metric || ':' || verdict) AS drift FROM sf WHERE dropped = 0 AND verdict IN ('regression', 'notable') GROUP BY grp) USING (grp)
-LEFT JOIN (SELECT s.grp, string_agg(run_id || ':' || s.verdict, ',' ORDER BY run_id || ':' || s.verdict) AS flips FROM sv s JOIN sv w ON w.grp = s.grp AND w.dropped = 0 AND s.dropped > 0 AND s.verdict <> w.verdict JOIN placed p ON p.grp = s.grp AND p.position = s.dropped GROUP BY s.grp) USING (grp)
+LEFT JOIN (SELECT grp, count(*) AS drifts, array_to_string(list(scope || CASE WHEN key = '' THEN '' ELSE ':' || key END || ':' || metric || ':' || verdict ORDER BY rank, key, metric)[1:{calibrate.SHOWN}], '; ') AS shown FROM drift WHERE kind = 'drift' GROUP BY grp) USING (grp)
+LEFT JOIN (SELECT grp, array_to_string(list(detail ORDER BY rank, key, metric, detail)[1:{calibrate.SHOWN}], '; ') AS notes FROM drift WHERE kind = 'note' GROUP BY grp) USING (grp)
+LEFT JOIN (SELECT s.grp, string_agg(run_id || ':' || s.verdict, ',' ORDER BY s.dropped) AS flips FROM sv s JOIN sv w ON w.grp = s.grp AND w.dropped = 0 AND s.dropped > 0 AND s.verdict <> w.verdict JOIN placed p ON p.grp = s.grp AND p.position = s.dropped GROUP BY s.grp) USING (grp)
 """
 
 
@@ -290,9 +337,11 @@ def _v(select: str, *extra: str) -> str:
     return f"WITH {', '.join(x.strip() for x in (VIEWS, *extra))} {select}"
 
 
-QUERIES = {f.__name__: f for f in (calibration_splits, calibration, sensitivity, pareto_front, record_numbers, ledger, judge_agreement, judge_unmatched, judge_gate, judge_panel, judge_vote, labels_parsed, token_costs, redaction, session_nodes, turn_parents, session_runs, step_keys, phase_subgraph, graph_diff, table_compare, artifact_caps, stride_sample, score_join)}
+QUERIES = {f.__name__: f for f in (calibration_splits, calibration_drift, calibration_verdicts, calibration, sensitivity, pareto_front, record_numbers, ledger, judge_agreement, judge_unmatched, judge_gate, judge_panel, judge_vote, labels_parsed, token_costs, redaction, session_nodes, turn_parents, session_runs, step_keys, phase_subgraph, graph_diff, table_compare, artifact_caps, stride_sample, score_join)}
 ORACLE_SQL = {
-    "calibration_splits": _v(f"SELECT grp, dropped, metric, verdict, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate FROM ({_split_sql()})", _SPLITS),
+    "calibration_splits": f"{_SF} SELECT own AS grp, dropped::INT AS dropped, metric, verdict, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate FROM sf WHERE scope = 'total' AND NOT starts_with(metric, 'ann:')",
+    "calibration_drift": f"{_DRIFT} SELECT grp, kind, scope, key, metric, verdict, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, detail FROM drift",
+    "calibration_verdicts": f"{_DRIFT} SELECT grp, dropped::INT AS dropped, round(coverage, 6) AS coverage, verdict FROM sv JOIN (SELECT own AS grp, dropped, coverage FROM hcov) USING (grp, dropped)",
     "calibration": _CALIBRATE,
     "sensitivity": _SENSITIVITY,
     "pareto_front": _PARETO,
