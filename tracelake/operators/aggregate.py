@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tracelake.functions.stats import stats_of
 from tracelake.plans.model import OUTCOME, Model
 
+#: Statistics of annotations by name.
+ANNOTATIONS = "map<string,struct<n:bigint,median:double,p25:double,p75:double,p90:double>>"
 METRICS = ("duration_ms", "cost_usd", "tokens_in", "tokens_out")
 
 
@@ -29,6 +31,12 @@ def zero(name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
+def numeric(value: Column) -> Column:
+    """A typed annotation as a number: numbers as they are, JSON's null as 0; null for texts, booleans, lists and objects."""
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(F.is_variant_null(value), 0.0).when(number, F.try_variant_get(value, "$", "double"))
+
+
 def cells(m: Model) -> DataFrame:
     """A row for each run: its sums, node count, turns, error flag and duration (null if unknown)."""
     sums = m.nodes.groupBy("run_id").agg(
@@ -79,9 +87,27 @@ def step_folds(m: Model) -> DataFrame:
     return m.nodes.where("step_key <> ''").groupBy("run_id", F.col("step_key").alias("key")).agg(*_fold(), F.sum(F.col("duration_ms").cast("double")).alias("duration_ms"), *[F.sum(zero(k)).alias(k) for k in METRICS[1:]])
 
 
-def step_rows(m: Model) -> DataFrame:
-    """A row for each group and step key: presence, errors and statistics across the runs that have it."""
-    return _rows(step_folds(m), m.runs)
+def step_annotations(m: Model, keys: tuple[str, ...]) -> DataFrame:
+    """(run_id, key, annotation, value): the sum of each named annotation over a run's nodes of a step key, if one of them has a number."""
+    steps = m.nodes.where("step_key <> ''").select("run_id", "id", F.col("step_key").alias("step"))
+    given = m.node_annotations.where(F.col("key").isin(*keys)).select("run_id", "id", F.col("key").alias("annotation"), numeric(F.col("value")).alias("value")).where("value IS NOT NULL")
+    return given.join(steps, ["run_id", "id"]).groupBy("run_id", F.col("step").alias("key"), "annotation").agg(F.sum("value").alias("value"))
+
+
+def step_rows(m: Model, annotations: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each group and step key: presence, errors and statistics across the runs that have it.
+
+    With names of ``annotations``, the statistics of their sums by run as well, a map by name: runs without a
+    number aren't in them, and a row without any has no map.
+    """
+    rows = _rows(step_folds(m), m.runs)
+    if not annotations:
+        return rows
+    if m.node_annotations is None:
+        return rows.withColumn("annotations", F.lit(None).cast(ANNOTATIONS))
+    stats = step_annotations(m, annotations).join(m.runs.select("run_id", "grp"), "run_id").groupBy("grp", "key", "annotation").agg(stats_of("value").alias("stats"))
+    maps = stats.groupBy("grp", "key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("annotation", "stats")))).alias("annotations"))  # as many as are named
+    return rows.join(maps, ["grp", "key"], "left")
 
 
 def phase_folds(m: Model) -> DataFrame:

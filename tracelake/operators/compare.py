@@ -117,8 +117,11 @@ def coverage(rows: DataFrame) -> DataFrame:
     return keys.agg(F.coalesce(F.try_divide(F.sum(F.col("b") * F.col("c")).cast("double"), F.sum("b").cast("double")), F.lit(1.0)).alias("coverage"))
 
 
-def row_findings(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, downgrade: bool) -> DataFrame:
-    """Findings of step or phase rows. With ``downgrade``, regressions are notable while coverage is below the floor."""
+def row_findings(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, downgrade: bool, specs: dict[str, bool] | None = None) -> DataFrame:
+    """Findings of step or phase rows. With ``downgrade``, regressions are notable while coverage is below the floor.
+
+    ``specs`` (key: higher is better) names annotations of rows to compare as metrics, where rows have ``annotations``.
+    """
     sizes = runs.groupBy("grp").count().agg(F.coalesce(F.sum(F.when(F.col("grp") == "baseline", F.col("count"))), F.lit(0)).alias("b_runs"), F.coalesce(F.sum(F.when(F.col("grp") == "candidate", F.col("count"))), F.lit(0)).alias("c_runs"))
     both = _sides(rows.drop("runs"), ["key"]).crossJoin(F.broadcast(sizes))  # one row
     b, c, bn, cn = F.col("b"), F.col("c"), F.col("b_runs"), F.col("c_runs")
@@ -128,7 +131,16 @@ def row_findings(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, d
     errors = _ask(F.lit("error_rate"), rate=(b["error_runs"], bp, c["error_runs"], cp, th.error_rate_delta)).cast(one)
     present = [presence, errors, *[_ask(F.lit(k), stats=(b[k], c[k])).cast(one) for k in ROW_METRICS]]
     gone = _ask(F.lit("metrics"), absent=F.when(b.isNull(), "absent in baseline").otherwise("absent in candidate")).cast(one)
-    asks = F.when(b.isNotNull() & c.isNotNull(), F.array(*present)).otherwise(F.array(presence, gone))
+    both_here = F.array(*present)
+    if specs and "annotations" in rows.columns:
+        of = lambda side, key: F.try_element_at(side["annotations"], F.lit(key))
+        asked = []
+        for key, better in specs.items():
+            x, y, metric = of(b, key), of(c, key), F.lit(f"ann:{key}")
+            none = F.when(x.isNull(), "annotation absent in baseline").otherwise("annotation absent in candidate")
+            asked.append(F.when(x.isNotNull() & y.isNotNull(), _ask(metric, stats=(x, y), better=better).cast(one)).when(x.isNotNull() | y.isNotNull(), _ask(metric, absent=none).cast(one)))
+        both_here = F.concat(both_here, F.filter(F.array(*asked), lambda x: x.isNotNull()))
+    asks = F.when(b.isNotNull() & c.isNotNull(), both_here).otherwise(F.array(presence, gone))
     name = F.coalesce(F.nullif(b["name"], F.lit("")), c["name"], F.lit(""))
     found = _judged(_asked(both, scope, asks, F.col("key"), name), th)
     if not downgrade:

@@ -17,12 +17,12 @@ from tracelake.plans.views import gate_model
 def findings(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None = None) -> DataFrame:
     """All findings of candidate against baseline, ok ones outside the totals left out."""
     per_run = agg.cells(m)
-    steps = agg.step_rows(m)
+    steps = agg.step_rows(m, tuple(specs or ()))
     parts = [
         cmp.total_findings(agg.totals(per_run), th),
         cmp.annotation_findings(agg.annotation_totals(m), specs or {}, th),
         cmp.plain_paired(cmp.paired_findings(agg.task_stats(m, per_run), th), th),
-        cmp.row_findings("step", steps, m.runs, th, True),
+        cmp.row_findings("step", steps, m.runs, th, True, specs),
     ]
     if m.spans is not None:
         parts.append(cmp.row_findings("phase", agg.phase_rows(m), m.runs, th, False))
@@ -49,6 +49,8 @@ def _flat(df: DataFrame, structs: tuple[str, ...]) -> DataFrame:
 
 ROW = ("occurrences", *agg.METRICS)
 SPECS = {"judge.score": True}
+#: Annotations of steps, one of them of candidate runs only.
+STEP_SPECS = {"judge.step": True, "judge.rare": False}
 
 
 def _q(f):
@@ -72,6 +74,17 @@ def q_step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(agg.step_rows(gate_model(spark, sf_dir)), ROW)
 
 
+def q_step_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = agg.step_rows(gate_model(spark, sf_dir), tuple(STEP_SPECS)).select("grp", "key", F.explode("annotations").alias("annotation", "stats"))
+    return _flat(rows, ("stats",))
+
+
+def q_step_annotation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = gate_model(spark, sf_dir)
+    found = cmp.row_findings("step", agg.step_rows(m, tuple(STEP_SPECS)), m.runs, DEFAULT, True, STEP_SPECS)
+    return _rounded(found.where(F.col("metric").startswith("ann:")))
+
+
 def q_phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(agg.phase_rows(gate_model(spark, sf_dir)), ROW)
 
@@ -86,6 +99,8 @@ QUERIES = {
     "annotation_totals": q_annotation_totals,
     "task_stats": q_task_stats,
     "step_rows": q_step_rows,
+    "step_annotations": q_step_annotations,
+    "step_annotation_findings": q_step_annotation_findings,
     "phase_rows": q_phase_rows,
     "marker_spans": _q(lambda m: m.spans),
     "total_findings": _q(lambda m: cmp.total_findings(agg.totals(agg.cells(m)), DEFAULT)),

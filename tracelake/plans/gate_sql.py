@@ -136,6 +136,27 @@ def _row_findings(scope: str, rows: str, downgrade: bool) -> str:
     return f"SELECT '{scope}' AS scope, key, name, {shown} FROM (SELECT key, coalesce(nullif(b_name, ''), c_name, '') AS name, coverage, unnest({found}) AS f FROM {_side(rows, cols, 'b', 'key')} b FULL JOIN {_side(rows, cols, 'c', 'key')} c USING (key) CROSS JOIN sizes CROSS JOIN ({_coverage(rows)}))"
 
 
+_STEP_ANNOTATIONS = f"""
+sanns AS (SELECT run_id, step_key AS key, a.key AS annotation, sum(value) AS value FROM nann a JOIN node USING (run_id, id) WHERE step_key <> '' AND value IS NOT NULL GROUP BY run_id, step_key, a.key),
+sann AS (SELECT grp, key, annotation, {stats('value', 'stats')} FROM sanns JOIN runx USING (run_id) GROUP BY grp, key, annotation)
+"""
+
+
+def _step_annotation_findings(specs: dict[str, bool]) -> str:
+    """Annotations of the step keys that both groups have."""
+    parts = []
+    for key, better in specs.items():
+        metric = _q(f"ann:{key}")
+        f = f"CASE WHEN b_here IS NULL THEN {_absent(metric, _q('annotation absent in baseline'))} WHEN c_here IS NULL THEN {_absent(metric, _q('annotation absent in candidate'))} ELSE {_metric(metric, 'b_stats', 'c_stats', better)} END"
+        side = lambda p: _side(f"(SELECT * FROM sann WHERE annotation = '{key}')", _cols(("stats",)), p, "key")
+        down = f"coverage < {TH.coverage_floor} AND f.verdict = 'regression'"
+        low = f"printf('step alignment coverage %.2f below floor {TH.coverage_floor:.2f}', coverage)"
+        shown = _OUT.replace("f.verdict AS verdict", f"CASE WHEN {down} THEN 'notable' ELSE f.verdict END AS verdict").replace("f.detail AS detail", f"CASE WHEN {down} THEN (CASE WHEN f.detail = '' THEN {low} ELSE f.detail || '; ' || {low} END) ELSE f.detail END AS detail")
+        names = "(SELECT key, coalesce(nullif(b.name, ''), c.name, '') AS name FROM (SELECT * FROM steps WHERE grp = 'baseline') b JOIN (SELECT * FROM steps WHERE grp = 'candidate') c USING (key))"
+        parts.append(f"SELECT 'step' AS scope, key, name, {shown} FROM (SELECT key, name, coverage, {f} AS f FROM {names} JOIN ({side('b')} b FULL JOIN {side('c')} c USING (key)) USING (key) CROSS JOIN ({_coverage('steps')}))")
+    return " UNION ALL ".join(parts)
+
+
 _DELTAS = f"""
 pairs AS (SELECT * FROM {_side("taskt", ["runs", *_cols(METRICS)], "b", "task")} b JOIN {_side("taskt", ["runs", *_cols(METRICS)], "c", "task")} c USING (task) WHERE b_runs >= {TH.min_support} AND c_runs >= {TH.min_support}),
 deltas AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, c_{m}_median - b_{m}_median AS d FROM pairs WHERE b_{m}_n >= {TH.min_support} AND c_{m}_n >= {TH.min_support} AND c_{m}_median <> b_{m}_median" for m in METRICS)}),
@@ -186,6 +207,8 @@ ORACLE_SQL = {
     "annotation_totals": _with(_annotations(True)),
     "task_stats": _with(_tasks(True)),
     "step_rows": _with(_rows("stepf", True)),
+    "step_annotations": _with(f"SELECT grp, key, annotation, stats_n, {', '.join(f'round(stats_{k}, 6) AS stats_{k}' for k, _ in QUANTILES)} FROM sann", _STEP_ANNOTATIONS),
+    "step_annotation_findings": _with(_step_annotation_findings({"judge.step": True, "judge.rare": False}), _STEP, _STEP_ANNOTATIONS),
     "phase_rows": _with(_rows("phasef", True)),
     "marker_spans": _with("SELECT run_id, src, dst FROM span"),
     "total_findings": _with(_total_findings(), _TOT),

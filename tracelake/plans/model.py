@@ -2,7 +2,8 @@
 
 ``nodes``: run_id, id, type, name, status, step_key, phase_key, t_start, t_end, duration_ms, cost_usd,
 tokens_in, tokens_out. ``runs``: run_id, grp, task, started_at, ended_at, status. ``annotations``:
-run_id, key, value (of the run). ``spans``: run_id, src, dst (marker to member). ``grp`` is
+run_id, key, value (of the run). ``spans``: run_id, src, dst (marker to member). ``node_annotations``: run_id, id, key,
+value (a VARIANT, of any JSON type). ``grp`` is
 ``baseline`` or ``candidate``; every operator keeps it as a grouping key, so both groups take one pass.
 """
 
@@ -19,6 +20,7 @@ class Model:
     nodes: DataFrame
     annotations: DataFrame
     spans: DataFrame | None = None
+    node_annotations: DataFrame | None = None
 
 
 OUTCOME = "verifier.pass"

@@ -48,12 +48,21 @@ def marker_nodes(r: DataFrame) -> DataFrame:
     )
 
 
+def step_annotations(e: DataFrame) -> DataFrame:
+    """Annotations of tool nodes as VARIANT: numbers, texts, booleans and nulls in turn; ``judge.rare`` on candidate runs only."""
+    k = F.col("k").cast("string")
+    json = F.when(F.col("event_id") % 5 == 0, k).when(F.col("event_id") % 5 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(F.col("event_id") % 5 == 2, "true").when(F.col("event_id") % 5 == 3, "null").otherwise(F.concat(k, F.lit(".25")))
+    both = F.array(F.struct(F.lit("judge.step").alias("key"), json.alias("json")), F.struct(F.lit("judge.rare").alias("key"), F.when((F.col("user") % 2 == 1) & (F.col("event_id") % 3 == 0), k).alias("json")))
+    each = e.select("run_id", F.col("event_id").cast("string").alias("id"), F.explode(both).alias("x")).where("x.json IS NOT NULL")
+    return each.select("run_id", "id", F.col("x.key").alias("key"), F.parse_json("x.json").alias("value"))
+
+
 def gate_model(spark: SparkSession, sf_dir: str) -> Model:
     e = events(spark, sf_dir)
     r = runs(e)
     nodes = tool_nodes(e).unionByName(marker_nodes(r))
     annotations = r.select("run_id", F.explode(F.array(F.struct(F.lit(OUTCOME).alias("key"), F.when(2 * F.col("high") > F.col("n"), 1.0).otherwise(0.0).alias("value")), F.struct(F.lit("judge.score").alias("key"), (F.col("k_sum") / F.col("n")).alias("value")))).alias("a")).select("run_id", "a.*")
-    return Model(r.select("run_id", "grp", "task", "started_at", "ended_at", "status"), nodes, annotations, spans(nodes))
+    return Model(r.select("run_id", "grp", "task", "started_at", "ended_at", "status"), nodes, annotations, spans(nodes), step_annotations(e))
 
 
 #: The same relations in DuckDB's SQL: ev, run, node, ann, span, and the folds on them.
@@ -68,6 +77,7 @@ node AS (
   SELECT run_id, 'm' || q::VARCHAR, 'marker', 'p' || q::VARCHAR, CASE WHEN q < 3 THEN 'ok' ELSE 'running' END, '', substr(sha256('phasekey/v1||p' || q::VARCHAR || '|0'), 1, 32),
     start_us + ((end_us - start_us) * q) // 4, CASE WHEN q < 3 THEN start_us + ((end_us - start_us) * (q + 1)) // 4 END, NULL, NULL, NULL, NULL FROM runx, (SELECT unnest([0, 1, 2, 3]) AS q)),
 ann AS (SELECT run_id, 'verifier.pass' AS key, CASE WHEN 2 * high > n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM runx UNION ALL SELECT run_id, 'judge.score', k_sum::DOUBLE / n FROM runx),
+nann AS (SELECT run_id, event_id::VARCHAR AS id, 'judge.step' AS key, CASE event_id % 5 WHEN 0 THEN k::DOUBLE WHEN 3 THEN 0 WHEN 4 THEN k + 0.25 END AS value FROM ev UNION ALL SELECT run_id, event_id::VARCHAR, 'judge.rare', k FROM ev WHERE usr % 2 = 1 AND event_id % 3 = 0),
 span AS (SELECT m.run_id, m.id AS src, n.id AS dst FROM node m JOIN node n ON m.run_id = n.run_id AND m.type = 'marker' AND n.type <> 'marker' AND n.t_start >= m.t_start AND (m.t_end IS NULL OR n.t_start < m.t_end)),
 cell AS (SELECT r.run_id, grp, task, ((end_us - start_us) // 1000)::DOUBLE AS duration_ms, s.* EXCLUDE (run_id), s.node_error = 1 AS has_error FROM runx r JOIN (
   SELECT run_id, sum(coalesce(cost_usd, 0)) AS cost_usd, sum(coalesce(tokens_in, 0))::DOUBLE AS tokens_in, sum(coalesce(tokens_out, 0))::DOUBLE AS tokens_out, count(*)::DOUBLE AS nodes, (count(*) FILTER (WHERE type = 'assistant_turn'))::DOUBLE AS turns, max((status = 'error')::INT) AS node_error FROM node GROUP BY run_id) s USING (run_id))
