@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 META = (
@@ -29,20 +29,59 @@ def scores(spark: SparkSession, paths: str | list[str], **options: str) -> DataF
     return s.select("path", "line_no", F.when(F.coalesce(good, F.lit(False)), F.col("s")).otherwise(F.raise_error(where)).alias("s")).select("path", "line_no", "s.*")
 
 
+def _latest(found: DataFrame) -> Column:
+    """Which of two score lines wins: the one of higher ``rank`` (0 where there is none), then the later one."""
+    return F.struct(F.col("rank") if "rank" in found.columns else F.lit(0), F.col("path"), F.col("line_no"))
+
+
 def apply_scores(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Node annotations (run_id, id, key, value) of scores with a step key; a score without a run goes to all runs. The last line of a key wins."""
+    """Node annotations (run_id, id, key, value, lines) of scores with a step key; a score without a run goes to all runs. The last line of a key wins."""
     steps = nodes.where("step_key <> ''").select("run_id", "id", "step_key")
-    lines = found.where("step_key <> ''")
+    lines = found.where("step_key <> ''").withColumn("at", _latest(found)).select("run_id", "step_key", "key", "value", "at")
     own = lines.where("run_id <> ''").join(steps, ["run_id", "step_key"])
     every = lines.where("run_id IS NULL OR run_id = ''").drop("run_id").join(steps, "step_key")
-    both = own.select("run_id", "id", "key", "value", "path", "line_no").unionByName(every.select("run_id", "id", "key", "value", "path", "line_no"))
-    return both.groupBy("run_id", "id", "key").agg(F.max_by("value", F.struct("path", "line_no")).alias("value"), F.count("*").alias("lines"))
+    both = own.select("run_id", "id", "key", "value", "at").unionByName(every.select("run_id", "id", "key", "value", "at"))
+    return both.groupBy("run_id", "id", "key").agg(F.max_by("value", "at").alias("value"), F.count("*").alias("lines"))
 
 
 def run_scores(found: DataFrame) -> DataFrame:
     """Run annotations (run_id, key, value) of scores without a step key; those need a run. The last line wins."""
     lines = found.where("coalesce(step_key, '') = ''").withColumn("run_id", F.when(F.col("run_id") != "", F.col("run_id")).otherwise(F.raise_error(F.lit("a score of a run needs run_id"))))
-    return lines.groupBy("run_id", "key").agg(F.max_by("value", F.struct("path", "line_no")).alias("value"))
+    return lines.groupBy("run_id", "key").agg(F.max_by("value", _latest(found)).alias("value"))
+
+
+def score_counts(nodes: DataFrame, runs: DataFrame, found: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row: how many values score lines set (``applied``), lines that match nothing (``unmatched``), and values set that were there
+    already (``overridden``): by an earlier line, or by ``before`` (run_id, id or null for the run, key)."""
+    lines = found.withColumn("at", _latest(found)).withColumn("line", F.struct("path", "line_no"))
+    steps = nodes.where("step_key <> ''").select("run_id", "id", "step_key")
+    of = lines.where("step_key <> ''").select("line", "at", "key", "run_id", "step_key")
+    own = of.where("run_id <> ''").join(steps, ["run_id", "step_key"]).select("line", "at", "run_id", "id", "key")
+    every = of.where("coalesce(run_id, '') = ''").drop("run_id").join(steps, "step_key").select("line", "at", "run_id", "id", "key")
+    whole = lines.where("coalesce(step_key, '') = ''").join(runs.select("run_id"), "run_id").select("line", "at", "run_id", F.lit(None).cast("string").alias("id"), "key")
+    hits = own.unionByName(every).unionByName(whole)
+    values = hits.groupBy("run_id", "id", "key").agg(F.count("*").alias("n"))
+    if before is not None:
+        there = before.select(F.col("run_id").alias("r"), F.col("id").alias("i"), F.col("key").alias("k")).distinct().withColumn("there", F.lit(1))
+        values = values.join(there, (F.col("run_id") == F.col("r")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    else:
+        values = values.withColumn("there", F.lit(None).cast("int"))
+    sums = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("applied"), F.coalesce(F.sum(F.col("n") - 1 + F.coalesce("there", F.lit(0))), F.lit(0)).alias("overridden"))
+    missed = lines.join(hits.select("line").distinct(), "line", "left_anti").agg(F.count("*").alias("unmatched"))
+    return sums.crossJoin(missed).select("applied", "unmatched", "overridden")  # a row each
+
+
+def resolve(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The transcripts of sessions among ``files`` (path), of projects ``<project>/<session>.jsonl`` and
+    ``<project>/<session>/subagents/agent-*.jsonl``: session_id, main, subagents in order. Fails on a session without a main one, or with several."""
+    wanted = sessions.select("session_id").distinct()
+    mains = files.select("path", F.regexp_extract("path", r"[^/]+/([^/]+)\.jsonl$", 1).alias("session_id")).where("session_id <> '' AND path NOT LIKE '%/subagents/%'")
+    subs = files.select("path", F.regexp_extract("path", r"[^/]+/([^/]+)/subagents/agent-[^/]*\.jsonl$", 1).alias("session_id")).where("session_id <> ''")
+    counted = wanted.join(mains.groupBy("session_id").agg(F.count("*").alias("n"), F.min("path").alias("main")), "session_id", "left")
+    bad = F.when(F.col("n").isNull(), F.concat(F.lit("no transcript for session "), "session_id")).when(F.col("n") > 1, F.concat(F.lit("ambiguous session "), "session_id", F.lit(": "), F.col("n").cast("string"), F.lit(" matches")))
+    main = F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(F.col("main"))
+    below = subs.groupBy("session_id").agg(F.sort_array(F.collect_list("path")).alias("subagents"))
+    return counted.select("session_id", main.alias("main")).join(below, "session_id", "left").withColumn("subagents", F.coalesce("subagents", F.array().cast("array<string>")))
 
 
 def group_by_ids(runs: DataFrame, ids: list[str]) -> DataFrame:

@@ -74,8 +74,8 @@ def tokens(usage: str) -> dict[str, Column]:
     return {"tokens_in": F.greatest(F.lit(0), n("input_tokens") - n("cached_input_tokens")), "tokens_out": n("output_tokens"), "cache_read": n("cached_input_tokens"), "cache_write": F.nullif(n("cache_write_input_tokens"), F.lit(0))}
 
 
-def observations(raw: DataFrame) -> DataFrame:
-    """Observations of rollout lines, with the columns of the main runtime's."""
+def observations(raw: DataFrame, run_of: Column | None = None) -> DataFrame:
+    """Observations of rollout lines, with the columns of the main runtime's. ``run_of`` names the run of a path (by default its root thread)."""
     df = records(raw)
     item = F.col("rtype") == "response_item"
     base = lambda d, kind, **more: d.select("path", "line_no", "event_time", "turn_id", "thread", "parent_thread", "role", "cli", "cwd", F.lit(kind).alias("kind"), *[v.alias(k) for k, v in more.items()])
@@ -109,7 +109,7 @@ def observations(raw: DataFrame) -> DataFrame:
     for part in (turns, uses, results, mcp_uses, mcp_results, stops):
         out = out.unionByName(part, allowMissingColumns=True)
     out = out.withColumns({
-        "source": F.lit("jsonl"), "session_id": F.coalesce("parent_thread", "thread"), "run_id": F.coalesce("parent_thread", "thread"), "agent_id": F.when(F.col("parent_thread").isNotNull(), F.col("thread")),
+        "source": F.lit("jsonl"), "session_id": F.coalesce("parent_thread", "thread"), "run_id": F.coalesce("parent_thread", "thread") if run_of is None else run_of, "agent_id": F.when(F.col("parent_thread").isNotNull(), F.col("thread")),
         "parent_tool_use_id": F.lit(None).cast("string"), "uuid": F.lit(None).cast("string"), "version": F.col("cli"), "file_rank": F.when(F.col("parent_thread").isNotNull(), 1).otherwise(0),
     })
     return out.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("file_rank", "path", "line_no", "kind")).cast("long"))
