@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.numbering import numbered as numbered_rows
+from tracelake.operators.numbering import running
+
 #: Envelope versions that readers accept.
 VERSIONS = (1, 2)
 AXES = {"accuracy": "ann:verifier.pass", "cost_usd": "cost_usd"}
@@ -15,7 +18,7 @@ def numbered(records: DataFrame) -> DataFrame:
 
     Writers append without talking to each other, and the number is given when records are read.
     """
-    return records.withColumn("seq", F.row_number().over(Window.partitionBy("baseline").orderBy("created_at", "record_id")))
+    return numbered_rows(records, ["baseline"], ["created_at", "record_id"], "seq").withColumn("seq", F.col("seq").cast("int"))
 
 
 def append(records: DataFrame, path: str) -> None:
@@ -71,8 +74,7 @@ def dominated(points: DataFrame, by: list[str], accuracy: str = "accuracy", cost
     """
     whole = points.where(F.col(accuracy).isNotNull() & F.col(cost).isNotNull())
     costs = whole.groupBy(*by, cost).agg(F.max(accuracy).alias("__best"))
-    before = Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    costs = costs.withColumn("__cheaper", F.max("__best").over(before))
+    costs = running(costs, by, [cost], F.max, "__best", "__cheaper")
     joined = points.join(costs, [*by, cost], "left")
     flag = (F.col("__best") > F.col(accuracy)) | F.coalesce(F.col("__cheaper") >= F.col(accuracy), F.lit(False))
     return joined.withColumn("dominated", F.when(F.col(accuracy).isNotNull() & F.col(cost).isNotNull(), flag)).drop("__best", "__cheaper")

@@ -5,9 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.numbering import average_ranks
+
 _ON = ("run_id", "key", "step_key")
 
 
@@ -30,18 +32,9 @@ def unmatched(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.count_if(F.col("value").isNull()).alias("unmatched_labels"), F.count_if(F.col("label").isNull()).alias("unmatched_scores"))
 
 
-def _midrank(value: str, by: list[str]) -> Column:
-    below = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return below + (ties - 1) / 2
-
-
 def midranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Average ranks of values, from counts of distinct values: no group of equal values meets in one task."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__ties"))
-    upto = F.sum("__ties").over(Window.partitionBy(*by).orderBy(value))
-    ranks = counts.withColumn(name, upto - (F.col("__ties") - 1) / 2.0)
-    return df.join(ranks.drop("__ties"), [*by, value])
+    """Average ranks of values: distinct values are numbered by ranges, so no group meets in one task."""
+    return average_ranks(df, by, value, name)
 
 
 def agreement(pairs: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("key", "tool")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.operators.numbering import numbered
+
 META = (
     "run_id string, task string, variant string, rep int, session_id string, labels map<string,string>, exit_code int, cost_usd double, basket_hash string, marker_name string, marker_start timestamp, marker_end timestamp, "
     "finished_at timestamp, artifacts array<struct<rel:string,sha256:string,bytes:bigint>>, artifacts_note string, env struct<model_id:string,agent_runtime:string,agent_version:string,resources:struct<os:string,arch:string,cpus:int>,workspace:struct<rev:string,patch_sha256:string>>"
@@ -119,11 +121,9 @@ def write_evidence(lines: DataFrame, path: str) -> None:
 
 def capture(files: DataFrame, each: int = 10 << 20, total: int = 50 << 20) -> DataFrame:
     """Which of a run's artifacts are kept: (run_id, rel, bytes, sha256, kept), by path, within caps for a file and a run."""
-    from pyspark.sql import Window
-
     fits = F.when(F.col("bytes") <= each, F.col("bytes")).otherwise(0)
-    upto = F.sum(fits).over(Window.partitionBy("run_id").orderBy("rel").rowsBetween(Window.unboundedPreceding, 0))
-    return files.withColumn("kept", (F.col("bytes") <= each) & (upto <= total))
+    upto = numbered(files.withColumn("__fits", fits), ["run_id"], ["rel"], "__upto", "__fits")
+    return upto.withColumn("kept", (F.col("bytes") <= each) & (F.col("__upto") <= total)).drop("__fits", "__upto")
 
 
 def cells(spark: SparkSession, tasks: list[str], variants: list[str], reps: int) -> DataFrame:
@@ -134,9 +134,10 @@ def cells(spark: SparkSession, tasks: list[str], variants: list[str], reps: int)
 
 
 def stride_sample(runs: DataFrame, n: int) -> DataFrame:
-    """n runs at even strides by id: the rows of index i * count / n."""
-    from pyspark.sql import Window
-
-    counted = runs.select("run_id").withColumn("i", F.row_number().over(Window.orderBy("run_id")) - 1).crossJoin(F.broadcast(runs.agg(F.count("*").alias("k"))))  # one row
-    picked = counted.where((F.col("k") <= n) | (F.floor((F.ceil(F.col("i") * n / F.col("k"))) * F.col("k") / n) == F.col("i")) & (F.ceil(F.col("i") * n / F.col("k")) < n))
+    """n runs at even strides by id: the rows of index i * count / n, i from 0; all, if there are no more than n."""
+    count = runs.count()
+    if count <= n:
+        return runs
+    wanted = runs.sparkSession.range(n).select(F.expr(f"bigint(id) * {count}L div {n}L + 1").alias("__number"))
+    picked = numbered(runs.select("run_id"), [], ["run_id"], "__number").join(F.broadcast(wanted), "__number", "left_semi")  # n rows
     return runs.join(picked.select("run_id"), "run_id", "left_semi")
