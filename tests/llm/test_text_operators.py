@@ -357,3 +357,28 @@ def test_license_places_are_of_the_source(spark):
     docs = spark.createDataFrame([(1, "\u0130\u0130\u0130\u0130 " + notice), (2, "x " * 100_000 + notice), (3, None)], "doc_id bigint, text string")
     got = {r["doc_id"]: (r["start"], r["end"]) for r in licenses.scan(docs, {"demo": notice}).collect()}
     assert got == {1: (5, 5 + len(notice)), 2: (200_000, 200_000 + len(notice))}
+
+
+def test_html_articles_in_containers_of_unsure_names():
+    said = "Many words are said here, and more of them follow. "
+    short = f'<div class="sidebar"><p>{said * 4}</p></div><div id="col"><p>Short news.</p></div>'
+    assert html.extract(short) == "Short news."
+    article = "An article, with text. " * 55
+    for name in ("contact", "legal", "rating", "search", "skip", "form", "alert", "share"):
+        page = f'<div class="{name}"><p>{article}</p></div><div><p>Copyright 2024 by someone, all rights are reserved by them, yes.</p></div>'
+        assert article.strip() in html.extract(page), name
+        page = f'<div id="x"><p>{article}</p></div><div class="{name}"><p>{said}</p></div>'
+        assert said.strip() not in html.extract(page), name
+    assert html.extract('<div class="sidebar"><p>Nothing else is here.</p></div>') == "Nothing else is here."
+
+
+def test_pii_and_licenses_of_many_finds_take_linear_time():
+    text = " ".join(f"user{k}@example{k % 97}.com" for k in range(100_000)) + " jane (at) example (dot) org"
+    t = time.time()
+    base = pii.base_spans(text)
+    assert len(base) == 100_000 and len(pii.disguised_spans(text, base)) == 1 and time.time() - t < 30
+    index = licenses.Index([("a", "one two three four five six seven eight"), ("b", "three four five six seven eight nine ten eleven twelve")])
+    words = "one two three four five six seven eight nine ten eleven twelve x y z".split() * 8000
+    t = time.time()
+    found = index.find(words, 0.5)
+    assert len(found) == 8000 and time.time() - t < 30

@@ -4,10 +4,11 @@ The markup is read in one pass into a tree of block elements. Each block of text
 its length and commas to the elements around it: all to the nearest container, half to the next,
 less further up. A container's points are discounted by its link density. The best container is kept
 with those of its siblings that score or read alike, less parts that are not the article: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments, and lists of links. A form, or
-a container whose names speak both for and against an article, is in doubt: it goes if it holds less
-than ``SHARE`` of the page's unlinked text. Where less than ``TINY`` characters are left, the page is
-read again and names and forms only lower the score.
+headers, footers, sidebars, notices, adverts, forms, scripts, comments, and lists of links. A form, a
+container whose names articles may have too, or speak both for and against one, is in doubt: it goes if
+it holds less than ``SHARE`` of the page's unlinked text. Where nothing is left, or nothing but such
+elements beside much more that went by its names, the page is read again and names and forms only
+lower the score.
 
 Rows: null html is empty and gives an empty text. Unclosed, wrongly nested and cut-off markup is read
 as far as it goes. Repeated rows are extracted alike. An empty table gives no rows. Only the id, url
@@ -41,31 +42,34 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _WEIGHT = {"article": 30, "main": 20, "div": 5, "section": 5, "blockquote": 3, "td": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "table": -3, "th": -5}
 _NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments disqus replies reply respond cookie cookies consent gdpr notice notices "
-    "alert newsletter subscribe subscription signup signin login register footer foot masthead menu menus nav navbar navigation pager pagination popup modal overlay related recommended recommendations share sharing social "
-    "sidebar sidebars widget widgets toolbar topbar skip search outbrain taboola tags shoutbox feedback rating ratings legal disclaimer copyright contact form".split()
+    "newsletter subscribe subscription signup signin login register footer foot masthead menu menus nav navbar navigation pager pagination popup modal overlay related recommended recommendations sharing social "
+    "sidebar sidebars widget widgets toolbar topbar outbrain taboola tags shoutbox".split()
 )
+#: Names that an article's own container may have as well.
+_UNSURE = frozenset("alert contact copyright disclaimer feedback form legal rating ratings search share skip".split())
 _ARTICLE = frozenset("article body content entry main page post text blog story hentry".split())
 _OFF_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
 
-#: Less of the page's unlinked text makes a doubtful element no article; fewer characters call for a second look.
-SHARE, TINY = 0.4, 50
-#: How an element is in doubt: by form or mixed names, or by names against it alone.
+#: Less of the page's unlinked text makes a doubtful element no article.
+SHARE = 0.4
+#: How an element is in doubt: by form, unsure or mixed names, or by names against it alone.
 OPEN, NAMED = 1, 2
 
 
 class _Tree:
-    __slots__ = ("parent", "tag", "points", "chars", "linked", "blocks", "doubts")
+    __slots__ = ("parent", "tag", "points", "chars", "linked", "blocks", "doubts", "unread")
 
     def __init__(self):
         self.parent, self.tag, self.points, self.chars, self.linked = [-1], ["html"], [0.0], [0], [0]
         self.blocks: list[tuple[int, str]] = []  # owner, text
         self.doubts: list[tuple[int, int]] = []  # node, place in the page
+        self.unread = 0  # unlinked characters of elements left out by their names
 
 
 def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, float]:
     """Whether an element is no part of an article, or that is in doubt or by its names only, and its weight."""
     weight = float(_WEIGHT.get(tag, 0))
-    named = good = False
+    named = good = unsure = False
     doubt = tag in _SOFT
     off = (tag in _OFF and not doubt) or (tag == "header" and not in_article)
     if attributes and "=" in attributes or "hidden" in attributes:
@@ -85,12 +89,13 @@ def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, floa
                     named = True
                 elif "header" in parts and not in_article and not article:
                     named = True
+                unsure |= not parts.isdisjoint(_UNSURE) and tag not in ("article", "main")
                 good |= article
                 weight += 25 * article
             elif name == "itemprop":
                 weight += 25 * (value.lower() == "articlebody")
                 good |= value.lower() == "articlebody"
-    return off, OPEN if doubt or (named and good) else NAMED if named else 0, weight
+    return off, OPEN if doubt or (named and good) else NAMED if named else OPEN if unsure else 0, weight
 
 
 def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) -> _Tree:
@@ -102,6 +107,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
     linked = 0  # characters of text so far that are in links
     links = off = articles = 0
     breaks = at = 0
+    by_name = False  # what is off is so by its names
 
     def flush() -> None:
         nonlocal linked, breaks
@@ -117,6 +123,8 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
 
     def write(s: str) -> None:
         nonlocal linked, breaks
+        if by_name and not links:
+            tree.unread += len(s.strip())
         if s and not off:
             text.append(s)
             if links:
@@ -126,7 +134,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
 
     def close(k: int) -> None:
         """Ends the elements from the k-th on."""
-        nonlocal off, links, articles
+        nonlocal off, links, articles, by_name
         if any(t in _BLOCKS for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
@@ -135,7 +143,7 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
             articles -= t in ("article", "main")
         del stack[k:]
         if off and len(stack) <= off:
-            off = 0
+            off, by_name = 0, False
 
     end = len(page)
     while at < end:
@@ -191,13 +199,13 @@ def _read(page: str, drop: frozenset[int] = frozenset(), vetoes: bool = True) ->
                     elif stack[k][0] in stops:
                         break
             if tag == "body":
-                off = 0
+                off, by_name = 0, False
             bad, doubt, weight = _judge(tag, m.group(3), articles > 0) if not off else (False, 0, 0.0)
             if doubt and not bad:
                 if not vetoes:
                     weight -= 25
                 elif doubt == NAMED or m.start() in drop:
-                    bad = True
+                    bad, by_name = True, not off
                 else:
                     tree.doubts.append((len(tree.tag), m.start()))
             tree.parent.append(stack[-1][1])
@@ -241,15 +249,16 @@ def _add(tree: _Tree, owner: int, text: str, linked: int) -> None:
 
 
 def extract(page: str) -> str:
-    tree = _read(page)
-    if tree.doubts:
-        least = SHARE * (tree.chars[0] - tree.linked[0])
-        if drop := frozenset(at for i, at in tree.doubts if tree.chars[i] - tree.linked[i] < least):
-            tree = _read(page, drop)
+    tree = first = _read(page)
+    plain = tree.chars[0] - tree.linked[0]
+    slight = lambda whole: frozenset(at for i, at in first.doubts if first.chars[i] - first.linked[i] < SHARE * whole)
+    drop = slight(plain)
+    if drop:
+        tree = _read(page, drop)
     text = _main(tree)
-    if len(text) < TINY and len(second := _main(_read(page, vetoes=False))) > len(text):
-        return second
-    return text
+    if text and (more := slight(plain + first.unread)) != drop and not _main(_read(page, more)):
+        text = ""  # only doubtful elements are left, and what went by its names is most of the page
+    return text or _main(_read(page, vetoes=False))
 
 
 def _main(tree: _Tree) -> str:

@@ -21,6 +21,8 @@ rows. Only id and text are read. Templates are broadcast: a list of at most ``MA
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import takewhile
 
 import numpy as np
 import xxhash
@@ -134,9 +136,13 @@ class Index:
                         spans.append([a, z, share])
             out += [(k, *x) for k, spans in finds.items() for x in spans]
         best: list[tuple[int, int, int, float]] = []
+        kept: list[tuple[int, int]] = []  # by first word; two of them share less than half of either, so last words ascend too
         for k, a, z, share in sorted(out, key=lambda x: (-len(self.shingles[x[0]]) * (4 * x[3] - 3), self.names[x[0]], x[1])):
-            if all(2 * (min(z, y) - max(a, x) + 1) < min(z - a, y - x) + 1 for _, x, y, _ in best):
+            at = bisect_left(kept, (a, z))
+            near = [x for x in takewhile(lambda x: x[1] >= a, (kept[i] for i in range(at - 1, -1, -1)))] + [x for x in takewhile(lambda x: x[0] <= z, (kept[i] for i in range(at, len(kept))))]
+            if all(2 * (min(z, y) - max(a, x) + 1) < min(z - a, y - x) + 1 for x, y in near):
                 best.append((k, a, z, share))
+                kept.insert(at, (a, z))
         return sorted(((self.names[k], *x) for k, *x in best), key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,10 +269,16 @@ def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
         mapped.rewrite(dots)
     if not (odd or runs or signs or dots):
         return []
+    starts: list[list[int]] = [[] for _ in KINDS]  # plain spans of a kind lie apart, so the last one that begins before is the only one that can cover
+    ends: list[list[int]] = [[] for _ in KINDS]
+    for a, b, kind in base:
+        starts[kind].append(a)
+        ends[kind].append(b)
     out = []
     for a, b, kind in base_spans(mapped.text):
         s, e = mapped.source(a, b)
-        if not any(k == kind and x <= s and e <= y for x, y, k in base):
+        k = bisect_right(starts[kind], s) - 1
+        if k < 0 or e > ends[kind][k]:
             out.append((s, e, kind))
     return out
 
