@@ -2,7 +2,7 @@
 
 A run's folder holds ``meta.json``, ``session.jsonl``, ``subagents/agent-*.jsonl`` and ``scores.jsonl``; all but
 the first may be missing. Folders without a readable ``meta.json`` are left out, as are runs of neither group. The
-run's recorded runtime says how its transcripts are read. ``load`` reads the folders; ``assemble`` takes their
+run's recorded runtime says how its transcripts are read, and secrets are gone before anything is written. ``load`` reads the folders; ``assemble`` takes their
 lines as DataFrames, from wherever they are.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.pricing import Prices
 from tracelake.functions.text import MARK_SERVER, match_labels, parse_selector
-from tracelake.operators import keys, markers, reduce
+from tracelake.operators import keys, markers, redaction, reduce
 from tracelake.plans import gate
 from tracelake.plans.model import NODE_COLUMNS, Model
 from tracelake.plans.thresholds import DEFAULT, Thresholds
@@ -90,7 +90,7 @@ def assemble(runs: DataFrame, raw: DataFrame, scores: DataFrame, more: DataFrame
     """
     runs = cut(runs)
     meta = cut(described(runs))
-    obs = cut(observed(raw, meta))
+    obs = cut(redaction.observations(observed(raw, meta)))
     nodes, _ = graph(obs, prices, server)
     status = F.when(F.col("exit_code") != 0, "error").otherwise("running")
     rows = runs.select("run_id", "grp", "task", F.col("marker_start").alias("started_at"), F.col("marker_end").alias("ended_at"), status.alias("status"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import text
+from tracelake.functions import redact, text
 from tracelake.functions.pricing import FAMILIES, cost_usd
-from tracelake.functions.redact import capped, redacted
+from tracelake.functions.redact import capped, redacted, redacted_plain
 from tracelake.operators import aggregate as agg
 from tracelake.operators import calibrate, diff, history, judge, keys, markers, reduce, tables
 from tracelake.plans import gate_sql
@@ -221,6 +221,19 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("r.findings").alias("n_findings"), F.array_join(F.array_distinct(F.transform("r.findings", lambda f: f["reason"])), ",").alias("reasons"), F.sha2(capped(F.col("r.text")), 256).alias("sha256"))
 
 
+def redaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secret of each of eight kinds, made from the id, behind every document: the rules by built-in functions."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").withColumn("h", F.sha2(F.col("doc_id").cast("string"), 256))
+    h = lambda a, n: F.substring("h", a, n)
+    made = (
+        F.concat(F.lit("ghp_"), h(1, 36)), F.concat(F.lit("AKIA"), F.upper(h(1, 16))), F.concat(F.lit("sk-"), h(1, 24)), F.concat(F.lit("postgres://u:"), h(1, 6), F.lit("@db/x")), F.concat(F.lit("Bearer "), h(1, 20)),
+        F.concat(F.lit("eyJ"), h(1, 8), F.lit("."), h(9, 8), F.lit("."), h(17, 8)), F.col("h"), F.concat(F.lit("npm_"), h(1, 36)),
+    )
+    secret = F.element_at(F.array(*made), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    r = redacted_plain(F.concat(F.lit("doc "), F.coalesce("text", F.lit("")), F.lit(" é"), secret))
+    return d.select("doc_id", r.alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha256"), F.array_join(F.sort_array("r.reasons"), ",").alias("reasons"))
+
+
 # --- graphs ---
 
 
@@ -333,15 +346,41 @@ def score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.apply_scores(nodes, line.unionByName(every)).groupBy("run_id", "key").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
+def _redacted_sql(texts: str, passes: int = 3) -> str:
+    """CTEs that end in cleared (doc_id, before, t, reasons) of a relation with doc_id and t: rule by rule, pass by pass."""
+    blank = lambda m: f"'‹redacted:{m}›'"
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    rules = [("pem-private-key", f"CASE WHEN regexp_matches(t, {quoted(redact._PEM_BLOCK)}) THEN regexp_replace(t, {quoted(redact._PEM_BLOCK)}, {blank('pem-private-key')}, 'g') ELSE regexp_replace(t, {quoted(redact._PEM_MARKER)}, {blank('pem-private-key')}, 'g') END")]
+    rules += [(reason, f"regexp_replace(t, {quoted(p)}, {quoted(chr(92) + '1') + ' || ' if p.startswith('(^') else ''}{blank(reason)}, 'g')") for reason, p in redact.VALUE_RULES]
+    for p, bits in redact.ENTROPY_RULES:
+        found, gaps = f"regexp_extract_all(t, {quoted(p)})", f"string_split_regex(t, {quoted(p)})"
+        rules.append(("high-entropy", f"list_aggregate(list_transform(list_zip({gaps}, {found}), lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' WHEN list_aggregate(string_split(z[2], ''), 'entropy') < {bits} THEN z[2] ELSE {blank('high-entropy')} END), 'string_agg', '')"))
+    ctes, last = [f"r0 AS (SELECT doc_id, t AS before, t, []::VARCHAR[] AS reasons FROM {texts})"], 0
+    for _ in range(passes):
+        for reason, new in rules:
+            ctes.append(f"r{last + 1} AS (SELECT doc_id, before, n AS t, CASE WHEN n = t THEN reasons ELSE list_append(reasons, '{reason}') END AS reasons FROM (SELECT *, {new} AS n FROM r{last}))")
+            last += 1
+    ctes.append(f"cleared AS (SELECT doc_id, before, t, list_sort(list_distinct(reasons)) AS reasons FROM r{last})")
+    return ", ".join(ctes)
+
+
+_MADE = """CASE doc_id % 8 WHEN 0 THEN 'ghp_' || substr(h, 1, 36) WHEN 1 THEN 'AKIA' || upper(substr(h, 1, 16)) WHEN 2 THEN 'sk-' || substr(h, 1, 24) WHEN 3 THEN 'postgres://u:' || substr(h, 1, 6) || '@db/x' WHEN 4 THEN 'Bearer ' || substr(h, 1, 20)
+  WHEN 5 THEN 'eyJ' || substr(h, 1, 8) || '.' || substr(h, 9, 8) || '.' || substr(h, 17, 8) WHEN 6 THEN h ELSE 'npm_' || substr(h, 1, 36) END"""
+_PLAIN_DOCS = f"WITH made AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_redacted_sql('made')} SELECT doc_id, len(reasons)::INT AS n_findings, array_to_string(reasons, ',') AS reasons, sha256(CASE WHEN strlen(t) <= {redact.CAP_BYTES} THEN t ELSE '\"‹ref:' || strlen(t) || ',' || substr(sha256(t), 1, 16) || '›\"' END) AS sha256 FROM cleared"
+_MADE_DOCS = f"WITH made AS (SELECT doc_id, 'doc ' || coalesce(text, '') || ' é' || {_MADE} AS t FROM (SELECT *, sha256(doc_id::VARCHAR) AS h FROM documents WHERE doc_id IS NOT NULL)), {_redacted_sql('made')} SELECT doc_id, sha256(t) AS sha256, array_to_string(reasons, ',') AS reasons FROM cleared"
+
+
 def _v(select: str, *extra: str) -> str:
     return f"WITH {', '.join(x.strip() for x in (VIEWS, *extra))} {select}"
 
 
-QUERIES = {f.__name__: f for f in (calibration_splits, calibration_drift, calibration_verdicts, calibration, sensitivity, pareto_front, record_numbers, ledger, judge_agreement, judge_unmatched, judge_gate, judge_panel, judge_vote, labels_parsed, token_costs, redaction, session_nodes, turn_parents, session_runs, step_keys, phase_subgraph, graph_diff, table_compare, artifact_caps, stride_sample, score_join)}
+QUERIES = {f.__name__: f for f in (calibration_splits, calibration_drift, calibration_verdicts, calibration, sensitivity, pareto_front, record_numbers, ledger, judge_agreement, judge_unmatched, judge_gate, judge_panel, judge_vote, labels_parsed, token_costs, redaction, redaction_rules, session_nodes, turn_parents, session_runs, step_keys, phase_subgraph, graph_diff, table_compare, artifact_caps, stride_sample, score_join)}
 ORACLE_SQL = {
     "calibration_splits": f"{_SF} SELECT own AS grp, dropped::INT AS dropped, metric, verdict, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate FROM sf WHERE scope = 'total' AND NOT starts_with(metric, 'ann:')",
     "calibration_drift": f"{_DRIFT} SELECT grp, kind, scope, key, metric, verdict, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, detail FROM drift",
     "calibration_verdicts": f"{_DRIFT} SELECT grp, dropped::INT AS dropped, round(coverage, 6) AS coverage, verdict FROM sv JOIN (SELECT own AS grp, dropped, coverage FROM hcov) USING (grp, dropped)",
+    "redaction": _PLAIN_DOCS,
+    "redaction_rules": _MADE_DOCS,
     "calibration": _CALIBRATE,
     "sensitivity": _SENSITIVITY,
     "pareto_front": _PARETO,

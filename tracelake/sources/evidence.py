@@ -100,9 +100,15 @@ def last_of_ledger(entries: DataFrame) -> DataFrame:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, runs: DataFrame, path: str) -> None:
-    """Nodes, edges and runs as JSON lines with their ``kind``."""
-    line = lambda df, kind: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("value"))
-    line(nodes, "node").union(line(edges, "edge")).union(line(runs, "run")).write.mode("overwrite").text(path)
+    """Nodes, edges and runs as JSON lines with their ``kind``, in that order and by id, without secrets: the files' names keep the order."""
+    from tracelake.operators import redaction
+
+    def lines(df: DataFrame, kind: str, no: int, *order: str) -> DataFrame:
+        key = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
+        return df.select(F.lit(no).alias("no"), key.alias("key"), F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("value"))
+
+    every = lines(redaction.nodes(nodes), "node", 0, "run_id", "id").unionByName(lines(edges, "edge", 1, "run_id", "src", "dst")).unionByName(lines(redaction.runs(runs), "run", 2, "run_id"))
+    every.repartitionByRange("no", "key").sortWithinPartitions("no", "key").select("value").write.mode("overwrite").text(path)
 
 
 def read_graph(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
