@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,9 +101,36 @@ def parse_annotation_specs(specs: list[str]) -> dict[str, bool]:
 
 
 def version_key(version: Column) -> Column:
-    """A version's leading numbers by segment, for comparison: "1.12.3-rc" is [1, 12, 3], to 8 segments. A leading v is left out."""
+    """A version's leading numbers by segment, for comparison: "1.12.3-rc" is [1, 12, 3], of any length. A leading v is left out.
+
+    Zeros at the end go, as "1.2" and "1.2.0" are equal; what is then a beginning of another is the lesser one.
+    """
     parts = F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: F.coalesce(F.regexp_extract(x, "^[0-9]+", 0).try_cast("long"), F.lit(0).cast("long")))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("long"), 8)), 1, 8)
+    numbered = F.transform(parts, lambda x, i: F.when(x != 0, i + 1).otherwise(0))
+    return F.slice(parts, 1, F.array_max(numbered))
+
+
+def newest(version: str, seq: str) -> Column:
+    """The newest of a group's versions, as an aggregate; of equal ones the first by ``seq``. Nulls and empty texts are no versions."""
+    known = F.nullif(F.col(version), F.lit(""))
+    return F.max_by(version, F.when(known.isNotNull(), F.struct(version_key(F.col(version)), -F.col(seq))))
+
+
+def parse_phase(selector: str) -> tuple[str, int]:
+    """``name[,occurrence]``; the first occurrence by default."""
+    name, comma, occurrence = selector.partition(",")
+    if comma and not re.fullmatch(r"[+-]?[0-9]+", occurrence):
+        raise ValueError(f"{selector!r} is not name[,occurrence]")
+    return name, int(occurrence) if comma else 0
+
+
+def parse_window(phase: str = "", start: str = "", end: str = "") -> tuple[tuple[str, int], tuple[str, int] | None]:
+    """A phase, or a range from one phase to another: (phase, None) or (first, last). A range needs both ends and excludes a phase."""
+    if bool(start) != bool(end):
+        raise ValueError("a range needs both its ends")
+    if start and phase:
+        raise ValueError("a phase and a range exclude each other")
+    return (parse_phase(start), parse_phase(end)) if start else (parse_phase(phase), None)
 
 
 def payload_hash(input: Column, output: Column) -> Column:

@@ -258,8 +258,7 @@ def drift(m: Model, th: Thresholds) -> DataFrame:
 def _drift(got: Checked, th: Thresholds) -> DataFrame:
     enough = got.runs.where(f"k >= {2 * th.min_support}").select("grp").distinct()
     whole = got.whole.join(enough, "grp", "left_semi")
-    rank = reduce(lambda c, kv: c.when(F.col("scope") == kv[1], kv[0]), enumerate(cmp._SCOPES), F)
-    at = F.struct(rank.alias("scope"), "key", "metric")
+    at = F.struct(cmp.scope_rank().alias("scope"), "key", "metric")
     moved = whole.where(F.col("verdict").isin("regression", "notable")).select("grp", F.lit("drift").alias("kind"), at.alias("at"), "scope", "key", "metric", "verdict", "baseline", "candidate", "detail")
     unsure = got.verdicts.where("split = 0 AND verdict = 'insufficient'").select("grp")
     notes = whole.where("verdict = 'insufficient' AND detail <> ''").join(unsure, "grp", "left_semi").groupBy("grp", "detail").agg(F.min(at).alias("at"))

@@ -202,14 +202,23 @@ def audit(per_run: DataFrame, th: Thresholds) -> DataFrame:
     return long.join(F.broadcast(group), ["grp", "metric"]).where((F.col("s.n") >= 3) & (F.abs(F.col("value") - F.col("s.median")) > band)).select("grp", "run_id", "metric", "value", F.col("s.median").alias("median"), band.alias("band"))
 
 
+def audit_order(flags: DataFrame) -> DataFrame:
+    """Flags by run, and each run's by metric."""
+    return flags.orderBy("grp", "run_id", F.array_position(F.array(*[F.lit(k) for k in (*METRICS, "turns")]), F.col("metric")))
+
+
 def kept(findings: DataFrame) -> DataFrame:
     """Totals, and of the other scopes what isn't ok."""
     return findings.where((F.col("scope") == "total") | (F.col("verdict") != "ok"))
 
 
+def scope_rank() -> Column:
+    """A finding's place by its scope."""
+    return reduce(lambda c, kv: c.when(F.col("scope") == kv[1], kv[0]), enumerate(_SCOPES), F)
+
+
 def ordered(findings: DataFrame) -> DataFrame:
-    rank = reduce(lambda c, kv: c.when(F.col("scope") == kv[1], kv[0]), enumerate(_SCOPES), F)
-    return findings.orderBy(rank, "key", "metric")
+    return findings.orderBy(scope_rank(), "key", "metric")
 
 
 def verdict(findings: DataFrame, th: Thresholds) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.redact import CAP_BYTES, capped, redacted, redacted_plain
+from tracelake.functions.redact import CAP_BYTES, capped, redacted_json, redacted_plain, ways
 
 #: Columns of observations and nodes that are payload sides, and texts among their attributes.
 PAYLOAD = ("input", "output")
@@ -24,40 +24,36 @@ def compact(json: Column) -> Column:
     return F.when(json.rlike(r"[ \t\r\n]") & F.try_parse_json(json).isNotNull(), tight).otherwise(json)
 
 
-def side(payload: Column, cap: int = CAP_BYTES) -> Column:
-    """One side of a payload as it is stored: cleared, compact, capped. References stay; null and empty are null."""
-    return _capped(_clear(payload), cap)
-
-
-def _clear(payload: Column) -> Column:
-    return F.nullif(compact(redacted(payload)["text"]), F.lit(""))
-
-
-def _capped(clear: Column, cap: int) -> Column:
-    return F.when(clear.rlike(_REFERENCE), clear).otherwise(capped(clear, cap))
-
-
-def attribute(name: str, value: Column) -> Column:
-    """An attribute's text; a checksum field's digest stays."""
-    if name == "hash" or name.endswith("_hash"):
-        return F.when(value.rlike(_HEX_DIGEST), value).otherwise(redacted_plain(value)["text"])
-    return redacted_plain(value)["text"]
-
-
 def labels(given: Column) -> Column:
     """A map with its values cleared."""
     return F.transform_values(given, lambda _, v: redacted_plain(v)["text"])
 
 
+def _is_attribute(name: str) -> bool:
+    return name in ATTRIBUTES or name == "hash" or name.endswith("_hash") and name != "payload_hash"
+
+
 def _rows(df: DataFrame, cap: int) -> DataFrame:
-    attributes = {c: attribute(c, F.col(c)) for c in df.columns if c in ATTRIBUTES or c.endswith("_hash") and c != "payload_hash"}
-    sides = [c for c in PAYLOAD if c in df.columns]
-    clear = df.withColumns(attributes | {c: _clear(F.col(c)) for c in sides})
+    """Rows with attributes and payload sides cleared.
+
+    All plain texts of a row go through the rules as one array, so the rules stand in the plan once.
+    """
+    attributes, sides = [c for c in df.columns if _is_attribute(c)], [c for c in PAYLOAD if c in df.columns]
+    how = {c: ways(F.col(c)) for c in sides}
+    told = df.withColumns({f"__{k}_{c}": x for c, both in how.items() for k, x in zip(("python", "stays"), both, strict=True)})
+    digest = lambda c: F.col(c).rlike(_HEX_DIGEST) if c.endswith("hash") else F.lit(False)
+    plain = [F.when(~digest(c), F.col(c)) for c in attributes] + [F.when(~F.col(f"__python_{c}") & ~F.col(f"__stays_{c}"), F.col(c)) for c in sides]
+    if not plain:
+        return df
+    told = told.withColumns({"__plain": F.transform(F.array(*plain), lambda t: F.when(t.isNotNull(), redacted_plain(t)["text"]))} | {f"__json_{c}": redacted_json(F.when(F.col(f"__python_{c}"), F.col(c))) for c in sides})
+    at = {c: F.col("__plain")[k] for k, c in enumerate([*attributes, *sides])}
+    clear = {c: F.when(digest(c), F.col(c)).otherwise(at[c]) for c in attributes} | {c: F.when(F.col(f"__python_{c}"), F.col(f"__json_{c}.text")).when(F.col(f"__stays_{c}"), F.col(c)).otherwise(at[c]) for c in sides}
+    out = told.withColumns(clear).withColumns({c: F.nullif(compact(F.col(c)), F.lit("")) for c in sides})
     if "payload_hash" in df.columns and sides:
-        whole = F.sha2(F.concat_ws("\x00", *[F.coalesce(c, F.lit("")) for c in sides]), 256)
-        given = F.forall(F.array(*[F.coalesce(c, F.lit("")) for c in sides]), lambda x: (x == "") | x.rlike(_REFERENCE)) & F.exists(F.array(*[F.coalesce(c, F.lit("")) for c in sides]), lambda x: x != "")
-        clear = clear.withColumn("payload_hash", F.when(given, F.col("payload_hash")).otherwise(whole))
-    return clear.withColumns({c: _capped(F.col(c), cap) for c in sides})
+        texts = [F.coalesce(c, F.lit("")) for c in sides]
+        given = F.forall(F.array(*texts), lambda x: (x == "") | x.rlike(_REFERENCE)) & F.exists(F.array(*texts), lambda x: x != "")
+        out = out.withColumn("payload_hash", F.when(given, F.col("payload_hash")).otherwise(F.sha2(F.concat_ws("\x00", *texts), 256)))
+    return out.withColumns({c: F.when(F.col(c).rlike(_REFERENCE), F.col(c)).otherwise(capped(F.col(c), cap)) for c in sides}).select(df.columns)
 
 
 def observations(obs: DataFrame, cap: int = CAP_BYTES) -> DataFrame:
@@ -72,5 +68,5 @@ def nodes(rows: DataFrame, cap: int = CAP_BYTES) -> DataFrame:
 
 def runs(rows: DataFrame) -> DataFrame:
     """Runs as they may be exported: their labels and texts cleared."""
-    named = {c: attribute(c, F.col(c)) for c in rows.columns if c in ATTRIBUTES}
-    return rows.withColumns(named | ({"labels": labels(F.col("labels"))} if "labels" in rows.columns else {}))
+    out = _rows(rows, CAP_BYTES)
+    return out.withColumn("labels", labels(F.col("labels"))) if "labels" in rows.columns else out

@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import text
 from tracelake.functions.pricing import FAMILIES
 from tracelake.operators import aggregate as agg
 from tracelake.operators import compare as cmp
-from tracelake.plans import gate, gate_sql, load
+from tracelake.operators import reduce, sessions
+from tracelake.plans import gate, gate_sql, load, workloads
 from tracelake.plans.model import Model
 from tracelake.plans.thresholds import DEFAULT
-from tracelake.plans.views import table
-from tracelake.sources import evidence
+from tracelake.plans.views import VIEWS, gate_model, table
+from tracelake.sources import evidence, transcript
 
 _MODEL = {0: "claude-haiku-4-5", 1: "gpt-5.1"}
 _START = 1_700_000_000
@@ -106,7 +108,7 @@ def evidence_model(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def evidence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate._rounded(agg.cells(evidence_model(spark, sf_dir)))
+    return agg.cells(evidence_model(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 9))  # prices have no more decimals
 
 
 def evidence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +128,41 @@ def evidence_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", "main", F.array_join("subagents", ",").alias("subagents"))
 
 
+def _session_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = reduce.nodes(transcript.observations(workloads.transcript_lines(spark, sf_dir)))
+    return nodes.withColumn("t_start", sessions.stamp(F.col("t_start")))
+
+
+def _said(c: str) -> Column:
+    """Characters of a payload side that is a JSON text."""
+    return F.coalesce(F.char_length(F.try_variant_get(F.try_parse_json(c), "$", "string")), F.lit(0))
+
+
+def session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of every conversation's first prompt and last answer."""
+    return sessions.ends(_session_nodes(spark, sf_dir)).select("run_id", _said("input").alias("n_input"), _said("output").alias("n_output"))
+
+
+def session_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and calls of every conversation in order."""
+    found = sessions.steps(_session_nodes(spark, sf_dir))
+    return found.select("run_id", "step_no", "kind", "name", F.when(F.col("kind") == "tool", F.col("input")).otherwise(F.lit("")).alias("input"), _said("output").alias("n_output"))
+
+
+def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of one to twelve segments, made from order keys: the newest by priority."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+    version = F.expr("array_join(transform(sequence(0, int(o_orderkey % 12)), i -> string((o_orderkey div (i + 1)) % 3)), '.')")
+    return o.select("o_orderpriority", "o_orderkey", version.alias("version")).groupBy("o_orderpriority").agg(text.newest("version", "o_orderkey").alias("version"))
+
+
+def missing_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints p2 to p5 of runs that have markers p0 to p3."""
+    m = gate_model(spark, sf_dir)
+    expected = m.runs.select("run_id", F.explode(F.array(*[F.lit(f"p{k}") for k in range(2, 6)])).alias("name"))
+    return sessions.missing_checkpoints(m.nodes, expected)
+
+
 def _cost(odd: int) -> str:
     into, out, cached, _ = FAMILIES["claude-haiku-" if not odd else "gpt-5.1"]
     return f"(n % 100) * {into} / 1e6 + (n % 50) * {out} / 1e6" + (f" + 5 * {cached} / 1e6" if odd else "")
@@ -141,9 +178,18 @@ cell AS (SELECT run_id, grp, task, ms::DOUBLE AS duration_ms, coalesce(cost_usd,
 ann AS (SELECT run_id, 'judge.score' AS key, conv_id % 10 / 10.0::DOUBLE AS value FROM runx UNION ALL SELECT run_id, 'verifier.pass', (count(*) FILTER (WHERE n % 7 = 0) = 0)::INT::DOUBLE FROM conv GROUP BY run_id)
 """
 
-QUERIES = {f.__name__: f for f in (evidence_cells, evidence_findings, evidence_resolved)}
+QUERIES = {f.__name__: f for f in (evidence_cells, evidence_findings, evidence_resolved, session_ends, session_steps, newest_versions, missing_checkpoints)}
+_SAID = "WITH conv AS (SELECT 'c' || conv_id AS run_id, turn, role, length(coalesce(text, '')) AS n FROM conversations)"
 ORACLE_SQL = {
-    "evidence_cells": f"{_CTES} SELECT run_id, grp, task, duration_ms, round(cost_usd, 6) AS cost_usd, tokens_in, tokens_out, nodes, turns, has_error FROM cell",
+    "session_ends": f"{_SAID} SELECT run_id, coalesce(arg_min(n, turn) FILTER (WHERE role = 'user' AND n > 0), 0)::INT AS n_input, coalesce(arg_max(n, turn) FILTER (WHERE role = 'assistant' AND n > 0), 0)::INT AS n_output FROM conv WHERE role IN ('user', 'assistant') GROUP BY run_id",
+    "session_steps": f"""{_SAID} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY turn, kind) AS step_no, kind, name, input, n_output FROM (
+      SELECT run_id, turn, 'llm' AS kind, 'assistant_turn' AS name, '' AS input, n::INT AS n_output FROM conv WHERE role = 'assistant' UNION ALL
+      SELECT run_id, turn, 'tool', 'Bash', '{{"command":"wc ' || n || '"}}', 0 FROM conv WHERE role = 'assistant')""",
+    "newest_versions": """WITH v AS (SELECT o_orderpriority, o_orderkey, list_transform(range(0, o_orderkey % 12 + 1), lambda i: (o_orderkey // (i + 1)) % 3) AS parts FROM orders),
+      k AS (SELECT *, list_slice(parts, 1, coalesce(list_max(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN parts[i] <> 0 THEN i ELSE 0 END)), 0)) AS key FROM v)
+      SELECT o_orderpriority, array_to_string(parts, '.') AS version FROM k QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY key DESC, o_orderkey) = 1""",
+    "missing_checkpoints": f"WITH {VIEWS.strip()} SELECT run_id, e.name FROM runx r, (SELECT unnest(['p2', 'p3', 'p4', 'p5']) AS name) e WHERE NOT EXISTS (SELECT 1 FROM node n WHERE n.run_id = r.run_id AND n.type = 'marker' AND n.name = e.name)",
+    "evidence_cells": f"{_CTES} SELECT run_id, grp, task, duration_ms, round(cost_usd, 9) AS cost_usd, tokens_in, tokens_out, nodes, turns, has_error FROM cell",
     "evidence_findings": f"{_CTES}, {gate_sql._TOT}, {gate_sql._ANN} {gate_sql._total_findings()} UNION ALL {gate_sql._annotation_findings()}",
     "evidence_resolved": "SELECT 'c' || conv_id AS session_id, 'home/p' || conv_id % 7 || '/c' || conv_id || '.jsonl' AS main, CASE WHEN conv_id % 4 = 0 THEN string_agg(DISTINCT 'home/p' || conv_id % 7 || '/c' || conv_id || '/subagents/agent-' || lpad(turn::VARCHAR, 4, '0') || '.jsonl', ',' ORDER BY 'home/p' || conv_id % 7 || '/c' || conv_id || '/subagents/agent-' || lpad(turn::VARCHAR, 4, '0') || '.jsonl') ELSE '' END AS subagents FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id",
 }

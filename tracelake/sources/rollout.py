@@ -6,10 +6,14 @@ The state is a window over the file's lines, the fold of a turn a grouping.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import prompt_kind
+from tracelake.operators.numbering import numbered
+from tracelake.sources import transcript
 from tracelake.sources.transcript import quoted
 
 # Record types.
@@ -17,9 +21,22 @@ RECORDS = ("session_meta", "turn_context", "response_item", "event_msg", "compac
 DEFAULT_ROLE = "default"
 
 
+#: Lines of a compressed file that a task hands on at a time.
+BATCH_LINES = 4096
+
+
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines (path, line_no, value) of rollout files, plain or ``.zst``."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    """Lines (path, line_no, value) of rollout files, plain or ``.zst``.
+
+    Plain files are read in splits; a compressed one is one stream, unpacked by one task a block at a time.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    some = [p for p in paths if not p.endswith(".zst")]
+    plain = transcript.lines(spark, some, pathGlobFilter="*.jsonl") if some else None
+    packed = [p for p in paths if p.endswith(".zst") or not re.search(r"\.jsonl$", p)]
+    if not packed:
+        return plain
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(packed).select("path", "content")
 
     def texts(batches):
         import io
@@ -27,14 +44,23 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        def batch_of(path, rows):
+            return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], names=["path", "line_no", "value"])
+
         for batch in batches:
-            values = []
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                values.append((zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read() if path.endswith(".zst") else raw).decode())
-            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "value": pa.array(values, pa.string())})
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                stream = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(pa.BufferReader(raw.as_buffer()), read_across_frames=True), encoding="utf-8", newline="\n")
+                rows = []
+                for k, line in enumerate(stream):
+                    if value := line.strip(" \t\r\n"):
+                        rows.append((k, value))
+                    if len(rows) >= BATCH_LINES:
+                        yield batch_of(path, rows)
+                        rows = []
+                yield batch_of(path, rows)
 
-    whole = files.mapInArrow(texts, "path string, value string")
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).where("trim(value) <> ''")
+    unpacked = files.mapInArrow(texts, "path string, line_no int, value string")
+    return unpacked if plain is None else plain.unionByName(unpacked)
 
 
 def _get(c: str, path: str) -> Column:
@@ -112,7 +138,7 @@ def observations(raw: DataFrame, run_of: Column | None = None) -> DataFrame:
         "source": F.lit("jsonl"), "session_id": F.coalesce("parent_thread", "thread"), "run_id": F.coalesce("parent_thread", "thread") if run_of is None else run_of, "agent_id": F.when(F.col("parent_thread").isNotNull(), F.col("thread")),
         "parent_tool_use_id": F.lit(None).cast("string"), "uuid": F.lit(None).cast("string"), "version": F.col("cli"), "file_rank": F.when(F.col("parent_thread").isNotNull(), 1).otherwise(0),
     })
-    return out.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("file_rank", "path", "line_no", "kind")).cast("long"))
+    return numbered(out, ["run_id"], ["file_rank", "path", "line_no", "kind"], "seq")
 
 
 def drift(raw: DataFrame) -> DataFrame:

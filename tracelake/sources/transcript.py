@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import prompt_kind, trimmed
+from tracelake.operators.numbering import numbered
 
 # Record and block types of the main runtime.
 LINE_TYPES = ("user", "assistant", "summary", "system", "file-history-snapshot", "attachment", "last-prompt", "mode", "ai-title", "permission-mode", "pr-link", "queue-operation", "worktree-state", "relocated")
@@ -24,10 +25,18 @@ _FIELDS = tuple(x.split(":")[0] for x in PART[7:-1].split(","))
 
 
 def lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
-    """Lines of transcript files with their place: path, line_no, value. Files are sessions of some MB, read whole so that lines keep their number."""
-    files = spark.read.options(**options).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    each = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return each.withColumn("value", F.trim("value")).where("value <> ''")
+    """Lines of transcript files with their place: path, line_no (from 0), value.
+
+    Files are read in splits of any size. A line's number is its place in its split plus the lines of the splits
+    before it in the file: only those counts, a row a split, meet.
+    """
+    read = spark.read.options(**options).text(paths, lineSep="\n")
+    raw = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    counts = counts.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("more"))
+    each = raw.join(counts, ["path", "block"]).select("path", (F.col("at") + F.col("more")).cast("int").alias("line_no"), F.btrim("value", F.lit(" \t\r\n")).alias("value"))
+    return each.where("value <> ''")
 
 
 def _part(**fields: Column) -> Column:
@@ -86,7 +95,7 @@ def observations(raw: DataFrame, run_of: Column | None = None) -> DataFrame:
         *[F.col(f"p.{k}").alias(k) for k in _FIELDS[4:]], some(F.col("l.version")).alias("version"), some(F.col("l.cwd")).alias("cwd"), F.try_to_timestamp(F.col("l.timestamp")).alias("event_time"),
         F.when(F.col("path").contains("/subagents/"), 1).otherwise(0).alias("file_rank"), "path", "line_no", "part_no",
     )
-    return flat.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("file_rank", "path", "line_no", "part_no")).cast("long"))
+    return numbered(flat, ["run_id"], ["file_rank", "path", "line_no", "part_no"], "seq")
 
 
 def drift(raw: DataFrame) -> DataFrame:
