@@ -12,20 +12,23 @@ from tracelake.operators import compare as cmp
 from tracelake.plans.model import Model
 from tracelake.plans.thresholds import DEFAULT, Thresholds
 from tracelake.plans.views import gate_model
+from tracelake.sources.shared import cut
 
 
 def findings(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None = None) -> DataFrame:
     """All findings of candidate against baseline, ok ones outside the totals left out."""
-    per_run = agg.cells(m)
-    steps = agg.step_rows(m, tuple(specs or ()))
+    # each fold is read several times, by both sides and for coverage: a row a run or key, written once
+    per_run, steps = cut(agg.cells(m)), cut(agg.step_rows(m, tuple(specs or ())))
+    runs = per_run.select("run_id", "grp")
+    tasks = cut(agg.task_stats(m, per_run))
     parts = [
         cmp.total_findings(agg.totals(per_run), th),
         cmp.annotation_findings(agg.annotation_totals(m), specs or {}, th),
-        cmp.plain_paired(cmp.paired_findings(agg.task_stats(m, per_run), th), th),
-        cmp.row_findings("step", steps, m.runs, th, True, specs),
+        cmp.plain_paired(cmp.paired_findings(tasks, th), th),
+        cmp.row_findings("step", steps, runs, th, True, specs),
     ]
     if m.spans is not None:
-        parts.append(cmp.row_findings("phase", agg.phase_rows(m), m.runs, th, False))
+        parts.append(cmp.row_findings("phase", cut(agg.phase_rows(m)), runs, th, False))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
