@@ -153,7 +153,7 @@ def findings(found: DataFrame, th: Thresholds) -> DataFrame:
         .otherwise(none)
     )
     asked = found.where("scope <> 'paired'").select("grp", "split", "weight", "scope", "key", F.lit("").alias("name"), F.explode(asks).alias("f"))
-    return cmp._judged(asked, th, ("grp", "split", "weight")).drop("name")
+    return cmp.judged(asked, th, ("grp", "split", "weight")).drop("name")
 
 
 def _over_splits(sums: DataFrame, names: list[str], runs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:

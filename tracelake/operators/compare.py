@@ -35,7 +35,7 @@ def _ask(metric: Column, rate: tuple | None = None, stats: tuple | None = None,
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
-def _judged(asked: DataFrame, th: Thresholds, also: tuple[str, ...] = ()) -> DataFrame:
+def judged(asked: DataFrame, th: Thresholds, also: tuple[str, ...] = ()) -> DataFrame:
     """The findings of the comparisons in ``f``, a row each, with the columns ``also``.
 
     Rates of bad outcomes: a regression needs apart intervals and more than the delta. Medians: a regression
@@ -83,16 +83,25 @@ def _asked(df: DataFrame, scope: str, asks: Column, key: Column | None = None, n
     return df.select(F.lit(scope).alias("scope"), (F.lit("") if key is None else key).alias("key"), (F.lit("") if name is None else name).alias("name"), F.explode(asks.cast(ASKED)).alias("f"))
 
 
-def total_findings(totals: DataFrame, th: Thresholds) -> DataFrame:
+def total_asks(totals: DataFrame, th: Thresholds) -> DataFrame:
+    """The comparisons of totals."""
     both = _sides(totals, [])
     b, c = F.col("b"), F.col("c")
     asks = [_ask(F.lit(k), stats=(b[k], c[k])).cast(ASKED[6:-1]) for k in (*METRICS, "nodes")]
     asks.append(_ask(F.lit("error_rate"), rate=(b["error_runs"], b["runs"], c["error_runs"], c["runs"], th.error_rate_delta)).cast(ASKED[6:-1]))
-    return _judged(_asked(both, "total", F.array(*asks)), th)
+    return _asked(both, "total", F.array(*asks))
+
+
+def total_findings(totals: DataFrame, th: Thresholds) -> DataFrame:
+    return judged(total_asks(totals, th), th)
 
 
 def annotation_findings(annotations: DataFrame, specs: dict[str, bool], th: Thresholds) -> DataFrame:
-    """Run annotations by spec (key: higher is better). The verifier's outcome is always among them.
+    return judged(annotation_asks(annotations, specs, th), th)
+
+
+def annotation_asks(annotations: DataFrame, specs: dict[str, bool], th: Thresholds) -> DataFrame:
+    """The comparisons of run annotations by spec (key: higher is better). The verifier's outcome is always among them.
 
     Annotations of zeros and ones on both sides are rates of bad outcomes; those that are better high are
     shown as rates of good ones.
@@ -108,7 +117,7 @@ def annotation_findings(annotations: DataFrame, specs: dict[str, bool], th: Thre
     rate = _ask(metric, rate=(bad(b), b["n"], bad(c), c["n"], th.annotation_rate_delta), mirrored=better, note=ones).cast(one)
     none = F.when(b.isNull(), "annotation absent in baseline").otherwise("annotation absent in candidate")
     ask = F.when(b.isNull() | c.isNull(), _ask(metric, absent=none).cast(one)).when(b["binary"] & c["binary"], rate).otherwise(_ask(metric, stats=(b["stats"], c["stats"]), better=better).cast(one))
-    return _judged(_asked(both, "total", F.array(ask)), th)
+    return _asked(both, "total", F.array(ask))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -118,7 +127,13 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 
 def row_findings(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, downgrade: bool, specs: dict[str, bool] | None = None) -> DataFrame:
-    """Findings of step or phase rows. With ``downgrade``, regressions are notable while coverage is below the floor.
+    """Findings of step or phase rows. With ``downgrade``, regressions are notable while coverage is below the floor."""
+    found = judged(row_asks(scope, rows, runs, th, specs), th)
+    return downgraded(found, coverage(rows), th) if downgrade else found
+
+
+def row_asks(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, specs: dict[str, bool] | None = None) -> DataFrame:
+    """The comparisons of step or phase rows.
 
     ``specs`` (key: higher is better) names annotations of rows to compare as metrics, where rows have ``annotations``.
     """
@@ -142,11 +157,13 @@ def row_findings(scope: str, rows: DataFrame, runs: DataFrame, th: Thresholds, d
         both_here = F.concat(both_here, F.filter(F.array(*asked), lambda x: x.isNotNull()))
     asks = F.when(b.isNotNull() & c.isNotNull(), both_here).otherwise(F.array(presence, gone))
     name = F.coalesce(F.nullif(b["name"], F.lit("")), c["name"], F.lit(""))
-    found = _judged(_asked(both, scope, asks, F.col("key"), name), th)
-    if not downgrade:
-        return found
-    found = found.crossJoin(F.broadcast(coverage(rows)))  # one row
-    down = (F.col("coverage") < th.coverage_floor) & (F.col("verdict") == "regression")
+    return _asked(both, scope, asks, F.col("key"), name)
+
+
+def downgraded(found: DataFrame, covered: DataFrame, th: Thresholds) -> DataFrame:
+    """Findings whose step regressions are notable while coverage is below the floor."""
+    found = found.crossJoin(F.broadcast(covered))  # one row
+    down = (F.col("scope") == "step") & (F.col("coverage") < th.coverage_floor) & (F.col("verdict") == "regression")
     note = F.format_string(f"step alignment coverage %.2f below floor {th.coverage_floor:.2f}", F.col("coverage"))
     return found.withColumns({"verdict": F.when(down, "notable").otherwise(F.col("verdict")), "detail": F.when(down, F.concat_ws("; ", F.nullif(F.col("detail"), F.lit("")), note)).otherwise(F.col("detail"))}).drop("coverage")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +21,11 @@ def findings(m: Model, th: Thresholds = DEFAULT, specs: dict[str, bool] | None =
     per_run, steps = cut(agg.cells(m)), cut(agg.step_rows(m, tuple(specs or ())))
     runs = per_run.select("run_id", "grp")
     tasks = cut(agg.task_stats(m, per_run))
-    parts = [
-        cmp.total_findings(agg.totals(per_run), th),
-        cmp.annotation_findings(agg.annotation_totals(m), specs or {}, th),
-        cmp.plain_paired(cmp.paired_findings(tasks, th), th),
-        cmp.row_findings("step", steps, runs, th, True, specs),
-    ]
+    asks = [cmp.total_asks(agg.totals(per_run), th), cmp.annotation_asks(agg.annotation_totals(m), specs or {}, th), cmp.row_asks("step", steps, runs, th, specs)]
     if m.spans is not None:
-        parts.append(cmp.row_findings("phase", cut(agg.phase_rows(m)), runs, th, False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        asks.append(cmp.row_asks("phase", cut(agg.phase_rows(m)), runs, th))
+    judged = cmp.downgraded(cmp.judged(reduce(DataFrame.unionByName, asks), th), cmp.coverage(steps), th)
+    out = judged.unionByName(cmp.plain_paired(cmp.paired_findings(tasks, th), th))
     return cmp.kept(out)
 
 
