@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import redact, text
-from tracelake.functions.pricing import FAMILIES, cost_usd
+from tracelake.functions.pricing import EXACT, FAMILIES, UNPRICED, cost_usd
 from tracelake.functions.redact import capped, redacted, redacted_plain
 from tracelake.operators import aggregate as agg
 from tracelake.operators import calibrate, diff, history, judge, keys, markers, reduce, tables
@@ -199,20 +199,29 @@ ag AS (SELECT key, tool, n, round(CASE WHEN n >= 2 AND vx > 0 AND vy > 0 THEN co
 
 def labels_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    given = F.concat(F.lit(" seg = "), F.lower("c_mktsegment"), F.lit(",Bad Key=1,nation="), F.col("c_nationkey").cast("string"), F.lit(",seg=again,novalue"))
+    key = F.col("c_custkey")
+    number = lambda n: (key % n).cast("string")
+    given = F.concat(
+        F.lit(" seg = "), F.lower("c_mktsegment"), F.lit(",Bad Key=1,nation="), F.col("c_nationkey").cast("string"), F.lit(",k"), number(7), F.lit("="), key.cast("string"), F.lit(",novalue,k"), number(3), F.lit(" =  "), F.lower("c_name"),
+        F.lit(",Up"), number(2), F.lit("=x=y,seg="), F.when(key % 2 == 0, "again").otherwise(""),
+    )
     return c.select("c_custkey", text.parse_labels(given).alias("l")).select("c_custkey", text.format_labels(F.col("l")).alias("labels"), text.match_labels(F.col("l"), {"seg": "again", "absent": ""}).alias("matches"))
 
 
 def token_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines priced by a model that their supplier stands for."""
     li = table(spark, sf_dir, "lineitem")
-    names = list(FAMILIES)[:4]
-    model = F.element_at(F.array(*[F.lit(f"anthropic.{n}x-20250101") for n in names], F.lit("unknown-model")), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    model = F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (F.col("l_suppkey") % len(_MODELS) + 1).cast("int"))
     cost = cost_usd(model, F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("long"))
-    return li.groupBy(text.tool_type(F.lit("mcp__x")).alias("type"), (F.col("l_suppkey") % 5).alias("m")).agg(F.round(F.sum(cost), 4).alias("cost_usd"), F.count_if(cost.isNull()).alias("unpriced"))
+    return li.groupBy(text.tool_type(F.lit("mcp__x")).alias("type"), (F.col("l_suppkey") % len(_MODELS)).alias("m")).agg(F.round(F.sum(cost), 4).alias("cost_usd"), F.count_if(cost.isNull()).alias("unpriced"))
 
 
-_COSTS = " ".join(f"WHEN {i} THEN l_partkey / 1e6 * {t[0]} + l_orderkey / 1e6 * {t[1]} + l_suppkey / 1e6 * {t[2]} + l_linenumber / 1e6 * {t[3]}" for i, t in enumerate(list(FAMILIES.values())[:4]))
+#: A model of every family, of every whole name, without a price, and unknown; under vendors' names and dates.
+_MODELS = [
+    f"{('', 'anthropic.', 'vertex_ai/')[i % 3]}{name}{('-20250101', '@20250101', '')[i % 3]}"
+    for i, name in enumerate((*[f"{k}x" for k in FAMILIES], *EXACT, *UNPRICED, "unknown-model"))
+]
+_COSTS = " ".join(f"WHEN {i} THEN l_partkey / 1e6 * {t[0]} + l_orderkey / 1e6 * {t[1]} + l_suppkey / 1e6 * {t[2]} + l_linenumber / 1e6 * {t[3]}" for i, t in enumerate((*FAMILIES.values(), *EXACT.values())))
 
 
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,9 +330,9 @@ def graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers against the same with balances moved within the tolerance, and one of them beyond."""
+    """Customers against the same with balances moved by up to 0.00016, some within the tolerance and some beyond."""
     c = table(spark, sf_dir, "customer")
-    moved = c.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") == 7, 1.0).otherwise(0.00001))
+    moved = c.withColumn("c_acctbal", F.col("c_acctbal") + F.col("c_custkey") % 5 * 0.00004)
     return tables.unmatched(c, moved, c.columns).groupBy("side").agg(F.count("*").alias("n"))
 
 
@@ -391,8 +400,11 @@ ORACLE_SQL = {
     "judge_gate": f"WITH {_JUDGED.strip()} SELECT count(*) AS judges, count(*) FILTER (WHERE kappa IS NULL OR kappa < 0.2) AS failures, (count(*) = 0 OR count(*) FILTER (WHERE kappa IS NULL OR kappa < 0.2) > 0)::INT AS exit_code FROM ag",
     "judge_panel": f"WITH {_JUDGED.strip()} SELECT run_id, round(avg(value), 6) AS value, count(*) AS panel_size FROM sc GROUP BY run_id",
     "judge_vote": f"WITH {_JUDGED.strip()} SELECT run_id, (2 * count(*) FILTER (WHERE value >= 0.5) > count(*))::INT::DOUBLE AS value, count(*) AS panel_size FROM sc GROUP BY run_id",
-    "labels_parsed": "SELECT c_custkey, 'nation=' || c_nationkey || ',seg=again' AS labels, true AS matches FROM customer",
-    "token_costs": f"SELECT 'mcp_call' AS type, m, round(sum(c), 4) AS cost_usd, count(*) - count(c) AS unpriced FROM (SELECT l_suppkey % 5 AS m, CASE l_suppkey % 5 {_COSTS} END AS c FROM lineitem) GROUP BY m",
+    "labels_parsed": """WITH g AS (SELECT c_custkey, ' seg = ' || lower(c_mktsegment) || ',Bad Key=1,nation=' || c_nationkey || ',k' || c_custkey % 7 || '=' || c_custkey || ',novalue,k' || c_custkey % 3 || ' =  ' || lower(c_name) || ',Up' || c_custkey % 2 || '=x=y,seg=' || CASE WHEN c_custkey % 2 = 0 THEN 'again' ELSE '' END AS given FROM customer),
+      p AS (SELECT c_custkey, i, trim(split_part(x, '=', 1)) AS k, trim(substr(x, strpos(x, '=') + 1)) AS v FROM (SELECT c_custkey, unnest(string_split(given, ',')) AS x, generate_subscripts(string_split(given, ','), 1) AS i FROM g) WHERE contains(x, '=')),
+      l AS (SELECT c_custkey, k, arg_max(v, i) AS v FROM p WHERE regexp_full_match(k, '[a-z0-9_.-]{1,64}') AND strlen(v) <= 256 GROUP BY c_custkey, k)
+      SELECT c_custkey, string_agg(k || '=' || v, ',' ORDER BY k) AS labels, bool_or(k = 'seg' AND v = 'again') AND NOT bool_or(k = 'absent' AND v <> '') AS matches FROM l GROUP BY c_custkey""",
+    "token_costs": f"SELECT 'mcp_call' AS type, m, round(sum(c), 4) AS cost_usd, count(*) - count(c) AS unpriced FROM (SELECT l_suppkey % {len(_MODELS)} AS m, CASE l_suppkey % {len(_MODELS)} {_COSTS} END AS c FROM lineitem) GROUP BY m",
     "session_nodes": f"""WITH {_CONV.strip()}
         SELECT run_id, 'session' AS type, 1::BIGINT AS n, 0::BIGINT AS tokens_in, 0::BIGINT AS tokens_out, 0::DOUBLE AS cost_usd FROM (SELECT DISTINCT run_id FROM conv WHERE role = 'assistant' OR (role = 'user' AND text <> ''))
         UNION ALL SELECT run_id, 'user_prompt', count(*), 0, 0, 0 FROM prompts GROUP BY run_id
@@ -405,7 +417,7 @@ ORACLE_SQL = {
         SELECT run_id, min(sec) AS started, max(sec) AS ended, (count(*) FILTER (WHERE role = 'user') + 2 * count(*) FILTER (WHERE role = 'assistant'))::BIGINT AS last_seq, CASE WHEN bool_or(role = 'assistant') THEN 'claude-haiku-4-5' ELSE '' END AS model, run_id AS sessions, 'running' AS status FROM conv WHERE role = 'assistant' OR (role = 'user' AND text <> '') GROUP BY run_id""",
     "step_keys": _KEYS,
     "phase_subgraph": _v("SELECT n.run_id, n.name, count(*) AS n FROM node n JOIN node a ON a.run_id = n.run_id AND a.id = 'm1' JOIN node b ON b.run_id = n.run_id AND b.id = 'm3' WHERE n.type <> 'marker' AND n.t_start >= a.t_start AND n.t_start < b.t_start GROUP BY ALL"),
-    "table_compare": "SELECT side, count(*) AS n FROM customer, (SELECT unnest(['got', 'want']) AS side) WHERE c_custkey = 7 GROUP BY side",
+    "table_compare": "SELECT side, count(*) AS n FROM customer a JOIN (SELECT c_custkey, c_acctbal + c_custkey % 5 * 0.00004::DOUBLE AS moved FROM customer) b USING (c_custkey), (SELECT unnest(['got', 'want']) AS side) WHERE abs(c_acctbal - moved) > 1e-4 GROUP BY side",
     "artifact_caps": "SELECT run_id, rel, bytes <= 5000 AND sum(CASE WHEN bytes <= 5000 THEN bytes ELSE 0 END) OVER (PARTITION BY run_id ORDER BY rel) <= 100000 AS kept FROM (SELECT coalesce(source, '') AS run_id, doc_id::VARCHAR AS rel, max(n_chars) AS bytes FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL)",
     "stride_sample": "WITH r AS (SELECT run_id, row_number() OVER (ORDER BY run_id) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT user_id::VARCHAR AS run_id FROM events)) SELECT run_id FROM r WHERE k <= 7 OR i IN (SELECT (j * k) // 7 FROM range(7) t(j))",
     "score_join": _v("SELECT run_id, 'judge.step' AS key, count(*) AS n, sum((run_id::INT % 10)::DOUBLE) AS value FROM node WHERE step_key <> '' GROUP BY run_id UNION ALL SELECT run_id, 'judge.all', count(*), count(*)::DOUBLE FROM node WHERE step_key <> '' GROUP BY run_id"),
