@@ -127,6 +127,30 @@ def test_diff(spark):
     assert got == [(1, "added", "", "", "1-4"), (1, "changed", "step_key", "1-1", "1-1"), (1, "unchanged", "content", "1-2", "1-2"), (1, "unchanged", "position", "1-3", "1-3"), (2, "removed", "", "2-1", "")]
 
 
+def test_diff_aligns_once(spark, capsys):
+    """What has been matched is written down: nothing of it is done again for later passes or for the rows."""
+    item = spark.createDataFrame([(1, str(i), "tool_call", "n", "", f"k{i}", f"c{i % 3}", "s") for i in range(4)], "pair int, id string, type string, name string, subagent_type string, step_key string, content string, path string")
+    item = item.selectExpr("*", "timestamp_seconds(int(id)) AS t_start", "'' AS args", "'ok' AS status", "0D AS cost_usd", "0L AS duration_ms", "0L AS tokens_in", "0L AS tokens_out")
+    diff.diff(item, item.where("id <> '2'")).explain()
+    assert "CoGroups" not in capsys.readouterr().out
+
+
+def test_long_common_subsequences_hold_few_rows():
+    import tracemalloc
+
+    a, b = [str(i * i % 31) for i in range(1500)], [str(i * i % 37) for i in range(1500)]
+    tracemalloc.start()
+    got = diff.common_subsequence(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20 and all(a[i] == b[j] for i, j in got)
+    kept, diff._MANY = diff._MANY, 1 << 40
+    try:
+        assert got == diff.common_subsequence(a, b)
+    finally:
+        diff._MANY = kept
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(3)
     for _ in range(50):
