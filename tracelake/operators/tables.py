@@ -1,7 +1,7 @@
 """Comparison of two tables: numbers within a tolerance, header and row order aside.
 
 Only rows with equal text cells can be partners, and of those only rows whose first numbers hang together by
-steps within the tolerance: a band. A band of rows that are all equal is settled by counts. In any other, a
+steps within the tolerance: a band. A band of rows that are all equal, or of one distinct row a side, is settled by counts. In any other, a
 maximum matching is found among all its rows, as an equal row may be the only partner of another one.
 """
 
@@ -67,9 +67,16 @@ def unmatched(got: DataFrame, want: DataFrame, columns: list[str], tolerance: fl
     first = F.coalesce(F.try_element_at(F.filter("numbers", lambda x: x.isNotNull()), F.lit(1)), F.lit(0.0))
     steps = Window.partitionBy("texts").orderBy("first")
     banded = distinct.withColumn("first", first).withColumn("step", (F.col("first") - F.lag("first").over(steps) > tolerance).cast("int")).withColumn("band", F.coalesce(F.sum("step").over(steps), F.lit(0)))
-    sized = banded.withColumn("rows", F.count("*").over(Window.partitionBy("texts", "band")))
+    within = Window.partitionBy("texts", "band")
+    sized = banded.withColumns({"rows": F.count("*").over(within), "both": F.sum(F.least("got", "want")).over(within), "gots": F.sum("got").over(within), "wants": F.sum("want").over(within), "least": F.min("numbers").over(within), "most": F.max("numbers").over(within)})
     each = lambda df, side, n: df.select("texts", "numbers", "band", F.explode(F.array_repeat(F.lit(side), n.cast("int"))).alias("side"))
-    alike, mixed = sized.where("rows = 1"), sized.where("rows > 1")
+    # of two distinct rows, one of each side, there is nothing to choose: they are partners as often as both are there, or not at all
+    pair = (F.col("rows") == 2) & (F.col("both") == 0) & (F.col("gots") > 0) & (F.col("wants") > 0)
+    near = F.forall(F.arrays_zip("least", "most"), lambda z: z["least"].isNull() | (F.abs(z["least"] - z["most"]) <= tolerance))
+    sized = sized.withColumn("pair", pair)
+    partners = F.when(F.col("pair") & near, F.least("gots", "wants")).otherwise(0)
+    alike = sized.where("rows = 1 OR pair").withColumns({"got": F.greatest(F.col("got") - partners, F.lit(0)), "want": F.greatest(F.col("want") - partners, F.lit(0))})
+    mixed = sized.where("rows > 1 AND NOT pair")
     settled = each(alike, "got", F.greatest(F.col("got") - F.col("want"), F.lit(0))).unionByName(each(alike, "want", F.greatest(F.col("want") - F.col("got"), F.lit(0))))
     odd = both.where(~finite).select("texts", "numbers", F.when(F.col("got") == 1, "got").otherwise("want").alias("side"))  # NaN and infinities equal nothing
     rest = each(mixed, "got", F.col("got")).unionByName(each(mixed, "want", F.col("want")))
