@@ -101,7 +101,11 @@ def salient(name: str, red: str) -> str:
 
 @F.pandas_udf(StringType())
 def _salient_hash(names: pd.Series, inputs: pd.Series) -> pd.Series:
-    return pd.Series([hashlib.sha256(salient(n, redact_text(i or "")).encode("utf-8", "surrogatepass")).hexdigest()[:16] for n, i in zip(names, inputs, strict=True)])
+    found: dict[tuple, str] = {}  # a batch's calls: equal ones are hashed once
+    for call in zip(names, inputs, strict=True):
+        if call not in found:
+            found[call] = hashlib.sha256(salient(call[0], redact_text(call[1] or "")).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    return pd.Series([found[call] for call in zip(names, inputs, strict=True)])
 
 
 def terminal(kind: str = "type", name: str = "name", subagent: str = "subagent_type", payload: str = "input") -> Column:

@@ -293,9 +293,8 @@ prompts AS (SELECT run_id, sha256('x' || trim(text)) AS h, min(sec) AS sec FROM
 
 def step_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of events as calls that hang on their run's session."""
-    e = events(spark, sf_dir)
-    props = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("input"))
-    nodes = e.join(props, "event_id").select("run_id", F.col("event_id").cast("string").alias("id"), F.lit("tool_call").alias("type"), F.col("event_type").alias("name"), F.lit(None).cast("string").alias("subagent_type"), F.col("ts").alias("t_start"), "input")
+    e = table(spark, sf_dir, "events")
+    nodes = e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("string").alias("id"), F.lit("tool_call").alias("type"), F.col("event_type").alias("name"), F.lit(None).cast("string").alias("subagent_type"), F.col("ts").cast("timestamp").alias("t_start"), F.col("props").alias("input"))
     edges = nodes.select("run_id", F.concat(F.lit("session:"), "run_id").alias("src"), F.col("id").alias("dst"))
     return keys.step_keys(nodes, edges).select("run_id", "id", "path", "step_key", "path_key")
 
