@@ -52,10 +52,15 @@ def skill_name(payload: Column) -> Column:
 
 def parse_labels(text: Column) -> Column:
     """A map of ``key=value`` pairs, comma-separated. Bad keys and long values are left out; the last of a key wins."""
-    pairs = F.transform(F.split(text, ","), lambda x: F.struct(trimmed(F.substring_index(x, "=", 1)).alias("k"), trimmed(F.regexp_extract(x, "(?s)=(.*)$", 1)).alias("v"), F.contains(x, F.lit("=")).alias("ok")))
-    good = F.filter(pairs, lambda p: p["ok"] & p["k"].rlike("^[a-z0-9_.-]{1,64}$") & (F.octet_length(p["v"]) <= MAX_LABEL_BYTES))
-    last = F.filter(F.transform(good, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["k"] == p["k"]).alias("later"))), lambda p: ~p["later"])
-    return F.map_from_entries(F.transform(F.slice(last, 1, MAX_LABELS), lambda p: F.struct(p["k"], p["v"])))
+    pairs = F.transform(F.filter(F.split(text, ","), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(trimmed(F.substring_index(x, "=", 1)).alias("k"), trimmed(F.regexp_extract(x, "(?s)=(.*)$", 1)).alias("v")))
+    good = F.filter(pairs, lambda p: p["k"].rlike("^[a-z0-9_.-]{1,64}$") & (F.octet_length(p["v"]) <= MAX_LABEL_BYTES))
+
+    def last(pairs: Column) -> Column:
+        """Keys in the order of their last pairs, each with that pair's value."""
+        keys = F.slice(F.reverse(F.array_distinct(F.transform(F.reverse(pairs), lambda p: p["k"]))), 1, MAX_LABELS)
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v")))
+
+    return F.map_from_entries(F.element_at(F.transform(F.array(good), last), 1))  # the pairs have a name: they are found once
 
 
 def format_labels(labels: Column) -> Column:
