@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import text
-from tracelake.operators import compare, keys, tables
+from tracelake.operators import calibrate, compare, keys, tables
+from tracelake.plans.model import Model
 
 
 def test_labels_of_one_long_text(spark):
@@ -50,3 +51,15 @@ def test_bands_of_one_row_a_side(spark):
     t = time.time()
     assert tables.unmatched(many.selectExpr("'x' || id AS k", "0D AS v"), many.selectExpr("'x' || id AS k", "IF(id % 3 = 0, 0.2D, 0.05D) AS v"), ["k", "v"], 0.1).count() == 0 + 2 * 50_000
     assert time.time() - t < 25
+
+
+def test_cases_are_keys_and_places_not_runs(spark):
+    counts = []
+    for k in (60, 600):
+        runs = spark.range(k).selectExpr("string(id) AS run_id", "'g' AS grp", "'' AS task", "timestamp_seconds(id) AS started_at", "timestamp_seconds(id + 60 + id % 7) AS ended_at", "'ok' AS status")
+        nodes = spark.range(k).selectExpr("string(id) AS run_id", "'n' AS id", "'tool_call' AS type", "'s' AS name", "IF(id % 9 = 0, 'error', 'ok') AS status", "'key' AS step_key", "'' AS phase_key", "timestamp_seconds(id) AS t_start", "CAST(NULL AS timestamp) AS t_end", "id % 100 AS duration_ms", "double(id % 10) AS cost_usd", "id % 5 AS tokens_in", "id % 3 AS tokens_out")
+        m = Model(runs, nodes, spark.createDataFrame([], "run_id string, key string, value double"))
+        found, members = calibrate._cases(m, calibrate.placed(m.runs))
+        counts.append(found.count())
+        assert members.count() == 12 * k
+    assert max(counts) < 250
