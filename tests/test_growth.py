@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import text
-from tracelake.operators import calibrate, compare, keys, tables
+from tracelake.operators import calibrate, compare, keys, reduce, tables
 from tracelake.plans.model import Model
 
 
@@ -63,3 +63,21 @@ def test_cases_are_keys_and_places_not_runs(spark):
         counts.append(found.count())
         assert members.count() == 12 * k
     assert max(counts) < 250
+
+
+def test_phases_of_many_runs(spark):
+    at = ("timestamp_seconds(id * 100 + b.at) AS ts", "CAST(b.at AS bigint) AS seq")
+    some = "array(named_struct('at', 0, 'what', 'start', 'no', -1), named_struct('at', 3, 'what', 'start', 'no', 0), named_struct('at', 5, 'what', 'end', 'no', -1), named_struct('at', 7, 'what', 'other', 'no', -1), named_struct('at', 9, 'what', 'start', 'no', -1), named_struct('at', 8, 'what', 'end', 'no', -1))"
+    bounds = spark.range(20_000).selectExpr("id", f"explode({some}) AS b").selectExpr("string(id) AS run_id", "'p' AS name", "b.what AS boundary", "b.no AS occurrence", "IF(b.at = 3, 'ref', NULL) AS state_ref", "IF(b.at = 0, 'a', NULL) AS agent_id", *at)
+    t = time.time()
+    found = reduce.phases(bounds.unionByName(bounds.where("run_id = '7'").selectExpr("'lone' AS run_id", "name", "'end' AS boundary", "occurrence", "state_ref", "agent_id", "ts", "seq"))).collect()
+    assert time.time() - t < 25
+    assert len(found) == 60_000
+    of = {(r["occurrence"]): (r["t_start"].timestamp() - 700, r["t_end"] and r["t_end"].timestamp() - 700, r["closed"], r["state_ref"], r["agent_id"]) for r in found if r["run_id"] == "7"}
+    assert of == {1: (0, 8, True, None, "a"), 0: (3, 5, True, "ref", None), 2: (9, None, False, None, None)}
+
+
+def test_phases_without_times_and_runs(spark):
+    rows = [(None, "p", "start", -1, None, None, None, 1), (None, "p", "end", -1, None, None, None, 2), ("r", "p", "end", -1, None, None, None, 5), ("r", "p", "start", -1, "s", None, None, 5)]
+    found = reduce.phases(spark.createDataFrame(rows, "run_id string, name string, boundary string, occurrence int, state_ref string, agent_id string, ts timestamp, seq bigint")).collect()
+    assert sorted((str(r["run_id"]), r["occurrence"], r["t_start"], r["t_end"], r["closed"], r["state_ref"]) for r in found) == [("None", 0, None, None, True, None), ("r", 0, None, None, True, "s")]

@@ -7,8 +7,10 @@ latest (end); tokens and payloads are the last ones given; a status never leaves
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tracelake.functions.pricing import Prices, cost_usd
 from tracelake.functions.text import MARK_SERVER, is_marker_tool, phase_key, skill_name, tool_type
@@ -166,23 +168,31 @@ def pair_ends(bounds: list[tuple[str, int]], occs: list[int]) -> dict[int, int]:
     return ends | dict(zip(reversed(running), later, strict=False))
 
 
+@F.pandas_udf(StructType().add("occurrence", ArrayType(IntegerType())).add("end", ArrayType(IntegerType())))
+def _settled(starts: pd.Series, ends: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+    """Of each run and name, by its bounds in order: the occurrence of every start, and the place of the bound that ends it (null: open)."""
+    numbers, places = [], []
+    for is_start, is_end, of in zip(starts, ends, wanted, strict=True):
+        bounds = [("start" if s else "end" if e else "", int(o)) for s, e, o in zip(is_start, is_end, of, strict=True)]
+        occs = occurrences([o for b, o in bounds if b == "start"])
+        pairs = pair_ends(bounds, occs)
+        numbers.append(occs)
+        places.append([pairs.get(i) for i in range(len(occs))])
+    return pd.DataFrame({"occurrence": numbers, "end": places})
+
+
 def phases(bounds: DataFrame) -> DataFrame:
     """A row for each phase of a run: name, occurrence, t_start, t_end (null: open), state_ref, agent_id.
 
-    Occurrences and nesting are settled in order of time within one run and name: a group is one run's bounds.
+    Occurrences and nesting are settled in order of time within one run and name, a batch of runs a call of Python;
+    the rows of a group are one run's bounds.
     """
-
-    def settle(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["ts", "seq"], na_position="first")
-        starts = pdf[pdf["boundary"] == "start"]
-        occs = occurrences([int(x) for x in starts["occurrence"]])
-        pairs = pair_ends([(b, int(o)) for b, o in zip(pdf["boundary"], pdf["occurrence"], strict=True)], occs)
-        ends = [pdf["ts"].iloc[pairs[i]] if i in pairs else pd.NaT for i in range(len(occs))]
-        return pd.DataFrame({"run_id": starts["run_id"], "name": starts["name"], "occurrence": occs, "t_start": starts["ts"], "t_end": ends, "closed": [i in pairs for i in range(len(occs))], "state_ref": starts["state_ref"], "agent_id": starts["agent_id"]})
-
-    return bounds.groupBy("run_id", "name").applyInPandas(settle, "run_id string, name string, occurrence int, t_start timestamp, t_end timestamp, closed boolean, state_ref string, agent_id string")
+    rows = F.sort_array(F.collect_list(F.struct("ts", "seq", "boundary", "occurrence", "state_ref", "agent_id")))
+    is_ = lambda what: F.transform("b", lambda x: x["boundary"] == what)
+    df = bounds.groupBy("run_id", "name").agg(rows.alias("b")).withColumn("s", _settled(is_("start"), is_("end"), F.col("b.occurrence")))
+    df = df.select("run_id", "name", "b", F.filter("b", lambda x: x["boundary"] == "start").alias("start"), F.col("s.occurrence").alias("no"), F.col("s.end").alias("end"))
+    phase = lambda x: F.struct(x["no"].alias("occurrence"), x["start"]["ts"].alias("t_start"), F.get("b", x["end"])["ts"].alias("t_end"), x["end"].isNotNull().alias("closed"), x["start"]["state_ref"].alias("state_ref"), x["start"]["agent_id"].alias("agent_id"))
+    return df.select("run_id", "name", F.explode(F.transform(F.arrays_zip("start", "no", "end"), phase)).alias("x")).select("run_id", "name", "x.*")
 
 
 def marker_nodes(found: DataFrame, steps: DataFrame | None = None) -> DataFrame:
