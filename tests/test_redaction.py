@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import redact
 from tracelake.operators import redaction
+from tracelake.plans import workloads
 from tracelake.sources import evidence
 
 ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -36,6 +37,23 @@ def test_column_rules_equal_plain_ones(spark):
         assert (got[i]["text"], [(f["path"], f["reason"]) for f in got[i]["findings"]]) == (text, findings), t
 
 
+def test_one_row_group_is_cleared_by_many_tasks(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200), i -> substring(sha2(concat(id, '.', i), 256), 1, 8)), ' ') AS text")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (workloads.redaction, workloads.redaction_rules):
+        tasks = query(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+        assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 4000
+
+
+def test_a_text_is_made_once(spark):
+    """However often the rules look at it: an argument of the rules stood in the plan some thirty times before."""
+    made = F.reverse(F.col("t"))
+    df = spark.createDataFrame([(KEY[::-1],), ("",), (None,)], "t string")
+    got = df.select(redact.redacted_plain(made).alias("x"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert [r["x"]["text"] for r in got.collect()] == [redact.mark("github-token"), "", None]
+
+
 def test_entropy_of_columns(spark):
     for x in ("a", "ab", "aab0", "0123456789abcdef"):
         assert spark.range(1).select(redact.entropy_of(F.lit(x))).first()[0] == pytest.approx(redact.entropy(x))

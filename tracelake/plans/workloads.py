@@ -224,15 +224,20 @@ _MODELS = [
 _COSTS = " ".join(f"WHEN {i} THEN l_partkey / 1e6 * {t[0]} + l_orderkey / 1e6 * {t[1]} + l_suppkey / 1e6 * {t[2]} + l_linenumber / 1e6 * {t[3]}" for i, t in enumerate((*FAMILIES.values(), *EXACT.values())))
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Documents over all tasks: a file whose row groups are few would else be read, and cleared, by as few."""
+    return docs.repartition("doc_id", "text")
+
+
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: how many kinds, and the redacted text's hash."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", redacted(F.col("text")))
+    d = _dealt(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("r", redacted(F.col("text")))
     return d.select("doc_id", F.size("r.findings").alias("n_findings"), F.array_join(F.array_distinct(F.transform("r.findings", lambda f: f["reason"])), ",").alias("reasons"), F.sha2(capped(F.col("r.text")), 256).alias("sha256"))
 
 
 def redaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A secret of each of eight kinds, made from the id, behind every document: the rules by built-in functions."""
-    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").withColumn("h", F.sha2(F.col("doc_id").cast("string"), 256))
+    d = _dealt(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")).withColumn("h", F.sha2(F.col("doc_id").cast("string"), 256))
     h = lambda a, n: F.substring("h", a, n)
     made = (
         F.concat(F.lit("ghp_"), h(1, 36)), F.concat(F.lit("AKIA"), F.upper(h(1, 16))), F.concat(F.lit("sk-"), h(1, 24)), F.concat(F.lit("postgres://u:"), h(1, 6), F.lit("@db/x")), F.concat(F.lit("Bearer "), h(1, 20)),
